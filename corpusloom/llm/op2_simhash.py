@@ -13,8 +13,8 @@ adaptive execution splits where one fingerprint has very many documents.
 similarity fingerprints differ in about ten bits, more than any block scheme reaches, so there SimHash
 links are joined by MinHash band keys as a second source of candidates, and every candidate pair is
 verified on the exact sets. Documents with the same set are one class from the start. A band's bucket
-gives a candidate for each member and each of three of its members (smallest, largest, a random one by
-band), never all pairs.
+pairs each member with the smallest one, and what isn't connected then with the largest and with a
+random one, never all with all; a document shares many buckets with what is like it.
 
 Null and empty texts have no words: fingerprint zero, linked like any other; for sets they are copies of
 one another. Repeated rows are kept and share a component. A null doc_id is never a component's name; a
@@ -151,7 +151,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BANDS, ROWS = 16, 4
 _FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SET_SCHEMA = "row long, set_id binary, fp long, bands array<long>, shingles binary"
+
+
+def shingle_set(parts: list[bytes]) -> np.ndarray:
+    """Sorted distinct 64-bit hashes."""
+    return np.unique(np.frombuffer(b"".join(parts), ">u8").astype(np.uint64))
 
 
 def min_hashes(shingles: np.ndarray) -> np.ndarray:
@@ -161,94 +165,115 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs(row, text) -> row, set_id (128-bit hash of the set), fp, bands, shingles (sorted 64-bit hashes)."""
+def profiles(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs(row, text) -> row, set_id (128-bit hash of the shingle set), fp, bands (MinHash keys). Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, fps, bands, sets = [], [], [], []
+            ids, fps, bands = [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 parts = list(shingle_digests(text.as_py(), shingle))
-                found = np.unique(np.frombuffer(b"".join(parts), ">u8").astype(np.uint64))
-                data = found.tobytes()
+                found = shingle_set(parts)
                 least = min_hashes(found).reshape(BANDS, ROWS)
-                ids.append(xxhash.xxh128_digest(data, SEED))
+                ids.append(xxhash.xxh128_digest(found.tobytes(), SEED))
                 fps.append(simhash(parts))
                 bands.append([xxhash.xxh64_intdigest(least[i].tobytes(), i) - (1 << 63) for i in range(BANDS)])
-                sets.append(data)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                ["row", "set_id", "fp", "bands", "shingles"],
+                [batch.column(0), pa.array(ids, pa.binary()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                ["row", "set_id", "fp", "bands"],
             )
 
-    return docs.select("row", "text").mapInArrow(run, SET_SCHEMA)
+    return docs.select("row", "text").mapInArrow(run, "row long, set_id binary, fp long, bands array<long>")
+
+
+def sets_of(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """(row, set_id, shingles) of those documents(row, text) that ``rows(row)`` names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(list(shingle_digests(t.as_py(), shingle))).tobytes() for t in batch.column(1).cast(pa.binary())]
+            ids = [xxhash.xxh128_digest(x, SEED) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], ["row", "set_id", "shingles"])
+
+    return docs.join(rows, "row", "left_semi").select("row", "text").mapInArrow(run, "row long, set_id binary, shingles binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of rows whose sets have Jaccard similarity of at least ``similarity``."""
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows of docs(row, text) whose sets have a Jaccard similarity of at least
+    ``similarity``. Only documents that are in a pair are read into sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                least = min(len(x), len(y))
-                if least < similarity * max(len(x), len(y)):
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
                     continue
-                common_ = len(x) + len(y) - len(np.union1d(x, y))
-                if common_ >= similarity * (len(x) + len(y) - common_) - 1e-9:
+                both = np.concatenate([x, y])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                if shared >= similarity * (len(both) - shared) - 1e-9:
                     kept.append(i)
             yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
 
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    sets = common.materialize(sets_of(docs, ids, shingle), "sets")
     a = sets.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
     b = sets.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """docs(doc_id, text) -> doc_id, component_id: the smallest doc_id among documents connected by pairs
-    of similarity ``similarity`` or more. doc_ids must be unique and not null."""
+    of similarity ``similarity`` or more. Null doc_ids take no part; rows that share a doc_id are one document,
+    alike to whatever one of them is alike to."""
     common.tune(docs.sparkSession)
-    sets = common.materialize(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("row"), "text"), shingle), "sets")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("row"), "text")
+    seen = common.materialize(profiles(texts, shingle), "profiles")
     # one row for each distinct set stands for all documents that have it
-    classes = common.materialize(
-        sets.groupBy("set_id").agg(F.min("row").alias("row")).join(sets.select("set_id", "row", "fp", "bands"), ["set_id", "row"]), "classes"
-    )
+    least = seen.groupBy("set_id").agg(F.min(F.struct("row", "fp", "bands")).alias("p"))
+    classes = common.materialize(least.select("set_id", "p.*"), "classes")
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
     # SimHash: links of fingerprints, between the smallest rows that have them; and rows of one fingerprint
     by_code = classes.groupBy("fp").agg(F.min("row").alias("least"))
-    links = linked(by_code.select("fp"), radius)
     low, high = by_code.toDF("a", "ra"), by_code.toDF("b", "rb")
-    candidates = links.join(low, "a").join(high, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    candidates = candidates.unionByName(classes.join(by_code, "fp").select(F.col("least").alias("a"), F.col("row").alias("b")))
-    # MinHash bands: each member with three of its bucket
+    links = linked(by_code.select("fp"), radius).join(low, "a").join(high, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    same = classes.join(by_code, "fp").select(F.col("least").alias("a"), F.col("row").alias("b"))
+    # MinHash bands: each member with the smallest of its bucket
     banded = classes.select("row", F.posexplode("bands").alias("band", "key"))
     centres = banded.groupBy("band", "key").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(F.min("row"), F.max("row"), F.min_by("row", F.xxhash64("row", "band"))).alias("centres"),
-    )
-    near = banded.join(centres.where("n > 1"), ["band", "key"]).select(F.explode(F.array_distinct("centres")).alias("a"), F.col("row").alias("b"))
-    pairs = (
-        candidates.unionByName(near)
-        .where("a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        F.min("row").alias("first"), F.max("row").alias("last"), F.min_by("row", F.xxhash64("row", "band")).alias("any")
+    ).where("first <> last")
+    buckets = common.materialize(banded.join(centres, ["band", "key"]), "buckets")
+    tried = common.materialize(ordered(links.unionByName(same).unionByName(buckets.select(F.col("first").alias("a"), F.col("row").alias("b")))), "pairs")
+    edges = common.materialize(verified(tried, texts, shingle, similarity), "similar")
+    members = common.components(edges)
+    # those of a bucket that are not connected yet: with its largest member and with a random one
+    far = buckets.select("row", F.explode(F.array("last", "any")).alias("centre")).where("row <> centre").distinct()
+    of_row, of_centre = members.toDF("row", "row_root"), members.toDF("centre", "centre_root")
+    open_ = far.join(of_row, "row", "left").join(of_centre, "centre", "left").where(
+        F.coalesce("row_root", "row") != F.coalesce("centre_root", "centre")
     )
-    members = common.components(verified(pairs, sets.select("row", "shingles"), similarity))
+    again = ordered(open_.select(F.col("row").alias("a"), F.col("centre").alias("b"))).join(tried, ["a", "b"], "left_anti")
+    more = verified(common.materialize(again, "pairs"), texts, shingle, similarity)
+    members = common.components(edges.unionByName(more))
     names = (
         classes.select("set_id", "row")
         .join(members.withColumnRenamed("node", "row"), "row", "left")
         .select("set_id", F.coalesce("root", "row").alias("component_id"))
     )
-    return sets.select("set_id", F.col("row").alias("doc_id")).join(names, "set_id").select("doc_id", "component_id")
+    found = seen.select("set_id", F.col("row").alias("doc_id")).join(names, "set_id")
+    return found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, **parameters) -> DataFrame:
-    """docs without all but the document of smallest doc_id of each near-duplicate group; documents
-    without doc_id stay, and of rows that repeat a doc_id one stays. Columns and order of columns stay."""
-    whole = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    keep = near_duplicates(whole, **parameters).where("doc_id = component_id").select("doc_id")
-    kept = whole.join(keep, "doc_id", "left_semi").select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """docs without all but the document of smallest doc_id of each near-duplicate group. Rows without a
+    doc_id stay; rows that share one stay or go together. Columns stay as they are."""
+    gone = near_duplicates(docs.select("doc_id", "text"), **parameters).where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 QUERIES = {"op2_simhash": op2_simhash}

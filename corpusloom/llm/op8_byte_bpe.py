@@ -70,14 +70,15 @@ def decode(df: DataFrame, path: str, split_pattern: str, source: str = "ids", ou
     return _map_column(df, source, out, T.StringType(), f)
 
 
-def digests(docs: DataFrame, path: str, split_pattern: str) -> DataFrame:
-    """Per document of ``docs(doc_id, text)``: doc_id, n_tokens, and sha256 of the ids and of their decoding."""
+def digests(docs: DataFrame, path: str, split_pattern: str, with_ids: bool = False) -> DataFrame:
+    """Per document of ``docs(doc_id, text)``: doc_id, n_tokens, and sha256 of the ids and of their decoding;
+    with_ids: the ids too, as array<int>."""
     common.tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, split_pattern)
         for batch in batches:
-            counts, of_ids, of_bytes = [], [], []
+            counts, of_ids, of_bytes, all_ids = [], [], [], []
             for text in batch.column(1):
                 ids = bpe.encode_bytes(text.as_py() or "")
                 counts.append(len(ids) // 4)
@@ -87,12 +88,17 @@ def digests(docs: DataFrame, path: str, split_pattern: str) -> DataFrame:
                 for i in range(0, len(listed), 1 << 16):
                     back.update(bpe.decode(listed[i : i + (1 << 16)]))
                 of_bytes.append(back.hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    all_ids.append(np.frombuffer(ids, "<i4"))
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,10 +141,10 @@ _FOLDER_SQL = f"regexp_extract({_path_sql('url')}, '(?s)^(.*/)', 1)"
 OP9_SQL = f"""
 WITH RECURSIVE tags AS (
   SELECT url, unnest(list_concat(
-    list_transform(list_filter(regexp_extract_all(html, '(?is)<link\\b[^>]*>'), t -> regexp_matches(t, '(?i)\\brel\\s*=\\s*["'']?\\s*canonical\\b')),
-      t -> regexp_extract(t, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]*)', 1)),
-    list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\\b[^>]*>'), t -> regexp_matches(t, '(?i)\\bhttp-equiv\\s*=\\s*["'']?\\s*refresh\\b')),
-      t -> regexp_extract(t, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]*)', 1)))) AS raw
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<link\\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\\brel\\s*=\\s*["'']?\\s*canonical\\b')),
+      lambda t: regexp_extract(t, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]*)', 1)),
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\\bhttp-equiv\\s*=\\s*["'']?\\s*refresh\\b')),
+      lambda t: regexp_extract(t, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]*)', 1)))) AS raw
   FROM pages WHERE html IS NOT NULL),
 links AS (SELECT url, trim(replace(raw, '&amp;', '&')) AS link FROM tags),
 targets AS (

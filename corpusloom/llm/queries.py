@@ -9,6 +9,9 @@ MODULES = (
     "op2_simhash",
     "op3_token_counts",
     "op4_decontaminate",
+    "op5_quality",
+    "op6_html",
+    "op7_neighbours",
     "op8_byte_bpe",
     "op9_url_filter",
     "op10_pii",
