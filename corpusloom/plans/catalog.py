@@ -7,7 +7,7 @@ from importlib import import_module
 
 from ..registry import REGISTRY
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("quality", "aggregates", "windows")
 
 
 def _load() -> None:
