@@ -38,7 +38,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class BpeMachine:
-    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 120_000):
         self.ranks, self.max_transitions = ranks, max_transitions
         self.tokens = {i: t for t, i in ranks.items()}
         self.trie: dict[int, int] = {}  # node << 8 | byte -> node; the root is 0
@@ -233,12 +233,12 @@ class ByteBpe:
         self.pieces: list[bytes] = [b""] * size
         for token, rank in ranks.items():
             self.pieces[rank] = token
-        self._wide = TwoGenerationCache(lambda p: self.machine.encode_piece(p.encode("utf-8", "replace")), 100_000)
-        self.counts = TwoGenerationCache(lambda p: len(self.machine.encode_piece(p.encode("utf-8", "replace"))))
+        self._wide = TwoGenerationCache(lambda p: self.machine.encode_piece(p.encode("utf-8", "replace")), 50_000)
+        self.counts = TwoGenerationCache(lambda p: len(self.machine.encode_piece(p.encode("utf-8", "replace"))), 150_000)
         self._narrow = None
         if pattern == GPT_PATTERN:
             self._narrow = re.compile(NARROW_PATTERN)
-        self._pieces = TwoGenerationCache(self._piece, 200_000)
+        self._pieces = TwoGenerationCache(self._piece, 150_000)
 
     def _piece(self, piece: bytes) -> bytes:
         data = piece if piece.isascii() else piece.decode("latin-1").encode()

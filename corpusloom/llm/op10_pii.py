@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .word_cache import hold
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("term", "term_removed")
@@ -186,6 +187,7 @@ def disclosing_terms(
 
 def _count_terms(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("pii", lambda: None)
         wanted, counts = shared.value, Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -220,6 +222,7 @@ def find_pii(docs: DataFrame, disclosing: DataFrame | None = None, chunk: int =
 
 def _spans(shared, at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("pii", lambda: None)
         told = shared.value
         for batch in batches:
             found = []
@@ -276,6 +279,7 @@ def sanitise_documents(docs: DataFrame, disclosing: DataFrame | None = None, **t
         raise ValueError("a column named pii can't be kept here")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("pii", lambda: None)
         for batch in batches:
             texts = [
                 t if not s else sanitise(t, [(x["kind"], x["start"], x["end"]) for x in s])
@@ -293,6 +297,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(docs).select("doc_id", "pii")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("pii", lambda: None)
         for batch in batches:
             rows = []
             for spans in batch.column(1).to_pylist():

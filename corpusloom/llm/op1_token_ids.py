@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .tokenizer_files import path_of
-from .word_cache import TwoGenerationCache
+from .word_cache import TwoGenerationCache, hold
 
 MAGIC, HEADER = b"CLT1", struct.Struct("<4sHHIQQ")
 SEGMENT_SCHEMA = "shard int, segment int, start_in_shard long, n_tokens long, n_docs long, doc_ids array<long>, image binary"
@@ -162,6 +162,7 @@ class WordEncoder:
 
 
 def word_encoder(path: str) -> WordEncoder:
+    hold("token_ids", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]

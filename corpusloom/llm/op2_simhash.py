@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .gray_index import GrayIndex, forest
+from .word_cache import hold
 
 SEED, CHUNK = 42, 1 << 16
 
@@ -69,6 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     common.tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("simhash", lambda: None)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fps = [simhash(list(shingle_digests(t.as_py(), shingle))) for t in texts]
@@ -107,6 +109,7 @@ def linked(codes: DataFrame, radius: int = 4, slice_size: int = 1 << 16) -> Data
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("simhash", lambda: None)
         held: list[tuple[np.ndarray, ...]] = []
         rows = 0
 
@@ -169,6 +172,7 @@ def profiles(docs: DataFrame, shingle: int) -> DataFrame:
     """docs(row, text) -> row, set_id (128-bit hash of the shingle set), fp, bands (MinHash keys). Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("simhash", lambda: None)
         for batch in batches:
             ids, fps, bands = [], [], []
             for text in batch.column(1).cast(pa.binary()):
@@ -190,6 +194,7 @@ def sets_of(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     """(row, set_id, shingles) of those documents(row, text) that ``rows(row)`` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("simhash", lambda: None)
         for batch in batches:
             sets = [shingle_set(list(shingle_digests(t.as_py(), shingle))).tobytes() for t in batch.column(1).cast(pa.binary())]
             ids = [xxhash.xxh128_digest(x, SEED) for x in sets]
@@ -203,6 +208,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     ``similarity``. Only documents that are in a pair are read into sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("simhash", lambda: None)
         for batch in batches:
             kept = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .word_cache import hold
 
 WINDOW = 10
 #: A-Z to a-z; all that is no letter, digit or non-ASCII byte to a space
@@ -153,6 +154,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
 def _search(shared, window: int, at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("decontaminate", lambda: None)
         patterns = Benchmark(shared.value, window)
         for batch in batches:
             counts, spans, items = [], [], []

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .boosted_trees import FlatTrees, fit
+from .word_cache import hold
 
 THRESHOLD = 0.3
 _SIGNS = b"!?.,;:|%$&#*=+-_/\\<>()[]{}\"'@~^`"
@@ -107,6 +108,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("quality", lambda: None)
         for batch in batches:
             stats = [document_statistics(t.as_py() or b"") for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "label", "stats"])
@@ -132,6 +134,7 @@ def score(docs: DataFrame, trees: FlatTrees, out: str = "score") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("quality", lambda: None)
         model = shared.value
         for batch in batches:
             stats = [document_statistics(t.as_py() or b"") for t in batch.column(at).cast(pa.binary())]

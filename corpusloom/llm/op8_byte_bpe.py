@@ -19,11 +19,13 @@ from pyspark.sql import types as T
 from . import common
 from .bpe_machine import ByteBpe, Utf8Machine, read_ranks
 from .tokenizer_files import path_of, pattern
+from .word_cache import hold
 
 _codecs: dict[tuple[str, str], ByteBpe] = {}
 
 
 def codec(path: str, split_pattern: str) -> ByteBpe:
+    hold("byte_bpe", _codecs.clear)
     key = (path, split_pattern)
     if key not in _codecs:
         _codecs[key] = ByteBpe(read_ranks(path), split_pattern)

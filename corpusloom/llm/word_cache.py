@@ -2,8 +2,23 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Hashable
 
+#: what operators hold in this Python worker between tasks: name -> a function that lets go of it
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, release: Callable[[], None]) -> None:
+    """Called where a task of operator ``name`` begins: what other operators have left here is released,
+    as workers are reused and their memory would add up."""
+    others = [k for k in _held if k != name]
+    for k in others:
+        _held.pop(k)()
+    _held[name] = release
+    if others:
+        gc.collect()
+
 
 class TwoGenerationCache(dict):
     """dict whose missing keys are computed by ``compute``; holds at most 2 * ``limit`` entries.
