@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -42,7 +43,7 @@ def norm_turkish(c: Column | str) -> Column:
 
 def norm_answer(c: Column | str) -> Column:
     """For answer matching: lower case, without articles, then without ASCII signs, white space collapsed."""
-    no_articles = F.regexp_replace(F.lower(c), r"\b(a|an|the)\b", " ")
+    no_articles = F.regexp_replace(F.lower(c), r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])", " ")
     return blank(F.regexp_replace(no_articles, r"[!-/:-@\[-`{-~]", ""))
 
 
@@ -116,12 +117,12 @@ def html_text(c: Column | str) -> Column:
     return blank(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
 

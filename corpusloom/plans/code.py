@@ -1,0 +1,111 @@
+"""Queries of the code analyses (C). No table holds programs, so each document stands for a small test
+module that is generated from its id and its first words, some of them broken."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import code_analysis as c
+from ..functions import text as t
+from ..registry import operator, table
+
+
+def sources(spark, d) -> DataFrame:
+    """(doc_id, code) of all documents."""
+    word = lambda i: F.coalesce(F.try_element_at(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)), F.lit(i)), F.lit("x"))
+    n = F.col("doc_id")
+    fails = F.when(n % 17 == 0, "  return (\n").otherwise("")
+    body = (
+        F.when(n % 4 == 0, F.concat(F.lit("    assert value_"), word(1), F.lit("(3) == "), (n % 9).cast("string"), F.lit("\n")))
+        .when(n % 4 == 1, F.lit("    assert True\n    for i in range(2):\n        assert i == i\n"))
+        .when(n % 4 == 2, F.concat(F.lit("    x = "), (n % 5).cast("string"), F.lit("\n    if x and x > 1 or x == 0:\n        assert x is not None\n")))
+        .otherwise(F.lit("    import time\n    time.sleep(1)\n"))
+    )
+    code = F.concat(F.lit("def value_"), word(1), F.lit("(a):\n    return a + 1 if a else 0\n\ndef test_r"), (n % 6).cast("string"), F.lit("_"), word(2), F.lit("():\n"), body, fails)
+    return table(spark, d, "documents").select("doc_id", code.alias("code"))
+
+
+def mapped(df: DataFrame, f: Callable[[str], list[tuple]], schema: str) -> DataFrame:
+    """(doc_id, ...) rows of f(code), by Arrow batches."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(i, *row) for i, code in zip(batch["doc_id"], batch["code"]) for row in f(code)], columns=names)
+
+    return df.mapInPandas(run, schema)
+
+
+@operator("c01_cyclomatic_complexity")
+def c01(spark, d):
+    def f(code):
+        tree = c.parse(code)
+        return [] if tree is None else [
+            (n.name, c.complexity(n), c.complexity(n, False), (n.end_lineno or 0) - n.lineno + 1, len(c.assertions(n))) for n in c.functions_of(tree)
+        ]
+
+    return mapped(sources(spark, d), f, "doc_id long, name string, complexity long, without_asserts long, lines long, assertions long")
+
+
+@operator("c02_static_test_triage")
+def c02(spark, d):
+    names = ("parseable", "constant_true", "self_compare", "broad_raises", "skipped", "sleeps", "no_oracle")
+    return mapped(sources(spark, d), lambda code: [tuple(c.triage(code)[n] for n in names)], "doc_id long, " + ", ".join(f"{n} long" for n in names))
+
+
+SMELLS = tuple(c.test_smells("")) 
+
+
+def smells(spark, d) -> DataFrame:
+    return mapped(sources(spark, d), lambda code: [tuple(c.test_smells(code)[n] for n in SMELLS)], "doc_id long, " + ", ".join(f"{n} boolean" for n in SMELLS))
+
+
+@operator("c03_test_smells")
+def c03(spark, d):
+    return smells(spark, d)
+
+
+def oracles(spark, d) -> DataFrame:
+    def f(code):
+        tree = c.parse(code)
+        return [] if tree is None else [(a.lineno, c.assertion_strength(a)) for a in c.assertions(tree)]
+
+    return mapped(sources(spark, d), f, "doc_id long, line long, strength string")
+
+
+@operator("c04_oracle_classification")
+def c04(spark, d):
+    return oracles(spark, d)
+
+
+@operator("c05_test_extraction")
+def c05(spark, d):
+    """Status of each module: the first of truncated, syntax, no_tests, complete that applies."""
+    def f(code):
+        if code.rstrip().endswith("("):
+            return [("truncated",)]
+        tree = c.parse(code)
+        return [("syntax" if tree is None else "complete" if any(n.name.startswith("test") for n in c.functions_of(tree)) else "no_tests",)]
+
+    return mapped(sources(spark, d), f, "doc_id long, status string").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@operator("c06_focal_task_filter")
+def c06(spark, d):
+    focal = sources(spark, d).select("doc_id", F.split_part("code", F.lit("\n\ndef "), F.lit(1)).alias("code"))
+    return mapped(focal, lambda code: [(c.is_focal_task(code),)], "doc_id long, focal boolean")
+
+
+@operator("c07_static_rollup")
+def c07(spark, d):
+    """Modules by smell, modules with any smell, assertions by strength, modules that don't parse."""
+    found = smells(spark, d)
+    counts = [F.sum(F.col(n).cast("long")).alias(n) for n in SMELLS[1:]]
+    any_smell = F.sum(F.greatest(*[F.col(n).cast("long") for n in SMELLS[1:]])).alias("any")
+    totals = found.agg(*counts, any_smell, F.sum((~F.col("parseable")).cast("long")).alias("unparseable"))
+    by_strength = oracles(spark, d).groupBy(F.concat(F.lit("oracle_"), F.lower("strength")).alias("measure")).agg(F.count(F.lit(1)).alias("n"))
+    return totals.unpivot([], totals.columns, "measure", "n").unionByName(by_strength)

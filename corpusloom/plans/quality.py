@@ -68,8 +68,8 @@ def p06(spark, d):
 )
 def p07(spark, d):
     docs = table(spark, d, "documents").select("doc_id", t.words("text").alias("w"))
-    grams = docs.select("doc_id", F.explode(t.ngram_list(F.col("w"), 8)).alias("g"))
-    counts = grams.groupBy("doc_id", F.xxhash64("g").alias("h"), "g").count()
+    grams = docs.select("doc_id", F.explode_outer(t.ngram_list(F.col("w"), 8)).alias("g")).where("g is not null")
+    counts = grams.groupBy("doc_id", "g").count()
     return counts.groupBy("doc_id").agg(F.max("count").alias("most")).where("most >= 5")
 
 
