@@ -29,7 +29,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True)
 def read_jsonl_until_bad(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of each file before its first bad line, with the file and the line; the rest of such a file is
     left. Files are read whole, one a task."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     parsed = lines.where(F.trim("value") != "").withColumn("bad", F.expr("try_parse_json(value) is null"))
     first = parsed.where("bad").groupBy("file").agg(F.min("line").alias("first_bad"))
     kept = parsed.join(first, "file", "left").where("first_bad is null or line < first_bad")
