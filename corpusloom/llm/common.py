@@ -19,13 +19,18 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+_own_folder: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Only where it is unset, a new temporary
-    folder is made and set, which serves a single machine."""
+    """The folder all executors share (spark.checkpoint.dir). Only where it is unset, one temporary folder
+    for the application is made, which serves a single machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        application = spark.sparkContext.applicationId
+        if application not in _own_folder:
+            _own_folder[application] = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
+        base = _own_folder[application]
     return base.rstrip("/")
 
 
