@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import first_by
+from .windows import first_by, hash_row_number
 
 
 def hash_rank(salt: str, *parts) -> Column:
@@ -25,9 +25,7 @@ def top_by_hash_per_group(df: DataFrame, k: int, salt: str, group: list[str], id
 def stratified_split(df: DataFrame, strata: list[str], id_column: str, shares: dict[str, float], salt: str, rest: str = "train", least: int = 0) -> DataFrame:
     """df with ``split``: in each stratum, by hash order, round-half-even(n * share) rows, at least
     ``least``, go to each named split in turn; the others to ``rest``."""
-    by = Window.partitionBy(*strata)
-    n = F.count(F.lit(1)).over(by)
-    out = df.withColumn("__i", F.row_number().over(by.orderBy(hash_rank(salt, *strata, id_column), id_column))).withColumn("__n", n)
+    out = hash_row_number(df, strata, hash_rank(salt, *strata, id_column), id_column, "__i", "__n")
     end, split = F.lit(0).cast("long"), None
     for name, share in shares.items():
         end = end + F.greatest(F.lit(least).cast("long"), F.bround(F.col("__n") * share).cast("long"))
@@ -44,7 +42,7 @@ def weighted_mixture(df: DataFrame, group: str, weights: dict[str, float], id_co
     quotas = scaled.crossJoin(F.broadcast(scale)).select(
         group, F.least(F.col("__n"), F.greatest(F.lit(1).cast("long"), F.bround(F.col("__s") * F.col("__w"), 0).cast("long"))).alias("__q")
     )
-    ranked = df.withColumn("__i", F.row_number().over(Window.partitionBy(group).orderBy(hash_rank(salt, id_column), id_column)))
+    ranked = hash_row_number(df, [group], hash_rank(salt, id_column), id_column, "__i")
     return ranked.join(F.broadcast(quotas), group).where(F.col("__i") <= F.col("__q")).drop("__i", "__q")
 
 

@@ -28,6 +28,34 @@ def ordered_prefix(df: DataFrame, order: Column, value: Column, out: str = "befo
     )
 
 
+def hash_row_number(df: DataFrame, by: list[str], order: Column, ties: str, out: str, total: str | None = None) -> DataFrame:
+    """df with each row's number (from 1) in its group by an evenly spread hex order, and the group's size.
+
+    Like ``row_number``, but a group is ranked in 256 slots by the first two digits of the order, each
+    starting at the count of the slots before. A group with a third of all rows is thus 256 tasks' work,
+    not one's. Null groups are groups.
+    """
+    keyed = df.withColumn("__order", order).withColumn("__slot", F.substring("__order", 1, 2))
+    counts = keyed.groupBy(*by, "__slot").agg(F.count(F.lit(1)).alias("__c"))
+    group = Window.partitionBy(*by)
+    before = F.sum("__c").over(group.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1))
+    names = [f"__by{i}" for i in range(len(by))]
+    starts = counts.select(
+        *[F.col(c).alias(n) for c, n in zip(by, names)],
+        F.col("__slot").alias("__of"),
+        F.coalesce(before, F.lit(0)).alias("__start"),
+        F.sum("__c").over(group).alias("__total"),
+    )
+    same = F.col("__slot") == F.col("__of")
+    for c, n in zip(by, names):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    place = F.row_number().over(Window.partitionBy(*by, "__slot").orderBy("__order", ties))
+    ranked = keyed.withColumn("__place", place).join(starts, same).withColumn(out, (F.col("__start") + F.col("__place")).cast("long"))
+    if total:
+        ranked = ranked.withColumn(total, F.col("__total"))
+    return ranked.drop("__order", "__slot", "__of", "__start", "__total", "__place", *names)
+
+
 def first_by(df: DataFrame, key: list, order: list, n: int = 1) -> DataFrame:
     """The first n rows of each key in the order, which must be total."""
     w = Window.partitionBy(*key).orderBy(*order)

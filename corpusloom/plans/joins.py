@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import grams as g
+from ..operators.dedup import checkpointed
 from ..operators.windows import first_by
 from ..registry import operator, table
 from . import sql as s
@@ -176,14 +177,12 @@ def part_dag(spark, d):
 def closure(edges, max_rounds: int = 40):
     """Transitive closure (id, ancestor) by doubling: each round joins paths to paths, so the number of
     rounds is the logarithm of the longest path."""
-    paths = edges.select("id", F.col("parent").alias("ancestor")).distinct().cache()
+    paths = checkpointed(edges.select("id", F.col("parent").alias("ancestor")).distinct())
     size = paths.count()
     for _ in range(max_rounds):
         more = paths.select("id", F.col("ancestor").alias("mid")).join(paths.select(F.col("id").alias("mid"), "ancestor"), "mid").select("id", "ancestor")
-        longer = paths.union(more).distinct().cache()
-        n = longer.count()
-        paths.unpersist()
-        paths = longer
+        paths = checkpointed(paths.union(more).distinct())
+        n = paths.count()
         if n == size:
             return paths
         size = n

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import sampling as k
-from ..operators.windows import first_by
+from ..operators.windows import first_by, hash_row_number
 from ..registry import operator, table
 from . import sql as s
 
@@ -86,7 +86,7 @@ def k06(spark, d):
 def k07(spark, d):
     labels = table(spark, d, "labels")
     least = labels.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
-    ranked = labels.withColumn("i", F.row_number().over(Window.partitionBy("quality").orderBy(k.hash_rank("bal", "doc_id"), "doc_id")))
+    ranked = hash_row_number(labels, ["quality"], k.hash_rank("bal", "doc_id"), "doc_id", "i")
     return ranked.crossJoin(F.broadcast(least)).where("i <= least").select("quality", "doc_id")
 
 
@@ -200,8 +200,8 @@ def k12(spark, d):
 )
 def k13(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("epoch"))
-    order = Window.partitionBy("source", "epoch").orderBy(k.hash_rank("e", "epoch", "doc_id"), "doc_id")
-    return docs.select("source", "epoch", "doc_id", F.row_number().over(order).cast("long").alias("position"))
+    ranked = hash_row_number(docs, ["source", "epoch"], k.hash_rank("e", "epoch", "doc_id"), "doc_id", "position")
+    return ranked.select("source", "epoch", "doc_id", "position")
 
 
 @operator("k14_source_family_split", f"SELECT doc_id, source, CASE WHEN {s.bucket('source', 10)} < 2 THEN 'test' ELSE 'train' END AS split FROM documents")
