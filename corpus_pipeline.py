@@ -44,7 +44,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, hashes of the ids and of their decoding, and the ids."""
-    return digests(docs, path_of("byte_bpe_50k.tiktoken"), pattern(), with_ids=True)
+    # workers are shared with the other stages, hence a smaller memo than the operator's own
+    return digests(docs, path_of("byte_bpe_50k.tiktoken"), pattern(), with_ids=True, memory=80_000)
 
 
 STAGES = [

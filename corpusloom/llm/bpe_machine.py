@@ -38,7 +38,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class BpeMachine:
-    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 250_000):
         self.ranks, self.max_transitions = ranks, max_transitions
         self.tokens = {i: t for t, i in ranks.items()}
         self.trie: dict[int, int] = {}  # node << 8 | byte -> node; the root is 0
@@ -65,7 +65,6 @@ class BpeMachine:
         self._left: dict[int, list] = {}
         self._right: dict[int, list] = {}
         self._whole: dict[int, bool] = {}
-        self._apart: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -74,7 +73,6 @@ class BpeMachine:
         self.number: dict[tuple[int, ...], int] = {start: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...], int]] = {}
         self._paths: dict[tuple[int, ...], tuple[int, ...]] = {}
-        self._apart.clear()
 
     # -- which tokens may be neighbours
 
@@ -130,26 +128,19 @@ class BpeMachine:
             return False
         if before == 0:
             return True
-        key = before << 20 | token
-        known = self._apart.get(key)
-        if known is None:
-            right, i, j, ranks = self._rights[before], 0, 0, self.ranks
-            while True:
-                (x, x_end), (y, y_end) = right[i], left[j]
-                if x is not None:
-                    r = ranks.get(x + y, NEVER)
-                    if r < x_end and r <= y_end and r < NEVER:
-                        known = False
-                        break
-                if x_end == y_end == NEVER:
-                    known = True
-                    break
-                if x_end <= y_end:
-                    i += 1
-                else:
-                    j += 1
-            self._apart[key] = known
-        return known
+        right, i, j, ranks = self._rights[before], 0, 0, self.ranks
+        while True:
+            (x, x_end), (y, y_end) = right[i], left[j]
+            if x is not None:
+                r = ranks.get(x + y, NEVER)
+                if r < x_end and r <= y_end and r < NEVER:
+                    return False
+            if x_end == y_end == NEVER:
+                return True
+            if x_end <= y_end:
+                i += 1
+            else:
+                j += 1
 
     # -- the determinised machine
 
@@ -226,33 +217,41 @@ class ByteBpe:
     """Encoding and decoding of whole texts by a ranks file, as the tiktoken library does it without
     special tokens: the pattern splits the text, each match is encoded by itself."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine = BpeMachine(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 250_000):
+        """memory: about how many transitions, and how many pre-tokens, a worker remembers."""
+        self.machine = BpeMachine(ranks, memory)
         self.pattern = regex.compile(pattern)
         size = max(ranks.values(), default=0) + 1
         self.pieces: list[bytes] = [b""] * size
         for token, rank in ranks.items():
             self.pieces[rank] = token
-        self._wide = TwoGenerationCache(lambda p: self.machine.encode_piece(p.encode("utf-8", "replace")), 50_000)
-        self.counts = TwoGenerationCache(lambda p: len(self.machine.encode_piece(p.encode("utf-8", "replace"))), 150_000)
+        self._wide = TwoGenerationCache(lambda p: self.machine.encode_piece(p.encode("utf-8", "replace")), memory // 5)
+        self._counts = TwoGenerationCache(self._count, memory)
         self._narrow = None
         if pattern == GPT_PATTERN:
             self._narrow = re.compile(NARROW_PATTERN)
-        self._pieces = TwoGenerationCache(self._piece, 150_000)
+        self._pieces = TwoGenerationCache(self._piece, memory * 4 // 5)
 
     def _piece(self, piece: bytes) -> bytes:
         data = piece if piece.isascii() else piece.decode("latin-1").encode()
         return np.array(self.machine.encode_piece(data), "<u4").tobytes()
 
-    def split(self, text: str) -> list[str]:
-        """The text's pre-tokens."""
+    def _count(self, piece: bytes | str) -> int:
+        """Tokens of a pre-token, given in one-byte form or as text."""
+        data = piece.encode("utf-8", "replace") if isinstance(piece, str) else piece if piece.isascii() else piece.decode("latin-1").encode()
+        return len(self.machine.encode_piece(data))
+
+    def measure(self, text: str) -> tuple[list[int], list[int]]:
+        """Lengths, in code points, and token counts of the text's pre-tokens."""
         try:
             narrow = self._narrow and text.encode("latin-1")
         except UnicodeError:
             narrow = None
-        if narrow is None:
-            return self.pattern.findall(text)
-        return [p.decode("latin-1") for p in self._narrow.findall(narrow)]
+        pieces = self.pattern.findall(text) if narrow is None else self._narrow.findall(narrow)
+        return list(map(len, pieces)), list(map(self._counts.__getitem__, pieces))
+
+    def count_pieces(self, pieces: list[str]) -> list[int]:
+        return list(map(self._counts.__getitem__, pieces))
 
     def encode_slow(self, text: str) -> list[int]:
         """Without any shortcut or memo of pre-tokens."""

@@ -34,19 +34,13 @@ class CountTree:
     """Token count of a text under edits."""
 
     def __init__(self, text: str, bpe: ByteBpe):
-        self.text, self.bpe, self.encoded = text, bpe, 0
-        pieces = bpe.split(text)
-        self._plant([list(map(len, pieces[i : i + LEAF])) for i in range(0, len(pieces), LEAF)], self._counts(pieces))
+        self.text, self.bpe = text, bpe
+        lengths, counts = bpe.measure(text)
+        self.encoded = len(lengths)
+        self._plant(lengths, counts)
 
-    def _counts(self, pieces: list[str]) -> list[int]:
-        self.encoded += len(pieces)
-        return list(map(self.bpe.counts.__getitem__, pieces))
-
-    def _plant(self, lengths: list[list[int]], counts: list[int]) -> None:
-        at, leaves = 0, []
-        for run in lengths:
-            leaves.append((run, counts[at : at + len(run)]))
-            at += len(run)
+    def _plant(self, lengths: list[int], counts: list[int]) -> None:
+        leaves = [(lengths[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(lengths), LEAF)]
         self.size = 1
         while self.size < max(1, len(leaves)):
             self.size *= 2
@@ -83,7 +77,9 @@ class CountTree:
         text = self.text[:start] + replacement + self.text[end:]
         shift = len(text) - size
         if not size or not text:
+            encoded = self.encoded
             self.__init__(text, self.bpe)
+            self.encoded += encoded
             return self.n_tokens
         # the first pre-token to cut again: it holds the character two before the edit, or begins the text
         leaf, at = self._find(max(0, start - 2))
@@ -116,7 +112,8 @@ class CountTree:
             last_leaf, last_k = self.size - 1, len(self.leaves[-1][0])
         if last_leaf == self.size:
             last_leaf, last_k = self.size - 1, len(self.leaves[-1][0])
-        lengths, counts = list(map(len, pieces)), self._counts(pieces)
+        lengths, counts = list(map(len, pieces)), self.bpe.count_pieces(pieces)
+        self.encoded += len(pieces)
         head, tail = self.leaves[first_leaf], self.leaves[last_leaf]
         lengths = head[0][:first_k] + lengths + tail[0][last_k:]
         counts = head[1][:first_k] + counts + tail[1][last_k:]
@@ -125,7 +122,7 @@ class CountTree:
             before, after = self.leaves[:first_leaf], self.leaves[last_leaf + 1 :]
             runs = [n for r, _ in before for n in r] + lengths + [n for r, _ in after for n in r]
             of = [n for _, c in before for n in c] + counts + [n for _, c in after for n in c]
-            self._plant([runs[i : i + LEAF] for i in range(0, len(runs), LEAF)], of)
+            self._plant(runs, of)
             return self.n_tokens
         share = -(-len(lengths) // (last_leaf - first_leaf + 1)) or 1
         touched = set()
@@ -153,7 +150,7 @@ def count_tokens(docs: DataFrame, edits: str, path: str, split_pattern: str) ->
     common.tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, split_pattern)
+        bpe = codec(path, split_pattern, 400_000)
         for batch in batches:
             rows = []
             for text, changes in zip(batch.column(1), batch.column(2)):

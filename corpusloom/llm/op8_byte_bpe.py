@@ -21,14 +21,16 @@ from .bpe_machine import ByteBpe, Utf8Machine, read_ranks
 from .tokenizer_files import path_of, pattern
 from .word_cache import hold
 
-_codecs: dict[tuple[str, str], ByteBpe] = {}
+_codecs: dict[tuple[str, str, int], ByteBpe] = {}
 
 
-def codec(path: str, split_pattern: str) -> ByteBpe:
+def codec(path: str, split_pattern: str, memory: int = 250_000) -> ByteBpe:
+    """This worker's codec; the last one asked for is kept."""
     hold("byte_bpe", _codecs.clear)
-    key = (path, split_pattern)
+    key = (path, split_pattern, memory)
     if key not in _codecs:
-        _codecs[key] = ByteBpe(read_ranks(path), split_pattern)
+        _codecs.clear()
+        _codecs[key] = ByteBpe(read_ranks(path), split_pattern, memory)
     return _codecs[key]
 
 
@@ -72,13 +74,13 @@ def decode(df: DataFrame, path: str, split_pattern: str, source: str = "ids", ou
     return _map_column(df, source, out, T.StringType(), f)
 
 
-def digests(docs: DataFrame, path: str, split_pattern: str, with_ids: bool = False) -> DataFrame:
+def digests(docs: DataFrame, path: str, split_pattern: str, with_ids: bool = False, memory: int = 250_000) -> DataFrame:
     """Per document of ``docs(doc_id, text)``: doc_id, n_tokens, and sha256 of the ids and of their decoding;
-    with_ids: the ids too, as array<int>."""
+    with_ids: the ids too, as array<int>. memory: see ``ByteBpe``."""
     common.tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, split_pattern)
+        bpe = codec(path, split_pattern, memory)
         for batch in batches:
             counts, of_ids, of_bytes, all_ids = [], [], [], []
             for text in batch.column(1):

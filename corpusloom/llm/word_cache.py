@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable, Hashable
 
@@ -18,6 +20,8 @@ def hold(name: str, release: Callable[[], None]) -> None:
     _held[name] = release
     if others:
         gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only: give freed memory back
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 class TwoGenerationCache(dict):
