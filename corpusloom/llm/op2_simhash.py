@@ -13,8 +13,10 @@ adaptive execution splits where one fingerprint has very many documents.
 similarity fingerprints differ in about ten bits, more than any block scheme reaches, so there SimHash
 links are joined by MinHash band keys as a second source of candidates, and every candidate pair is
 verified on the exact sets. Documents with the same set are one class from the start. A band's bucket
-pairs each member with the smallest one, and what isn't connected then with the largest and with a
-random one, never all with all; a document shares many buckets with what is like it.
+pairs each member with the smallest one first. Buckets whose other members are not of one component then
+are closed by ``closing_links``: tiles of bounded bytes hold the exact sets, and a task compares only
+pairs of different components, whose signatures agree by half, in the first band they share. Only links
+leave a task, so a bucket of unlike members costs comparisons, never rows.
 
 Null and empty texts have no words: fingerprint zero, linked like any other; for sets they are copies of
 one another. Repeated rows are kept and share a component. A null doc_id is never a component's name; a
@@ -190,6 +192,16 @@ def profiles(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row long, set_id binary, fp long, bands array<long>")
 
 
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of at least ``similarity``."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (len(both) - shared) - 1e-9
+
+
 def sets_of(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     """(row, set_id, shingles) of those documents(row, text) that ``rows(row)`` names."""
 
@@ -210,16 +222,11 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("simhash", lambda: None)
         for batch in batches:
-            kept = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if shared >= similarity * (len(both) - shared) - 1e-9:
-                    kept.append(i)
+            kept = [
+                i
+                for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3)))
+                if alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), similarity)
+            ]
             yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
@@ -229,6 +236,79 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def tile_links(band: int, rows: list[int], slices: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (pairs of rows) among a tile's members that join different roots, enough to connect what is
+    connected in the tile. Members of one slice are compared only where the tile has no other."""
+    least = np.array([min_hashes(x) for x in sets]).reshape(len(sets), BANDS, ROWS)
+    signature, size = least.reshape(len(sets), -1).astype(np.uint8), np.array([len(x) for x in sets])
+    crossing, label, out = len(np.unique(slices)) > 1, roots.copy(), []
+    for i in range(len(sets) - 1):
+        later = slice(i + 1, None)
+        low, high = np.minimum(size[later], size[i]), np.maximum(size[later], size[i])
+        near = (label[later] != label[i]) & (low >= similarity * high - 1e-9)
+        if crossing:
+            near &= slices[later] != slices[i]
+        near = np.flatnonzero(near) + i + 1
+        # a pair is compared in the first band it shares
+        shared = (least[near, : band + 1] == least[i, : band + 1]).all(2)
+        near = near[shared[:, band] & ~shared[:, :band].any(1)]
+        agree = (signature[near] == signature[i]).sum(1)
+        # at a similarity of 0.8 fewer than half agree once in ten million
+        near, agree = near[agree * 2 >= BANDS * ROWS], agree[agree * 2 >= BANDS * ROWS]
+        for j in near[np.argsort(-agree, kind="stable")].tolist():
+            if label[i] != label[j] and alike(sets[i], sets[j], similarity):
+                label[label == label[j]] = label[i]
+                out.append((rows[i], rows[j]))
+    return out
+
+
+def closing_links(buckets: DataFrame, members: DataFrame, docs: DataFrame, shingle: int, similarity: float, tile: int = 1 << 19) -> DataFrame:
+    """Links between members of one bucket that are not in one component: buckets(row, band, key, first),
+    members(node, root) -> (a, b). ``first`` has been compared with all. A bucket of more than ``tile``
+    shingles, or 2,048 members, is cut into slices, and each pair of slices is a tile."""
+    rooted = (
+        buckets.where("row <> first")
+        .join(members.withColumnRenamed("node", "row"), "row", "left")
+        .select("band", "key", "row", F.coalesce("root", "row").alias("root"))
+    )
+    unsettled = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    open_ = common.materialize(rooted.join(unsettled.select("band", "key"), ["band", "key"], "left_semi").distinct(), "open")
+    sets = common.materialize(sets_of(docs, open_.select("row").distinct(), shingle).distinct(), "sets")
+    sized = open_.join(sets.groupBy("row").agg(F.sum(F.length("shingles") / 8).alias("n")), "row")
+    cuts = sized.groupBy("band", "key").agg(F.ceil(F.greatest(F.sum("n") / tile, F.count(F.lit(1)) / 2048)).cast("long").alias("slices"))
+    own = F.pmod(F.xxhash64("row"), F.greatest("slices", F.lit(1)))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest("slices", F.lit(1)) - 1), lambda o: F.least(F.col("own"), o) * (1 << 24) + F.greatest(F.col("own"), o))
+    tiles = (
+        open_.join(cuts, ["band", "key"])
+        .withColumn("own", own)
+        .select("band", "key", F.explode(parts).alias("part"), "own", "row", "root")
+        .join(sets.select("row", "shingles"), "row")
+        .repartition("band", "key", "part")
+        .sortWithinPartitions("band", "key", "part")
+        .select("band", "key", "part", "own", "row", "root", "shingles")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("simhash", lambda: None)
+        of, held = None, []
+
+        def search() -> pa.RecordBatch:
+            slices, rows, roots, sets = zip(*held) if held else ((),) * 4
+            found = tile_links(of[0], list(rows), np.array(slices), np.array(roots), list(sets), similarity) if held else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            *numbers, shingles = (batch.column(i) for i in range(7))
+            for band, key, part, slice_, row, root, found in zip(*(x.to_pylist() for x in numbers), shingles):
+                if (band, key, part) != of:
+                    yield search()
+                    of, held = (band, key, part), []
+                held.append((slice_, row, root, np.frombuffer(found.as_py(), np.uint64)))
+        yield search()
+
+    return tiles.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """docs(doc_id, text) -> doc_id, component_id: the smallest doc_id among documents connected by pairs
     of similarity ``similarity`` or more. Null doc_ids take no part; rows that share a doc_id are one document,
@@ -250,21 +330,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     same = classes.join(by_code, "fp").select(F.col("least").alias("a"), F.col("row").alias("b"))
     # MinHash bands: each member with the smallest of its bucket
     banded = classes.select("row", F.posexplode("bands").alias("band", "key"))
-    centres = banded.groupBy("band", "key").agg(
-        F.min("row").alias("first"), F.max("row").alias("last"), F.min_by("row", F.xxhash64("row", "band")).alias("any")
-    ).where("first <> last")
+    centres = banded.groupBy("band", "key").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first <> last").drop("last")
     buckets = common.materialize(banded.join(centres, ["band", "key"]), "buckets")
     tried = common.materialize(ordered(links.unionByName(same).unionByName(buckets.select(F.col("first").alias("a"), F.col("row").alias("b")))), "pairs")
     edges = common.materialize(verified(tried, texts, shingle, similarity), "similar")
     members = common.components(edges)
-    # those of a bucket that are not connected yet: with its largest member and with a random one
-    far = buckets.select("row", F.explode(F.array("last", "any")).alias("centre")).where("row <> centre").distinct()
-    of_row, of_centre = members.toDF("row", "row_root"), members.toDF("centre", "centre_root")
-    open_ = far.join(of_row, "row", "left").join(of_centre, "centre", "left").where(
-        F.coalesce("row_root", "row") != F.coalesce("centre_root", "centre")
-    )
-    again = ordered(open_.select(F.col("row").alias("a"), F.col("centre").alias("b"))).join(tried, ["a", "b"], "left_anti")
-    more = verified(common.materialize(again, "pairs"), texts, shingle, similarity)
+    more = common.materialize(closing_links(buckets, members, texts, shingle, similarity), "closing")
     members = common.components(edges.unionByName(more))
     names = (
         classes.select("set_id", "row")

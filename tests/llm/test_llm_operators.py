@@ -205,6 +205,39 @@ def test_near_duplicates_by_set_similarity(spark, docs, none):
     assert op2_simhash.keep_first(none).count() == 0
 
 
+def test_near_duplicates_of_a_dense_group(spark):
+    """Texts around one base, half of them alike to no centre of their buckets."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(140)]
+    rows = []
+    for i in range(150):
+        text = base if i % 3 else rows[rng.randrange(len(rows))][1].split() if rows else base
+        text = list(text)
+        at = rng.randrange(100)
+        text[at : at + rng.randrange(2, 24)] = [f"x{i}y{k}" for k in range(rng.randrange(2, 14))]
+        rows.append((i, " ".join(text), 0, ""))
+    sets = [{tuple(x[j : j + 5]) for x in [r[1].split()] for j in range(len(x) - 4)} for r in rows]
+    near = [(a, b) for a in range(150) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = roots(150, near)
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in op2_simhash.near_duplicates(df).collect()}
+    assert got == dict(enumerate(want)) and 20 < len(set(want)) < 140
+    # one bucket of all rows, whole and cut into slices: the links that bands share
+    least = [op2_simhash.min_hashes(op2_simhash.shingle_set(list(op2_simhash.shingle_digests(r[1].encode(), 5)))).reshape(16, 4) for r in rows]
+    shared = {}
+    for a, b in near:
+        for band in np.flatnonzero((least[a] == least[b]).all(1))[:1].tolist():
+            shared.setdefault(band, []).append((a, b))
+    everything = spark.createDataFrame([(i, band, 0, -1) for band in range(16) for i in range(150)], "row long, band int, key long, first long")
+    nothing = spark.createDataFrame([], "node long, root long")
+    texts = df.select(F.col("doc_id").alias("row"), "text")
+    found = [pair for pairs in shared.values() for pair in pairs]
+    for tile in (1 << 19, 3000):
+        links = op2_simhash.closing_links(everything, nothing, texts, 5, 0.8, tile).collect()
+        assert {tuple(sorted(x)) for x in links} <= {tuple(sorted(x)) for x in near}
+        assert roots(150, [(r["a"], r["b"]) for r in links]) == roots(150, found)
+
+
 # -- 3
 
 
