@@ -8,13 +8,15 @@ entity e and term t, relative to what e tells by itself,
     disclosure(e, t) = log(n_et * n / (n_e * n_t)) / log(n / n_e)        (at most 1)
 
 with n documents in all, n_e with e, n_t with t, n_et with t within ``near`` words of e. Terms count as
-disclosing an entity from ``generalise`` on if they stand near it in ``support`` different texts or more
-(copies of a text are one); from ``remove`` on they are removed, below they are replaced by a placeholder.
-They are sanitised in the documents that hold the entity.
+disclosing an entity from ``generalise`` on; from ``remove`` on they are removed, below they are replaced by
+a placeholder. They are sanitised in the documents that hold the entity. Values of any support count: of a
+value in one text the rare terms near it tell most (log(n / n_t) / log(n)), and whether they do so by chance
+can't be known from one text, so they are sanitised. ``support`` asks for more different texts (copies of a
+text are one).
 
-Entities with their terms, and the terms to be counted, reach the workers in chunks of bounded size; more
-chunks mean more passes. All counts are over the whole corpus; nothing is gathered per document beyond
-the words near a value.
+The terms to be counted reach the workers in chunks of bounded size, and so do the disclosing pairs, as
+64-bit keys; more chunks mean more passes. All counts are over the whole corpus; nothing is gathered per
+document beyond the words near a value.
 
 Null and empty texts have no spans. Repeated rows count as rows in n, n_e, n_t and n_et. An empty table
 gives an empty table.
@@ -28,6 +30,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -118,7 +121,7 @@ def terms_near(text: str, spans: list[Span], near: int) -> dict[int, set[str]]:
 def disclosing_terms(
     docs: DataFrame,
     near: int = 8,
-    support: int = 3,
+    support: int = 1,
     generalise: float = 0.8,
     remove: float = 0.95,
     chunk: int = 200_000,
@@ -157,22 +160,23 @@ def disclosing_terms(
         .where(F.col("texts") >= support),
         "pii-pairs",
     )
-    near_terms = pairs.where(F.col("term") != "").select("term").distinct()
-    terms = common.materialize(near_terms, "pii-terms")
-    # a document row count and the candidates' document counts, in one pass for each chunk of candidates
-    n_terms = terms.count()
-    chunks = max(1, -(-n_terms // chunk))
-    counted = None
-    for k in range(chunks if n_terms else 0):
-        part = terms.where(F.pmod(F.xxhash64("term"), F.lit(chunks)) == k) if chunks > 1 else terms
-        shared = spark.sparkContext.broadcast(frozenset(r[0] for r in part.collect()))
-        rows = docs.select("text").mapInArrow(_count_terms(shared), "term string, n long")
-        counted = rows if counted is None else counted.unionByName(rows)
-    if counted is None:
-        return spark.createDataFrame([], "entity long, term string, disclosure double, removed boolean")
     n = docs.count()
-    frequency = counted.groupBy("term").agg(F.sum("n").alias("n_t"))
     alone = pairs.where(F.col("term") == "").select("entity", F.col("n_et").alias("n_e"))
+    near_terms = pairs.where(F.col("term") != "").join(alone, "entity").where(F.col("n_e") < n)
+    # a term in more documents than this can't reach ``generalise`` with any of its entities
+    most = F.col("n_et") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - generalise)) * (1 + 1e-9)
+    terms = common.materialize(near_terms.groupBy("term").agg(F.max(most).alias("most")), "pii-terms")
+    frequency = None
+    # what a part of the documents proves too frequent isn't counted in the next, larger part
+    for share in [x for x in (64, 8) if n // x >= 1000] + [1]:
+        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0) if share > 1 else docs
+        counted = _document_counts(part, terms, chunk)
+        if counted is None:
+            return spark.createDataFrame([], "entity long, term string, disclosure double, removed boolean")
+        frequency = counted.groupBy("term").agg(F.sum("n").alias("n_t"))
+        if share > 1:
+            left = terms.join(frequency, "term", "left").where(F.coalesce("n_t", F.lit(0)) <= F.col("most"))
+            terms = common.materialize(left.select("term", "most"), "pii-terms")
     told = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_e"))
     return (
         pairs.where(F.col("term") != "")
@@ -185,6 +189,19 @@ def disclosing_terms(
     )
 
 
+def _document_counts(docs: DataFrame, terms: DataFrame, chunk: int) -> DataFrame | None:
+    """Rows (term, n), to be summed, of the documents that hold each term; one pass for each chunk of terms."""
+    n_terms = terms.count()
+    chunks = max(1, -(-n_terms // chunk))
+    counted = None
+    for k in range(chunks if n_terms else 0):
+        part = terms.where(F.pmod(F.xxhash64("term"), F.lit(chunks)) == k) if chunks > 1 else terms
+        shared = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in part.select("term").collect()))
+        rows = docs.select("text").mapInArrow(_count_terms(shared), "term string, n long")
+        counted = rows if counted is None else counted.unionByName(rows)
+    return counted
+
+
 def _count_terms(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("pii", lambda: None)
@@ -198,25 +215,37 @@ def _count_terms(shared):
     return run
 
 
-def find_pii(docs: DataFrame, disclosing: DataFrame | None = None, chunk: int = 200_000, **thresholds) -> DataFrame:
+def pair_key(entity: int, term: str) -> int:
+    return xxhash.xxh64_intdigest(term, entity + (1 << 63))
+
+
+def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [pair_key(e, t) - (1 << 63) for e, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(2)], ["key", "removed"])
+
+
+def find_pii(docs: DataFrame, disclosing: DataFrame | None = None, chunk: int = 4_000_000, **thresholds) -> DataFrame:
     """docs(..., text) with ``pii``: array<struct<kind string, start long, end long>>, base spans by kind
     and start, then those of disclosing terms (kinds term and term_removed). A column named pii is replaced."""
     spark = docs.sparkSession
     common.tune(spark)
     if disclosing is None:
         disclosing = disclosing_terms(docs, **thresholds)
-    disclosing = common.materialize(disclosing, "pii-disclosing")
+    keys = disclosing.select("entity", "term", "removed").mapInArrow(_pair_keys, "key long, removed boolean")
+    disclosing = common.materialize(keys, "pii-disclosing")
     n = disclosing.count()
     chunks = max(1, -(-n // chunk))
     kept = [c for c in docs.columns if c != "pii"]
     at = kept.index("text")
     out = docs.select(*kept, F.lit(None).cast("array<struct<kind:string,start:long,end:long>>").alias("pii"))
     for k in range(chunks):
-        part = disclosing.where(F.pmod(F.xxhash64("entity"), F.lit(chunks)) == k) if chunks > 1 else disclosing
-        told: dict[int, dict[str, bool]] = {}
-        for r in part.collect() if n else ():
-            told.setdefault(r["entity"], {})[r["term"]] = r["removed"]
-        out = out.mapInArrow(_spans(spark.sparkContext.broadcast(told), at, out.columns), out.schema)
+        part = disclosing.where(F.pmod("key", F.lit(chunks)) == k) if chunks > 1 else disclosing
+        told = part.toArrow()
+        keys = told["key"].to_numpy()
+        order = np.argsort(keys)
+        shared = spark.sparkContext.broadcast((keys[order], told["removed"].to_numpy()[order]))
+        out = out.mapInArrow(_spans(shared, at, out.columns), out.schema)
     return out
 
 
@@ -239,12 +268,19 @@ def _spans(shared, at: int, names: list[str]):
     return run
 
 
-def term_spans(text: str, base: list[Span], told: dict[int, dict[str, bool]]) -> list[Span]:
-    """Spans of the terms that disclose an entity of the text, outside the base spans."""
+def term_spans(text: str, base: list[Span], told: tuple[np.ndarray, np.ndarray]) -> list[Span]:
+    """Spans of the terms that disclose an entity of the text, outside the base spans. told: keys of the
+    disclosing pairs in ascending order, and whether their terms are removed."""
+    keys, cut = told
+    if not base or not len(keys):
+        return []
+    words = list({m[0].lower() for m in _TERM.finditer(text)})
     terms: dict[str, bool] = {}
-    for kind, a, b in base:
-        for term, removed in told.get(entity_of(kind, text[a:b]), {}).items():
-            terms[term] = terms.get(term, False) or removed
+    for entity in {entity_of(kind, text[a:b]) for kind, a, b in base}:
+        wanted = np.array([pair_key(entity, w) - (1 << 63) for w in words], np.int64)
+        places = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        for i in np.flatnonzero(keys[places] == wanted).tolist():
+            terms[words[i]] = terms.get(words[i], False) or bool(cut[places[i]])
     if not terms:
         return []
     inside = sorted((a, b) for _, a, b in base)

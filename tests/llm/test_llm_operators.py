@@ -527,6 +527,18 @@ def test_op10_terms_that_give_an_entity_away(spark, none):
     assert op10_pii.find_pii(none).count() == 0
 
 
+def test_op10_terms_of_values_met_once_or_twice(spark):
+    rows = [(0, "here Quorvex writes from one@mail.example about common", 0, ""), (1, "here Zyxwo writes from two@mail.example about common", 0, "")]
+    rows += [(2, "about common things Zyxwo writes here from two@mail.example again", 0, "")]
+    rows += [(10 + i, "common things are about here and writes from again", 0, "") for i in range(200)]
+    df = spark.createDataFrame(rows, DOCS)
+    told = {(r["term"], r["removed"]) for r in op10_pii.disclosing_terms(df).collect()}
+    assert told == {("quorvex", True), ("zyxwo", True)}
+    out = {r["doc_id"]: r["text"] for r in op10_pii.sanitise_documents(df).collect()}
+    assert out[0] == "here  writes from <EMAIL> about common" and out[1] == "here  writes from <EMAIL> about common"
+    assert "Zyxwo" not in out[2] and all(out[i] == t for i, t, *_ in rows[3:])
+
+
 def test_all_ten_are_registered():
     names = queries.queries()
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
