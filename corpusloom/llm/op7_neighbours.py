@@ -16,7 +16,7 @@ against brute force in the tests.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, as queries or as
 candidates; vectors of another dimension than a query's are no candidates of it. Rows that repeat a
-vec_id are one vector (the least, compared as arrays); null vec_ids take no part. Fewer than k
+vec_id are made one vector (the least, compared as arrays) before indexing; null vec_ids take no part. Fewer than k
 candidates: all of them. Scores are computed in double precision from the vectors as given.
 """
 
@@ -105,16 +105,27 @@ def usable(vectors: DataFrame) -> DataFrame:
     )
 
 
+def once_each(vectors: DataFrame) -> DataFrame:
+    """One row, the least, of each vec_id. Only ids are shuffled, and the vectors of those that repeat."""
+    again = common.materialize(vectors.groupBy("vec_id").count().where("count > 1").select("vec_id"), "repeated-ids")
+    if again.isEmpty():
+        return vectors
+    least = vectors.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+    return common.materialize(vectors.join(again, "vec_id", "left_anti").unionByName(least), "vectors")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 1 << 16, query_block: int = 1 << 14, **index) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest vectors(vec_id, v) of each of queries(vec_id, v)."""
     spark = vectors.sparkSession
     common.tune(spark)
+    # repeats of a vec_id would take places of other vectors, in a task or among the k best
+    vectors, queries = once_each(vectors), queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     n = queries.count()
     parts = max(1, -(-n // query_block))
     found = None
     for p in range(parts):
         chosen = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == p) if parts > 1 else queries
-        rows = chosen.groupBy("vec_id").agg(F.min("v").alias("v")).collect()
+        rows = chosen.collect()
         shared = spark.sparkContext.broadcast([(r["vec_id"], np.array(r["v"], float)) for r in rows])
         local = vectors.mapInArrow(_search(shared, k, block, index), "query_id long, vec_id long, score double")
         found = local if found is None else found.unionByName(local)

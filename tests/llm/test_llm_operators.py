@@ -403,6 +403,21 @@ def test_op7_recall_and_ties(spark):
     assert op7_neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_op7_repeated_rows_take_no_places(spark):
+    vectors = np.random.default_rng(6).normal(size=(300, 8))
+    other = [(i, (v + 9).tolist()) for i, v in enumerate(vectors) if i % 7 == 0]  # greater, so not the least
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors) for _ in range(2 if i % 5 else 6)] + other
+    schema = "vec_id long, embedding array<double>"
+    found = []
+    for df in (spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(rows, schema).coalesce(1)):
+        v = op7_neighbours.usable(df)
+        got = op7_neighbours.nearest(v, v.where("vec_id % 50 = 0"), query_block=4)
+        found.append(sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()))
+    unit = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
+    want = [(q, k + 1, int(i)) for q in range(0, 300, 50) for k, i in enumerate([i for i in np.argsort(-(unit @ unit[q])) if i != q][:5])]
+    assert found == [want, want]
+
+
 # -- 8
 
 
