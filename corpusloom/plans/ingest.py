@@ -78,7 +78,13 @@ def s07(spark, d):
 @operator("s08_recursive_prompt_harvest", "SELECT conv_id, text AS prompt FROM conversations WHERE role = 'user' UNION ALL SELECT DISTINCT conv_id, 'top' FROM conversations")
 def s08(spark, d):
     messages = F.collect_list(F.struct("role", F.col("text").alias("content")))
-    whole = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(messages.alias("messages"), F.lit("top").alias("question"))).alias("j"))
+    # a list of objects, the conversation in an object inside, the question three levels down
+    conversation = F.struct(messages.alias("messages"))
+    question = F.struct(F.array(F.struct(F.lit("top").alias("question"))).alias("items"))
+    whole = table(spark, d, "conversations").groupBy("conv_id").agg(
+        F.to_json(F.array(F.to_json(F.struct(conversation.alias("run"))), F.to_json(F.struct(question.alias("extra"))))).alias("j")
+    )
+    whole = whole.select("conv_id", F.concat(F.lit("["), F.array_join(F.from_json("j", "array<string>"), ","), F.lit("]")).alias("j"))
     return r.harvest_prompts(whole, "conv_id", "j")
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import text as t
 
@@ -89,16 +93,47 @@ def verify_files(spark: SparkSession, path: str, declared: DataFrame) -> DataFra
     return declared.join(found, "name", "left").select("name", F.coalesce((F.col("length") == F.col("size")) & (F.col("found") == F.col("sha256")), F.lit(False)).alias("ok"))
 
 
+PROMPT_FIELDS = ("prompt", "question", "user_prompt", "user")
+
+
+def _prompts(tree) -> list[str]:
+    """Every list and object of the tree is walked, but those under ``messages`` only for user messages."""
+    found, open_ = [], [tree]
+    while open_:
+        x = open_.pop()
+        if isinstance(x, dict):
+            messages = x.get("messages")
+            for m in messages if isinstance(messages, list) else ():
+                if isinstance(m, dict) and m.get("role") == "user" and isinstance(m.get("content"), str):
+                    found.append(m["content"])
+            for k, v in x.items():
+                if k in PROMPT_FIELDS and isinstance(v, str):
+                    found.append(v)
+                elif k != "messages" and isinstance(v, (dict, list)):
+                    open_.append(v)
+        elif isinstance(x, list):
+            open_ += x
+    return found
+
+
 def harvest_prompts(df: DataFrame, key: str, json_text: str) -> DataFrame:
     """(key, prompt) of user messages and of fields prompt, question, user_prompt and user anywhere in JSON
-    text, by walking the parsed variant."""
-    fields = ("prompt", "question", "user_prompt", "user")
-    paths = [F.get_json_object(json_text, f"$.{f}") for f in fields] + [F.get_json_object(json_text, f"$[*].{f}") for f in fields]
-    messages = F.transform(
-        F.filter(F.from_json(F.get_json_object(json_text, "$.messages"), "array<struct<role:string,content:string>>"), lambda m: m["role"] == "user"), lambda m: m["content"]
-    )
-    found = F.array_compact(F.concat(F.array(*paths), F.coalesce(messages, F.array().cast("array<string>"))))
-    return df.select(key, F.explode(found).alias("prompt"))
+    text, by walking the parsed tree. Null texts have none; text that isn't JSON, or is nested too deep for
+    the parser, has none either."""
+    rows = df.select(F.col(key), F.col(json_text).alias("__json"))
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for text in batch.column(1).to_pylist():
+                try:
+                    found.append([] if text is None else [re.sub("[\ud800-\udfff]", "\ufffd", p) for p in _prompts(json.loads(text))])
+                except (ValueError, RecursionError):
+                    found.append([])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], [key, "__prompts"])
+
+    schema = StructType([rows.schema[key], StructField("__prompts", ArrayType(StringType()))])
+    return rows.mapInArrow(run, schema).select(key, F.explode("__prompts").alias("prompt"))
 
 
 def manifest(df: DataFrame, id_column: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import random
 
 import pytest
@@ -128,3 +129,16 @@ def test_operators_on_empty_tables(spark):
     assert sampling.top_by_hash(empty, 3, "s", "doc_id").count() == 0
     assert quality.cascade(empty, [("x", quality.is_prose("text"))]).count() == 0
     assert dedup.greedy_keep(spark.createDataFrame([], "rank long"), spark.createDataFrame([], "low long, high long")).count() == 0
+
+
+def test_prompts_anywhere_in_a_tree(spark):
+    chat = {"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "no"}, {"role": "user", "content": ["no"]}, "no"]}
+    trees = {
+        1: {"x": {"y": [{"prompt": "deep"}, [[{"user": "deeper", "question": 5}]]]}},
+        2: [chat, {"run": {"list": [chat, {"question": "q"}]}}],
+        3: {"messages": {"prompt": "not walked"}, "user_prompt": "top"},
+        4: "prompt",
+    }
+    rows = [(i, json.dumps(x)) for i, x in trees.items()] + [(5, None), (6, "{bad"), (7, '{"user": "\\ud800"}')]
+    got = readers.harvest_prompts(spark.createDataFrame(rows, "id long, j string"), "id", "j").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "deep"), (1, "deeper"), (2, "a"), (2, "a"), (2, "q"), (3, "top"), (7, "�")]
