@@ -383,7 +383,7 @@ def test_op7_recall_and_ties(spark):
     df = op7_neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     for block in (1 << 16, 100):
         got: dict = {}
-        for r in op7_neighbours.nearest(df, df.where("vec_id % 50 = 0"), block=block, query_block=20).collect():
+        for r in op7_neighbours.nearest(df, df.where("vec_id % 50 = 0"), block=block).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
         assert set(got) == set(range(0, 1500, 50))
         hits = 0
@@ -411,13 +411,58 @@ def test_op7_repeated_rows_take_no_places(spark):
     found = []
     for df in (spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(rows, schema).coalesce(1)):
         v = op7_neighbours.usable(df)
-        got = op7_neighbours.nearest(v, v.where("vec_id % 50 = 0"), query_block=4)
+        got = op7_neighbours.nearest(v, v.where("vec_id % 50 = 0"), block=100)
         found.append(sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()))
     unit = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
     want = [(q, k + 1, int(i)) for q in range(0, 300, 50) for k, i in enumerate([i for i in np.argsort(-(unit @ unit[q])) if i != q][:5])]
     assert found == [want, want]
 
 
+def test_op7_prunes_at_the_recall_it_promises(spark):
+    """The whole query on sf0.1: verified share below a tenth, recall 0.95 or more, against all cosines."""
+    sf = "/root/testdata/sf0.1"
+    table = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    ids = np.array(sorted(table))
+    unit = np.array([table[i] / np.sqrt(table[i] @ table[i]) for i in ids])
+    got: dict[int, set[int]] = {}
+    verified = {}
+    for r in op7_neighbours.op7_neighbours(spark, sf).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        verified[r["query_id"]] = r["verified"]
+    queries = ids[ids % 50 == 0]
+    hits = 0
+    for q in queries.tolist():
+        cosines = unit @ unit[ids.searchsorted(q)]
+        want = [i for i in ids[np.lexsort((ids, -cosines))].tolist() if i != q][:5]
+        hits += len(got[q].intersection(want))
+    assert hits >= 0.95 * 5 * len(queries)
+    assert sum(verified.values()) <= 0.1 * len(queries) * len(ids)
+
+
+def test_collisions_needed_by_probability():
+    """A vector at the radius reaches them in all but about ``miss`` of random cases."""
+    rng = np.random.default_rng(8)
+    for dimension in (8, 64, 200):
+        lines = op7_neighbours.scaled_bases(dimension, 128, 3)
+        difference = rng.standard_normal((4000, dimension))
+        difference /= np.sqrt((difference * difference).sum(1))[:, None]
+        met = (np.abs(difference @ lines) <= 1.6).sum(1)
+        missed = (met < op7_neighbours.collisions_needed(dimension, 128, 1.6, 0.05)).mean()
+        assert missed <= 0.08
+
+
+def test_op7_other_columns_and_floats(spark):
+    vectors = np.random.default_rng(9).normal(size=(120, 8)).astype(np.float32)
+    rows = [(i, v.tolist(), 1, "x", 0.5, True) for i, v in enumerate(vectors)]
+    schema = "vec_id int, embedding array<float>, query_id long, block string, score double, asks boolean"
+    v = op7_neighbours.usable(spark.createDataFrame(rows, schema))
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in op7_neighbours.nearest(v, v.where("vec_id % 50 = 0")).collect()}
+    assert len(got) == 15
+    wide = vectors.astype(float)
+    for (q, i), score in got.items():
+        assert score == pytest.approx(wide[q] @ wide[i] / np.sqrt((wide[q] @ wide[q]) * (wide[i] @ wide[i])), abs=1e-12)
+
+
 # -- 8
 
 
