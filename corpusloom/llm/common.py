@@ -2,35 +2,74 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def place(df: DataFrame, name: str) -> int:
+    """Number of the column called ``name``; names are compared as Spark does."""
+    exact = [i for i, c in enumerate(df.columns) if c == name]
+    return (exact or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()])[0]
+
+
+def with_columns(
+    df: DataFrame, sources: str | list[str], fields: list[T.StructField], task: Callable[[], Callable[..., list[pa.Array]]]
+) -> DataFrame:
+    """df with ``fields`` computed from the columns ``sources``, one Arrow batch at a time. ``task`` is called
+    once in each task for the function that makes a batch's new columns of its sources. Columns of df that
+    have the name of a new one, in whatever case, are replaced; all others are kept, whatever their names:
+    inside, columns are known by number."""
+    own = {f.name.lower() for f in fields}
+    kept = [i for i, c in enumerate(df.columns) if c.lower() not in own]
+    read = [place(df, s) for s in ([sources] if isinstance(sources, str) else sources)]
+    taken = kept + [i for i in dict.fromkeys(read) if i not in kept]
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[f"c{i}" for i in taken])
+    whole = [df.schema.fields[i] for i in kept] + fields
+    names = [f"c{i}" for i in range(len(whole))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apply = task()
+        for batch in batches:
+            new = apply(*[batch.column(taken.index(i)) for i in read])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *new], names)
+
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, whole)])
+    return numbered.mapInArrow(run, schema).toDF(*[f.name for f in whole])
+
+
 def tune(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, so that very long texts don't pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-_own_folder: dict[str, str] = {}
+_own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Only where it is unset, one temporary folder
-    for the application is made, which serves a single machine."""
+    """The folder all executors share: spark.checkpoint.dir, as the session has it. Where it is unset, a
+    master on one machine gets a temporary folder that goes with the driver; a cluster is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        application = spark.sparkContext.applicationId
-        if application not in _own_folder:
-            _own_folder[application] = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
-        base = _own_folder[application]
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="corpusloom-"))
+            atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+        base = f"file://{_own_folder[0]}"
     return base.rstrip("/")
 
 

@@ -7,22 +7,25 @@ any other block its least distance from a pattern's end. At distance zero the bl
 patterns; the bucket of that suffix lists them and each is compared word by word.
 
 The benchmark goes to the workers in chunks of bounded size (``chunk_bytes`` of text, one chunk for any
-usual benchmark); each chunk is one pass over the documents, which adds to the arrays of the pass before.
-Documents are never shuffled.
+usual benchmark); each further chunk is one more pass over the written result of the pass before, so that one
+chunk is in memory at a time. An item is never split. Documents are never shuffled.
 
 Null and empty texts have no words and no hits; items without words have no pattern; an item with a null
-id hits words but is not listed. Repeated documents are judged each by itself; of repeated items every
-id is listed once. With an empty benchmark nothing is hit.
+id hits words but is not listed. Very long texts are searched whole, in linear time. Repeated documents are
+judged each by itself; of repeated items every id is listed once. With an empty benchmark nothing is hit; an
+empty table of documents gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .word_cache import hold
@@ -125,60 +128,58 @@ def merge_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_bytes: int = 4 << 20) -> DataFrame:
-    """docs(..., text) with n_words, hit_spans (array<struct<start,end>> of words) and hit_items
-    (array<long>, ascending), replacing columns of these names. All other columns are kept."""
+def contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    chunk_bytes: int = 4 << 20,
+    names: tuple[str, str, str] = ("n_words", "hit_spans", "hit_items"),
+) -> DataFrame:
+    """docs(..., text) with three columns: number of words, hit spans (array<struct<start,end>> of words) and
+    hit items (array<long>, ascending). They are called ``names`` and replace columns so called, in whatever
+    case; all other columns are kept."""
     spark = docs.sparkSession
     common.tune(spark)
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-int(size) // chunk_bytes))
-    own = ("n_words", "hit_spans", "hit_items")
-    kept = [c for c in docs.columns if c not in own]
-    names = [*kept, *own]
-    out = docs.select(
-        *kept,
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<start:long,end:long>>").alias("hit_spans"),
-        F.array().cast("array<long>").alias("hit_items"),
-    )
-    at = kept.index("text")
+    kinds = ("long", "array<struct<start:long,end:long>>", "array<long>")
+    fields = [T.StructField(n, T._parse_datatype_string(k)) for n, k in zip(names, kinds)]
+    out = docs
     for k in range(chunks):
-        part = benchmark.select(F.col("item_id").cast("long"), "text")
-        if chunks > 1:
-            part = part.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k)
-        rows = [(r[0], None if r[1] is None else r[1].encode()) for r in part.collect()]
-        shared = spark.sparkContext.broadcast(rows)
-        out = out.mapInArrow(_search(shared, window, at, names), out.schema)
+        chosen = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k) if chunks > 1 else benchmark
+        rows = chosen.select(F.col("item_id").cast("long"), "text").collect()
+        shared = spark.sparkContext.broadcast([(r[0], None if r[1] is None else r[1].encode()) for r in rows])
+        if k:  # one chunk in memory at a time
+            out = common.materialize(out, "decontaminate")
+        out = common.with_columns(out, ["text", *names[1:]] if k else "text", fields, _search(shared, window))
     return out
 
 
-def _search(shared, window: int, at: int, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(shared, window: int):
+    def task():
         hold("decontaminate", lambda: None)
         patterns = Benchmark(shared.value, window)
-        for batch in batches:
+
+        def found(texts: pa.Array, *before: pa.Array) -> list[pa.Array]:
             counts, spans, items = [], [], []
-            columns = batch.columns
-            texts = columns[at].cast(pa.binary())
-            for text, old_spans, old_items in zip(texts, columns[-2].to_pylist(), columns[-1].to_pylist()):
+            earlier = zip(*(x.to_pylist() for x in before)) if before else repeat(((), ()))
+            for text, (old_spans, old_items) in zip(texts.cast(pa.binary()), earlier):
                 words = words_of(text.as_py())
-                found, hit = patterns.spans(words)
+                hit, of = patterns.spans(words)
                 if old_spans:
-                    found = merge_spans([*found, *((s["start"], s["end"]) for s in old_spans)])
+                    hit = merge_spans([*hit, *((s["start"], s["end"]) for s in old_spans)])
                 counts.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in found])
-                items.append(sorted(hit.union(old_items or ())))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *columns[:-3],
-                    pa.array(counts, pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(items, pa.list_(pa.int64())),
-                ],
-                names,
-            )
-
-    return run
+                spans.append([{"start": a, "end": b} for a, b in hit])
+                items.append(sorted(of.union(old_items)))
+            return [
+                pa.array(counts, pa.int64()),
+                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                pa.array(items, pa.list_(pa.int64())),
+            ]
+
+        return found
+
+    return task
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

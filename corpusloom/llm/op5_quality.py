@@ -8,7 +8,9 @@ arrays and applied batch by batch: a narrow pass over whole texts.
 Fitting uses only documents whose crc32 of doc_id (as text) is no multiple of five; the others are held
 out. A doc_id with several labels counts with the lowest, one with several texts with the least
 statistics. Null labels are ignored. Null and empty texts are scored like any other (all statistics
-zero). Without labels every score is one half.
+zero). Without labels every score is one half. Very long texts are read whole, in linear time. Repeated rows
+are scored each by itself, an empty table gives an empty one. Columns of documents beside doc_id and text take
+no part; ``score`` keeps them.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .boosted_trees import FlatTrees, fit
@@ -126,22 +129,22 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **paramete
 
 
 def score(docs: DataFrame, trees: FlatTrees, out: str = "score") -> DataFrame:
-    """docs(..., text) with the probability of good quality in column ``out`` (replaced if there is one)."""
+    """docs(..., text) with the probability of good quality in column ``out`` (replaced if there is one, in
+    whatever case; all other columns are kept)."""
     common.tune(docs.sparkSession)
-    kept = [c for c in docs.columns if c != out]
-    at = kept.index("text")
-    source = docs.select(*kept)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task():
         hold("quality", lambda: None)
         model = shared.value
-        for batch in batches:
-            stats = [document_statistics(t.as_py() or b"") for t in batch.column(at).cast(pa.binary())]
-            scores = model.scores(np.array(stats, float).reshape(len(stats), WIDTH))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*kept, out])
 
-    return source.mapInArrow(run, source.withColumn(out, F.lit(0.0)).schema)
+        def scores(texts: pa.Array) -> list[pa.Array]:
+            stats = [document_statistics(t.as_py() or b"") for t in texts.cast(pa.binary())]
+            return [pa.array(model.scores(np.array(stats, float).reshape(len(stats), WIDTH)), pa.float64())]
+
+        return scores
+
+    return common.with_columns(docs, "text", [T.StructField(out, T.DoubleType())], task)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

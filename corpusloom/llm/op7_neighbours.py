@@ -198,7 +198,7 @@ def nearest(
     )
     common.tune(spark)
     found = common.materialize(
-        dealt.repartition("block").sortWithinPartitions("block", "asks").mapInArrow(_search(k, index), FOUND), "neighbours"
+        dealt.repartition(blocks, "block").sortWithinPartitions("block", "asks").mapInArrow(_search(k, index), FOUND), "neighbours"
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.where("vec_id is not null").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -2,7 +2,8 @@
 
 ``encode`` adds the ids of each text, ``decode`` the text of each list of ids, ``digests`` the round trip's
 lengths and hashes. All are narrow: no shuffle, one Arrow batch in memory. Null and empty texts have no
-ids. Repeated rows give repeated rows. Other columns are kept; an added column replaces one of its name.
+ids, very long ones are read whole. Repeated rows give repeated rows, an empty table an empty one. ``encode``
+and ``decode`` keep other columns; an added column replaces one of its name, in whatever case.
 """
 
 from __future__ import annotations
@@ -37,15 +38,7 @@ def codec(path: str, split_pattern: str, memory: int = 250_000) -> ByteBpe:
 def _map_column(df: DataFrame, source: str, out: str, kind: T.DataType, f: Callable[[pa.Array], pa.Array]) -> DataFrame:
     """df with column ``out`` = f(column ``source``), computed batch by batch."""
     common.tune(df.sparkSession)
-    kept = df.select(*[c for c in df.columns if c != out], F.col(source).alias("__in")) if out != source else df.select("*", F.col(source).alias("__in")).drop(source)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = batch.columns
-            yield pa.RecordBatch.from_arrays([*columns[:-1], f(columns[-1])], [*batch.schema.names[:-1], out])
-
-    schema = T.StructType([*kept.schema.fields[:-1], T.StructField(out, kind)])
-    return kept.mapInArrow(run, schema)
+    return common.with_columns(df, source, [T.StructField(out, kind)], lambda: lambda values: [f(values)])
 
 
 def encode(df: DataFrame, path: str, split_pattern: str, source: str = "text", out: str = "ids") -> DataFrame:

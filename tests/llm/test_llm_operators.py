@@ -4,8 +4,10 @@ tables, extra columns."""
 from __future__ import annotations
 
 import hashlib
+import html as entities
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -28,6 +30,7 @@ from corpusloom.llm import (
     op8_byte_bpe,
     op9_url_filter,
     op10_pii,
+    page_model,
     queries,
 )
 from corpusloom.llm.bpe_machine import ByteBpe, Utf8Machine, read_ranks
@@ -372,6 +375,79 @@ def test_op6(spark):
     assert op6_html.extract(pages.limit(0)).count() == 0
 
 
+PROSE = "<p>The first paragraph has quite a few words, and it ends like this.</p>"
+LONG_PROSE = "<p>" + "Many words stand in this long text of a side column, so that it looks like prose. " * 8 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "has", "lacks"),
+    [
+        (f'<article class="overflow-hidden">{PROSE}<p>Short one.</p></article>', "Short one.", None),
+        (f'<article>{PROSE}<p title="a hidden gem">Gem here.</p></article>', "Gem here.", None),
+        (f'<article><div class="text-form">{PROSE}</div></article>', "first paragraph", None),
+        ('<article><p>One two.</p><img alt="' + "5,000 x> " * 1000 + 'LEAK one two "><p>Three four.</p></article>', "Three four.", "LEAK"),
+        (f'<article>{PROSE}<p title="never closed>Text after it.</p><p>Next.</p></article>', "Text after it.\n\nNext.", "closed"),
+        (f'<article>{PROSE}<p hidden>Secret.</p><p style="display: none">Gone.</p><p aria-hidden="true">Icon.</p></article>', "first", "Secret"),
+        (f"<article><h1>T</h1>{PROSE}<aside>{LONG_PROSE}</aside>{PROSE}</article><aside>{LONG_PROSE}</aside>", "first paragraph", "side column"),
+        (f'<article>{PROSE}</article><section class="comments"><article class="comment">{LONG_PROSE}</article></section>', "first", "side column"),
+        (f'<div class="cookie-notice">{LONG_PROSE}</div><main>{PROSE}</main><footer>{LONG_PROSE}</footer>', "first", "side column"),
+        (f"<main>{PROSE}<form><p>Sign up for our letter, it is free.</p></form></main>", "first", "Sign up"),
+        (f'<form id="all"><nav><a href=x>Home</a></nav><article>{PROSE}{LONG_PROSE}</article></form>', "side column", "Home"),
+        (f"<article>{PROSE}<p>A footer line. " + "x " * 300 + "All rights reserved</p></article>", "All rights reserved", None),
+        (f"<article>{PROSE}</article><div>" + "x " * 300 + "All rights reserved</div>", "first", "All rights reserved"),
+    ],
+)
+def test_op6_evidence_and_attributes(page, has, lacks):
+    text = op6_html.main_text(page)
+    assert has in text and (lacks is None or lacks not in text)
+
+
+def test_op6_cut_decides_on_made_pages():
+    """Pages of known main text, other than those the classifier is fitted to."""
+    fitted = page_model.weights(op6_html.read_blocks)
+    n = alone = cut = 0
+    for html, content, _ in page_model.made_pages(77, 300):
+        blocks, kept = op6_html.read_blocks(html), set(content)
+        own = [c[1] > c[0] for c in op6_html.content_costs(blocks, fitted)]
+        labels = op6_html.labelled(blocks, fitted)
+        true = [b.text in kept for b in blocks]
+        n += len(blocks)
+        alone += sum(a != b for a, b in zip(own, true))
+        cut += sum(a != b for a, b in zip(labels, true))
+    assert cut < 0.85 * alone and cut < 0.07 * n
+
+
+def brute_main_text(html):
+    """For the tables' pages, whose main text is their one article element."""
+    inside = re.search(r"(?s)<article>(.*?)</article>", html or "")
+    parts = re.split(r"</?(?:p|h\d)>", inside[1].replace("<br>", " ")) if inside else []
+    texts = (" ".join(entities.unescape(re.sub(r"<[^>]*>", "", p)).split()) for p in parts)
+    return "\n\n".join(t for t in texts if t)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_op6_query_equals_brute_force(spark, sf):
+    got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in op6_html.op6_html(spark, f"/root/testdata/{sf}").collect()}
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for r in pages:
+        text = brute_main_text(r["html"])
+        assert got[r["page_id"]] == (r["url"], text, len(text))
+
+
+def test_op6_is_linear_in_depth_and_quotes():
+    for odd in ("<div>x" * 60_000, "</p>" * 200_000, "<b>" * 60_000 + "x" * 10, "<a b='" * 60_000, '<a b="c>' * 40_001, "<div>" * 30_000 + "</b>" * 30_000):
+        began = time.time()
+        op6_html.main_text(odd)
+        assert time.time() - began < 20
+
+
+def test_op6_clashing_columns(spark):
+    pages = spark.createDataFrame([(PAGE, "old", 1)], "html string, TEXT string, `a.b` int")
+    got = op6_html.extract(pages)
+    assert got.columns == ["html", "a.b", "text"] and got.first()["text"].startswith("A & B")
+
+
 # -- 7
 
 
