@@ -83,16 +83,17 @@ def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
     path = scratch_path(spark, tag)
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
+def drop_tables(*frames: DataFrame) -> None:
     """Delete the files behind materialized tables that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for df in frames for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    for df in frames:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -111,7 +112,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    digest = None
+    size = current.count()
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -129,14 +130,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
         )
         following = materialize(small.where(F.col("a") != F.col("b")).distinct(), "edges")
-        row = following.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("decimal(20,0)")).alias("h")
-        ).first()
-        drop_tables(following.sparkSession, current)
+        before, size = size, following.count()
+        # both are sets: as many rows, and none that is new
+        settled = before == size and following.join(current, ["a", "b"], "left_anti").isEmpty()
+        drop_tables(current)
         current = following
-        if (row["n"], row["h"]) == digest:
+        if settled:
             break
-        digest = (row["n"], row["h"])
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = current.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -9,17 +9,22 @@ entity e and term t, relative to what e tells by itself,
 
 with n documents in all, n_e with e, n_t with t, n_et with t within ``near`` words of e. Terms count as
 disclosing an entity from ``generalise`` on; from ``remove`` on they are removed, below they are replaced by
-a placeholder. They are sanitised in the documents that hold the entity. Values of any support count: of a
-value in one text the rare terms near it tell most (log(n / n_t) / log(n)), and whether they do so by chance
-can't be known from one text, so they are sanitised. ``support`` asks for more different texts (copies of a
-text are one).
-
-The terms to be counted reach the workers in chunks of bounded size, and so do the disclosing pairs, as
-64-bit keys; more chunks mean more passes. All counts are over the whole corpus; nothing is gathered per
-document beyond the words near a value.
-
-Null and empty texts have no spans. Repeated rows count as rows in n, n_e, n_t and n_et. An empty table
-gives an empty table.
+a placeholder. They are sanitised wherever they stand in the documents that hold the entity. Values of any
+support count: of a value in one text the rare terms near it tell most (log(n / n_t) / log(n)), and whether
+they do so by chance can't be known from one text, so they are sanitised. ``support`` asks for more different
+texts (copies of a text are one). Terms are words of three letters or more, each folded by itself.
+
+The number of passes over the corpus does not depend on it: one sorts out the documents that may hold a value
+(a native filter that lets through a superset) and reads their values and words, one counts the candidate
+terms, one marks the spans. Everything between is joins of (entity, term) rows. In the counting pass a task
+sums up by term before it gives rows out, and a bit table of fixed size, broadcast, keeps out words that are
+no candidates; what it lets through by chance goes in the join. Terms that are too frequent to disclose
+anything already in the documents with values are no candidates. Only documents with values are shuffled
+with their texts. Nothing is gathered by entity; what is gathered by text is bounded by the text's own words.
+
+Null and empty texts have no spans. Repeated rows count as rows in n, n_e, n_t and n_et, and have the same
+spans. Very long texts are read whole, in linear time. An empty table gives an empty table. Other columns are
+kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,11 +38,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
-from .word_cache import hold
+from .word_cache import TwoGenerationCache, hold
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("term", "term_removed")
@@ -103,7 +109,7 @@ def entity_of(kind: str, value: str) -> int:
 
 
 def terms_near(text: str, spans: list[Span], near: int) -> dict[int, set[str]]:
-    """Entity -> lower-case terms within ``near`` words before or after one of its spans."""
+    """Entity -> folded terms within ``near`` words before or after one of its spans, outside all spans."""
     words = [(m.start(), m.end()) for m in _TERM.finditer(text)]
     starts = [w[0] for w in words]
     inside = sorted((a, b) for _, a, b in spans)
@@ -118,178 +124,248 @@ def terms_near(text: str, spans: list[Span], near: int) -> dict[int, set[str]]:
     return out
 
 
+def distinct_terms(text: str) -> set[str]:
+    return set(map(str.lower, set(_TERM.findall(text))))
+
+
+#: whether a text can have a base span, as a pattern for Spark: true of every text that has one
+MAY_HOLD = (
+    r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]"
+    r"|[0-9](?:[ -]?[0-9]){15}|\+[0-9][ ().0-9-]+[0-9]"
+)
+
+
+def may_hold(text) -> Column:
+    return F.coalesce(F.rlike(text, F.lit(MAY_HOLD)), F.lit(False))
+
+
+def content_key(text) -> Column:
+    return F.unhex(F.md5(text))
+
+
+HELD = "content binary, n long, entities array<long>, near array<array<string>>, words array<string>"
+
+
+def held_values(docs: DataFrame, near: int) -> DataFrame:
+    """The different texts of ``docs(text)`` that hold values: key, number of rows, entities, the terms near
+    each, all terms."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("pii", lambda: None)
+        for batch in batches:
+            rows, found = [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                spans = base_spans(text)
+                if spans:
+                    rows.append(i)
+                    found.append((terms_near(text, spans, near), distinct_terms(text)))
+            kept = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
+            columns = (
+                pa.array([list(e) for e, _ in found], pa.list_(pa.int64())),
+                pa.array([[list(met) for met in e.values()] for e, _ in found], pa.list_(pa.list_(pa.string()))),
+                pa.array([list(words) for _, words in found], pa.list_(pa.string())),
+            )
+            yield pa.RecordBatch.from_arrays([*kept.columns, *columns], ["content", "n", "entities", "near", "words"])
+
+    texts = docs.where(may_hold("text")).groupBy(content_key("text").alias("content"))
+    return texts.agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("text")).mapInArrow(read, HELD)
+
+
+SALT = 16
+
+
 def disclosing_terms(
     docs: DataFrame,
     near: int = 8,
     support: int = 1,
     generalise: float = 0.8,
     remove: float = 0.95,
-    chunk: int = 200_000,
+    held: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows (entity long, term string, disclosure double, removed boolean) of ``docs(text)``."""
-    spark = docs.sparkSession
-    common.tune(spark)
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            entities, terms, texts = [], [], []
-            for text in batch.column(0).to_pylist():
-                spans = base_spans(text) if text else []
-                if not spans:
-                    continue
-                key = xxhash.xxh64_intdigest(text, 11) - (1 << 63)
-                for entity, met in terms_near(text, spans, near).items():
-                    met.add("")  # the entity itself
-                    entities += [entity] * len(met)
-                    terms += met
-                    texts += [key] * len(met)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(entities, pa.int64()), pa.array(terms, pa.string()), pa.array(texts, pa.int64())],
-                ["entity", "term", "content"],
-            )
-
-    per_text = (
-        docs.select("text")
-        .mapInArrow(contexts, "entity long, term string, content long")
-        .groupBy("entity", "term", "content")
-        .agg(F.count(F.lit(1)).alias("n"))
+    """Rows (entity long, term string, disclosure double, removed boolean, texts long) of ``docs(text)``;
+    texts: how many different ones hold the entity. ``held``: the values, if they have been read. A written
+    table of the shared folder."""
+    if held is None:
+        common.tune(docs.sparkSession)
+        held = common.materialize(held_values(docs.select("text"), near), "pii-held")
+        found = disclosing_terms(docs, near, support, generalise, remove, held)
+        common.drop_tables(held)
+        return found
+    n = docs.count()
+    by_entity = held.select("n", F.explode(F.arrays_zip("entities", "near")).alias("e")).select(
+        "n", F.col("e.entities").alias("entity"), F.col("e.near").alias("near")
     )
-    pairs = common.materialize(
-        per_text.groupBy("entity", "term")
-        .agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts"))
-        .where(F.col("texts") >= support),
-        "pii-pairs",
+    # a value may stand in a great many texts: its terms meet it in SALT places
+    salt = F.pmod(F.xxhash64("term"), F.lit(SALT))
+    alone = (
+        by_entity.groupBy("entity")
+        .agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+        .where(F.col("n_e") < n)
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<long>")))
     )
-    n = docs.count()
-    alone = pairs.where(F.col("term") == "").select("entity", F.col("n_et").alias("n_e"))
-    near_terms = pairs.where(F.col("term") != "").join(alone, "entity").where(F.col("n_e") < n)
+    met = (
+        by_entity.select("n", "entity", F.explode("near").alias("term"))
+        .groupBy("entity", "term")
+        .agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("met"))
+        .where(F.col("met") >= support)
+        .withColumn("salt", salt)
+    )
+    pairs = common.materialize(met.join(alone, ["entity", "salt"]).select("entity", "term", "n_et", "n_e", "texts"), "pii-pairs")
     # a term in more documents than this can't reach ``generalise`` with any of its entities
     most = F.col("n_et") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - generalise)) * (1 + 1e-9)
-    terms = common.materialize(near_terms.groupBy("term").agg(F.max(most).alias("most")), "pii-terms")
-    frequency = None
-    # what a part of the documents proves too frequent isn't counted in the next, larger part
-    for share in [x for x in (64, 8) if n // x >= 1000] + [1]:
-        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0) if share > 1 else docs
-        counted = _document_counts(part, terms, chunk)
-        if counted is None:
-            return spark.createDataFrame([], "entity long, term string, disclosure double, removed boolean")
-        frequency = counted.groupBy("term").agg(F.sum("n").alias("n_t"))
-        if share > 1:
-            left = terms.join(frequency, "term", "left").where(F.coalesce("n_t", F.lit(0)) <= F.col("most"))
-            terms = common.materialize(left.select("term", "most"), "pii-terms")
+    bounds = pairs.groupBy("term").agg(F.max(most).alias("most"))
+    # as many hold it at least
+    seen = held.select("n", F.explode("words").alias("term")).groupBy("term").agg(F.sum("n").alias("seen"))
+    candidates = common.materialize(bounds.join(seen, "term").where("seen <= most").select("term"), "pii-candidates")
+    counted = docs.select("text").mapInArrow(_count_terms(_bits(candidates)), "term string, n long")
+    frequency = counted.groupBy("term").agg(F.sum("n").alias("n_t")).join(candidates, "term", "left_semi")
     told = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_e"))
-    return (
-        pairs.where(F.col("term") != "")
-        .join(alone, "entity")
-        .join(frequency, "term")
-        .where(F.col("n_e") < n)
-        .select("entity", "term", told.alias("disclosure"))
+    disclosing = (
+        pairs.join(frequency, "term")
+        .select("entity", "term", told.alias("disclosure"), "texts")
         .where(F.col("disclosure") >= generalise)
-        .withColumn("removed", F.col("disclosure") >= remove)
+        .select("entity", "term", "disclosure", (F.col("disclosure") >= remove).alias("removed"), "texts")
     )
+    found = common.materialize(disclosing, "pii-told")
+    common.drop_tables(pairs, candidates)
+    return found
+
+
+def _bits(terms: DataFrame, size: int = 24):
+    """A broadcast table of 2 ** size bits, set where a term's hash points: 2 MB whatever the terms."""
+    place = F.pmod(F.xxhash64("term"), F.lit(1 << size))
+    words = (
+        terms.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bits"))
+        .toArrow()
+    )
+    table = np.zeros(1 << (size - 6), np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return terms.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
-def _document_counts(docs: DataFrame, terms: DataFrame, chunk: int) -> DataFrame | None:
-    """Rows (term, n), to be summed, of the documents that hold each term; one pass for each chunk of terms."""
-    n_terms = terms.count()
-    chunks = max(1, -(-n_terms // chunk))
-    counted = None
-    for k in range(chunks if n_terms else 0):
-        part = terms.where(F.pmod(F.xxhash64("term"), F.lit(chunks)) == k) if chunks > 1 else terms
-        shared = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in part.select("term").collect()))
-        rows = docs.select("text").mapInArrow(_count_terms(shared), "term string, n long")
-        counted = rows if counted is None else counted.unionByName(rows)
-    return counted
+def _count_terms(shared, most: int = 200_000):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        mask = 8 * len(bits) - 1
 
+        def wanted(term: str) -> bool:
+            place = xxhash.xxh64_intdigest(term.encode("utf-8", "replace"), 42) & mask  # Spark's xxhash64
+            return bits[place >> 3] >> (place & 7) & 1 == 1
+
+        known, counts = TwoGenerationCache(wanted, most), Counter()
+        hold("pii", known.forget)
+
+        def summed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            counts.clear()
+            return out
 
-def _count_terms(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("pii", lambda: None)
-        wanted, counts = shared.value, Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts.update(wanted.intersection(_TERM.findall(text.lower())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+                    counts.update([t for t in distinct_terms(text) if known[t]])
+                    if len(counts) >= most:
+                        yield summed()
+        yield summed()
 
     return run
 
 
-def pair_key(entity: int, term: str) -> int:
-    return xxhash.xxh64_intdigest(term, entity + (1 << 63))
-
-
-def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [pair_key(e, t) - (1 << 63) for e, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(2)], ["key", "removed"])
-
-
-def find_pii(docs: DataFrame, disclosing: DataFrame | None = None, chunk: int = 4_000_000, **thresholds) -> DataFrame:
-    """docs(..., text) with ``pii``: array<struct<kind string, start long, end long>>, base spans by kind
-    and start, then those of disclosing terms (kinds term and term_removed). A column named pii is replaced."""
-    spark = docs.sparkSession
-    common.tune(spark)
-    if disclosing is None:
-        disclosing = disclosing_terms(docs, **thresholds)
-    keys = disclosing.select("entity", "term", "removed").mapInArrow(_pair_keys, "key long, removed boolean")
-    disclosing = common.materialize(keys, "pii-disclosing")
-    n = disclosing.count()
-    chunks = max(1, -(-n // chunk))
-    kept = [c for c in docs.columns if c != "pii"]
-    at = kept.index("text")
-    out = docs.select(*kept, F.lit(None).cast("array<struct<kind:string,start:long,end:long>>").alias("pii"))
-    for k in range(chunks):
-        part = disclosing.where(F.pmod("key", F.lit(chunks)) == k) if chunks > 1 else disclosing
-        told = part.toArrow()
-        keys = told["key"].to_numpy()
-        order = np.argsort(keys)
-        shared = spark.sparkContext.broadcast((keys[order], told["removed"].to_numpy()[order]))
-        out = out.mapInArrow(_spans(shared, at, out.columns), out.schema)
-    return out
+def told_terms(docs: DataFrame, near: int = 8, **thresholds) -> DataFrame:
+    """(content binary, terms array<struct<term, removed>>): what is to be sanitised in the texts of
+    ``docs(text)`` that hold values. A written table of the shared folder."""
+    held = common.materialize(held_values(docs, near), "pii-held")
+    told = disclosing_terms(docs, near, held=held, **thresholds)
+    by_entity = held.select("content", "words", F.explode(F.arrays_zip("entities", "near")).alias("e")).select(
+        "content", "words", F.col("e.entities").alias("entity"), F.col("e.near").alias("near")
+    )
+    beside = by_entity.select("content", "entity", F.explode("near").alias("term"))
+    # a value of several texts tells of a term also where the term isn't near it
+    several = told.where("texts > 1").select("entity").distinct()
+    anywhere = by_entity.join(several, "entity", "left_semi").select("content", "entity", F.explode("words").alias("term"))
+    hits = beside.unionByName(anywhere).join(told.select("entity", "term", "removed"), ["entity", "term"])
+    by_term = hits.groupBy("content", "term").agg(F.max("removed").alias("removed"))
+    terms = common.materialize(by_term.groupBy("content").agg(F.collect_list(F.struct("term", "removed")).alias("terms")), "pii-terms")
+    common.drop_tables(held, told)
+    return terms
 
 
-def _spans(shared, at: int, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("pii", lambda: None)
-        told = shared.value
-        for batch in batches:
-            found = []
-            for text, before in zip(batch.column(at), batch.column(len(names) - 1)):
-                text = text.as_py() or ""
-                base = base_spans(text)
-                spans = {(s["kind"], s["start"], s["end"]) for s in before.as_py() or ()}
-                spans.update(term_spans(text, base, told))
-                extra = sorted(spans.difference(base), key=lambda s: (s[0], s[1]))
-                found.append([{"kind": k, "start": a, "end": b} for k, a, b in [*base, *extra]])
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names)
+SPANS = "array<struct<kind:string,start:long,end:long>>"
 
-    return run
 
+def find_pii(docs: DataFrame, out: str = "pii", **thresholds) -> DataFrame:
+    """docs(..., text) with column ``out``: array<struct<kind string, start long, end long>>, base spans by kind
+    and start, then those of disclosing terms (kinds term and term_removed). A column so named, in whatever
+    case, is replaced."""
+    return _marked(docs, out, _spans_task, T._parse_datatype_string(SPANS), F.array().cast(SPANS), **thresholds)
 
-def term_spans(text: str, base: list[Span], told: tuple[np.ndarray, np.ndarray]) -> list[Span]:
-    """Spans of the terms that disclose an entity of the text, outside the base spans. told: keys of the
-    disclosing pairs in ascending order, and whether their terms are removed."""
-    keys, cut = told
-    if not base or not len(keys):
-        return []
-    words = list({m[0].lower() for m in _TERM.finditer(text)})
-    terms: dict[str, bool] = {}
-    for entity in {entity_of(kind, text[a:b]) for kind, a, b in base}:
-        wanted = np.array([pair_key(entity, w) - (1 << 63) for w in words], np.int64)
-        places = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        for i in np.flatnonzero(keys[places] == wanted).tolist():
-            terms[words[i]] = terms.get(words[i], False) or bool(cut[places[i]])
-    if not terms:
+
+def _marked(docs: DataFrame, out: str, task, kind: T.DataType, otherwise: Column | None, **thresholds) -> DataFrame:
+    """docs with column ``out`` made by ``task`` of the text and its disclosing terms; of texts that hold no
+    value it is ``otherwise``, or the text itself."""
+    common.tune(docs.sparkSession)
+    at = common.place(docs, "text")
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = F.col(f"c{at}")
+    texts = numbered.select(text.cast("string").alias("text"))
+    terms = told_terms(texts, **thresholds)
+    holding = numbered.where(may_hold(text)).withColumn("content", content_key(text)).join(terms, "content", "left").drop("content")
+    others = numbered.where(~may_hold(text)).withColumn("made", text if otherwise is None else otherwise)
+    made = common.with_columns(holding, [f"c{at}", "terms"], [T.StructField("made", kind)], task).drop("terms")
+    whole = made.unionByName(others)
+    replaced = [i for i, c in enumerate(docs.columns) if c.lower() == out.lower()]
+    # the new column stands where the first one it replaces stood, or last
+    order = [(f"c{i}", c) if i not in replaced else ("made", out) for i, c in enumerate(docs.columns) if i not in replaced[1:]]
+    order += [("made", out)] * (not replaced)
+    return whole.select(*[c for c, _ in order]).toDF(*[name for _, name in order])
+
+
+def _spans_task():
+    hold("pii", lambda: None)
+
+    def spans(texts: pa.Array, terms: pa.Array) -> list[pa.Array]:
+        found = [[{"kind": k, "start": a, "end": b} for k, a, b in all_spans(t or "", of)] for t, of in zip(texts.to_pylist(), terms.to_pylist())]
+        return [pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))]
+
+    return spans
+
+
+def _sanitise_task():
+    hold("pii", lambda: None)
+
+    def clean(texts: pa.Array, terms: pa.Array) -> list[pa.Array]:
+        return [pa.array([sanitise(t or "", all_spans(t or "", of)) for t, of in zip(texts.to_pylist(), terms.to_pylist())], pa.string())]
+
+    return clean
+
+
+def all_spans(text: str, told: list[dict] | None) -> list[Span]:
+    """Base spans by kind and start, then those of the told terms."""
+    base = base_spans(text)
+    return [*base, *term_spans(text, base, {x["term"]: x["removed"] for x in told or ()})]
+
+
+def term_spans(text: str, base: list[Span], told: dict[str, bool]) -> list[Span]:
+    """Spans of the folded terms in ``told`` outside the base spans, by kind and start."""
+    if not told:
         return []
-    inside = sorted((a, b) for _, a, b in base)
-    out = []
+    inside, last, out = [], -1, []
+    for a, b in sorted((a, b) for _, a, b in base):  # of overlapping spans their union
+        if a <= last:
+            inside[-1] = (inside[-1][0], max(last, b))
+        else:
+            inside.append((a, b))
+        last = inside[-1][1]
+    starts = [a for a, _ in inside]
     for m in _TERM.finditer(text):
-        removed = terms.get(m[0].lower())
-        if removed is not None and not any(a < m.end() and m.start() < b for a, b in inside):
-            out.append((TERM_KINDS[removed], *m.span()))
-    return out
+        removed = told.get(m[0].lower())
+        if removed is not None:
+            k = bisect.bisect_left(starts, m.end()) - 1  # the last span that begins before the word ends
+            if k < 0 or inside[k][1] <= m.start():
+                out.append((TERM_KINDS[removed], *m.span()))
+    return sorted(out)
 
 
 def sanitise(text: str, spans: list[Span]) -> str:
@@ -307,48 +383,21 @@ def sanitise(text: str, spans: list[Span]) -> str:
     return "".join(out)
 
 
-def sanitise_documents(docs: DataFrame, disclosing: DataFrame | None = None, **thresholds) -> DataFrame:
-    """docs with the personal data in ``text`` replaced; the other columns stay."""
-    found = find_pii(docs, disclosing, **thresholds)
-    names, at = docs.columns, docs.columns.index("text")
-    if "pii" in names:
-        raise ValueError("a column named pii can't be kept here")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("pii", lambda: None)
-        for batch in batches:
-            texts = [
-                t if not s else sanitise(t, [(x["kind"], x["start"], x["end"]) for x in s])
-                for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())
-            ]
-            columns = batch.columns[:-1]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return found.mapInArrow(run, docs.schema)
+def sanitise_documents(docs: DataFrame, **thresholds) -> DataFrame:
+    """docs with the personal data in ``text`` replaced; the other columns stay, whatever their names."""
+    name = docs.columns[common.place(docs, "text")]
+    return _marked(docs, name, _sanitise_task, T.StringType(), None, **thresholds)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_pii(docs).select("doc_id", "pii")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("pii", lambda: None)
-        for batch in batches:
-            rows = []
-            for spans in batch.column(1).to_pylist():
-                written = [f"{s['kind']}:{s['start']}:{s['end']}" for s in spans]
-                counts = Counter(s["kind"] for s in spans)
-                base = ",".join(w for w, s in zip(written, spans) if s["kind"] in KINDS)
-                rows.append((*(counts[k] for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), ",".join(written)))
-            kinds = [*[pa.int64()] * 4, pa.string(), pa.string()]
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *columns], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
-            )
-
-    return found.mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    of = lambda kinds: F.filter("pii", lambda s: s["kind"].isin(*kinds))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return find_pii(docs).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        *[F.size(of([k])).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(written(of(KINDS)), 256).alias("base_sha256"),
+        written(F.col("pii")).alias("spans"),
     )
 
 

@@ -44,3 +44,7 @@ class TwoGenerationCache(dict):
             self.clear()
         self[key] = value
         return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}

@@ -658,8 +658,6 @@ def test_op10_terms_that_give_an_entity_away(spark, none):
     out = {r["doc_id"]: r for r in op10_pii.sanitise_documents(df).collect()}
     assert out[0]["text"].startswith("word0 ") and "zy@mail" not in out[0]["text"] and "Zyxwo" not in out[0]["text"]
     assert out[10]["text"] == rows[5][1] and out[99]["text"] is None
-    again = {r["doc_id"]: r["text"] for r in op10_pii.sanitise_documents(df, chunk=2).collect()}
-    assert again == {i: r["text"] for i, r in out.items()}
     assert op10_pii.find_pii(none).count() == 0
 
 
@@ -675,6 +673,109 @@ def test_op10_terms_of_values_met_once_or_twice(spark):
     assert "Zyxwo" not in out[2] and all(out[i] == t for i, t, *_ in rows[3:])
 
 
+def brute_pii(texts, near=8, generalise=0.8, remove=0.95):
+    """All spans of every text, by counting over lists."""
+    word = re.compile(r"[^\W\d_]{3,}")
+    n, n_t, n_e, n_et = len(texts), {}, {}, {}
+    base = [brute_spans(t or "") for t in texts]
+    entities = [{op10_pii.entity_of(k, t[a:b]) for k, a, b in spans} for t, spans in zip(texts, base)]
+    for text, spans, of in zip(texts, base, entities):
+        text = text or ""
+        for t in {m[0].lower() for m in word.finditer(text)}:
+            n_t[t] = n_t.get(t, 0) + 1
+        for e in of:
+            n_e[e] = n_e.get(e, 0) + 1
+        met = set()
+        words = list(word.finditer(text))
+        for k, a, b in spans:
+            before = [m for m in words if m.start() < a][-near:]
+            after = [m for m in words if m.start() >= b][:near]
+            for m in before + after:
+                if not any(x <= m.start() < y for _, x, y in spans):
+                    met.add((op10_pii.entity_of(k, text[a:b]), m[0].lower()))
+        for x in met:
+            n_et[x] = n_et.get(x, 0) + 1
+    told = {}
+    for (e, t), both in n_et.items():
+        if n_e[e] < n:
+            value = np.log(both * n / (n_e[e] * n_t[t])) / np.log(n / n_e[e])
+            if value >= generalise:
+                told[e, t] = value >= remove
+    out = []
+    for text, spans, of in zip(texts, base, entities):
+        extra = []
+        for m in word.finditer(text or ""):
+            cut = [told[e, m[0].lower()] for e in of if (e, m[0].lower()) in told]
+            if cut and not any(a < m.end() and m.start() < b for _, a, b in spans):
+                extra.append(("term_removed" if any(cut) else "term", *m.span()))
+        out.append([*spans, *sorted(extra)])
+    return out
+
+
+def pii_texts(n=400):
+    rng = random.Random(12)
+    names = ["Zyxwo", "İstanbul", "straße", "ǅungla", "Quorvex", "Ωmega", "common", "writes", "here", "about"] + [f"rare{chr(97 + i)}name" for i in range(20)]
+    values = ["zy@mail.example", "10.1.2.3", "+49 (30) 123-4567", "4111 1111 1111 1111", "o@x.y", "256.1.1.1", "aaa@b.c"]
+    out = [None, "", "zy@mail.example", "İstanbul " * 30 + "10.1.2.3 " + "Zyxwo " * 30]
+    while len(out) < n:
+        few = names[:10] if rng.random() < 0.8 else names
+        words = [rng.choice(few) for _ in range(rng.randint(1, 40))]
+        for _ in range(rng.randint(1, 3) if rng.random() < 0.15 else 0):
+            k = rng.randrange(len(values))
+            at = rng.randrange(len(words) + 1)
+            words.insert(at, values[k])
+            for owner in ("Owner" + "abcdefg"[k] * 3, "İwner" + "abcdefg"[k] * 3):  # near the value, or anywhere
+                words.insert(at if rng.random() < 0.6 else rng.randrange(len(words) + 1), owner)
+        out += [" ".join(words)] * (60 if len(out) == 50 else 1)
+    return out
+
+
+def test_op10_equals_brute_force(spark):
+    texts = pii_texts()
+    df = spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], DOCS).repartition(5)
+    got = {r["doc_id"]: [tuple(s) for s in r["pii"]] for r in op10_pii.find_pii(df).collect()}
+    want = brute_pii(texts)
+    assert sum(len(w) for w in want) > sum(len(brute_spans(t or "")) for t in texts) + 50
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_op10_query_equals_brute_force(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    want = {r["doc_id"]: spans for r, spans in zip(rows, brute_pii([r["text"] for r in rows]))}
+    for r in op10_pii.op10_pii(spark, sf_dir).collect():
+        spans = want[r["doc_id"]]
+        base = [s for s in spans if not s[0].startswith("term")]
+        listed = lambda of: ",".join(f"{k}:{a}:{b}" for k, a, b in of)
+        assert [r[f"n_{k}"] for k in op10_pii.KINDS] == [sum(s[0] == k for s in base) for k in op10_pii.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(listed(base).encode()).hexdigest() and r["spans"] == listed(spans)
+
+
+def test_op10_folds_each_word(spark):
+    rows = [(0, "here Zyxwo and İstanbul write from one@mail.example about common", 0, "")]
+    rows += [(10 + i, "common and here write from about istanbul", 0, "") for i in range(200)]
+    out = {r["doc_id"]: r["text"] for r in op10_pii.sanitise_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out[0] == "here  and  write from <EMAIL> about common"
+
+
+def test_may_hold_lets_every_value_through(spark):
+    rng = random.Random(4)
+    parts = ["a", "B", "@", ".", "..", "1", "12", "255", "300", "000", "+", "+1", " ", "-", "(", ")", "4111 1111 1111 1111", "x.y", "@a.b", "٣", "é", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(5000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in df.select("text", op10_pii.may_hold("text").alias("may")).collect():
+        assert r["may"] or not brute_spans(r["text"])
+
+
+def test_op10_clashing_columns(spark):
+    rows = [("one@mail.example", 1, "a", 7), (None, 2, "b", 8), ("no value", 3, "c", 9)]
+    df = spark.createDataFrame(rows, "TEXT string, Pii int, content string, `a.b` int")
+    found = op10_pii.find_pii(df)
+    assert found.columns == ["TEXT", "pii", "content", "a.b"]
+    clean = op10_pii.sanitise_documents(df)
+    assert clean.columns == df.columns
+    assert sorted(map(tuple, clean.collect()), key=lambda r: r[1]) == [("<EMAIL>", 1, "a", 7), (None, 2, "b", 8), ("no value", 3, "c", 9)]
+
+
 def test_all_ten_are_registered():
     names = queries.queries()
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
