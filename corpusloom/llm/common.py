@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"__{name}_{uuid.uuid4().hex}"
+
+
 def place(df: DataFrame, name: str) -> int:
     """Number of the column called ``name``; names are compared as Spark does."""
     exact = [i for i, c in enumerate(df.columns) if c == name]
@@ -104,7 +109,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     node with a partial min and joins back on the node; neighbour lists are never gathered, so a hub
     costs one aggregate row per task plus a join that adaptive execution splits. Each round is written to
     the shared folder, which keeps the plan short and makes rounds restartable. Self-loops and nulls in
-    an edge are ignored; an empty input gives an empty result.
+    an edge are ignored; an empty input gives an empty result. ``drop_tables`` takes the result.
     """
     current = materialize(
         edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
@@ -140,4 +145,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    out = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    out._scratch_path = current._scratch_path
+    return out

@@ -184,7 +184,8 @@ def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 1 << 15, least_block: int = 1 << 12, **index
 ) -> DataFrame:
     """(query_id, rank, vec_id, score, verified) of the k nearest vectors(vec_id, v) of each of
-    queries(vec_id, v); verified: how many vectors were compared exactly for the query."""
+    queries(vec_id, v); verified: how many vectors were compared exactly for the query. A written table of the
+    shared folder."""
     spark = vectors.sparkSession
     # repeats of a vec_id would take places of other vectors, in a task or among the k best
     vectors, queries = once_each(vectors), queries.groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -203,7 +204,10 @@ def nearest(
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.where("vec_id is not null").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     verified = found.groupBy("query_id").agg(F.sum("verified").alias("verified"))
-    return ranked.drop("verified").join(verified, "query_id").select("query_id", "rank", "vec_id", "score", "verified")
+    chosen = ranked.drop("verified").join(verified, "query_id").select("query_id", "rank", "vec_id", "score", "verified")
+    out = common.materialize(chosen, "nearest")
+    common.drop_tables(found)
+    return out
 
 
 def _rows(batch: pa.RecordBatch, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
