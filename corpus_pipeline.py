@@ -1,8 +1,8 @@
 """Corpus pipeline: quality, near duplicates, benchmark passages, personal data, tokens.
 
 Each stage takes what its predecessor kept (written as Parquet and read again), with the columns of
-documents, and returns them; the last returns tokens. Repeated rows, null texts and empty tables are
-handled as each operator states.
+documents, and returns them; the last returns tokens. Other columns are kept, whatever their names. Repeated
+rows, ties, null and very long texts and empty tables are handled as each operator states.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from corpusloom.llm.tokenizer_files import path_of, pattern
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     trees = train(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
-    return score(docs, trees, "__score").where(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    own = common.fresh("score")
+    return score(docs, trees, own).where(F.col(own) >= THRESHOLD).drop(own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +33,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
-    found = contamination(docs, common.table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("hit_spans") == 0).select(*docs.columns)
+    own = (common.fresh("words"), common.fresh("spans"), common.fresh("items"))
+    found = contamination(docs, common.table(spark, sf_dir, "benchmark"), names=own)
+    return found.where(F.size(own[1]) == 0).drop(*own)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and what gives it away replaced; n_chars follows the text."""
     clean = sanitise_documents(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            common.drop_tables(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
