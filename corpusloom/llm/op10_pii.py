@@ -128,15 +128,15 @@ def distinct_terms(text: str) -> set[str]:
     return set(map(str.lower, set(_TERM.findall(text))))
 
 
-#: whether a text can have a base span, as a pattern for Spark: true of every text that has one
-MAY_HOLD = (
-    r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]"
-    r"|[0-9](?:[ -]?[0-9]){15}|\+[0-9][ ().0-9-]+[0-9]"
-)
+_EMAIL_LIKE = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]"
+_NUMBER_LIKE = r"[0-9](?:\.[0-9]+\.[0-9]+\.[0-9]|(?:[ -]?[0-9]){15})|\+[0-9][ ().0-9-]+[0-9]"
 
 
 def may_hold(text) -> Column:
-    return F.coalesce(F.rlike(text, F.lit(MAY_HOLD)), F.lit(False))
+    """Whether a text can have a base span: true of all that have one. The cheap tests come first."""
+    text = F.col(text) if isinstance(text, str) else text
+    email = F.contains(text, F.lit("@")) & F.rlike(text, F.lit(_EMAIL_LIKE))
+    return F.coalesce(email | F.rlike(text, F.lit("[0-9]")) & F.rlike(text, F.lit(_NUMBER_LIKE)), F.lit(False))
 
 
 def content_key(text) -> Column:
