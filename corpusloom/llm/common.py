@@ -9,8 +9,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,9 +58,13 @@ def with_columns(
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, so that very long texts don't pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Bound what one Arrow batch holds, so that very long texts don't pile up in a Python worker. Spark reads
+    these settings when a plan runs, after the operator has returned it; so they are lowered in the caller's
+    session where its own are larger, and stay so."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        have = spark.conf.get(key)
+        if not have.isdigit() or not 0 < int(have) <= most:
+            spark.conf.set(key, str(most))
 
 
 _own_folder: list[str] = []
@@ -93,6 +99,22 @@ def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
     return out
 
 
+def bit_place(column: str, size: int) -> Column:
+    """Where a value's bit stands in a table of 2 ** size bits."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << size))
+
+
+def bit_table(df: DataFrame, column: str, size: int) -> Broadcast:
+    """A table of 2 ** size bits (bytes, lowest bit first), set where the values of a column have their places: of
+    fixed size whatever the column holds, and true of all its values and by chance of few others."""
+    place = bit_place(column, size)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    words = df.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << (size - 6), "<i8")
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return df.sparkSession.sparkContext.broadcast(table.tobytes())
+
+
 def drop_tables(*frames: DataFrame) -> None:
     """Delete the files behind materialized tables that no later plan reads."""
     for df in frames:

@@ -35,7 +35,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -217,7 +216,7 @@ def disclosing_terms(
     # as many hold it at least
     seen = held.select("n", F.explode("words").alias("term")).groupBy("term").agg(F.sum("n").alias("seen"))
     candidates = common.materialize(bounds.join(seen, "term").where("seen <= most").select("term"), "pii-candidates")
-    counted = docs.select("text").mapInArrow(_count_terms(_bits(candidates)), "term string, n long")
+    counted = docs.select("text").mapInArrow(_count_terms(common.bit_table(candidates, "term", 24)), "term string, n long")
     frequency = counted.groupBy("term").agg(F.sum("n").alias("n_t")).join(candidates, "term", "left_semi")
     told = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_e"))
     disclosing = (
@@ -231,20 +230,6 @@ def disclosing_terms(
     return found
 
 
-def _bits(terms: DataFrame, size: int = 24):
-    """A broadcast table of 2 ** size bits, set where a term's hash points: 2 MB whatever the terms."""
-    place = F.pmod(F.xxhash64("term"), F.lit(1 << size))
-    words = (
-        terms.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bits"))
-        .toArrow()
-    )
-    table = np.zeros(1 << (size - 6), np.int64)
-    table[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return terms.sparkSession.sparkContext.broadcast(table.tobytes())
-
-
 def _count_terms(shared, most: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value

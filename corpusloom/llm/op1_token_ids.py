@@ -13,8 +13,9 @@ Segments are rows (shard, segment, start_in_shard, n_tokens, n_docs, doc_ids, im
 written by Spark's own commit protocol, so that a lost executor or a repeated task leaves no half file
 and any Hadoop file system will do. Shards follow doc_id order.
 
-Null and empty texts have no ids but the end id. Repeated doc_ids are kept, ordered by text; null
-doc_ids come first. An empty table gives an empty table.
+Null and empty texts have no ids but the end id. Repeated doc_ids are kept, ordered by the text's xxhash64,
+then the text; null doc_ids come first. Very long texts are encoded whole and make a segment of their own.
+Columns beside doc_id and text are ignored, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -173,8 +174,9 @@ def write_segments(
 ) -> None:
     """Encode ``docs(doc_id, text)`` in ascending doc_id order into a table of segments at ``path``.
 
-    Texts are dealt by range of doc_id once, before encoding (text compresses better than ids), sorted
-    within each range and packed by the task that encodes them. A segment holds whole documents, about
+    Texts are dealt by range of doc_id, then hash (rows of one doc_id may fill several tasks), once, before
+    encoding (text compresses better than ids), sorted in the same order within each range and packed by the
+    task that encodes them. A segment holds whole documents, about
     ``segment_tokens`` ids or one longer document.
     """
 
@@ -213,9 +215,8 @@ def write_segments(
             yield flush()
 
     common.tune(docs.sparkSession)
-    ordered = (
-        docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    )
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(encode, SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 

@@ -10,7 +10,8 @@ Context. Where a pre-token ends depends on at most two characters after it, so c
 first pre-token that ends within two characters of the edit or later. From the point where a new border
 behind the edit meets an old one, the rest of the old borders hold, as they depend on what follows only.
 
-Null texts count as empty. Edits of a document apply in the order given; starts and ends outside the
+Null texts count as empty. Repeated rows are counted each by itself; very long texts are counted whole. Columns
+beside doc_id, text and the edits are ignored. An empty table gives an empty table. Edits of a document apply in the order given; starts and ends outside the
 text are clamped, and an end before its start is taken as the start. Null replacements delete.
 """
 
@@ -28,26 +29,35 @@ from .op8_byte_bpe import codec
 from .tokenizer_files import path_of, pattern
 
 LEAF = 64
+#: where a pre-token ends depends on at most so many characters behind it
+CONTEXT = 3
 
 
 class CountTree:
-    """Token count of a text under edits."""
+    """Token count of a text under edits. A leaf holds its pre-tokens' lengths and token counts, and its part of
+    the text, so an edit reads and rewrites the leaves it touches and those around them only."""
 
     def __init__(self, text: str, bpe: ByteBpe):
-        self.text, self.bpe = text, bpe
-        lengths, counts = bpe.measure(text)
-        self.encoded = len(lengths)
-        self._plant(lengths, counts)
+        self.bpe, self.encoded = bpe, 0
+        self._start(text)
 
-    def _plant(self, lengths: list[int], counts: list[int]) -> None:
+    def _start(self, text: str) -> None:
+        lengths, counts = self.bpe.measure(text)
+        self.encoded += len(lengths)
+        self._plant(lengths, counts, text)
+
+    def _plant(self, lengths: list[int], counts: list[int], text: str) -> None:
         leaves = [(lengths[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(lengths), LEAF)]
         self.size = 1
         while self.size < max(1, len(leaves)):
             self.size *= 2
         self.leaves = leaves + [([], []) for _ in range(self.size - len(leaves))]
+        self.texts, at = [""] * self.size, 0
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
         for i, (run, of) in enumerate(leaves):
             self.chars[self.size + i], self.tokens[self.size + i] = sum(run), sum(of)
+            self.texts[i] = text[at : at + self.chars[self.size + i]]
+            at += len(self.texts[i])
         for node in range(self.size - 1, 0, -1):
             self._sum(node)
 
@@ -59,6 +69,10 @@ class CountTree:
     def n_tokens(self) -> int:
         return self.tokens[1]
 
+    @property
+    def text(self) -> str:
+        return "".join(self.texts)
+
     def _find(self, position: int) -> tuple[int, int]:
         """(leaf, first character of the leaf) of the leaf with the character at ``position``."""
         node, start = 1, 0
@@ -69,47 +83,73 @@ class CountTree:
                 node += 1
         return node - self.size, start
 
+    def _read(self, start: int, end: int) -> str:
+        """The text from start to end (exclusive)."""
+        if start >= end:
+            return ""
+        leaf, at = self._find(start)
+        parts = [self.texts[leaf][start - at : end - at]]
+        at += len(self.texts[leaf])
+        while at < end:
+            leaf += 1
+            parts.append(self.texts[leaf][: end - at])
+            at += len(self.texts[leaf])
+        return "".join(parts)
+
+    def _settled(self, old: int, last: tuple[int, int], target: int) -> tuple[int, tuple[int, int]]:
+        """The first old border at ``target`` or behind it: its position, and (leaf, pre-token) behind it."""
+        leaf, k = last
+        while old < target:
+            while leaf < self.size and k >= len(self.leaves[leaf][0]):
+                leaf, k = leaf + 1, 0
+            if leaf == self.size:
+                break
+            old += self.leaves[leaf][0][k]
+            k += 1
+        return old, (leaf, k)
+
     def edit(self, start: int, end: int, replacement: str) -> int:
         """Replace characters start to end (exclusive); gives the new token count."""
-        size = len(self.text)
+        size = self.chars[1]
         start = min(max(0, start), size)
         end = min(max(start, end), size)
-        text = self.text[:start] + replacement + self.text[end:]
-        shift = len(text) - size
-        if not size or not text:
-            encoded = self.encoded
-            self.__init__(text, self.bpe)
-            self.encoded += encoded
+        shift = len(replacement) - (end - start)
+        if not size or not size + shift:
+            self._start(replacement if not size else "")
             return self.n_tokens
         # the first pre-token to cut again: it holds the character two before the edit, or begins the text
-        leaf, at = self._find(max(0, start - 2))
-        k = 0
-        run = self.leaves[leaf][0]
-        while at + run[k] <= start - 2:
-            at += run[k]
-            k += 1
-        first_leaf, first_k, cut_from = leaf, k, at
-        # new pre-tokens from there until a border behind the edit is an old one too
+        first_leaf, at = self._find(max(0, start - 2))
+        leaf_start, first_k = at, 0
+        run = self.leaves[first_leaf][0]
+        while at + run[first_k] <= start - 2:
+            at += run[first_k]
+            first_k += 1
+        cut_from = at
+        # new pre-tokens from there until a border behind the edit is an old one too; the window of new text
+        # grows until no border depends on what follows it
+        reach = min(size, end + 64)
+        window = self._read(cut_from, start) + replacement + self._read(end, reach)
         pieces: list[str] = []
-        old, new, last_leaf, last_k = at, at, leaf, k
-        for piece in self._pieces_from(text, cut_from):
-            pieces.append(piece)
-            new += len(piece)
-            if new < start + len(replacement):
+        old, last, place = cut_from, (first_leaf, first_k), 0
+        while True:
+            match = self.bpe.pattern.search(window, place)
+            if (match is None or match.end() + CONTEXT > len(window)) and reach < size:
+                further = min(size, end + 2 * (reach - end))
+                window += self._read(reach, further)
+                reach = further
                 continue
-            while old + shift < new or old < end:
-                while last_k >= len(self.leaves[last_leaf][0]):
-                    last_leaf, last_k = last_leaf + 1, 0
-                    if last_leaf == self.size:
-                        break
-                if last_leaf == self.size:
-                    break
-                old += self.leaves[last_leaf][0][last_k]
-                last_k += 1
-            if old + shift == new and old >= end:
+            if match is None:
+                last = (self.size - 1, len(self.leaves[-1][0]))
                 break
-        else:
-            last_leaf, last_k = self.size - 1, len(self.leaves[-1][0])
+            pieces.append(match[0])
+            place = match.end()
+            if cut_from + place < start + len(replacement):
+                continue
+            target = max(end, cut_from + place - shift)
+            old, last = self._settled(old, last, target)
+            if old == cut_from + place - shift and old >= end:
+                break
+        last_leaf, last_k = last
         if last_leaf == self.size:
             last_leaf, last_k = self.size - 1, len(self.leaves[-1][0])
         lengths, counts = list(map(len, pieces)), self.bpe.count_pieces(pieces)
@@ -117,19 +157,22 @@ class CountTree:
         head, tail = self.leaves[first_leaf], self.leaves[last_leaf]
         lengths = head[0][:first_k] + lengths + tail[0][last_k:]
         counts = head[1][:first_k] + counts + tail[1][last_k:]
-        self.text = text
+        behind = sum(tail[0][last_k:])
+        text = self.texts[first_leaf][: cut_from - leaf_start] + "".join(pieces) + (self.texts[last_leaf][-behind:] if behind else "")
         if len(lengths) > 4 * LEAF * (last_leaf - first_leaf + 1):  # a leaf would outgrow its kind: plant anew
             before, after = self.leaves[:first_leaf], self.leaves[last_leaf + 1 :]
             runs = [n for r, _ in before for n in r] + lengths + [n for r, _ in after for n in r]
             of = [n for _, c in before for n in c] + counts + [n for _, c in after for n in c]
-            self._plant(runs, of)
+            self._plant(runs, of, "".join([*self.texts[:first_leaf], text, *self.texts[last_leaf + 1 :]]))
             return self.n_tokens
         share = -(-len(lengths) // (last_leaf - first_leaf + 1)) or 1
-        touched = set()
+        touched, at = set(), 0
         for i, leaf in enumerate(range(first_leaf, last_leaf + 1)):
             run, of = lengths[i * share : (i + 1) * share], counts[i * share : (i + 1) * share]
             self.leaves[leaf] = (run, of)
             self.chars[self.size + leaf], self.tokens[self.size + leaf] = sum(run), sum(of)
+            self.texts[leaf] = text[at : at + self.chars[self.size + leaf]]
+            at += len(self.texts[leaf])
             touched.add((self.size + leaf) // 2)
         while touched and 0 not in touched:
             for node in touched:
@@ -137,10 +180,6 @@ class CountTree:
             touched = {node // 2 for node in touched}
         return self.n_tokens
 
-    def _pieces_from(self, text: str, at: int) -> Iterator[str]:
-        for match in self.bpe.pattern.finditer(text, at):
-            yield match[0]
-
 
 def count_tokens(docs: DataFrame, edits: str, path: str, split_pattern: str) -> DataFrame:
     """Token counts of ``docs(doc_id, text, <edits>)`` before and after the edits in column ``edits``, an

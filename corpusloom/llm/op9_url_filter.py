@@ -11,7 +11,9 @@ redirects (source, target) if there is one. All steps are DataFrame operations:
 stars (see ``common.components``), keys that many pages share cost one aggregate row a task.
 
 A null address, or one without "://", has empty host and path, no rule and no node, and is allowed. Null
-html has no edges. Repeated pages give repeated rows.
+html has no edges; very long html is searched whole. Repeated pages give repeated rows. Of rules of one length
+an allowing one wins. Columns beside page_id, url and html are ignored, whatever their names. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations

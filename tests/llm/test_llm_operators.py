@@ -616,6 +616,19 @@ def test_op9(spark):
     assert op9_url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_op9_long_chains_and_other_columns(spark):
+    """A decision goes along a chain of sixty links; columns with the operator's own names stay out of it."""
+    link = '<link rel="canonical" href="https://h.example.net/{}">'
+    rows = [(i, f"https://h.example.net/{i}", link.format(i + 1), "h", "p", "r", "v", "n", "m", 7) for i in range(60)]
+    rows += [(100, "https://h.example.net/60", link.format("end"), "h", "p", "r", "v", "n", "m", 7), (101, "https://h.example.net/else", "", *"hprvnm", 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, path string, rule string, verdict string, node string, method string, `a.b` int")
+    redirects = spark.createDataFrame([("https://h.example.net/end", "http://www.example.com/de/1")], "source string, target string")
+    got = op9_url_filter.judge(pages, redirects=redirects)
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
+    verdicts = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in got.collect()}
+    assert verdicts == {i: ("h.example.net", None, "block") for i in [*range(60), 100]} | {101: ("h.example.net", None, "allow")}
+
+
 def test_components_of_a_hub_and_a_path(spark):
     edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
