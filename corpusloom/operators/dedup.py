@@ -2,47 +2,94 @@
 
 from __future__ import annotations
 
-import uuid
+import heapq
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import checkpointed, components, drop
+from .windows import first_by
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder that executors share (spark.checkpoint.dir) and read again; without such a
-    folder (a single machine) it is kept in memory and on disk."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        return df.persist()
-    path, schema = f"{base.rstrip('/')}/corpusloom/rounds-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
 
+def greedy_keep(nodes: DataFrame, members: DataFrame, rounds: int = 8) -> DataFrame:
+    """Ranks kept by the sequential rule "keep a row unless it shares a key with one already kept".
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """Ranks kept by the sequential rule "keep a document unless it is near one already kept".
-
-    nodes(rank) distinct, pairs(low, high) of near documents with low < high. Each round keeps the open ranks
-    that have no open lower neighbour and drops their neighbours; this is the lexicographically first
-    maximal independent set, so it equals the sequential scan.
+    nodes(rank) distinct; members(rank, key): a key stands for what excludes (a near pair, a paragraph). Each
+    round keeps the open ranks that are the first of all their keys and drops the others of those keys; this
+    is the lexicographically first maximal independent set, so it equals the sequential scan. No pairs are
+    made: a round is two aggregates by key. Most ranks settle in a few rounds; what depends on long chains
+    (each version like the next) is left after ``rounds`` and goes by ``_in_order``, exact for any length.
     """
-    edges = checkpointed(pairs.select("low", "high").distinct())
-    touched = edges.select(F.col("low").alias("rank")).union(edges.select("high")).distinct()
-    kept = nodes.join(touched, "rank", "left_anti")
-    state = checkpointed(touched)
-    for _ in range(max_rounds):
-        blocked = edges.select(F.col("high").alias("rank")).distinct()
-        first = checkpointed(state.join(blocked, "rank", "left_anti"))
-        kept = kept.union(first)
-        gone = edges.join(first.withColumnRenamed("rank", "low"), "low", "left_semi").select(F.col("high").alias("rank")).distinct()
-        state = checkpointed(state.join(first, "rank", "left_anti").join(gone, "rank", "left_anti"))
-        edges = checkpointed(
-            edges.join(state.withColumnRenamed("rank", "low"), "low", "left_semi").join(state.withColumnRenamed("rank", "high"), "high", "left_semi")
-        )
-        if state.isEmpty():
+    whole = open_ = checkpointed(members.select("rank", "key").distinct())
+    kept = nodes.join(whole.select("rank").distinct(), "rank", "left_anti")
+    for _ in range(rounds):
+        if open_.isEmpty():
             return kept
-    raise RuntimeError(f"not settled in {max_rounds} rounds")
+        first = open_.groupBy("key").agg(F.min("rank").alias("first"))
+        marked = open_.join(first, "key")
+        chosen = checkpointed(marked.groupBy("rank").agg(F.min(F.col("rank") == F.col("first")).alias("free")).where("free").select("rank"))
+        kept = kept.union(chosen)
+        taken = open_.join(chosen, "rank", "left_semi").select("key").distinct()
+        gone = open_.join(taken, "key", "left_semi").select("rank").distinct()
+        following = checkpointed(open_.join(gone, "rank", "left_anti"))
+        if open_ is not whole:  # which the result reads
+            drop(open_)
+        open_ = following
+    return kept.union(_in_order(open_))
+
+
+def _in_order(members: DataFrame) -> DataFrame:
+    """The same for members(rank, key) whose ranks wait for long chains of others: each component is read in
+    the order of rank by one task. A task holds the taken keys that a later rank still has: the front of the
+    chain, not the component. Spark's sort spills."""
+    last = members.groupBy("key").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last")
+    linked = members.join(last, "key")
+    stars = components(linked.select(F.col("rank").alias("a"), F.col("first").alias("b")))
+    placed = linked.join(stars.withColumnRenamed("node", "rank"), "rank").select("root", "rank", "key", "last")
+    alone = members.select("rank").distinct().join(linked.select("rank").distinct(), "rank", "left_anti")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, rank, keys, taken, until = None, None, [], set(), []
+
+        def settle() -> bool:
+            """Whether the rank that has been read is kept."""
+            while until and until[0][0] < rank:
+                taken.discard(heapq.heappop(until)[1])
+            if any(k in taken for k, _ in keys):
+                return False
+            for k, end in keys:
+                if end > rank:
+                    taken.add(k)
+                    heapq.heappush(until, (end, k))
+            return True
+
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:2] != (of, rank):
+                    if rank is not None and settle():
+                        out.append(rank)
+                    if row[0] != of:
+                        taken, until = set(), []
+                    of, rank, keys = row[0], row[1], []
+                keys.append(row[2:])
+            yield pa.RecordBatch.from_arrays([pa.array(out, batch.schema.field(1).type)], ["rank"])
+            kind = batch.schema.field(1).type
+        if rank is not None and settle():
+            yield pa.RecordBatch.from_arrays([pa.array([rank], kind)], ["rank"])
+
+    ordered = placed.repartition("root").sortWithinPartitions("root", "rank")
+    found = checkpointed(ordered.mapInArrow(scan, placed.select("rank").schema))
+    drop(stars)
+    return found.union(alone)
+
+
+def pair_members(pairs: DataFrame) -> DataFrame:
+    """members(rank, key) of pairs(low, high): each pair is a key."""
+    key = F.struct("low", "high")
+    return pairs.select(F.explode(F.array("low", "high")).alias("rank"), F.to_json(key).alias("key"))
 
 
 def anchors(grams: Column, k: int = 12) -> Column:
@@ -50,6 +97,39 @@ def anchors(grams: Column, k: int = 12) -> Column:
     return F.slice(F.array_sort(F.transform(grams, lambda g: F.substring(F.md5(g), 1, 16))), 1, k)
 
 
+TEMPLATE = 256
+
+
+def anchor_verdicts(sketched: DataFrame, most: int = TEMPLATE) -> DataFrame:
+    """(doc_id, candidates, verdict) of sketched(doc_id, g, anchors), doc_id distinct: candidates are the
+    documents before that share two anchors or more, counted up to most + 1.
+
+    Two documents share two anchors where they share a pair of anchors. Of one pair's documents only the
+    first most + 1 are paired up: all after them have more than ``most`` candidates from this pair alone. So a
+    pair of anchors that a third of all documents has costs most ** 2 pairs, not the square of the group.
+    """
+    size = F.size("anchors")
+    places = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.transform(F.sequence(i + 1, F.greatest(size, i + 1)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    keys = F.transform(places, lambda p: F.struct(F.try_element_at("anchors", p["i"]).alias("x"), F.try_element_at("anchors", p["j"]).alias("y")))
+    dealt = sketched.where(size >= 2).select("doc_id", F.explode(keys).alias("k")).select("doc_id", F.xxhash64("k.x", "k.y").alias("h"), "k.x", "k.y")
+    dealt = checkpointed(dealt.where("y is not null").drop("h"))
+    heads = checkpointed(first_by(dealt, ["x", "y"], ["doc_id"], most + 1))
+    full = heads.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("end")).where(F.col("n") > most)
+    templates = dealt.join(full, ["x", "y"]).where(F.col("doc_id") > F.col("end")).select("doc_id").distinct()
+    later = heads.join(templates, "doc_id", "left_anti").select(F.col("doc_id").alias("b"), "x", "y")
+    pairs = checkpointed(heads.withColumnRenamed("doc_id", "a").join(later, ["x", "y"]).where("a < b").select("a", "b").distinct())
+    counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    grams = sketched.select("doc_id", "g")
+    few = counts.where(F.col("n") <= most)
+    tried = pairs.join(few, "b").join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b")
+    alike = F.size(F.array_intersect("ga", "gb")) >= 0.8 * F.least(F.size("ga"), F.size("gb"))
+    near = tried.where(alike).select("b").distinct().withColumn("near", F.lit(True))
+    told = counts.join(near, "b", "left").select(F.col("b").alias("doc_id"), "n", "near").union(templates.select("doc_id", F.lit(most + 1).cast("long"), F.lit(None).cast("boolean")))
+    n = F.least(F.coalesce("n", F.lit(0).cast("long")), F.lit(most + 1).cast("long"))
+    verdict = F.when(n > most, "template").when(F.col("near"), "near").otherwise("kept")
+    return sketched.select("doc_id").join(told, "doc_id", "left").select("doc_id", n.alias("candidates"), verdict.alias("verdict"))
+
+
 def tfidf(terms: DataFrame, key: str, n: DataFrame) -> DataFrame:
     """(key, term, w): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), scaled to length one per key.
     terms(key, term) with repeats; n: one row (n) with the number of documents."""

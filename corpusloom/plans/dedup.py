@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as t
 from ..operators import dedup as dd
+from ..operators import graph as gr
 from ..operators import grams as g
 from ..operators import quality as q
 from ..registry import operator, table
@@ -38,12 +39,23 @@ _PARAGRAPHS = f"SELECT doc_id, unnest(list_transform(string_split(text, chr(10))
 )
 def d02(spark, d):
     """Documents with a long paragraph that a document before has (of all documents, not of kept ones only)."""
-    p = table(spark, d, "documents").select("doc_id", F.explode(F.transform(F.split("text", "\n"), t.blank)).alias("p")).where(F.length("p") >= 200)
-    h = p.select("doc_id", F.sha2("p", 256).alias("h"))
+    h = paragraphs(spark, d)
     first = h.groupBy("h").agg(F.min("doc_id").alias("first"))
     return h.join(first, "h").where("doc_id > first").select("doc_id").distinct()
 
 
+def paragraphs(spark, d):
+    p = table(spark, d, "documents").select("doc_id", F.explode(F.transform(F.split("text", "\n"), t.blank)).alias("p")).where(F.length("p") >= 200)
+    return p.select("doc_id", F.sha2("p", 256).alias("h"))
+
+
+@operator("d02_paragraph_dedup_of_kept")
+def d02_kept(spark, d):
+    """Documents kept in order of id: a document goes only for a long paragraph that a kept one before it has."""
+    nodes = table(spark, d, "documents").select(F.col("doc_id").alias("rank")).distinct()
+    return dd.greedy_keep(nodes, paragraphs(spark, d).toDF("rank", "key")).select(F.col("rank").alias("doc_id"))
+
+
 _CONTAINED = f"""SELECT doc_id, item_id, count(*) / least(max(a.size), max(b.size)) AS c FROM ({gram_sql('documents', 'doc_id', 5)}) a
   JOIN ({gram_sql('benchmark', 'item_id', 5)}) b USING (g) GROUP BY doc_id, item_id"""
 
@@ -76,16 +88,19 @@ def near_pairs(spark, d, n: int = 8):
     document of each set of grams."""
     docs = table(spark, d, "documents").select("doc_id", t.words("text").alias("w"))
     docs = docs.where(F.size("w") >= n).select("doc_id", t.ngrams(F.col("w"), n).alias("w"))
-    key = F.sha2(F.to_json(F.array_sort("w")), 256)
-    classes = docs.groupBy(key.alias("h")).agg(F.min(F.struct("doc_id", "w")).alias("x")).select("x.*")
-    one = classes.select("doc_id", F.size("w").cast("long").alias("size"), F.explode_outer("w").alias("g")).withColumn("g", F.xxhash64("g"))
-    # the first gram in hash order that two sets of such containment share lies among the smaller one's first fifth
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("g"))
-    prefix = one.withColumn("i", rank).where(F.col("i") <= F.col("size") - F.ceil(F.col("size") * 0.8) + 1).select("doc_id", "g")
-    low, high = one.select(F.col("doc_id").alias("b"), "g"), prefix.select(F.col("doc_id").alias("a"), "g")
-    candidates = high.join(low, "g").where("a <> b").select("a", "b").distinct()
-    sets = classes.select("doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
-    j = candidates.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(F.size("x") <= F.size("y"))
+    hashed = docs.select("doc_id", F.array_sort(F.transform("w", lambda x: F.xxhash64(x))).alias("w"))
+    key = F.sha2(F.to_json("w"), 256)
+    classes = gr.checkpointed(hashed.groupBy(key.alias("h")).agg(F.min(F.struct("doc_id", "w")).alias("x")).select("x.*"))
+    one = classes.select("doc_id", F.size("w").cast("long").alias("size"), F.explode_outer("w").alias("g"))
+    # grams of one document only make no pair; of two sets of such containment the smaller one's rarest fifth
+    # holds a shared gram, whatever stands in the others
+    often = one.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "g"))
+    ranked = one.join(often, "g").withColumn("i", rank).where("often > 1")
+    prefix = ranked.where(F.col("i") <= F.col("size") - F.ceil(F.col("size") * 0.8) + 1).select(F.col("doc_id").alias("a"), "g", F.col("size").alias("least"))
+    other = ranked.select(F.col("doc_id").alias("b"), "g", "size")
+    candidates = prefix.join(other, "g").where((F.col("a") != F.col("b")) & (F.col("least") <= F.col("size"))).select("a", "b").distinct()
+    j = candidates.join(classes.toDF("a", "x"), "a").join(classes.toDF("b", "y"), "b")
     near = j.where(F.size(F.array_intersect("x", "y")) >= F.size("x") * 0.8)
     return near.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), classes.select(F.col("doc_id").alias("rank"))
 
@@ -94,7 +109,7 @@ def near_pairs(spark, d, n: int = 8):
 def d05(spark, d):
     """Ids kept by the sequential greedy rule in order of id, exact copies of a gram set counting once."""
     pairs, nodes = near_pairs(spark, d)
-    return dd.greedy_keep(nodes, dd.checkpointed(pairs)).select(F.col("rank").alias("doc_id"))
+    return dd.greedy_keep(nodes, dd.pair_members(pairs)).select(F.col("rank").alias("doc_id"))
 
 
 @operator(
@@ -102,9 +117,28 @@ def d05(spark, d):
     f"""SELECT doc_id, sha256(array_to_string(list_sort(list_transform({s.ngrams('w', 5)}, lambda x: substr(md5(x), 1, 16)))[1:12], ',')) AS sketch FROM (SELECT doc_id, {s.words('text')} AS w FROM documents)""",
 )
 def d06(spark, d):
+    return sketches(spark, d).select("doc_id", F.sha2(F.array_join("anchors", ","), 256).alias("sketch"))
+
+
+def sketches(spark, d):
     docs = table(spark, d, "documents").select("doc_id", t.words("text").alias("w"))
     docs = docs.select("doc_id", t.ngrams(F.col("w"), 5).alias("g"))
-    return docs.select("doc_id", F.sha2(F.array_join(dd.anchors(F.col("g")), ","), 256).alias("sketch"))
+    return docs.select("doc_id", "g", dd.anchors(F.col("g")).alias("anchors"))
+
+
+_ANCHORED = f"""SELECT doc_id, g, list_sort(list_transform(g, lambda x: substr(md5(x), 1, 16)))[1:12] AS anchors FROM (SELECT doc_id, {s.ngrams('w', 5)} AS g FROM (SELECT doc_id, {s.words('text')} AS w FROM documents))"""
+
+
+@operator(
+    "d06_anchor_candidates",
+    f"""WITH s AS ({_ANCHORED}), k AS (SELECT doc_id, unnest(anchors) AS k FROM s), p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= 2),
+    v AS (SELECT b, max(CAST(len(list_intersect(x.g, y.g)) >= 0.8 * least(len(x.g), len(y.g)) AS INTEGER)) AS near, count(*) AS n FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b GROUP BY b)
+    SELECT doc_id, least(coalesce(n, 0), {dd.TEMPLATE + 1}) AS candidates, CASE WHEN n > {dd.TEMPLATE} THEN 'template' WHEN near = 1 THEN 'near' ELSE 'kept' END AS verdict FROM s LEFT JOIN v ON doc_id = b""",
+)
+def d06_candidates(spark, d):
+    """Each document against those before it: candidates share two anchors or more; more than 256 make it a
+    template, else a candidate with 0.8 of the smaller one's grams makes it a near copy."""
+    return dd.anchor_verdicts(sketches(spark, d))
 
 
 @F.pandas_udf(DoubleType())

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import difflib
 
-from pyspark.sql import Window
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as t
+from ..operators import graph as gr
 from ..operators import grams as g
-from ..operators.dedup import checkpointed
 from ..operators.windows import first_by
 from ..registry import operator, table
 from . import sql as s
@@ -86,36 +87,89 @@ def j05(spark, d):
 
 
 _NUMS = "list_distinct(list_filter(list_transform(regexp_extract_all(text, '[0-9][0-9.,]*'), lambda x: regexp_replace(x, '[.,]', '', 'g')), lambda x: length(x) >= 2))"
+_ENTS = "list_distinct(list_transform(regexp_extract_all(text, '[a-z,] ([A-Z][a-z]{3,})', 1), lambda x: lower(x)))"
 
 
 @operator(
     "j06_union_of_signals_join",
-    f"""WITH b AS (SELECT doc_id AS b_id, text FROM documents WHERE doc_id % 10 = 0), a AS (SELECT doc_id AS a_id, text FROM documents WHERE doc_id % 10 = 1),
-    n AS (SELECT a_id, b_id, count(*) AS numbers FROM (SELECT a_id, unnest({_NUMS}) AS g FROM a) JOIN (SELECT b_id, unnest({_NUMS}) AS g FROM b) USING (g) GROUP BY ALL),
-    x AS (SELECT a_id, b_id, count(*) / least(max(ax.size), max(bx.size)) AS c FROM ({gram_sql('a', 'a_id', 5)}) ax JOIN ({gram_sql('b', 'b_id', 5)}) bx USING (g) GROUP BY ALL)
-    SELECT a_id, b_id, coalesce(c, 0) >= 0.15 AS by_text, coalesce(numbers, 0) >= 2 AS by_numbers FROM n FULL JOIN x USING (a_id, b_id) WHERE coalesce(c, 0) >= 0.15 OR coalesce(numbers, 0) >= 2""",
+    f"""WITH a AS (SELECT doc_id, {_NUMS} AS n, {_ENTS} AS e FROM documents), b AS (SELECT item_id, {_NUMS} AS n, {_ENTS} AS e FROM benchmark),
+    n AS (SELECT doc_id, item_id, len(list_intersect(a.n, b.n)) AS shared, len(list_distinct(list_concat(a.n, b.n))) AS whole, len(list_intersect(a.e, b.e)) AS entities FROM a, b WHERE list_has_any(a.n, b.n)),
+    x AS (SELECT doc_id, item_id, count(*) / least(max(ax.size), max(bx.size)) AS c FROM ({gram_sql('documents', 'doc_id', 5)}) ax JOIN ({gram_sql('benchmark', 'item_id', 5)}) bx USING (g) GROUP BY ALL),
+    f AS (SELECT doc_id, item_id, coalesce(c, 0) >= 0.15 AS by_text, coalesce(shared >= 2 AND shared / whole >= 0.5, FALSE) AS by_numbers, coalesce(entities >= 2, FALSE) AS by_entities FROM n FULL JOIN x USING (doc_id, item_id))
+    SELECT * FROM f WHERE by_text OR by_numbers OR by_entities""",
 )
 def j06(spark, d):
-    """Two disjoint parts of the corpus (ids ending in 1 and in 0) stand for candidates and protected rows."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    a, b = docs.where("doc_id % 10 = 1").withColumnRenamed("doc_id", "a_id"), docs.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "b_id")
-    text = g.shared_grams(g.exploded(a, "a_id", "text", 5), g.exploded(b, "b_id", "text", 5), "a_id", "b_id").select("a_id", "b_id", g.containment().alias("c"))
-    numbers = lambda x, k: x.select(k, F.explode(F.array_distinct(t.numbers("text"))).alias("g"))
-    n = numbers(a, "a_id").join(numbers(b, "b_id"), "g").groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("numbers"))
-    by_text, by_numbers = F.coalesce("c", F.lit(0.0)) >= 0.15, F.coalesce("numbers", F.lit(0)) >= 2
-    return n.join(text, ["a_id", "b_id"], "full").select("a_id", "b_id", by_text.alias("by_text"), by_numbers.alias("by_numbers")).where("by_text or by_numbers")
+    """All documents against the benchmark by three signals: shared 5-grams; two shared numbers that make half
+    of both's; one shared number and two shared names. Names are compared for pairs that share a number."""
+    side = lambda name, key: table(spark, d, name).select(F.col(key), "text")
+    a, b = side("documents", "doc_id"), side("benchmark", "item_id")
+    text = g.shared_grams(g.exploded(a, "doc_id", "text", 5), g.exploded(b, "item_id", "text", 5), "doc_id", "item_id")
+    names = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[a-z,] ([A-Z][a-z]{3,})"), F.lit(1)), F.lower))
+    signs = lambda x, key, n, e: x.select(key, F.array_distinct(t.numbers("text")).alias(n), names.alias(e)).where(F.size(n) > 0)
+    x, y = signs(a, "doc_id", "an", "ae"), signs(b, "item_id", "bn", "be")
+    pairs = (
+        x.select("doc_id", F.explode("an").alias("g"))
+        .join(y.select("item_id", F.explode("bn").alias("g")), "g")
+        .groupBy("doc_id", "item_id")
+        .agg(F.count(F.lit(1)).alias("shared"))
+    )
+    n = pairs.join(x, "doc_id").join(y, "item_id").select(
+        "doc_id", "item_id", "shared", F.size(F.array_union("an", "bn")).alias("whole"), F.size(F.array_intersect("ae", "be")).alias("entities")
+    )
+    no = F.lit(False)
+    found = n.join(text.select("doc_id", "item_id", g.containment().alias("c")), ["doc_id", "item_id"], "full").select(
+        "doc_id", "item_id",
+        F.coalesce(F.col("c") >= 0.15, no).alias("by_text"),
+        F.coalesce((F.col("shared") >= 2) & (F.col("shared") / F.col("whole") >= 0.5), no).alias("by_numbers"),
+        F.coalesce(F.col("entities") >= 2, no).alias("by_entities"),
+    )
+    return found.where("by_text or by_numbers or by_entities")
+
+
+_TOP = f"""SELECT doc_id, item_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, item_id) AS i FROM (
+    SELECT doc_id, item_id, count(*) AS shared FROM ({gram_sql('documents', 'doc_id', 3)}) a JOIN ({gram_sql('benchmark', 'item_id', 3)}) b USING (g) GROUP BY doc_id, item_id)) WHERE i <= 10"""
 
 
 @operator(
     "j07_topk_candidate_join",
-    f"""SELECT doc_id, item_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, item_id) AS i FROM (
-    SELECT doc_id, item_id, count(*) AS shared FROM ({gram_sql('documents', 'doc_id', 3)}) a JOIN ({gram_sql('benchmark', 'item_id', 3)}) b USING (g) GROUP BY doc_id, item_id)) WHERE i <= 10""",
+    f"""WITH t AS ({_TOP}), e AS (SELECT doc_id, item_id, TRUE AS exact FROM (SELECT doc_id, {_NORM} AS x FROM documents) JOIN (SELECT item_id, {_NORM} AS x FROM benchmark) USING (x) WHERE x <> '')
+    SELECT doc_id, item_id, coalesce(shared, 0) AS shared, coalesce(exact, FALSE) AS exact FROM t FULL JOIN e USING (doc_id, item_id)""",
 )
 def j07(spark, d):
-    pairs = g.shared_grams(
-        g.exploded(table(spark, d, "documents"), "doc_id", "text", 3), g.exploded(table(spark, d, "benchmark"), "item_id", "text", 3), "doc_id", "item_id"
+    """The ten items that share most trigrams with a document, and all items that equal it when normalised."""
+    return candidates(spark, d)
+
+
+def candidates(spark, d):
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    pairs = g.shared_grams(g.exploded(docs, "doc_id", "text", 3), g.exploded(items, "item_id", "text", 3), "doc_id", "item_id")
+    top = first_by(pairs, ["doc_id"], [F.desc("shared"), F.col("item_id")], 10).select("doc_id", "item_id", "shared")
+    form = lambda df, key: df.select(key, F.when(t.norm_words("text") != "", F.sha2(t.norm_words("text"), 256)).alias("h"))
+    exact = form(docs, "doc_id").join(form(items, "item_id"), "h").select("doc_id", "item_id", F.lit(True).alias("exact"))
+    return top.join(exact, ["doc_id", "item_id"], "full").select(
+        "doc_id", "item_id", F.coalesce("shared", F.lit(0).cast("long")).alias("shared"), F.coalesce("exact", F.lit(False)).alias("exact")
     )
-    return first_by(pairs, ["doc_id"], [F.desc("shared"), F.col("item_id")], 10).select("doc_id", "item_id", "shared")
+
+
+@F.pandas_udf(DoubleType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Sequence similarity of two texts; null where a cheap upper bound rules 0.65 out."""
+    out = []
+    for x, y in zip(a, b):
+        match = difflib.SequenceMatcher(None, x, y)
+        out.append(match.ratio() if match.real_quick_ratio() >= 0.65 and match.quick_ratio() >= 0.65 else None)
+    return pd.Series(out, dtype="float64")
+
+
+@operator("j07_verified_candidates")
+def j07_verified(spark, d):
+    """The candidates that are equal, or alike by 0.65 in sequence. Texts whose lengths alone rule that out are
+    not compared."""
+    texts = lambda name, key, out: table(spark, d, name).select(key, t.norm_words("text").alias(out))
+    pairs = candidates(spark, d).join(texts("benchmark", "item_id", "y"), "item_id").join(texts("documents", "doc_id", "x"), "doc_id")
+    least, whole = F.least(F.length("x"), F.length("y")), F.length("x") + F.length("y")
+    near = pairs.where(F.col("exact") | (2 * least >= 0.65 * whole)).withColumn("similarity", similarity("x", "y"))
+    return near.where("exact or similarity >= 0.65").select("doc_id", "item_id", "exact", F.round("similarity", 3).alias("similarity"))
 
 
 @operator(
@@ -168,72 +222,35 @@ def j11(spark, d):
 _DAG = "SELECT p_partkey AS id, p_partkey // 2 AS parent FROM part WHERE p_partkey // 2 >= 1 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey // 3 >= 1"
 
 
-def part_dag(spark, d):
-    """(id, parent): a part depends on the parts at a half and a third of its key."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
-    return p.select("id", F.explode(F.array(F.floor(F.col("id") / 2), F.floor(F.col("id") / 3))).alias("parent")).where("parent >= 1").distinct()
-
-
-def closure(edges, max_rounds: int = 40):
-    """Transitive closure (id, ancestor) by doubling: each round joins paths to paths, so the number of
-    rounds is the logarithm of the longest path."""
-    paths = checkpointed(edges.select("id", F.col("parent").alias("ancestor")).distinct())
-    size = paths.count()
-    for _ in range(max_rounds):
-        more = paths.select("id", F.col("ancestor").alias("mid")).join(paths.select(F.col("id").alias("mid"), "ancestor"), "mid").select("id", "ancestor")
-        paths = checkpointed(paths.union(more).distinct())
-        n = paths.count()
-        if n == size:
-            return paths
-        size = n
-    raise ValueError("the graph has a cycle or too long paths")
+def tasks(spark, d):
+    """Parts as tasks: one depends on the parts at a half and a third of its key, and edits the files of its
+    brand and size, whose paths are spelled in several ways."""
+    n = F.col("p_partkey")
+    parents = F.array_distinct(F.filter(F.array(F.floor(n / 2), F.floor(n / 3)), lambda x: x >= 1))
+    spelled = F.when(n % 3 == 0, F.concat(F.lit("src\\"), "p_brand", F.lit("\\./"))).when(n % 3 == 1, F.concat(F.lit("src/x/../"), F.upper("p_brand"), F.lit("//")))
+    path = F.concat(spelled.otherwise(F.concat(F.lit("./src/"), "p_brand", F.lit("/"))), F.col("p_size").cast("string"))
+    return table(spark, d, "part").select(n.alias("id"), parents.alias("depends_on"), F.array(path).alias("implementation_files"), n.alias("place"))
 
 
 @operator("j12_dag_closure_join", f"WITH RECURSIVE e AS ({_DAG}), r(id, ancestor) AS (SELECT id, parent FROM e UNION SELECT r.id, e.parent FROM r JOIN e ON r.ancestor = e.id) SELECT id, ancestor FROM r")
 def j12(spark, d):
-    return closure(part_dag(spark, d))
+    return gr.closure(gr.dependencies(tasks(spark, d)))
 
 
 @operator(
     "j13_conflict_pair_join",
     f"""WITH RECURSIVE e AS ({_DAG}), r(id, ancestor) AS (SELECT id, parent FROM e UNION SELECT r.id, e.parent FROM r JOIN e ON r.ancestor = e.id)
-    SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey
+    SELECT a.p_partkey AS a, b.p_partkey AS b, 'src/' || lower(a.p_brand) || '/' || a.p_size AS file FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey
     ANTI JOIN r ON r.id = b.p_partkey AND r.ancestor = a.p_partkey""",
 )
 def j13(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
-    pairs = p.withColumnRenamed("p_partkey", "a").join(p.withColumnRenamed("p_partkey", "b"), ["p_brand", "p_size"]).where("a < b").select("a", "b")
-    ordered = closure(part_dag(spark, d)).select(F.col("ancestor").alias("a"), F.col("id").alias("b"))
-    return pairs.join(ordered, ["a", "b"], "left_anti")
+    return gr.conflicts(tasks(spark, d)).select(F.col("left").alias("a"), F.col("right").alias("b"), F.array_join("files", ",").alias("file"))
 
 
 @operator("j13_serialize_order")
 def j13_serialize(spark, d):
-    """A stable topological order of a task graph: the smallest id whose parents are done comes next. The
-    order is one sequence by nature; it is made on the driver over the graph of tasks, whose size is that of a
-    plan (at most 200,000 edges, checked)."""
-    import heapq
-
-    edges = part_dag(spark, d)
-    if edges.count() > 200_000:
-        raise ValueError("a plan has at most 200,000 edges")
-    children, open_, ids = defaultdict(list), defaultdict(int), set()
-    for r in edges.collect():
-        children[r["parent"]].append(r["id"])
-        open_[r["id"]] += 1
-        ids |= {r["id"], r["parent"]}
-    heap = sorted(i for i in ids if not open_[i])
-    order = []
-    while heap:
-        i = heapq.heappop(heap)
-        order.append(i)
-        for c in children[i]:
-            open_[c] -= 1
-            if not open_[c]:
-                heapq.heappush(heap, c)
-    if len(order) != len(ids):
-        raise ValueError("the graph has a cycle")
-    return spark.createDataFrame([(i, k) for k, i in enumerate(order)], "id long, position long")
+    """The dependencies that must be added so that no two tasks edit a file unordered."""
+    return gr.serialized(tasks(spark, d))
 
 
 @operator(
