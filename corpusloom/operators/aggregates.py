@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,18 +37,19 @@ RANK_RULES: dict[str, Callable[[Column, float], Column]] = {
 
 
 def stats_nearest(df: DataFrame, value: str, quantile: float, by: list[str]) -> DataFrame:
-    """Value at the quantile per group by each rule: ranks by a window, no list of a group's values."""
-    from pyspark.sql import Window
-
-    ordered = df.where(F.col(value).isNotNull()).select(
+    """Value at the quantile per group by each rule: equal values are counted first, and places are found
+    among the running counts, so a group is as large as it has different values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    group = Window.partitionBy(*by)
+    ordered = counts.select(
         *by,
-        F.col(value).alias("__v"),
-        (F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1).alias("__i"),
-        F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("__n"),
+        "__v",
+        "__c",
+        F.sum("__c").over(group.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)).alias("__end"),
+        F.sum("__c").over(group).alias("__n"),
     )
-    picks = [
-        F.max(F.when(F.col("__i") == rule(F.col("__n"), quantile), F.col("__v"))).alias(name) for name, rule in RANK_RULES.items()
-    ]
+    here = lambda place: (place >= F.col("__end") - F.col("__c")) & (place < F.col("__end"))
+    picks = [F.max(F.when(here(rule(F.col("__n"), quantile)), F.col("__v"))).alias(name) for name, rule in RANK_RULES.items()]
     return ordered.groupBy(*by).agg(*picks)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import quality as q
+from ..operators.windows import value_row_number
 from ..registry import operator, table
 from . import sql as s
 
@@ -150,8 +151,8 @@ def h11(spark, d):
 
 @operator("h12_review_stratified_queue", "SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) AS position, '' AS owner FROM documents")
 def h12(spark, d):
-    i = F.row_number().over(Window.partitionBy("lang").orderBy("source", "doc_id")).cast("long")
-    return table(spark, d, "documents").select("lang", "doc_id", i.alias("position"), F.lit("").alias("owner"))
+    docs = value_row_number(table(spark, d, "documents").select("lang", "doc_id", "source"), ["lang"], F.col("source"), "doc_id", "position")
+    return docs.select("lang", "doc_id", "position", F.lit("").alias("owner"))
 
 
 # -- gates: rows are violations
@@ -208,11 +209,23 @@ def v06(spark, d):
     return l.where("quality = 0").select("doc_id").join(l.where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
 
 
-@operator("v07_reasoning_separation", f"SELECT conv_id, turn, CASE WHEN x = y THEN 'equal' ELSE 'contained' END AS violation FROM ({_PAIRS}) WHERE contains(y, x) OR contains(y, substr(x, 1, 12))")
+_REASONED = f"SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN ' ' ELSE x END AS x, CASE WHEN conv_id % 3 = 0 THEN y || chr(10) || x WHEN conv_id % 5 = 0 THEN x ELSE y END AS y FROM ({_PAIRS})"
+
+
+@operator(
+    "v07_reasoning_separation",
+    f"""SELECT conv_id, turn, CASE WHEN trim(x) = '' THEN 'missing' WHEN x = y THEN 'equal' ELSE 'contained' END AS violation FROM ({_REASONED})
+    WHERE trim(x) = '' OR contains(y, x)""",
+)
 def v07(spark, d):
-    x, y = F.col("x"), F.col("y")
-    bad = F.contains(y, x) | F.contains(y, F.substring(x, 1, 12))
-    return neighbours(spark, d).where(bad).select("conv_id", "turn", F.when(x == y, "equal").otherwise("contained").alias("violation"))
+    """A turn stands for reasoning, the next for the answer; some answers quote all of it, some are it, some
+    reasonings are blank."""
+    n, x = F.col("conv_id"), F.when(F.col("conv_id") % 7 == 0, " ").otherwise(F.col("x"))
+    y = F.when(n % 3 == 0, F.concat("y", F.lit("\n"), "x")).when(n % 5 == 0, F.col("x")).otherwise(F.col("y"))
+    rows = neighbours(spark, d).select("conv_id", "turn", x.alias("x"), y.alias("y"))
+    missing = F.trim("x") == ""
+    violation = F.when(missing, "missing").when(F.col("x") == F.col("y"), "equal").otherwise("contained")
+    return rows.where(missing | F.contains("y", F.col("x"))).select("conv_id", "turn", violation.alias("violation"))
 
 
 _MARKUP = r"(<\|[a-z_]+\|>|</?think>|!!|%%%)"
@@ -276,13 +289,39 @@ def v13(spark, d):
     return first.agg(F.count_distinct(F.sha2("role", 256)).cast("int").alias("n")).select(F.lit("configs").alias("arm"), "n")
 
 
-@operator("v14_schema_drift_by_header")
+MASTER = "doc_id bigint, lang string, text string, source string, n_chars int, license string"
+_MASTER_SQL = ", ".join(f"({i}, '{x.split()[0]}', '{x.split()[1]}')" for i, x in enumerate(MASTER.split(", ")))
+_FOUND_SQL = """SELECT row_number() OVER () - 1 AS place, column_name AS field, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS kind
+    FROM (DESCRIBE SELECT * FROM documents)"""
+
+
+def schema_drift(schema, master) -> list[tuple]:
+    """(field, drift, master's, found) of every difference of two headers: missing and extra fields, other
+    types, other places."""
+    want = {f.name: (i, f.dataType.simpleString()) for i, f in enumerate(master.fields)}
+    have = {f.name: (i, f.dataType.simpleString()) for i, f in enumerate(schema.fields)}
+    out = [(k, "missing", want[k][1], None) for k in want.keys() - have.keys()]
+    out += [(k, "extra", None, have[k][1]) for k in have.keys() - want.keys()]
+    for k in want.keys() & have.keys():
+        out += [(k, "type", want[k][1], have[k][1])] * (want[k][1] != have[k][1])
+        out += [(k, "place", str(want[k][0]), str(have[k][0]))] * (want[k][0] != have[k][0])
+    return sorted(out, key=lambda x: x[:2])
+
+
+@operator(
+    "v14_schema_drift_by_header",
+    f"""WITH m(place, field, kind) AS (VALUES {_MASTER_SQL}), h AS ({_FOUND_SQL})
+    SELECT field, drift, master, found FROM (
+    SELECT m.field, 'missing' AS drift, m.kind AS master, NULL::VARCHAR AS found FROM m ANTI JOIN h USING (field) UNION ALL SELECT h.field, 'extra', NULL, h.kind FROM h ANTI JOIN m USING (field)
+    UNION ALL SELECT field, 'type', m.kind, h.kind FROM m JOIN h USING (field) WHERE m.kind <> h.kind
+    UNION ALL SELECT field, 'place', CAST(m.place AS VARCHAR), CAST(h.place AS VARCHAR) FROM m JOIN h USING (field) WHERE m.place <> h.place)""",
+)
 def v14(spark, d):
-    """Fields in which the tables of two runs differ from the master schema; none here."""
-    master = {f.name: f.dataType.simpleString() for f in table(spark, d, "documents").schema}
-    have = {f.name: f.dataType.simpleString() for f in table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars").schema}
-    rows = [(k, master.get(k), have.get(k)) for k in sorted(master.keys() | have.keys()) if master.get(k) != have.get(k)]
-    return spark.createDataFrame(rows, "field string, master string, found string")
+    """The header of documents against a master header that it departs from in four ways."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    rows = schema_drift(table(spark, d, "documents").schema, _parse_datatype_string(MASTER))
+    return spark.createDataFrame(rows, "field string, drift string, master string, found string")
 
 
 @operator("v15_balance_gate", "SELECT label, count(*) AS n FROM embeddings GROUP BY label HAVING count(*) <> (SELECT count(*) // count(DISTINCT label) FROM embeddings)")

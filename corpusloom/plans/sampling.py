@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import sampling as k
-from ..operators.windows import first_by, hash_row_number
+from ..operators.windows import first_by, hash_row_number, hash_running_sum, ordered_prefix, value_row_number
 from ..registry import operator, table
 from . import sql as s
 
@@ -106,26 +103,12 @@ CAPPED_SCHEMA = "category string, doc_id long"
 @operator("k08_capped_greedy_select")
 def k08_exact(spark, d):
     """Two caps at once, in hash order: at most two rows per first word and three per length class in each
-    source. State is two small counters, kept while a source's rows stream by in sorted batches."""
+    source."""
     docs = table(spark, d, "documents").select(
         F.col("source").alias("category"), "doc_id", F.array_join(F.slice(t.words("text"), 1, 1), " ").alias("a"),
         F.floor(F.log10(F.col("n_chars") + 1) * 4).alias("b"), k.hash_rank("greedy", "doc_id").alias("h"),
     )
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        category, seen_a, seen_b = None, {}, {}
-        for batch in batches:
-            keep = []
-            for row in batch.itertuples(index=False):
-                if row.category != category:
-                    category, seen_a, seen_b = row.category, {}, {}
-                if seen_a.get(row.a, 0) < 2 and seen_b.get(row.b, 0) < 3:
-                    seen_a[row.a] = seen_a.get(row.a, 0) + 1
-                    seen_b[row.b] = seen_b.get(row.b, 0) + 1
-                    keep.append((row.category, row.doc_id))
-            yield pd.DataFrame(keep, columns=["category", "doc_id"])
-
-    return docs.repartition("category").sortWithinPartitions("category", "h", "doc_id").mapInPandas(choose, CAPPED_SCHEMA)
+    return k.doubly_capped(docs, 2, 3)
 
 
 _HOSTS = f"SELECT page_id, {s.host('url')} AS host, length(html) AS n FROM pages"
@@ -137,29 +120,16 @@ _HOSTS = f"SELECT page_id, {s.host('url')} AS host, length(html) AS n FROM pages
 )
 def k09(spark, d):
     p = table(spark, d, "pages").select("page_id", t.host("url").alias("host"), F.length("html").alias("n"))
-    c = F.sum("n").over(Window.partitionBy("host").orderBy(k.hash_rank("host", "page_id"), "page_id").rowsBetween(Window.unboundedPreceding, 0))
-    return p.withColumn("c", c).where("c <= 20000").select("page_id", "host")
+    c = hash_running_sum(p, ["host"], k.hash_rank("host", "page_id"), "page_id", "n", "c")
+    return c.where("c <= 20000").select("page_id", "host")
 
 
 @operator("k09_host_cap_greedy")
 def k09_exact(spark, d):
     """Exact greedy cap: a page that would exceed its host's budget is skipped and later, shorter ones may
-    still fit. One running number per host, over batches sorted by host and hash."""
+    still fit."""
     p = table(spark, d, "pages").select("page_id", t.host("url").alias("host"), F.length("html").cast("long").alias("n"), k.hash_rank("host", "page_id").alias("h"))
-
-    def cap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        host, used = None, 0
-        for batch in batches:
-            keep = []
-            for row in batch.itertuples(index=False):
-                if row.host != host:
-                    host, used = row.host, 0
-                if used + row.n <= 20000:
-                    used += row.n
-                    keep.append((row.page_id, row.host))
-            yield pd.DataFrame(keep, columns=["page_id", "host"])
-
-    return p.repartition("host").sortWithinPartitions("host", "h", "page_id").mapInPandas(cap, "page_id long, host string")
+    return k.budgeted(p, "host", "page_id", "n", "h", 20000)
 
 
 @operator(
@@ -189,8 +159,7 @@ def k11(spark, d):
 )
 def k12(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    by = Window.partitionBy("lang")
-    middle = docs.select("doc_id", (F.row_number().over(by.orderBy("n_chars", "doc_id")) - 1).alias("i"), F.count(F.lit(1)).over(by).alias("n")).where("i = (n - 1) div 2")
+    middle = value_row_number(docs, ["lang"], F.col("n_chars"), "doc_id", "i", "n").where("i - 1 = (n - 1) div 2")
     return docs.groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id")).select("doc_id").union(middle.select("doc_id")).distinct()
 
 
@@ -215,9 +184,12 @@ def k14(spark, d):
     FROM (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS i FROM documents)""",
 )
 def k15(spark, d):
-    docs = table(spark, d, "documents").select("source", "lang", "doc_id", F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")).alias("i"))
-    order = Window.partitionBy("source").orderBy(F.when(F.col("i") <= 2, 0).otherwise(1), "lang", "doc_id")
-    return docs.select("source", "doc_id", F.row_number().over(order).cast("long").alias("position"))
+    """Two rows of each language come first. Which two a task knows for its own rows; only they meet."""
+    docs = table(spark, d, "documents").select("source", "lang", "doc_id")
+    first = first_by(docs, ["source", "lang"], ["doc_id"], 2).select(F.col("doc_id").alias("chosen"))
+    marked = docs.join(first, F.col("doc_id") == F.col("chosen"), "left")
+    order = F.struct(F.col("chosen").isNull().cast("int").alias("later"), "lang")
+    return value_row_number(marked, ["source"], order, "doc_id", "position").select("source", "doc_id", "position")
 
 
 @operator(
@@ -242,7 +214,11 @@ def u03(spark, d):
     return lines.where("l_linestatus = 'O'").select("l_suppkey").exceptAll(lines.where("l_linestatus = 'F'").select("l_suppkey"))
 
 
-@operator("u04_symmetric_difference_schema")
+@operator(
+    "u04_symmetric_difference_schema",
+    """WITH a AS (SELECT column_name AS c FROM (DESCRIBE SELECT * FROM documents)), b AS (SELECT column_name AS c FROM (DESCRIBE SELECT * FROM pages))
+    SELECT c AS column, 'left' AS side FROM a ANTI JOIN b USING (c) UNION ALL SELECT c, 'right' FROM b ANTI JOIN a USING (c)""",
+)
 def u04(spark, d):
     """Columns that only one of two tables has."""
     a, b = set(table(spark, d, "documents").columns), set(table(spark, d, "pages").columns)
@@ -250,16 +226,20 @@ def u04(spark, d):
     return spark.createDataFrame(rows, "column string, side string")
 
 
+_FROZEN = "sha256('frozen:' || doc_id)"
+
+
 @operator(
     "u05_frozen_superset_prefix",
-    """SELECT count(*) AS kept, CAST(sum(CASE WHEN new = old THEN 1 ELSE 0 END) AS BIGINT) AS same_place FROM (
-    SELECT a.doc_id, a.i AS old, b.i AS new FROM (SELECT doc_id, row_number() OVER (PARTITION BY 1 ORDER BY doc_id) AS i FROM documents WHERE doc_id < 50) a
-    JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE doc_id < 100) b USING (doc_id))""",
+    f"""WITH d AS (SELECT doc_id, {_FROZEN} AS h FROM documents), old AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS i FROM d WHERE h < '8'),
+    new AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS i FROM d WHERE h < 'c')
+    SELECT count(*) AS frozen, count(new.i) AS kept, CAST(sum(CASE WHEN new.i = old.i THEN 1 ELSE 0 END) AS BIGINT) AS same_place FROM old LEFT JOIN new USING (doc_id)""",
 )
 def u05(spark, d):
-    """Places of a frozen selection (ids below 50) in its extension (below 100)."""
-    docs = table(spark, d, "documents").select("doc_id")
-    order = Window.orderBy("doc_id")
-    old = docs.where("doc_id < 50").select("doc_id", F.row_number().over(order).alias("old"))
-    new = docs.where("doc_id < 100").select("doc_id", F.row_number().over(order).alias("new"))
-    return old.join(new, "doc_id").agg(F.count(F.lit(1)).alias("kept"), F.sum((F.col("old") == F.col("new")).cast("long")).alias("same_place"))
+    """Places of a frozen selection (half of all ids, by hash) in its extension (three quarters): of how many
+    rows, how many are kept, and how many stand at their place."""
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.concat(F.lit("frozen:"), F.col("doc_id").cast("string")), 256).alias("h"))
+    placed = lambda end, name: ordered_prefix(docs.where(F.col("h") < end), F.col("h"), F.lit(1), name, "doc_id").select("doc_id", name)
+    both = placed("8", "old").join(placed("c", "new"), "doc_id", "left")
+    same = F.sum(F.coalesce((F.col("old") == F.col("new")).cast("long"), F.lit(0)))
+    return both.agg(F.count(F.lit(1)).alias("frozen"), F.count("new").alias("kept"), same.alias("same_place"))

@@ -59,7 +59,7 @@ def w03(spark, d):
     "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2 AS rank FROM part",
 )
 def w04(spark, d):
-    return table(spark, d, "part").select("p_partkey", w.tie_corrected_rank(["p_brand"], F.col("p_size")).alias("rank"))
+    return w.tie_corrected_rank(table(spark, d, "part"), ["p_brand"], "p_size", "rank").select("p_partkey", "rank")
 
 
 @operator(
@@ -76,7 +76,8 @@ def w05(spark, d):
     "SELECT doc_id, CAST(floor((row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1) * 4 / count(*) OVER (PARTITION BY lang)) AS BIGINT) AS band FROM documents",
 )
 def w06(spark, d):
-    return table(spark, d, "documents").select("doc_id", w.bands(["lang"], ["n_chars", "doc_id"], 4).alias("band"))
+    docs = w.value_row_number(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), ["lang"], F.col("n_chars"), "doc_id", "i", "n")
+    return docs.select("doc_id", F.floor((F.col("i") - 1) * 4 / F.col("n")).alias("band"))
 
 
 @operator(
@@ -85,10 +86,8 @@ def w06(spark, d):
     JOIN (SELECT unnest(range(5)) AS k) ON i = CAST(floor((k + 0.5) * n / 5) AS BIGINT)""",
 )
 def w07(spark, d):
-    by = Window.partitionBy("source")
-    docs = table(spark, d, "documents").select(
-        "source", "doc_id", (F.row_number().over(by.orderBy("n_chars", "doc_id")) - 1).alias("i"), F.count(F.lit(1)).over(by).alias("n")
-    )
+    docs = w.value_row_number(table(spark, d, "documents").select("doc_id", "source", "n_chars"), ["source"], F.col("n_chars"), "doc_id", "i", "n")
+    docs = docs.withColumn("i", F.col("i") - 1)
     picks = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct(k.cast("long").alias("k"), F.floor((k + 0.5) * F.col("n") / 5).alias("p")))
     hit = F.filter(picks, lambda x: x["p"] == F.col("i"))
     return docs.select("source", "doc_id", F.explode(hit).alias("x")).select("source", F.col("x.k").alias("k"), "doc_id")
@@ -100,10 +99,8 @@ def w07(spark, d):
     JOIN (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]) AS q) ON abs(i - floor((n - 1) * q)) <= 2""",
 )
 def w08(spark, d):
-    by = Window.partitionBy("lang")
-    docs = table(spark, d, "documents").select(
-        "lang", "doc_id", (F.row_number().over(by.orderBy("n_chars", "doc_id")) - 1).alias("i"), F.count(F.lit(1)).over(by).alias("n")
-    )
+    docs = w.value_row_number(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), ["lang"], F.col("n_chars"), "doc_id", "i", "n")
+    docs = docs.withColumn("i", F.col("i") - 1)
     marks = F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])
     return docs.where(F.exists(marks, lambda x: F.abs(F.col("i") - F.floor((F.col("n") - 1) * x)) <= 2)).select("lang", "doc_id")
 
@@ -114,12 +111,11 @@ def w08(spark, d):
     FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS a, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS b FROM documents))""",
 )
 def w09(spark, d):
-    by = Window.partitionBy("lang")
-    docs = table(spark, d, "documents").select(
-        "doc_id", F.row_number().over(by.orderBy("n_chars", "doc_id")).alias("a"), F.row_number().over(by.orderBy(F.desc("n_chars"), "doc_id")).alias("b")
-    )
-    band = F.array_compact(F.array(F.when(F.col("a") <= 10, "shortest"), F.when(F.col("b") <= 10, "longest")))
-    return docs.select(F.explode(band).alias("band"), "doc_id")
+    """Each task keeps ten rows a language before the rows meet."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    shortest = w.first_by(docs, ["lang"], ["n_chars", "doc_id"], 10).select(F.lit("shortest").alias("band"), "doc_id")
+    longest = w.first_by(docs, ["lang"], [F.desc("n_chars"), "doc_id"], 10).select(F.lit("longest").alias("band"), "doc_id")
+    return shortest.union(longest)
 
 
 @operator(
@@ -140,5 +136,5 @@ def w10(spark, d):
 )
 def w11(spark, d):
     c = table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("position"))
-    rn = F.row_number().over(Window.partitionBy("position").orderBy(F.md5(F.col("conv_id").cast("string")), "conv_id"))
-    return c.select("conv_id", "position", F.pmod(rn + F.col("position"), F.lit(3)).alias("arm"))
+    ranked = w.hash_row_number(c, ["position"], F.md5(F.col("conv_id").cast("string")), "conv_id", "rn")
+    return ranked.select("conv_id", "position", F.pmod(F.col("rn") + F.col("position"), F.lit(3)).alias("arm"))
