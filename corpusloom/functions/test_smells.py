@@ -1,0 +1,261 @@
+"""Eleven smells of Python test modules. Each test is read once into ``Facts``; a smell is a condition on them."""
+
+from __future__ import annotations
+
+import ast
+import re
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+# fixed values: the names that the smells look for, and the thresholds
+OUTSIDE_MODULES = frozenset(
+    "requests httpx socket ftplib aiohttp sqlite3 sqlalchemy pymongo psycopg2 pymysql motor subprocess boto3 google azure".split()
+)
+OUTSIDE_SUBMODULES = ("urllib.request", "urllib.robotparser", "http.client", "http.server")
+OUTSIDE_CALLS = frozenset(
+    "listdir scandir remove unlink rmdir makedirs mkdir rename stat lstat access read_text read_bytes write_text write_bytes iterdir glob "
+    "rglob rmtree copytree copyfile copy2 mkstemp mkdtemp NamedTemporaryFile TemporaryFile TemporaryDirectory open".split()
+)
+PLAIN_NUMBERS = (0, 1, -1, 2, -2)
+MOST_STATEMENTS, MOST_ASSIGNMENTS, SETUP_ASSIGNMENTS, NESTED_CLASSES = 15, 5, 3, 3
+SETUPS = frozenset("setUp setUpClass setUpModule setup_method setup_function setup".split())
+CLOCKS = frozenset("time perf_counter monotonic process_time thread_time gmtime localtime mktime strftime ctime".split())
+RANDOMS = frozenset("random randint choice shuffle sample uniform gauss randrange choices expovariate".split())
+ROOTS = ("/home/", "/root/", "/Users/", "/usr/", "/etc/", "/opt/", "/var/lib/", "/var/log/", "/srv/", "/data/", "/mnt/", "/media/", "/tmp/")
+RAISING = frozenset("assertRaises assertRaisesRegex assertRaisesRegexp assertWarns assertWarnsRegex assertWarnsRegexp".split())
+
+SMELLS = (
+    "assertion_roulette eager_test mystery_guest magic_number_test obscure_test general_fixture "
+    "conditional_test_logic fragile_test unknown_test trivial_assertion duplicated_setup"
+).split()
+
+_DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_ASSIGNMENTS = (ast.Assign, ast.AnnAssign)
+_CONDITIONAL = (ast.If, ast.For, ast.While, ast.Try, ast.TryStar, ast.IfExp)
+
+
+def without_fences(text: str | None) -> str:
+    """Code without the markdown around it."""
+    text = re.sub(r"```(?:python\s*)?\n?", "", text or "")
+    return re.sub(r"`([^`]+)`", r"\1", text).strip()
+
+
+def dotted(node: ast.AST) -> str:
+    """a.b.c of a name or a chain of attributes of one, else the part that has names, after a dot."""
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    parts.append(node.id if isinstance(node, ast.Name) else "")
+    return ".".join(reversed(parts))
+
+
+def own_nodes(node: ast.AST) -> Iterator[ast.AST]:
+    """The node and all below it but functions defined inside."""
+    open_ = [node]
+    while open_:
+        x = open_.pop()
+        yield x
+        open_ += [c for c in ast.iter_child_nodes(x) if not isinstance(c, _DEFINITIONS)]
+
+
+def tests_of(tree: ast.AST, depth: int = 0) -> Iterator[ast.AST]:
+    """Test functions of the module and of its classes."""
+    for node in ast.iter_child_nodes(tree):
+        if isinstance(node, _DEFINITIONS) and node.name.startswith("test"):
+            yield node
+        elif isinstance(node, ast.ClassDef) and depth < NESTED_CLASSES:
+            yield from tests_of(node, depth + 1)
+
+
+@dataclass
+class Facts:
+    """What one test holds."""
+
+    function: ast.AST
+    asserts: list[ast.Assert] = field(default_factory=list)
+    methods: list[ast.Call] = field(default_factory=list)  # self.assert...
+    calls: list[tuple[str, ast.Call]] = field(default_factory=list)  # by dotted name
+    names: set[str] = field(default_factory=set)
+    texts: list[str] = field(default_factory=list)
+    statements: int = 0
+    assignments: int = 0
+    conditional: bool = False
+    environment: bool = False
+    expecting: int = 0  # pytest.raises and the like
+
+    def __post_init__(self):
+        for n in own_nodes(self.function):
+            if isinstance(n, ast.stmt) and n is not self.function:
+                docstring = isinstance(n, ast.Expr) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str)
+                self.statements += not docstring
+            self.assignments += isinstance(n, (*_ASSIGNMENTS, ast.AugAssign))
+            self.conditional |= isinstance(n, _CONDITIONAL)
+            if isinstance(n, ast.Assert):
+                self.asserts.append(n)
+            elif isinstance(n, ast.Call):
+                name = dotted(n.func)
+                self.calls.append((name, n))
+                if re.fullmatch(r"self\.assert\w*", name):
+                    self.methods.append(n)
+            elif isinstance(n, ast.Name):
+                self.names.add(n.id)
+            elif isinstance(n, ast.Attribute):
+                self.environment |= dotted(n) == "os.environ"
+            elif isinstance(n, ast.Constant) and isinstance(n.value, str):
+                self.texts.append(n.value)
+            elif isinstance(n, ast.With):
+                made = [dotted(i.context_expr.func) for i in n.items if isinstance(i.context_expr, ast.Call)]
+                self.expecting += sum(x in ("pytest.raises", "pytest.warns", "pytest.deprecated_call") for x in made)
+
+    @property
+    def checks(self) -> int:
+        return len(self.asserts) + len(self.methods)
+
+
+def _roulette(f: Facts) -> bool:
+    """Two assertions or more, and none says what went wrong."""
+    told = any(a.msg for a in f.asserts)
+    for c in f.methods:
+        told |= any(k.arg == "msg" for k in c.keywords) or c.func.attr not in RAISING and len(c.args) >= 3
+    return f.checks > 1 and not told
+
+
+def _eager(f: Facts, subject: str) -> bool:
+    """The function under test is called more than once."""
+    return bool(subject) and sum(name.rpartition(".")[2] == subject for name, _ in f.calls) > 1
+
+
+def outside_names(tree: ast.Module) -> set[str]:
+    """Names by which a module knows network, database and process modules."""
+
+    def outside(module: str) -> bool:
+        return module.split(".")[0] in OUTSIDE_MODULES or any(module == m or module.startswith(m + ".") for m in OUTSIDE_SUBMODULES)
+
+    found = set()
+    for n in tree.body:
+        if isinstance(n, ast.Import):
+            found |= {a.asname or a.name.split(".")[0] for a in n.names if outside(a.name)}
+        elif isinstance(n, ast.ImportFrom) and n.module and outside(n.module):
+            found |= {a.asname or a.name for a in n.names}
+    return found
+
+
+def _odd_number(node: ast.AST) -> bool:
+    numbers = (c.value for c in ast.walk(node) if isinstance(c, ast.Constant) and type(c.value) in (int, float))
+    return any(x not in PLAIN_NUMBERS for x in numbers)
+
+
+def _magic_number(f: Facts) -> bool:
+    tables = [d.args[1] for d in f.function.decorator_list if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr == "parametrize" and len(d.args) >= 2]
+    compared = [a.test for a in f.asserts] + [x for c in f.methods for x in c.args]
+    return any(map(_odd_number, tables + compared))
+
+
+def _fragile(f: Facts) -> bool:
+    """Sleeps, clocks, random numbers without a seed, the environment, absolute paths."""
+    seeded = any(re.fullmatch(r"(?:.*\.)?random\.seed", name) for name, _ in f.calls)
+    for name, _ in f.calls:
+        base, _, last = name.rpartition(".")
+        if name in ("sleep", "time.sleep", "asyncio.sleep", "os.getenv") or base == "time" and last in CLOCKS:
+            return True
+        if base == "uuid" and last in ("uuid1", "uuid3", "uuid4", "uuid5"):
+            return True
+        if last in ("now", "today", "utcnow") and base.rpartition(".")[2] in ("datetime", "date"):
+            return True
+        if last in RANDOMS and base in ("random", "np.random", "numpy.random") and not seeded:
+            return True
+    fixed = lambda t: len(t) > 4 and (t.startswith(ROOTS) or re.match(r"[A-Za-z]:\\", t))
+    return f.environment or any(map(fixed, f.texts))
+
+
+def _unknown(f: Facts) -> bool:
+    calls = [name for name, _ in f.calls]
+    asserting = [c for name, c in f.calls if isinstance(c.func, ast.Attribute) and c.func.attr.startswith("assert")]
+    return not (f.asserts or asserting or f.expecting or "self.fail" in calls or "pytest.fail" in calls)
+
+
+def _is_bare(node: ast.AST) -> bool:
+    """A name, True or False, or a type test."""
+    constant = isinstance(node, ast.Constant) and isinstance(node.value, bool)
+    return constant or isinstance(node, ast.Name) or isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "isinstance"
+
+
+def _is_trivial(test: ast.AST) -> bool:
+    """Says only that there is something, of some type."""
+    match test:
+        case ast.Compare(ops=[ast.Is() | ast.IsNot() | ast.Eq() | ast.NotEq()], comparators=[ast.Constant(value=None)]):
+            return True
+        case ast.Compare(ops=[ast.Eq()], comparators=[ast.List(elts=[]) | ast.Set(elts=[]) | ast.Dict(keys=[]) | ast.Constant(value="")]):
+            return True
+    return _is_bare(test)
+
+
+def _is_trivial_method(call: ast.Call) -> bool:
+    name = call.func.attr
+    bare = name in ("assertTrue", "assertFalse") and call.args and _is_bare(call.args[0])
+    return name in ("assertIsNone", "assertIsNotNone", "assertIsInstance") or bool(bare)
+
+
+def _trivial(f: Facts) -> bool:
+    """There are assertions, and all of them are trivial."""
+    return f.checks > 0 and all(_is_trivial(a.test) for a in f.asserts) and all(map(_is_trivial_method, f.methods))
+
+
+def _general_fixture(tree: ast.Module) -> bool:
+    """A set-up with three assignments or more."""
+
+    def is_fixture(d: ast.AST) -> bool:
+        return dotted(d.func if isinstance(d, ast.Call) else d).rpartition(".")[2] == "fixture"
+
+    plain = [n for n in tree.body if isinstance(n, ast.FunctionDef)]
+    made = [n for n in plain if n.name in SETUPS or any(map(is_fixture, n.decorator_list))]
+    for c in tree.body:
+        if isinstance(c, ast.ClassDef):
+            made += [n for n in c.body if isinstance(n, ast.FunctionDef) and n.name in SETUPS]
+    return any(sum(isinstance(n, _ASSIGNMENTS) for n in ast.walk(f)) >= SETUP_ASSIGNMENTS for f in made)
+
+
+def _duplicated_setup(tests: list[Facts]) -> bool:
+    """Two tests assign the same value to the same name on their top level."""
+    seen: Counter[tuple[str, str]] = Counter()
+    for f in tests:
+        own = set()
+        for n in f.function.body:
+            target = n.targets[0] if isinstance(n, ast.Assign) and len(n.targets) == 1 else n.target if isinstance(n, ast.AnnAssign) and n.value else None
+            if isinstance(target, (ast.Name, ast.Attribute)):
+                own.add((target.id if isinstance(target, ast.Name) else target.attr, ast.dump(n.value)))
+        seen.update(own)
+    return any(n > 1 for n in seen.values())
+
+
+def test_smells(source: str | None, subject: str = "") -> dict[str, bool]:
+    """Whether a test module has each smell; ``subject``: the function under test. Sources that are empty or
+    don't parse have none, and ``parseable`` False."""
+    text = without_fences(source)
+    try:
+        tree = ast.parse(text) if text else None
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        tree = None
+    if tree is None:
+        return {"parseable": False} | dict.fromkeys(SMELLS, False)
+    tests = [Facts(f) for f in tests_of(tree)]
+    outside = outside_names(tree)
+    found = {
+        "assertion_roulette": any(map(_roulette, tests)),
+        "eager_test": any(_eager(f, subject) for f in tests),
+        "mystery_guest": any(f.names & outside or any(name.rpartition(".")[2] in OUTSIDE_CALLS for name, _ in f.calls) for f in tests),
+        "magic_number_test": any(map(_magic_number, tests)),
+        "obscure_test": any(f.statements > MOST_STATEMENTS or f.assignments > MOST_ASSIGNMENTS for f in tests),
+        "general_fixture": _general_fixture(tree),
+        "conditional_test_logic": any(f.conditional for f in tests),
+        "fragile_test": any(map(_fragile, tests)),
+        "unknown_test": any(map(_unknown, tests)),
+        "trivial_assertion": any(map(_trivial, tests)),
+        "duplicated_setup": _duplicated_setup(tests),
+    }
+    return {"parseable": True} | {n: bool(found[n]) for n in SMELLS}
+
+
+test_smells.__test__ = False

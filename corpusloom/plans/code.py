@@ -3,6 +3,7 @@ module that is generated from its id and its first words, some of them broken.""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,22 +11,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import code_analysis as c
-from ..functions import text as t
+from ..functions import oracles as orc
+from ..functions import test_smells as sm
 from ..registry import operator, table
 
 
 def sources(spark, d) -> DataFrame:
-    """(doc_id, code) of all documents."""
-    word = lambda i: F.coalesce(F.try_element_at(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)), F.lit(i)), F.lit("x"))
-    n = F.col("doc_id")
-    fails = F.when(n % 17 == 0, "  return (\n").otherwise("")
-    body = (
-        F.when(n % 4 == 0, F.concat(F.lit("    assert value_"), word(1), F.lit("(3) == "), (n % 9).cast("string"), F.lit("\n")))
-        .when(n % 4 == 1, F.lit("    assert True\n    for i in range(2):\n        assert i == i\n"))
-        .when(n % 4 == 2, F.concat(F.lit("    x = "), (n % 5).cast("string"), F.lit("\n    if x and x > 1 or x == 0:\n        assert x is not None\n")))
-        .otherwise(F.lit("    import time\n    time.sleep(1)\n"))
+    """(doc_id, code) of all documents. The whole text stands above the code as a comment."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))
+    word = lambda i: F.coalesce(F.try_element_at(words, F.lit(i)), F.lit("x"))
+    n, call = F.col("doc_id"), F.concat(F.lit("value_"), word(1))
+    bodies = (
+        ("    assert ", call, "(3) == ", (n % 9).cast("string"), "\n"),
+        ("    assert True\n    for i in range(2):\n        assert i == i\n",),
+        ("    x = ", (n % 5).cast("string"), "\n    if x and x > 1 or x == 0:\n        assert x is not None\n"),
+        ("    import time\n    time.sleep(1)\n",),
+        ("    result = ", call, "(2)\n    assert result is not None\n    assert isinstance(result, int)\n"),
+        ("    result = ", call, "(2)\n    again = ", call, "(result)\n    assert again == 4, 'wrong'\n"),
+        ("    with open('/tmp/x') as f:\n        assert ", call, "(len(f.read())) > 0\n"),
+        ("    mock = Mock()\n    ", call, "(mock)\n    mock.run.assert_called_once_with(7)\n"),
     )
-    code = F.concat(F.lit("def value_"), word(1), F.lit("(a):\n    return a + 1 if a else 0\n\ndef test_r"), (n % 6).cast("string"), F.lit("_"), word(2), F.lit("():\n"), body, fails)
+    text = lambda parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    body = F.lit("")
+    for k, parts in enumerate(bodies):
+        body = F.when(n % len(bodies) == k, text(parts)).otherwise(body)
+    above = F.concat(F.lit("# "), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n\f\x00]", "\n# "), F.lit("\n"))
+    head = text(("def ", call, "(a):\n    return a + 1 if a else 0\n\ndef test_r", (n % 6).cast("string"), "_", word(2), "():\n"))
+    code = F.concat(above, head, body, F.when(n % 17 == 0, "  return (\n").otherwise(""))
     return table(spark, d, "documents").select("doc_id", code.alias("code"))
 
 
@@ -57,11 +69,17 @@ def c02(spark, d):
     return mapped(sources(spark, d), lambda code: [tuple(c.triage(code)[n] for n in names)], "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
-SMELLS = tuple(c.test_smells("")) 
+SMELLS = ("parseable", *sm.SMELLS)
+
+
+def _subject(code: str) -> str:
+    """The function that a generated module tests."""
+    return re.search(r"(?m)^def (value_\w+)", code)[1]
 
 
 def smells(spark, d) -> DataFrame:
-    return mapped(sources(spark, d), lambda code: [tuple(c.test_smells(code)[n] for n in SMELLS)], "doc_id long, " + ", ".join(f"{n} boolean" for n in SMELLS))
+    f = lambda code: [tuple(sm.test_smells(code, _subject(code))[n] for n in SMELLS)]
+    return mapped(sources(spark, d), f, "doc_id long, " + ", ".join(f"{n} boolean" for n in SMELLS))
 
 
 @operator("c03_test_smells")
@@ -70,11 +88,8 @@ def c03(spark, d):
 
 
 def oracles(spark, d) -> DataFrame:
-    def f(code):
-        tree = c.parse(code)
-        return [] if tree is None else [(a.lineno, c.assertion_strength(a)) for a in c.assertions(tree)]
-
-    return mapped(sources(spark, d), f, "doc_id long, line long, strength string")
+    f = lambda code: [(line, kind, strength) for line, _, kind, strength in orc.oracles(code, [_subject(code)]) or ()]
+    return mapped(sources(spark, d), f, "doc_id long, line long, kind string, strength string")
 
 
 @operator("c04_oracle_classification")
@@ -82,6 +97,18 @@ def c04(spark, d):
     return oracles(spark, d)
 
 
+@operator("c04_suite_gates")
+def c04_gates(spark, d):
+    """Category and gates of each module as a suite, those that don't parse as failed ones without oracles."""
+    def f(code):
+        sites = orc.oracles(code, [_subject(code)])
+        classes = [x[3] for x in sites or ()]
+        return [(orc.suite_category(classes), *orc.gates(sites is not None, classes).values())]
+
+    names = ", ".join(f"{n} boolean" for n in orc.gates(True, []))
+    return mapped(sources(spark, d), f, f"doc_id long, category string, {names}")
+
+
 @operator("c05_test_extraction")
 def c05(spark, d):
     """Status of each module: the first of truncated, syntax, no_tests, complete that applies."""
