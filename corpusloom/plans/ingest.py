@@ -67,12 +67,38 @@ def s06(spark, d):
     return flat.select("conv_id", "qa.turn", F.sha2("qa.text", 256).alias("h"), "qa.answer_end")
 
 
-@operator("s07_sectioned_text_parse", f"SELECT doc_id, lang AS section, unnest(['SOURCE', 'HEAD']) AS field, unnest([source, {s.blank('substr(text, 1, 40)')}]) AS value FROM documents WHERE {s.blank('substr(text, 1, 40)')} <> ''")
+_EDGES = "'^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'"
+
+
+@operator(
+    "s07_sectioned_text_parse",
+    f"""WITH d AS (SELECT doc_id, lang, regexp_replace(text, {_EDGES}) AS v, CASE WHEN doc_id % 7 = 0 THEN '' ELSE source END AS source FROM documents), n AS (SELECT unnest([0, 1]) AS place)
+    SELECT doc_id, place, lang AS section, unnest(['SOURCE', 'TEXT']) AS kind, sha256(unnest([source, v])) AS value FROM d, n WHERE place = 0 OR doc_id % 10 = 0
+    UNION ALL SELECT doc_id, place, lang, 'flag', sha256(CASE WHEN doc_id % 9 = 0 THEN 'severe' ELSE 'low' END || '/length/a|b') FROM d, n WHERE place = 0 OR doc_id % 10 = 0
+    UNION ALL SELECT doc_id, 0, lang, 'fault', sha256('repeated section') FROM d WHERE doc_id % 10 = 0
+    UNION ALL SELECT doc_id, 0, lang, 'fault', sha256('empty SOURCE') FROM d, n WHERE doc_id % 7 = 0 AND (place = 0 OR doc_id % 10 = 0)
+    UNION ALL SELECT doc_id, 0, lang, 'fault', sha256('empty TEXT') FROM d, n WHERE v = '' AND (place = 0 OR doc_id % 10 = 0)
+    UNION ALL SELECT doc_id, 0, lang, 'fault', sha256('bad flag') FROM d, n WHERE doc_id % 9 = 0 AND (place = 0 OR doc_id % 10 = 0)""",
+)
 def s07(spark, d):
-    head = t.blank(F.substring("text", 1, 40))
-    text = F.concat(F.lit("=== "), "lang", F.lit("\n@@SOURCE\n"), "source", F.lit("\n@@HEAD\n"), head, F.lit("\n"))
-    docs = _docs(spark, d).where(head != "").select("doc_id", text.alias("x"))
-    return r.parse_sections(docs, "doc_id", "x")
+    """Whole texts as blocks, header-like lines in them escaped; some sections stand twice, some sources are
+    empty, some flags are none."""
+    n = F.col("doc_id")
+    value = r.escaped_lines(F.concat(F.lit("=== x\n"), F.lit("@@"), F.lit("\n"), "text"))
+    flag = F.concat(F.when(n % 9 == 0, "severe").otherwise("low"), F.lit(" | length|a|b\n"))
+    body = F.concat(F.lit("@@SOURCE\n"), F.when(n % 7 == 0, "").otherwise(F.col("source")), F.lit("\n@@TEXT\n"), value, F.lit("\n@@FLAGS\n\n"), flag)
+    section = F.concat(F.lit("=== "), "lang", F.lit("\n"), body)
+    docs = _docs(spark, d).select("doc_id", F.concat(F.lit("a title\n"), section, F.when(n % 10 == 0, section).otherwise("")).alias("x"))
+    parsed = r.parse_sections(docs, "doc_id", "x")
+    # the two lines that stand before each text prove the escape; they are taken off again
+    blocks = parsed.select("doc_id", "place", "section", F.explode("fields").alias("f")).where("f.field <> 'FLAGS'")
+    text = F.regexp_replace(F.regexp_replace("f.value", r"^=== x\n@@(\n|$)", ""), r"^[ \t\n\r\f]+", "")
+    values = blocks.select("doc_id", "place", "section", F.col("f.field").alias("kind"), F.when(F.col("f.field") == "TEXT", text).otherwise(F.col("f.value")).alias("value"))
+    flags = r.section_flags(parsed, "doc_id").select("doc_id", "place", "section", F.lit("flag").alias("kind"), F.concat_ws("/", "severity", "type", "note").alias("value"))
+    # the fields of an empty text hold the two lines, so its fault is told by the value
+    required = r.section_faults(parsed, "doc_id", ["SOURCE", "TEXT"]).select("doc_id", F.lit(0).alias("place"), "section", F.lit("fault").alias("kind"), F.col("fault").alias("value"))
+    empty = values.where("kind = 'TEXT' and value = ''").select("doc_id", F.lit(0).alias("place"), "section", F.lit("fault").alias("kind"), F.lit("empty TEXT").alias("value"))
+    return values.union(flags).union(required).union(empty).withColumn("value", F.sha2("value", 256))
 
 
 @operator("s08_recursive_prompt_harvest", "SELECT conv_id, text AS prompt FROM conversations WHERE role = 'user' UNION ALL SELECT DISTINCT conv_id, 'top' FROM conversations")
@@ -125,15 +151,22 @@ def s13(spark, d):
     return table(spark, d, "conversations").where(F.col("role").isin("user", "assistant")).select("conv_id", "turn", "role", F.col("text").alias("content"))
 
 
-@operator("s14_archive_pack_verify")
+@operator(
+    "s14_archive_pack_verify",
+    """SELECT 'documents/' || doc_id || '.txt' AS name, strlen(replace(text, chr(13) || chr(10), chr(10))) AS size,
+    sha256(replace(text, chr(13) || chr(10), chr(10))) AS sha256, doc_id % 50 <> 1 AS ok FROM documents""",
+)
 def s14(spark, d):
-    """Files of a written table against hashes taken from them at writing."""
+    """Documents, with line ends made one, as members of tar archives of about 16 MB, written and read again;
+    members are held against sizes and hashes taken from the table, some of which are spoiled on purpose."""
+    docs = _docs(spark, d).select("doc_id", F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.replace("text", F.lit("\r\n"), F.lit("\n")).alias("content"))
+    archives = int(docs.agg(F.sum(F.octet_length("content"))).first()[0] or 0) // (16 << 20) + 1
     path = r.scratch(spark, "pack")
-    _docs(spark, d).select("doc_id", "lang").write.json(path)
-    files = spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")
-    )
-    return r.verify_files(spark, path, files).groupBy("ok").agg(F.count(F.lit(1)).alias("files"))
+    r.pack_archives(docs, "name", "content", archives).write.parquet(path)
+    size, digest = F.octet_length("content").cast("long"), F.sha2("content", 256)
+    spoiled = F.when(F.col("doc_id") % 50 == 1, F.lit("spoiled")).otherwise(digest)
+    declared = docs.select("name", size.alias("size"), spoiled.alias("sha256"))
+    return r.verify_archives(spark.read.schema("archive int, data binary").parquet(path), declared)
 
 
 @operator("s15_hash_bound_review_import", "SELECT doc_id, doc_id % 6 <> 0 AS accepted FROM labels")

@@ -122,22 +122,41 @@ def n14(spark, d):
     return _docs(spark, d).select("doc_id", F.translate(F.try_element_at(found, F.lit(-1)), ",", ".").try_cast("double").alias("value"))
 
 
+_RAW_SQL = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '<think>FINAL: ' || chr(CAST(65 + doc_id % 4 AS INTEGER)) || '</think>' || text WHEN 3 THEN '<think>FINAL: A</think>' || text || ' FINAL: ' || chr(CAST(65 + doc_id % 4 AS INTEGER)) || '.'
+    WHEN 4 THEN '</think>' || replace(replace(replace(text, 'A', 'a'), 'C', 'c'), 'D', 'd') || ' B' ELSE text END AS raw FROM documents"""
+
+
 @operator(
     "n15_choice_extract",
-    """SELECT doc_id, CASE WHEN len(f) > 0 THEN f[-1] WHEN len(r) > 0 THEN r[1] ELSE '' END AS choice, CASE WHEN len(f) > 0 THEN 'final' WHEN len(r) > 0 THEN 'letter' ELSE 'failed' END AS method
-    FROM (SELECT doc_id, regexp_extract_all(x, 'FINAL: ([A-D])', 1) AS f, regexp_extract_all(x, '\\b([A-D])\\b', 1) AS r FROM (
-    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'FINAL: ' || chr(65 + doc_id % 4) || '. ' ELSE '' END || substr(text, 1, 300) AS x FROM documents WHERE regexp_matches(text, '^[ -~]*$')))""".replace("chr(65 + doc_id % 4)", "chr(CAST(65 + doc_id % 4 AS INTEGER))"),
+    f"""SELECT doc_id, CASE WHEN len(f) > 0 THEN f[-1] WHEN len(r) > 0 THEN r[-1] WHEN len(l) = 1 THEN l[1] END AS choice,
+    CASE WHEN len(f) > 0 THEN 'final' WHEN len(r) > 0 THEN 'final_raw' WHEN len(l) = 1 THEN 'letter' ELSE 'failed' END AS method
+    FROM (SELECT doc_id, regexp_extract_all(answer, 'FINAL: ([A-D])', 1) AS f, regexp_extract_all(raw, 'FINAL: ([A-D])', 1) AS r,
+    list_filter(regexp_split_to_array(answer, '[^A-Za-z0-9_]+'), lambda x: x IN ('A', 'B', 'C', 'D')) AS l
+    FROM (SELECT doc_id, raw, CASE WHEN contains(raw, '</think>') THEN substr(raw, strpos(raw, '</think>') + 8) ELSE raw END AS answer FROM ({_RAW_SQL})))""",
 )
 def n15(spark, d):
-    x = F.concat(
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("FINAL: "), F.char(F.lit(65) + F.col("doc_id") % 4), F.lit(". "))).otherwise(""), F.substring("text", 1, 300)
+    """The last FINAL of the answer, or else of the whole output, or else the only letter that stands alone.
+    Whole texts stand for answers, some with a choice after them or in the reasoning before them."""
+    n, text = F.col("doc_id"), F.col("text")
+    letter = F.char(F.lit(65) + n % 4)
+    raw = (
+        F.when(n % 6 == 0, F.concat(F.lit("<think>FINAL: "), letter, F.lit("</think>"), text))
+        .when(n % 6 == 3, F.concat(F.lit("<think>FINAL: A</think>"), text, F.lit(" FINAL: "), letter, F.lit(".")))
+        .when(n % 6 == 4, F.concat(F.lit("</think>"), F.translate(text, "ACD", "acd"), F.lit(" B")))
+        .otherwise(text)
+    )
+    place = F.instr("raw", "</think>")
+    docs = _docs(spark, d).select("doc_id", raw.alias("raw")).withColumn("answer", F.when(place > 0, F.expr("substring(raw, instr(raw, '</think>') + 8)")).otherwise(F.col("raw")))
+    final = lambda x: F.regexp_extract_all(x, F.lit("FINAL: ([A-D])"), F.lit(1))
+    found = docs.select(
+        "doc_id", final("answer").alias("f"), final("raw").alias("r"),
+        F.filter(F.split("answer", "[^A-Za-z0-9_]+"), lambda x: x.isin("A", "B", "C", "D")).alias("l"),
     )
-    docs = _docs(spark, d).where(F.col("text").rlike("^[ -~]*$")).select("doc_id", x.alias("x"))
-    f, r = F.regexp_extract_all("x", F.lit("FINAL: ([A-D])"), F.lit(1)), F.regexp_extract_all("x", F.lit(r"\b([A-D])\b"), F.lit(1))
-    return docs.select(
+    last = lambda x: F.try_element_at(x, F.lit(-1))
+    return found.select(
         "doc_id",
-        F.coalesce(F.try_element_at(f, F.lit(-1)), F.try_element_at(r, F.lit(1)), F.lit("")).alias("choice"),
-        F.when(F.size(f) > 0, "final").when(F.size(r) > 0, "letter").otherwise("failed").alias("method"),
+        F.coalesce(last("f"), last("r"), F.when(F.size("l") == 1, last("l"))).alias("choice"),
+        F.when(F.size("f") > 0, "final").when(F.size("r") > 0, "final_raw").when(F.size("l") == 1, "letter").otherwise("failed").alias("method"),
     )
 
 

@@ -96,13 +96,17 @@ def m04(spark, d):
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence, by rows of bits: one addition over all of ``a`` for each
+    element of ``b``."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = (row + hit | row - hit) & whole
+    return len(a) - row.bit_count()
 
 
 @operator("m04_rouge_l")

@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import code_analysis as code
+from corpusloom.functions import oracles
+from corpusloom.functions import test_smells as smells
 from corpusloom.functions import text as t
-from corpusloom.operators import aggregates, dedup, quality, sampling, scoring, windows
+from corpusloom.operators import aggregates, dedup, graph, quality, sampling, scoring, windows
 from corpusloom.sources import readers
 
 
@@ -86,8 +88,32 @@ def test_greedy_keep_is_the_sequential_rule(spark):
     for i in range(60):
         if not any((j, i) in set(pairs) for j in kept):
             kept.add(i)
-    out = dedup.greedy_keep(spark.range(60).withColumnRenamed("id", "rank"), spark.createDataFrame(pairs, "low long, high long"))
-    assert {r["rank"] for r in out.collect()} == kept
+    nodes, near = spark.range(60).withColumnRenamed("id", "rank"), spark.createDataFrame(pairs, "low long, high long")
+    for rounds in (0, 1, 2, 30):  # by rounds, in order, and both
+        out = dedup.greedy_keep(nodes, dedup.pair_members(near), rounds)
+        assert {r["rank"] for r in out.collect()} == kept
+
+
+def test_greedy_keep_of_long_chains(spark):
+    """Versions each near the next, and each near the next two: one kept in two, and one in three."""
+    chain = [(i, i + 1) for i in range(999)] + [(2000 + i, 2000 + i + k) for i in range(997) for k in (1, 2)]
+    nodes = spark.range(3000).withColumnRenamed("id", "rank").where("rank < 1000 or rank between 2000 and 2998")
+    out = dedup.greedy_keep(nodes, dedup.pair_members(spark.createDataFrame(chain, "low long, high long")), 2)
+    assert sorted(r["rank"] for r in out.collect()) == [*range(0, 1000, 2), *range(2000, 2999, 3)]
+
+
+def test_greedy_keep_by_keys(spark):
+    rng = random.Random(8)
+    members = sorted({(rng.randrange(200), f"k{rng.randrange(120)}") for _ in range(300)})
+    held = {i: {k for j, k in members if j == i} for i in range(200)}
+    kept, taken = set(), set()
+    for i in range(200):
+        if not held[i] & taken:
+            kept.add(i)
+            taken |= held[i]
+    for rounds in (1, 8):
+        out = dedup.greedy_keep(spark.range(200).withColumnRenamed("id", "rank"), spark.createDataFrame(members, "rank long, key string"), rounds)
+        assert {r["rank"] for r in out.collect()} == kept
 
 
 def test_mcnemar_and_bootstrap_identities(spark):
@@ -98,21 +124,284 @@ def test_mcnemar_and_bootstrap_identities(spark):
 
 
 def test_closure_and_cycles(spark):
-    from corpusloom.plans.joins import closure
-
-    out = closure(spark.createDataFrame([(2, 1), (3, 2), (4, 3)], "id long, parent long"))
+    edges = lambda *x: spark.createDataFrame(list(x), "id long, parent long")
+    out = graph.closure(edges((2, 1), (3, 2), (4, 3)))
     assert {(r["id"], r["ancestor"]) for r in out.collect()} == {(a, b) for a, b in itertools.product(range(1, 5), repeat=2) if a > b}
+    for loop in (edges((1, 2), (2, 1)), edges((1, 1)), edges((1, 2), (2, 3), (3, 4), (4, 1), (9, 1))):
+        with pytest.raises(ValueError, match="cycle"):
+            graph.closure(loop)
+
+
+def plan(spark, *rows):
+    whole = [(k, *r) for k, r in enumerate(rows)]
+    return spark.createDataFrame(whole, "place int, id string, implementation_files array<string>, depends_on array<string>")
+
+
+def test_serialised_plans(spark):
+    tasks = plan(spark, ("later", ["shared.py"], ["first"]), ("independent", ["other.py"], []), ("first", ["shared.py"], []))
+    assert graph.conflicts(tasks).count() == 0 and graph.serialized(tasks).count() == 0
+    tasks = plan(spark, ("base", ["base.py"], []), ("left", ["same.py"], ["base"]), ("right", ["same.py"], ["base"]), ("other", ["other.py"], []))
+    assert [tuple(r) for r in graph.conflicts(tasks).collect()] == [("left", "right", ["same.py"])]
+    assert [tuple(r) for r in graph.serialized(tasks).collect()] == [("right", "left", "same.py")]
+    tasks = plan(spark, ("a", ["src\\same.py"], []), ("b", ["other.py"], ["a"]), ("c", ["src/./SAME.py"], ["b"]))
+    assert graph.conflicts(tasks).count() == 0 and graph.serialized(tasks).count() == 0
+    for bad, said in (
+        (plan(spark, ("a", ["x.py"], ["missing"])), "unknown"),
+        (plan(spark, ("a", ["x.py"], ["b"]), ("b", ["y.py"], ["a"])), "cycle"),
+        (plan(spark, ("a", ["x.py"], []), ("a", ["y.py"], [])), "duplicate"),
+    ):
+        for use in (graph.conflicts, graph.serialized):
+            with pytest.raises(ValueError, match=said):
+                use(bad).count()
+
+
+def test_serialised_plans_of_random_tasks(spark):
+    """Against the rule applied step by step, and without conflicts after."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):
+        rows.append((f"t{i}", rng.sample(["a.py", "b/c.py", "b\\C.py", "d.py", "./e.py"], rng.randint(0, 3)), [f"t{j}" for j in rng.sample(range(i), min(i, rng.randint(0, 2)))]))
+    rng.shuffle(rows)
+    files = lambda r: sorted({f.replace("\\", "/").lower().removeprefix("./") for f in r[1]})
+    deps = {r[0]: set(r[2]) for r in rows}
+    above = lambda t: set().union(*({p} | above(p) for p in deps[t]), set())
+    pending, order = list(rows), []
+    while pending:
+        ready = next(r for r in pending if deps[r[0]] <= {o[0] for o in order})
+        order.append(ready)
+        pending.remove(ready)
+    writer, want = {}, []
+    for r in order:
+        for f in files(r):
+            if f in writer and writer[f] not in above(r[0]):
+                deps[r[0]].add(writer[f])
+                want.append((r[0], writer[f], f))
+            writer[f] = r[0]
+    tasks = plan(spark, *rows)
+    assert [tuple(r) for r in graph.serialized(tasks).collect()] == want and want
+    assert graph.conflicts(plan(spark, *[(i, f, sorted(deps[i])) for i, f, _ in rows])).count() == 0
+
+
+def test_normal_paths(spark):
+    import posixpath
+
+    for path in ("src\\same.py", "src/./same.py", "a//b/../C.py", "../x", "./a/../../b", "/a/../b", "a/b/..", "A"):
+        assert one(spark, graph.normal_path(F.col("a")), a=path) == posixpath.normpath(path.replace("\\", "/")).lower(), path
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)]
+    parent = {n: n for e in edges for n in e}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: root(n) for n in parent if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def test_value_row_number_of_hot_groups_and_values(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([5, 5, 5, 5, 1, 9, None]), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v long, id long")
+    got = {r["id"]: (r["i"], r["n"]) for r in windows.value_row_number(df, ["g"], F.col("v"), "id", "i", "n").collect()}
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[r[2]] for r in own] == [(k + 1, len(own)) for k in range(len(own))]
+
+
+def test_running_sums_and_ranks(spark):
+    import hashlib
+
+    rows = [(i, "a" if i % 3 else "b", i % 11 + 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g string, v long")
+    got = {r["id"]: r["c"] for r in windows.hash_running_sum(df, ["g"], F.sha2(F.col("id").cast("string"), 256), "id", "v", "c").collect()}
+    for g in "ab":
+        total = 0
+        for i, _, v in sorted((r for r in rows if r[1] == g), key=lambda r: hashlib.sha256(str(r[0]).encode()).hexdigest()):
+            total += v
+            assert got[i] == total
+    ranks = {r["id"]: r["r"] for r in windows.tie_corrected_rank(df, ["g"], "v", "r").collect()}
+    for i, g, v in rows:
+        less, same = sum(x[1] == g and x[2] < v for x in rows), sum(x[1] == g and x[2] == v for x in rows)
+        assert ranks[i] == less + (same + 1) / 2
+
+
+def test_greedy_caps_equal_the_sequential_rules(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("st"), i, rng.choice("abcde") if rng.random() < 0.7 else f"w{i}", rng.randrange(4), f"{rng.random():.9f}") for i in range(1500)]
+    out = sampling.doubly_capped(spark.createDataFrame(rows, "category string, doc_id long, a string, b long, h string"), 2, 3)
+    want, seen = set(), {}
+    for c, i, a, b, _ in sorted(rows, key=lambda r: (r[4], r[1])):
+        if seen.get((c, a), 0) < 2 and seen.get((c, b), 0) < 3:
+            seen[c, a], seen[c, b] = seen.get((c, a), 0) + 1, seen.get((c, b), 0) + 1
+            want.add((c, i))
+    assert {tuple(r) for r in out.collect()} == want
+    pages = [(i, rng.choice(["x", "x", "x", "y", "z", None]), rng.choice([1, 5, 30, 90, 200, 5000]), f"{rng.random():.9f}") for i in range(700)]
+    df = spark.createDataFrame(pages, "page_id long, host string, n long, h string")
+    used, want = {}, set()
+    for i, host, n, _ in sorted(pages, key=lambda r: (r[3], r[0])):
+        if used.get(host, 0) + n <= 1000:
+            used[host] = used.get(host, 0) + n
+            want.add((i, host))
+    for step in (3, 64, 1000):
+        assert {tuple(r) for r in sampling.budgeted(df, "host", "page_id", "n", "h", 1000, step).collect()} == want
+
+
+def test_longest_common_subsequence():
+    from corpusloom.plans.scoring import lcs
+
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert lcs(a, b) == table[-1][-1]
+
+
+def test_sections(spark):
+    text = "before\n=== g1\n@@USER\n\n hi \n\\=== not one\n\\\\@@x\n@@FLAGS\nlow|a|b|c\nodd\n=== g2\n@@USER\n=== g1\n@@USER\nx\n@@USER\ny"
+    parsed = readers.parse_sections(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "no header")], "id long, t string"), "id", "t")
+    rows = [(r["id"], r["place"], r["section"], [tuple(f) for f in r["fields"]]) for r in parsed.orderBy("id", "place").collect()]
+    assert rows == [
+        (1, 0, "g1", [("USER", "hi \n=== not one\n\\@@x"), ("FLAGS", "low|a|b|c\nodd")]),
+        (1, 1, "g2", [("USER", "")]),
+        (1, 2, "g1", [("USER", "x"), ("USER", "y")]),
+    ]
+    assert [tuple(r)[3:] for r in readers.section_flags(parsed, "id").collect()] == [("low", "a", "b|c"), ("odd", None, None)]
+    faults = sorted((r["section"], r["fault"]) for r in readers.section_faults(parsed, "id", ["USER"]).collect())
+    assert faults == [("g1", "bad flag"), ("g1", "repeated field"), ("g1", "repeated section"), ("g2", "empty USER")]
+    for value in ("=== a\n@@b", "\\=== a", "x\n\\\\@@y\n===z"):
+        assert one(spark, readers.escaped_lines("a"), a=value).replace("\\===", "===").replace("\\@@", "@@") != ""
+        whole = spark.createDataFrame([(1, value)], "id long, v string").select("id", F.concat(F.lit("=== s\n@@F\n"), readers.escaped_lines("v")).alias("t"))
+        assert readers.parse_sections(whole, "id", "t").first()["fields"][0]["value"] == value
+
+
+def test_archives_are_the_same_bytes_and_faults_show(spark):
+    rows = [(f"d/{i}.txt", f"text {i}" * i) for i in range(30)]
+    df = spark.createDataFrame(rows, "name string, content string")
+    one_, two = (sorted((r["archive"], bytes(r["data"])) for r in readers.pack_archives(x, "name", "content", 4).collect()) for x in (df, df.repartition(7)))
+    assert one_ == two and len(one_) == 4
+    declared = df.select("name", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+    odd = declared.where("name <> 'd/3.txt'").withColumn("size", F.when(F.col("name") == "d/5.txt", 1).otherwise(F.col("size")))
+    odd = odd.union(spark.createDataFrame([("gone", 1, "x")], "name string, size long, sha256 string"))
+    got = {r["name"]: r["ok"] for r in readers.verify_archives(readers.pack_archives(df, "name", "content", 4), odd).collect()}
+    assert got == {n: n not in ("d/3.txt", "d/5.txt", "gone") for n in [*(r[0] for r in rows), "gone"]}
+
+
+def test_schema_drift():
+    from pyspark.sql.types import _parse_datatype_string as header
+
+    from corpusloom.plans.review import schema_drift
+
+    assert schema_drift(header("a int, b string"), header("a int, b string")) == []
+    assert schema_drift(header("b string, a long, c int"), header("a int, b string, d int")) == [
+        ("a", "place", "0", "1"), ("a", "type", "int", "bigint"), ("b", "place", "1", "0"), ("c", "extra", None, "int"), ("d", "missing", "int", None),
+    ]
+
+
+def test_anchor_verdicts(spark):
+    """Templates beyond the count, near copies and others, against all pairs; and one anchor pair that all share."""
+    rng = random.Random(10)
+    rows = []
+    for i in range(120):
+        grams = rng.sample(range(1000), 20) if i % 3 else [*range(18), 5000 + i, 6000 + i] if i % 2 else [*range(10), *rng.sample(range(2000, 9000), 10)]
+        anchors = sorted({f"{x:05d}" for x in grams})[:12]
+        rows.append((i, [str(g) for g in grams], anchors))
+    for most in (5, 30, 256):
+        want = {}
+        for i, g, a in rows:
+            before = [r for r in rows if r[0] < i and len(set(r[2]) & set(a)) >= 2]
+            near = any(len(set(r[1]) & set(g)) >= 0.8 * min(len(r[1]), len(g)) for r in before)
+            want[i] = (min(len(before), most + 1), "template" if len(before) > most else "near" if near else "kept")
+        got = dedup.anchor_verdicts(spark.createDataFrame(rows, "doc_id long, g array<string>, anchors array<string>"), most)
+        assert {r["doc_id"]: (r["candidates"], r["verdict"]) for r in got.collect()} == want
 
 
 def test_code_analysis():
     tree = code.parse("def f(x):\n    if x and x > 1:\n        return 1\n    assert x\n")
     assert code.complexity(tree.body[0]) == 4 and code.complexity(tree.body[0], False) == 3
     assert code.parse("def f(:") is None
-    smells = code.test_smells("def test_a():\n    assert True\n")
-    assert smells["trivial_assertion"] and smells["parseable"]
     assert code.is_focal_task("def f(a):\n    return a + 1") and not code.is_focal_task("def f(a=1):\n    return a")
 
 
+IN = "def test_a():\n    "
+SMELLY = {
+    "assertion_roulette": (["assert f(1)\n    assert f(2)", "self.assertEqual(f(1), 2)\n    assert x"], ["assert f(1), 'm'\n    assert f(2)", "self.assertEqual(a, b, 'm')\n    assert x", "assert f(1)"]),
+    "eager_test": (["f(1)\n    f(2)", "a.f(1)\n    f(2)"], ["f(1)\n    g(2)", "def g():\n        f(1)\n    f(2)"]),
+    "mystery_guest": (["open('x')", "p.read_text()"], ["f(1)"]),
+    "magic_number_test": (["assert f(1) == 7", "self.assertEqual(f(1), 3.5)"], ["assert f(7) == 7 - 7 or True if False else f(0) == 2"[:15], "x = 7\n    assert f(1) == 2", "assert f(1) == True"]),
+    "obscure_test": (["x = 1\n    " * 6 + "pass", "pass\n    " * 16 + "pass"], ["x = 1\n    " * 5 + "pass", "'doc'\n    " + "pass\n    " * 14 + "pass"]),
+    "conditional_test_logic": (["if x:\n        pass", "x = 1 if y else 2", "try:\n        pass\n    finally:\n        pass"], ["with x:\n        pass", "x = [a for a in b if a]"]),
+    "fragile_test": (
+        ["time.sleep(1)", "sleep(1)", "x = datetime.datetime.now()", "random.choice(x)", "np.random.randint(3)", "x = '/tmp/data'", "x = os.environ['A']", "uuid.uuid4()", "x = 'C:\\\\file'"],
+        ["random.seed(1)\n    random.choice(x)", "x = '/api/path'", "f.now()", "other.sleep(1)"],
+    ),
+    "unknown_test": (["f(1)", "pass"], ["assert x", "self.assertTrue(x)", "with pytest.raises(E):\n        f()", "pytest.fail('x')", "mock.assert_called()"]),
+    "trivial_assertion": (["assert x", "assert x is not None", "assert isinstance(x, int)", "assert x == []", "self.assertIsNone(x)", "self.assertTrue(x)", "assert True"], ["assert x == 1", "assert x\n    assert x > 2", "self.assertTrue(x > 1)", "f(1)"]),
+}
+
+
+@pytest.mark.parametrize("name", SMELLY)
+def test_smells_of_tests(name):
+    yes, no = SMELLY[name]
+    for body in yes:
+        assert smells.test_smells(IN + body + "\n", "f")[name], body
+    for body in no:
+        assert not smells.test_smells(IN + body + "\n", "f")[name], body
+
+
+def test_smells_of_modules():
+    three = "a = 1\n    b = 2\n    c = 3\n"
+    for source, fixture in ((f"def setUp():\n    {three}", True), (f"@pytest.fixture\ndef x():\n    {three}", True), (f"def x():\n    {three}", False)):
+        assert smells.test_smells(source)["general_fixture"] == fixture
+    two = "class A:\n  def test_a(self):\n    s = S()\n  async def test_b(self):\n    s = S({})\n"
+    assert smells.test_smells(two.format(""))["duplicated_setup"] and not smells.test_smells(two.format("1"))["duplicated_setup"]
+    assert smells.test_smells("import requests as r\ndef test_a():\n    r.get(1)")["mystery_guest"]
+    assert not smells.test_smells("import requests as r\ndef test_a():\n    f(1)")["mystery_guest"]
+    assert smells.test_smells("@pytest.mark.parametrize('x', [7])\ndef test_a(x):\n    assert f(x)")["magic_number_test"]
+    assert smells.test_smells("```python\ndef test_a():\n    pass\n```")["unknown_test"]
+    for bad in (None, "", "def f(:", "\x00"):
+        assert not any(smells.test_smells(bad).values())
+
+
+ORACLES = {
+    "TRIVIAL": ["assert True", "assert 1 + 1 == 2", "m = Mock()\nassert m.called_once_with(3)", "m = Mock()\nassert m.called_once"],
+    "WEAK": [
+        "x = f(1)\nassert x", "x = f(1)\nassert x is not None", "x = f(1)\nassert isinstance(x, int)", "assert f(2)", "x = f(1)\nassert not x",
+        "x = f(1)\nself.assertIsNone(x)", "x = f(1)\nself.assertTrue(x)", "x = f(1)\nassert x != None", "assert hasattr(lib, 'f')",
+    ],
+    "STRONG": [
+        "x = f(1)\nassert x == 2", "assert len(f(2))", "a = []\nf(a)\nassert a == [1]", "a = []\na.append(f(1))\nassert a[0] == 2",
+        "m = Mock()\nf(m)\nm.run.assert_called_once_with(1)", "m = Mock()\nf(m)\nassert m.run.call_count == 2", "m = Mock()\nassert m.called",
+        "with pytest.raises(ValueError):\n    f(0)", "x = f(1)\nassert x > 0 and x is not None", "x = f(1)\nassert all(v > 0 for v in x)",
+        "for v in f(3):\n    assert v > 1", "import os\nf(1)\nassert os.environ['A'] == 'x'", "x = f(1)\nself.assertEqual(x, 2)", "x = f(1)\nself.assertFalse(x > 3)",
+        "np.testing.assert_allclose(f(1), 2)", "from lib import f as g\nassert g(1) == 2", "assert _f(1) == 2", "assert lib.f(1) == 2",
+        "try:\n    f(1)\nexcept ValueError as e:\n    assert str(e) == 'x'", "out = io.StringIO()\nwith redirect_stdout(out):\n    f(1)\n    assert out.getvalue() == 'x'",
+        "def test_a(mock_db):\n    f(mock_db)\n    mock_db.save.assert_called_once()",
+    ],
+    "UNKNOWN": [
+        "assert 1 == 2", "y = 3\nassert y == 3", "x = f(1)\nx = 3\nassert x == 3", "m.run.assert_called_once_with(1)", "with pytest.raises(ValueError):\n    int('x')",
+        "for v in range(3):\n    assert v > 1", "import os\nassert os.environ['A'] == 'x'", "assert 2 ** 10 ** 10 > 1", "assert x is x",
+    ],
+}
+
+
+@pytest.mark.parametrize("strength", ORACLES)
+def test_oracles(strength):
+    for source in ORACLES[strength]:
+        assert [x[3] for x in oracles.oracles(source, ["f"])] == [strength], source
+    assert oracles.oracles("def f(:") is None and oracles.oracles("") == []
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"x": 1}\n{"x": 2}\n{bad\n{"x": 3}\n')
     (tmp_path / "b.jsonl").write_text('{"x": 9}\n\n')
@@ -128,7 +417,11 @@ def test_operators_on_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert sampling.top_by_hash(empty, 3, "s", "doc_id").count() == 0
     assert quality.cascade(empty, [("x", quality.is_prose("text"))]).count() == 0
-    assert dedup.greedy_keep(spark.createDataFrame([], "rank long"), spark.createDataFrame([], "low long, high long")).count() == 0
+    assert dedup.greedy_keep(spark.createDataFrame([], "rank long"), spark.createDataFrame([], "rank long, key string")).count() == 0
+    assert dedup.anchor_verdicts(spark.createDataFrame([], "doc_id long, g array<string>, anchors array<string>")).count() == 0
+    assert windows.value_row_number(empty, ["lang"], F.col("n_chars"), "doc_id", "i").count() == 0
+    assert sampling.budgeted(spark.createDataFrame([], "id long, g string, n long, h string"), "g", "id", "n", "h", 9).count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_prompts_anywhere_in_a_tree(spark):
