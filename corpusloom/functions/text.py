@@ -77,6 +77,13 @@ def ngrams(tokens: Column, n: int) -> Column:
     )
 
 
+def ngram_hashes(tokens: Column, n: int) -> Column:
+    """64-bit hashes of the distinct n-word sequences: the words are hashed in a row, no text is made of them."""
+    return F.when(F.size(tokens) < n, F.array().cast("array<bigint>")).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.xxhash64(F.slice(tokens, i, n))))
+    )
+
+
 def ngram_list(tokens: Column, n: int) -> Column:
     """All n-word sequences with repeats."""
     return F.when(F.size(tokens) < n, F.array().cast("array<string>")).otherwise(
@@ -85,13 +92,15 @@ def ngram_list(tokens: Column, n: int) -> Column:
 
 
 def lines(c: Column | str) -> Column:
-    """White-space-collapsed lines that aren't empty."""
-    return F.filter(F.transform(F.split(c, "\n"), blank), lambda x: x != "")
+    """White-space-collapsed lines that aren't empty. White space is collapsed in the whole text, then cut."""
+    flat = F.regexp_replace(c, r"[ \t\r\f]+", " ")
+    return F.filter(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def sentences(c: Column | str) -> Column:
-    """Trimmed pieces between sentence ends that aren't empty."""
-    return F.filter(F.transform(F.split(c, r"[.!?]+"), blank), lambda x: x != "")
+    """Trimmed, white-space-collapsed pieces between sentence ends that aren't empty."""
+    flat = F.regexp_replace(c, r"[ \t\n\r\f]+", " ")
+    return F.filter(F.transform(F.split(flat, r"[.!?]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def numbers(c: Column | str) -> Column:

@@ -18,9 +18,8 @@ def exploded(df: DataFrame, key: str, text: str, n: int, exact: bool = False) ->
     # Words are a column of their own and the explode an outer one: else the words would be found anew for
     # each gram, within the gram expression or in the filter that is inferred from an inner explode.
     words = df.select(key, t.words(text).alias("__w"))
-    grams = words.select(key, t.ngrams(F.col("__w"), n).alias("__g"))
-    one = grams.select(key, F.size("__g").cast("long").alias("size"), F.explode_outer("__g").alias("g")).where(F.col("g").isNotNull())
-    return one if exact else one.withColumn("g", F.xxhash64("g"))
+    grams = words.select(key, (t.ngrams if exact else t.ngram_hashes)(F.col("__w"), n).alias("__g"))
+    return grams.select(key, F.size("__g").cast("long").alias("size"), F.explode_outer("__g").alias("g")).where(F.col("g").isNotNull())
 
 
 def shared_grams(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:

@@ -13,7 +13,7 @@ def length_band(c, low: int = 500, high: int = 20000) -> Column:
 
 
 def letter_ratio(c) -> Column:
-    return F.length(F.regexp_replace(c, r"[^\p{L}]", "")) / F.nullif(F.length(c), F.lit(0))
+    return F.length(F.regexp_replace(c, r"[^\p{L}]+", "")) / F.nullif(F.length(c), F.lit(0))
 
 
 def is_prose(c, least_words: int = 120, least_spans: int = 4, span_words: int = 6) -> Column:
@@ -21,15 +21,14 @@ def is_prose(c, least_words: int = 120, least_spans: int = 4, span_words: int =
     return (F.size(t.words(c)) >= least_words) & (F.size(spans) >= least_spans)
 
 
-def navigation_heavy(c, least_lines: int = 15, share: float = 0.6, short: int = 6) -> Column:
-    found = t.lines(c)
+def navigation_heavy(found: Column, least_lines: int = 15, share: float = 0.6, short: int = 6) -> Column:
+    """Of a column of lines (``text.lines``): many of them, and most of few words."""
     few = F.size(F.filter(found, lambda x: F.size(F.split(x, " ")) < short))
     return (F.size(found) >= least_lines) & (few > F.size(found) * share)
 
 
-def repeated_lines(c) -> Column:
+def repeated_lines(found: Column) -> Column:
     """Share of lines that repeat an earlier one; 0 without lines."""
-    found = t.lines(c)
     return F.coalesce(1 - F.size(F.array_distinct(found)) / F.nullif(F.size(found), F.lit(0)), F.lit(0.0))
 
 

@@ -19,7 +19,7 @@ from ..operators import quality as q
 from ..registry import operator, table
 from . import sql as s
 from .joins import gram_sql
-from .quality import CASCADE_SQL, L, cascade_rules
+from .quality import CASCADE_SQL, L, cascade_rules, with_lines
 
 _FOLDED = s.blank(s.fold("text"))
 
@@ -138,7 +138,9 @@ _ANCHORED = f"""SELECT doc_id, g, list_sort(list_transform(g, lambda x: substr(m
 def d06_candidates(spark, d):
     """Each document against those before it: candidates share two anchors or more; more than 256 make it a
     template, else a candidate with 0.8 of the smaller one's grams makes it a near copy."""
-    return dd.anchor_verdicts(sketches(spark, d))
+    # written once: else the sketch would be made anew for each pair of its anchors
+    sketched = sketches(spark, d).select("doc_id", F.transform("g", lambda x: F.xxhash64(x)).alias("g"), "anchors")
+    return dd.anchor_verdicts(gr.checkpointed(sketched))
 
 
 @F.pandas_udf(DoubleType())
@@ -213,10 +215,10 @@ def d10(spark, d):
     return j.select("line").distinct()
 
 
-@operator("d11_source_identity_overlap", "SELECT DISTINCT a.source || '#' || a.lang AS identity FROM documents a JOIN documents b ON a.source = b.source AND a.lang = b.lang WHERE a.doc_id % 7 = 0 AND b.doc_id % 7 = 3")
+@operator("d11_source_identity_overlap", "SELECT DISTINCT a.source || '#' || a.lang AS identity FROM documents a JOIN documents b ON a.source = b.source AND a.lang = b.lang WHERE a.doc_id % 7 = 0 AND b.doc_id % 7 <> 0")
 def d11(spark, d):
     docs = table(spark, d, "documents").where("source is not null and lang is not null").select("doc_id", F.concat_ws("#", "source", "lang").alias("identity"))
-    return docs.where("doc_id % 7 = 0").select("identity").intersect(docs.where("doc_id % 7 = 3").select("identity"))
+    return docs.where("doc_id % 7 = 0").select("identity").intersect(docs.where("doc_id % 7 <> 0").select("identity"))
 
 
 _CODE = r"list_distinct(list_transform(range(1, len(k) - 6), lambda i: array_to_string(k[i:i + 7], ' ')))"
@@ -304,7 +306,7 @@ def flagship(spark, d):
     and reason, documents and characters."""
     docs = table(spark, d, "documents")
     hits = contained(spark, d).where("c >= 0.8").select("doc_id", F.lit(True).alias("hit")).distinct()
-    marked = q.cascade(docs.select("doc_id", "lang", "n_chars", "text"), cascade_rules()).select(
+    marked = q.cascade(with_lines(docs.select("doc_id", "lang", "n_chars", "text")), cascade_rules()).select(
         "doc_id", "lang", "n_chars", "reason", F.sha2(t.norm_ws_fold("text"), 256).alias("h")
     )
     first = F.min("doc_id").over(Window.partitionBy("h"))

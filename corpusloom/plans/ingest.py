@@ -36,11 +36,11 @@ def s02(spark, d):
     return rows.agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.sum((~F.col("bad")).cast("long")).alias("good"))
 
 
-@operator("s03_csv_scan", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(text) AS h FROM documents WHERE NOT contains(text, '\\') AND text = trim(text)")
+@operator("s03_csv_scan", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(text) AS h FROM documents")
 def s03(spark, d):
     path = r.scratch(spark, "csv")
-    docs = _docs(spark, d).where(~F.contains("text", F.lit("\\")) & (F.col("text") == F.trim("text")))
-    docs.select("doc_id", "text").write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    as_is = {"header": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    _docs(spark, d).select("doc_id", "text").write.options(**as_is).csv(path)
     return r.read_csv(spark, path).select("doc_id", F.sha2("text", 256).alias("h"))
 
 
@@ -177,10 +177,13 @@ def s15(spark, d):
     return docs.join(reviews, "doc_id").select("doc_id", (F.col("record") == F.col("reviewed")).alias("accepted"))
 
 
-@operator("s16_text_canonical_copy", r"SELECT doc_id, sha256(replace(text, chr(13) || chr(10), chr(10))) AS h FROM documents WHERE NOT contains(replace(text, chr(13) || chr(10), ''), chr(13))")
+@operator(
+    "s16_text_canonical_copy",
+    "SELECT doc_id, sha256(replace(replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS h FROM documents",
+)
 def s16(spark, d):
-    wild = F.concat(F.lit("﻿"), F.replace("text", F.lit("\n"), F.lit("\r\n")))
-    return _docs(spark, d).where(~F.contains("text", F.lit("\r"))).select("doc_id", F.sha2(r.canonical_text(wild), 256).alias("h"))
+    wild = F.concat(F.lit("\ufeff"), F.replace("text", F.lit("\n"), F.lit("\r\n")))
+    return _docs(spark, d).select("doc_id", F.sha2(r.canonical_text(wild), 256).alias("h"))
 
 
 @operator(

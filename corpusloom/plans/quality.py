@@ -39,7 +39,8 @@ def p03(spark, d):
     f"SELECT doc_id, len(l) >= 15 AND len(list_filter(l, lambda x: len(string_split(x, ' ')) < 6)) > len(l) * 0.6 AS navigation FROM (SELECT doc_id, {L} AS l FROM documents)",
 )
 def p04(spark, d):
-    return table(spark, d, "documents").select("doc_id", q.navigation_heavy("text").alias("navigation"))
+    docs = table(spark, d, "documents").select("doc_id", t.lines("text").alias("l"))
+    return docs.select("doc_id", q.navigation_heavy(F.col("l")).alias("navigation"))
 
 
 @operator(
@@ -47,7 +48,8 @@ def p04(spark, d):
     f"SELECT doc_id, round(coalesce(1 - len(list_distinct(l)) / nullif(len(l), 0), 0), 6) AS ratio FROM (SELECT doc_id, {L} AS l FROM documents)",
 )
 def p05(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(q.repeated_lines("text"), 6).alias("ratio"))
+    docs = table(spark, d, "documents").select("doc_id", t.lines("text").alias("l"))
+    return docs.select("doc_id", F.round(q.repeated_lines(F.col("l")), 6).alias("ratio"))
 
 
 @operator(
@@ -110,13 +112,19 @@ CASCADE_SQL = f"""CASE WHEN NOT coalesce(length({s.blank('text')}) BETWEEN 500 A
   WHEN coalesce(1 - len(list_distinct(l)) / nullif(len(l), 0), 0) > 0.2 THEN 'repeats' ELSE 'kept' END"""
 
 
+def with_lines(docs):
+    """docs with their lines in ``l``, which several rules read: a column of its own, found once."""
+    return docs.withColumn("l", t.lines("text"))
+
+
 def cascade_rules():
+    """Rules over text and ``l``."""
     return [
         ("length", ~F.coalesce(q.length_band("text"), F.lit(False))),
         ("letters", ~F.coalesce(q.letter_ratio("text") >= 0.65, F.lit(False))),
         ("prose", ~q.is_prose("text")),
-        ("navigation", q.navigation_heavy("text")),
-        ("repeats", q.repeated_lines("text") > 0.2),
+        ("navigation", q.navigation_heavy(F.col("l"))),
+        ("repeats", q.repeated_lines(F.col("l")) > 0.2),
     ]
 
 
@@ -125,7 +133,7 @@ def cascade_rules():
     f"SELECT lang, reason, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM (SELECT lang, n_chars, {CASCADE_SQL} AS reason FROM (SELECT *, {L} AS l FROM documents)) GROUP BY ALL",
 )
 def p11(spark, d):
-    docs = q.cascade(table(spark, d, "documents"), cascade_rules())
+    docs = q.cascade(with_lines(table(spark, d, "documents").select("lang", "n_chars", "text")), cascade_rules())
     return docs.groupBy("lang", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
