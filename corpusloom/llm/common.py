@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,23 +66,6 @@ def tune(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-_own_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, as the session has it. Where it is unset, a
-    master on one machine gets a temporary folder that goes with the driver; a cluster is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
-        if not _own_folder:
-            _own_folder.append(tempfile.mkdtemp(prefix="corpusloom-"))
-            atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
-        base = f"file://{_own_folder[0]}"
-    return base.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/corpusloom/{tag}-{uuid.uuid4().hex}"
 
@@ -115,6 +97,32 @@ def bit_table(df: DataFrame, column: str, size: int) -> Broadcast:
     return df.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
+def without_ids(df: DataFrame, key: str, ids: DataFrame, broadcast_most: int = 1 << 20) -> DataFrame:
+    """df without the rows whose column ``key`` is in ``ids``, a written table of one long column. Null keys
+    stay; columns are kept as they are.
+
+    Up to ``broadcast_most`` ids are broadcast. Of more, a bit table (sixteen bits an id, 128 MB at most) tells the
+    rows that are surely none of them, which stay where they are; only the others are shuffled for the join.
+    """
+    n, gone = ids.count(), fresh("gone")
+    other = ids.toDF(gone)
+    same = F.col(key) == F.col(gone)
+    if n <= broadcast_most:
+        return df.join(F.broadcast(other), same, "left_anti")
+    size = min(30, max(16, (16 * n).bit_length()))
+    bits = bit_table(other, gone, size)
+
+    @F.pandas_udf(T.BooleanType())
+    def told(places: pd.Series) -> pd.Series:
+        table, at = np.frombuffer(bits.value, np.uint8), places.to_numpy()
+        return pd.Series((table[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    maybe = F.coalesce(F.col(key).isNotNull() & told(F.coalesce(bit_place(key, size), F.lit(0))), F.lit(False))
+    flagged = df.withColumn(own := fresh("maybe"), maybe)
+    stay, look = flagged.where(~F.col(own)).drop(own), flagged.where(F.col(own)).drop(own)
+    return stay.unionByName(look.join(other, same, "left_anti"))
+
+
 def drop_tables(*frames: DataFrame) -> None:
     """Delete the files behind materialized tables that no later plan reads."""
     for df in frames:

@@ -209,17 +209,26 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(both) - shared) - 1e-9
 
 
+BITS = 26
+
+
 def sets_of(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """(row, set_id, shingles) of those documents(row, text) that ``rows(row)`` names."""
+    """(row, set_id, shingles) of those documents(row, text) that ``rows(row)`` names, and of few others: texts
+    stay where they are and are sorted out by a bit table of fixed size. Narrow."""
+    wanted = common.bit_table(rows, "row", BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("simhash", lambda: None)
+        bits = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            sets = [shingle_set(list(shingle_digests(t.as_py(), shingle))).tobytes() for t in batch.column(1).cast(pa.binary())]
+            places = np.asarray(batch.column(2))
+            chosen = batch.take(pa.array(np.flatnonzero(bits[places >> 3] >> (places & 7) & 1)))
+            sets = [shingle_set(list(shingle_digests(t.as_py(), shingle))).tobytes() for t in chosen.column(1).cast(pa.binary())]
             ids = [xxhash.xxh128_digest(x, SEED) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], ["row", "set_id", "shingles"])
+            columns = [chosen.column(0), pa.array(ids, pa.binary()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "set_id", "shingles"])
 
-    return docs.join(rows, "row", "left_semi").select("row", "text").mapInArrow(run, "row long, set_id binary, shingles binary")
+    return docs.select("row", "text", common.bit_place("row", BITS).alias("place")).mapInArrow(run, "row long, set_id binary, shingles binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -280,13 +289,17 @@ def closing_links(buckets: DataFrame, members: DataFrame, docs: DataFrame, shing
         .join(members.withColumnRenamed("node", "row"), "row", "left")
         .select("band", "key", "row", F.coalesce("root", "row").alias("root"))
     )
-    unsettled = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    open_ = common.materialize(rooted.join(unsettled.select("band", "key"), ["band", "key"], "left_semi"), "open")
+    # bucket keys are written before they are joined, so that the join can be split where a bucket is hot
+    ends = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    unsettled = common.materialize(ends.where("low < high").select("band", "key"), "unsettled")
+    open_ = common.materialize(rooted.join(unsettled, ["band", "key"], "left_semi"), "open")
     sets = common.materialize(sets_of(docs, open_.select("row").distinct(), shingle).distinct(), "sets")
     sized = open_.join(sets.groupBy("row").agg(F.sum(F.length("shingles") / 8).alias("n")), "row")
-    cuts = sized.groupBy("band", "key").agg(F.ceil(F.greatest(F.sum("n") / tile, F.count(F.lit(1)) / 2048)).cast("long").alias("slices"))
+    slices = F.ceil(F.greatest(F.sum("n") / tile, F.count(F.lit(1)) / 2048)).cast("long")
+    cuts = common.materialize(sized.groupBy("band", "key").agg(slices.alias("slices")), "cuts")
     own = F.pmod(F.xxhash64("row"), F.greatest("slices", F.lit(1)))
-    parts = F.transform(F.sequence(F.lit(0), F.greatest("slices", F.lit(1)) - 1), lambda o: F.least(F.col("own"), o) * (1 << 24) + F.greatest(F.col("own"), o))
+    others = F.sequence(F.lit(0), F.greatest("slices", F.lit(1)) - 1)
+    parts = F.transform(others, lambda o: F.least(F.col("own"), o) * (1 << 24) + F.greatest(F.col("own"), o))
     tiles = (
         open_.join(cuts, ["band", "key"])
         .withColumn("own", own)
@@ -316,7 +329,7 @@ def closing_links(buckets: DataFrame, members: DataFrame, docs: DataFrame, shing
         yield search()
 
     found = common.materialize(tiles.mapInArrow(run, "a long, b long").where("a <> b").distinct(), "closing")
-    common.drop_tables(open_, sets)
+    common.drop_tables(unsettled, open_, sets, cuts)
     return found
 
 
@@ -341,9 +354,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     same = classes.join(by_code, "fp").select(F.col("least").alias("a"), F.col("row").alias("b"))
     # MinHash bands: each member with the smallest of its bucket
     banded = classes.select("row", F.posexplode("bands").alias("band", "key"))
-    centres = banded.groupBy("band", "key").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first <> last").drop("last")
+    ends = banded.groupBy("band", "key").agg(F.min("row").alias("first"), F.max("row").alias("last"))
+    centres = common.materialize(ends.where("first <> last").drop("last"), "centres")
     buckets = common.materialize(banded.join(centres, ["band", "key"]), "buckets")
-    tried = common.materialize(ordered(links.unionByName(same).unionByName(buckets.select(F.col("first").alias("a"), F.col("row").alias("b")))), "pairs")
+    centred = buckets.select(F.col("first").alias("a"), F.col("row").alias("b"))
+    tried = common.materialize(ordered(links.unionByName(same).unionByName(centred)), "pairs")
     edges = verified(tried, texts, shingle, similarity)
     first = common.components(edges)
     more = closing_links(buckets, first, texts, shingle, similarity)
@@ -355,16 +370,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     )
     found = seen.select("set_id", F.col("row").alias("doc_id")).join(names, "set_id")
     out = common.materialize(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "near-duplicates")
-    common.drop_tables(seen, classes, buckets, tried, edges, first, more, members)
+    common.drop_tables(seen, classes, centres, buckets, tried, edges, first, more, members)
     return out
 
 
 def keep_first(docs: DataFrame, **parameters) -> DataFrame:
     """docs without all but the document of smallest doc_id of each near-duplicate group. Rows without a
     doc_id stay; rows that share one stay or go together. Columns stay as they are, whatever their names."""
-    gone = common.fresh("gone")
-    found = near_duplicates(docs.select("doc_id", "text"), **parameters).where("doc_id <> component_id")
-    return docs.join(found.select(F.col("doc_id").alias(gone)), F.col("doc_id") == F.col(gone), "left_anti")
+    found = near_duplicates(docs.select("doc_id", "text"), **parameters)
+    gone = common.materialize(found.where("doc_id <> component_id").select("doc_id"), "gone")
+    common.drop_tables(found)
+    return common.without_ids(docs, "doc_id", gone)
 
 
 QUERIES = {"op2_simhash": op2_simhash}

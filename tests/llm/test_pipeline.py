@@ -192,6 +192,16 @@ def test_quality_of_repeated_ids_and_conflicting_labels(spark):
         assert all(got[d] == pytest.approx(s, abs=1e-12) for d, s in zip(docs, want))
 
 
+def test_ids_are_left_out_by_broadcast_and_by_bits(spark):
+    rows = [(i if i % 11 else None, f"t{i}", 1.5) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` double").repartition(5)
+    ids = spark.range(0, 3000, 3).toDF("doc_id").union(spark.createDataFrame([(99_999,)], "doc_id long"))
+    want = sorted((r for r in rows if r[0] is None or r[0] % 3), key=lambda r: r[1])
+    for most in (1 << 20, 10):
+        out = common.without_ids(df, "doc_id", ids, most)
+        assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=lambda r: r[1]) == want
+
+
 def test_empty_tables(spark, sf_dir):
     docs = spark.createDataFrame([], common.table(spark, sf_dir, "documents").schema)
     for name, stage in corpus_pipeline.STAGES:
@@ -208,4 +218,4 @@ def test_scratch_is_dropped(spark, sf_dir):
     old = tables()
     corpus_pipeline.run(spark, sf_dir).agg(F.count(F.lit(1))).collect()
     left = {x.rpartition("-")[0] for x in tables() - old}
-    assert left <= {"stage-pii", "near-duplicates", "pii-terms"}
+    assert left <= {"stage-pii", "gone", "pii-terms"}
