@@ -87,7 +87,9 @@ def base_spans(text: str) -> list[Span]:
     if not _DIGIT.search(text):
         return out
     for m in _IP.finditer(text):
-        if all(len(p) <= 3 and int(p) <= 255 or len(p) > 3 and (z := p.lstrip("0") or "0") and len(z) <= 3 and int(z) <= 255 for p in m[0].split(".")):
+        # very long parts are numbers only without the zeros before them
+        parts = [p.lstrip("0") or "0" for p in m[0].split(".")]
+        if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:

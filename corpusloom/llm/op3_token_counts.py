@@ -11,8 +11,9 @@ first pre-token that ends within two characters of the edit or later. From the p
 behind the edit meets an old one, the rest of the old borders hold, as they depend on what follows only.
 
 Null texts count as empty. Repeated rows are counted each by itself; very long texts are counted whole. Columns
-beside doc_id, text and the edits are ignored. An empty table gives an empty table. Edits of a document apply in the order given; starts and ends outside the
-text are clamped, and an end before its start is taken as the start. Null replacements delete.
+beside doc_id, text and the edits are ignored. An empty table gives an empty table. Edits of a document apply in
+the order given; starts and ends outside the text are clamped, and an end before its start is taken as the
+start. Null replacements delete.
 """
 
 from __future__ import annotations

@@ -29,7 +29,7 @@ from . import common
 from .boosted_trees import FlatTrees, fit
 from .word_cache import hold
 
-THRESHOLD = 0.3
+THRESHOLD, CHUNK = 0.3, 1 << 24
 _SIGNS = b"!?.,;:|%$&#*=+-_/\\<>()[]{}\"'@~^`"
 
 
@@ -50,7 +50,7 @@ def document_statistics(data: bytes) -> list[float]:
     most = seen.most_common(3)
     pairs = len(set(zip(words, words[1:])))
     lines = [x for x in data.split(b"\n") if x.strip()]
-    packed = len(zlib.compress(data[: 1 << 24], 1)) if n <= 1 << 24 else sum(len(zlib.compress(data[i : i + (1 << 24)], 1)) for i in range(0, n, 1 << 24))
+    packed = sum(len(zlib.compress(data[i : i + CHUNK], 1)) for i in range(0, n, CHUNK))
     inside = n - spaces
     twice = sum(map(bytes.__eq__, words, words[1:]))
     ends = [w[-1] for w in words]
@@ -114,10 +114,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np
         hold("quality", lambda: None)
         for batch in batches:
             stats = [document_statistics(t.as_py() or b"") for t in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "label", "stats"])
+            columns = [batch.column(0), batch.column(1), pa.array(stats, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "stats"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
-    rows = chosen.mapInArrow(run, "doc_id long, label int, stats array<double>").groupBy("doc_id", "label").agg(F.min("stats").alias("stats")).collect()
+    found = chosen.mapInArrow(run, "doc_id long, label int, stats array<double>")
+    rows = found.groupBy("doc_id", "label").agg(F.min("stats").alias("stats")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     stats = np.array([r["stats"] for r in rows], float).reshape(len(rows), WIDTH)
     return stats, np.array([r["label"] for r in rows], float)

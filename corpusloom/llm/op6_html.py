@@ -78,7 +78,8 @@ class Element:
     """``home``: in an article or main element; ``home_named``: in one so named. ``away``: in a navigation,
     aside, footer ... element inside the nearest article or main (or anywhere, without one),
     ``away_around``: in one outside it; ``away_named`` and ``away_named_around``: the same of class names;
-    ``form``: in a form inside the nearest article or main (or anywhere, without one). ``box``: the nearest element, itself included, that isn't an inline one."""
+    ``form``: in a form inside the nearest article or main (or anywhere, without one). ``box``: the nearest
+    element, itself included, that isn't an inline one."""
 
     tag: str
     depth: int
