@@ -109,10 +109,11 @@ def anchor_verdicts(sketched: DataFrame, most: int = TEMPLATE) -> DataFrame:
     pair of anchors that a third of all documents has costs most ** 2 pairs, not the square of the group.
     """
     size = F.size("anchors")
-    places = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.transform(F.sequence(i + 1, F.greatest(size, i + 1)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    later = lambda i: F.transform(F.sequence(i + 1, F.greatest(size, i + 1)), lambda j: F.struct(i.alias("i"), j.alias("j")))
+    places = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), later))
     keys = F.transform(places, lambda p: F.struct(F.try_element_at("anchors", p["i"]).alias("x"), F.try_element_at("anchors", p["j"]).alias("y")))
-    dealt = sketched.where(size >= 2).select("doc_id", F.explode(keys).alias("k")).select("doc_id", F.xxhash64("k.x", "k.y").alias("h"), "k.x", "k.y")
-    dealt = checkpointed(dealt.where("y is not null").drop("h"))
+    dealt = sketched.where(size >= 2).select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.x", "k.y")
+    dealt = checkpointed(dealt.where("y is not null"))
     heads = checkpointed(first_by(dealt, ["x", "y"], ["doc_id"], most + 1))
     full = heads.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("end")).where(F.col("n") > most)
     templates = dealt.join(full, ["x", "y"]).where(F.col("doc_id") > F.col("end")).select("doc_id").distinct()
@@ -124,7 +125,8 @@ def anchor_verdicts(sketched: DataFrame, most: int = TEMPLATE) -> DataFrame:
     tried = pairs.join(few, "b").join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b")
     alike = F.size(F.array_intersect("ga", "gb")) >= 0.8 * F.least(F.size("ga"), F.size("gb"))
     near = tried.where(alike).select("b").distinct().withColumn("near", F.lit(True))
-    told = counts.join(near, "b", "left").select(F.col("b").alias("doc_id"), "n", "near").union(templates.select("doc_id", F.lit(most + 1).cast("long"), F.lit(None).cast("boolean")))
+    beyond = templates.select("doc_id", F.lit(most + 1).cast("long"), F.lit(None).cast("boolean"))
+    told = counts.join(near, "b", "left").select(F.col("b").alias("doc_id"), "n", "near").union(beyond)
     n = F.least(F.coalesce("n", F.lit(0).cast("long")), F.lit(most + 1).cast("long"))
     verdict = F.when(n > most, "template").when(F.col("near"), "near").otherwise("kept")
     return sketched.select("doc_id").join(told, "doc_id", "left").select("doc_id", n.alias("candidates"), verdict.alias("verdict"))

@@ -108,11 +108,12 @@ def dependencies(tasks: DataFrame) -> DataFrame:
 def normal_path(path: Column) -> Column:
     """A path with / between its parts, in lower case, without "." parts, empty parts and "x/.." pairs."""
     parts = F.split(F.translate(F.lower(path), "\\", "/"), "/")
-    step = lambda done, part: (
-        F.when((part == ".") | (part == ""), done)
-        .when((part == "..") & (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
-        .otherwise(F.concat(done, F.array(part)))
-    )
+
+    def step(done: Column, part: Column) -> Column:
+        back = (part == "..") & (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != "..")
+        shorter = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when((part == ".") | (part == ""), done).when(back, shorter).otherwise(F.concat(done, F.array(part)))
+
     out = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
     return F.when(F.startswith(F.translate(path, "\\", "/"), F.lit("/")), F.concat(F.lit("/"), out)).otherwise(out)
 
@@ -141,7 +142,8 @@ def serialized(tasks: DataFrame, most: int = 200_000) -> DataFrame:
     size = tasks.agg(F.sum(F.size("depends_on") + F.size("implementation_files")).alias("n")).first()["n"] or 0
     if size > most:
         raise ValueError(f"a plan has at most {most} dependencies and files")
-    listed = tasks.select("id", "depends_on", F.array_sort(F.array_distinct(F.transform("implementation_files", normal_path))).alias("files"), "place")
+    files = F.array_sort(F.array_distinct(F.transform("implementation_files", normal_path)))
+    listed = tasks.select("id", "depends_on", files.alias("files"), "place")
     rows = listed.orderBy("place").collect()
     where = {r["id"]: i for i, r in enumerate(rows)}
     parents = [{where[p] for p in r["depends_on"]} for r in rows]

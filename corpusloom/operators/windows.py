@@ -63,7 +63,9 @@ def hash_running_sum(df: DataFrame, by: list[str], order: Column, ties: str, val
     sums = keyed.groupBy(*by, "__slot").agg(F.sum(value).alias("__s"))
     before = F.sum("__s").over(Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1))
     names = [f"__by{i}" for i in range(len(by))]
-    starts = sums.select(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col("__slot").alias("__of"), F.coalesce(before, F.lit(0)).alias("__start"))
+    starts = sums.select(
+        *[F.col(c).alias(n) for c, n in zip(by, names)], F.col("__slot").alias("__of"), F.coalesce(before, F.lit(0)).alias("__start")
+    )
     within = F.sum(value).over(Window.partitionBy(*by, "__slot").orderBy("__order", ties).rowsBetween(Window.unboundedPreceding, 0))
     same = F.col("__slot") == F.col("__of")
     for c, n in zip(by, names):
