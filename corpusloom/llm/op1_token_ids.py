@@ -103,6 +103,16 @@ class SegmentReader:
         return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+def pieces(text: bytes, size: int = 1 << 22) -> Iterator[bytes]:
+    """A text in pieces of about ``size`` bytes, cut before white space."""
+    at = 0
+    while at < len(text):
+        space = re.compile(rb"\s").search(text, at + size) if at + size < len(text) else None
+        end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -112,8 +122,8 @@ class WordEncoder:
     Its pre-tokenizer cuts a text into runs of letters, single digits and runs of signs, and drops white
     space; each part is encoded by itself. So the library encodes each distinct part once per worker
     (bounded memo), and a text's ids are its parts' ids in turn. Texts of ASCII and Latin-1 letters,
-    which no normaliser but lower-casing changes, are cut here; of others, each white-space-delimited
-    word goes through the whole library. ``encode_bytes`` returns little-endian 16- or 32-bit integers.
+    which no normaliser but lower-casing changes, are cut into parts here, the whole text at once; of
+    others, each white-space-delimited word goes through the whole library. ``encode_bytes`` returns little-endian 16- or 32-bit integers.
     """
 
     LETTERS = rb"a-z\xdf-\xf6\xf8-\xff"
@@ -129,8 +139,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
-        self.parts = TwoGenerationCache(self._encode_part, 250_000)
-        self.narrow_words = TwoGenerationCache(self._encode_narrow, 150_000)
+        self.parts = TwoGenerationCache(self._encode_part, 350_000)
         self.words = TwoGenerationCache(self._encode_word, 50_000)
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -143,9 +152,6 @@ class WordEncoder:
             text = "".join(map(self.alphabet.__getitem__, part))
         return np.array([t.id for t in self.tokenizer.model.tokenize(text)], self.dtype).tobytes()
 
-    def _encode_narrow(self, word: bytes) -> bytes:
-        return b"".join(map(self.parts.__getitem__, self.PARTS.findall(word)))
-
     def _encode_word(self, word: bytes) -> bytes:
         ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
@@ -159,7 +165,8 @@ class WordEncoder:
             if narrow is None or self.OTHER.search(narrow):
                 return b"".join(map(self.words.__getitem__, text.split()))
             text = narrow
-        return b"".join(map(self.narrow_words.__getitem__, text.translate(self.LOWER).split()))
+        text = text.translate(self.LOWER)
+        return b"".join([x for piece in pieces(text) for x in map(self.parts.__getitem__, self.PARTS.findall(piece))])
 
 
 def word_encoder(path: str) -> WordEncoder:

@@ -24,18 +24,13 @@ def hold(name: str, release: Callable[[], None]) -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-LONGEST = 512
-
-
-def _weight(key, value) -> int:
-    """About how many bytes an entry takes."""
-    of = len(key) if isinstance(key, (bytes, str)) else 0
-    return 100 + of + (len(value) if isinstance(value, bytes) else 8 * len(value) if isinstance(value, (list, str)) else 0)
+#: keys beyond this length are computed each time: they hardly come again, and bound what an entry takes
+LONGEST = 64
 
 
 class TwoGenerationCache(dict):
-    """dict whose missing keys are computed by ``compute``; holds at most 2 * ``limit`` entries, of at most
-    about 200 bytes on average. Keys of more than LONGEST characters are computed each time.
+    """dict of texts or bytes whose missing keys are computed by ``compute``; holds at most 2 * ``limit`` entries,
+    none with a key of more than LONGEST characters, so its bytes are bounded as well.
 
     When the young generation is full it becomes the old one, and entries of the old one that are
     asked for again are kept. Frequent words thus stay, and memory is bounded on any corpus.
@@ -43,22 +38,20 @@ class TwoGenerationCache(dict):
 
     def __init__(self, compute: Callable[[Hashable], object], limit: int = 300_000):
         super().__init__()
-        self.compute, self.limit, self.old, self.size = compute, limit, {}, 0
+        self.compute, self.limit, self.old = compute, limit, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-            if isinstance(key, (bytes, str)) and len(key) > LONGEST:
+            if len(key) > LONGEST:
                 return value
-        if len(self) >= self.limit or self.size >= 200 * self.limit:
+        if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-            self.size = 0
-        self.size += _weight(key, value)
         self[key] = value
         return value
 
     def forget(self) -> None:
         self.clear()
-        self.old, self.size = {}, 0
+        self.old = {}

@@ -105,6 +105,15 @@ def test_word_encoder_equals_the_library():
         assert np.frombuffer(encoder.encode_bytes(text.encode()), encoder.dtype).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_of_long_texts():
+    text = b" ".join(b"word%d" % i for i in range(5000)) + b"x" * 3000 + b"\n end"
+    for size in (1, 100, 4000, 1 << 22):
+        cut = list(op1_token_ids.pieces(text, size))
+        assert b"".join(cut) == text and all(p[:1].isspace() for p in cut[1:])
+        parts = op1_token_ids.WordEncoder.PARTS
+        assert [x for p in cut for x in parts.findall(p)] == parts.findall(text)
+
+
 def test_op1(spark, docs, none):
     encoder = op1_token_ids.word_encoder(path_of("word_bpe_49k.json"))
     path = common.scratch_path(spark, "t")
