@@ -15,6 +15,7 @@ MODULES = (
     "op8_byte_bpe",
     "op9_url_filter",
     "op10_pii",
+    "op11_negatives",
     "op12_phrases",
 )
 
