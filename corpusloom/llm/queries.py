@@ -17,6 +17,7 @@ MODULES = (
     "op10_pii",
     "op11_negatives",
     "op12_phrases",
+    "op13_ngram_join",
 )
 
 
