@@ -3,7 +3,7 @@
 Texts are lower-cased (A-Z), cut into pieces at ``[.,;:!?\\n\\x0b\\x0c\\r]`` and those into words at spaces and tabs.
 A phrase is 2 to ``longest`` words in a row within a piece; everything is counted for each language.
 
-1. A sketch counts the bigrams of all texts in hashed slots: upper bounds. A second one counts the longer grams all of
+1. A sketch counts the bigrams of all texts in two hashed slots each: upper bounds. A second one counts the longer grams all of
    whose bigrams reach ``least``. What reaches it in the sketches is a candidate; every phrase that occurs ``least``
    times is one, as a slot's count is never too low.
 2. The candidates, and the beginnings and ends they can be cut into, are compiled into Aho-Corasick automata, one for
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .slot_sketch import SlotCounts, at_least, bit_of, mixed, slot_bits, slot_of, summed
+from .slot_sketch import SlotCounts, at_least, bit_of, mixed, slot_bits, summed, two_slots
 from .word_cache import TwoGenerationCache, hold
 
 SEED = 42
@@ -104,7 +104,8 @@ def bigram_counts(texts: DataFrame, bits: int) -> DataFrame:
             for lang, count in zip(own.langs, np.diff(words[starts]).tolist()):
                 n[lang] = n.get(lang, 0) + count
             for _, hashes, whole in own.grams(2):
-                counts.add(slot_of(hashes[whole], bits))
+                for slots in two_slots(hashes[whole], bits):
+                    counts.add(slots)
             if counts.full() or len(n) > 10_000:
                 yield _rows(counts, n)
                 n = {}
@@ -114,15 +115,22 @@ def bigram_counts(texts: DataFrame, bits: int) -> DataFrame:
     return texts.mapInArrow(run, "range int, counts binary, lang string, n long")
 
 
+def _reaching(at: np.ndarray, hashes: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
+    """Those places of ``at`` whose hashes reach the threshold in both of their slots."""
+    first, second = two_slots(hashes[at], bits)
+    return at[bit_of(table, first) & bit_of(table, second)]
+
+
 def _likely(own: _Batch, longest: int, bits: int, pairs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(k, slots, likely): grams whose bigrams all reach the threshold in the sketch."""
+    """(k, hashes, places) of the grams all of whose bigrams reach the threshold in the sketch."""
     for k, hashes, whole in own.grams(longest):
-        slots = slot_of(hashes, bits)
         if k == 2:
-            flags = likely = whole & bit_of(pairs, slots)
+            likely = np.zeros(len(whole), bool)
+            likely[_reaching(np.flatnonzero(whole), hashes, bits, pairs)] = True
+            flags = likely
         else:
             likely = likely[:-1] & flags[k - 2 :]
-        yield k, slots, likely
+        yield k, hashes, np.flatnonzero(likely)
 
 
 def longer_counts(texts: DataFrame, bits: int, pairs, longest: int) -> DataFrame:
@@ -132,9 +140,9 @@ def longer_counts(texts: DataFrame, bits: int, pairs, longest: int) -> DataFrame
         codes, counts, table = TwoGenerationCache(_code), SlotCounts(bits), np.frombuffer(pairs.value, np.uint8)
         hold("phrases", codes.forget)
         for batch in batches:
-            for k, slots, likely in _likely(_Batch(batch, codes), longest, bits, table):
-                if k > 2:
-                    counts.add(slots[likely])
+            for k, hashes, at in _likely(_Batch(batch, codes), longest, bits, table):
+                for slots in two_slots(hashes[at], bits) if k > 2 else ():
+                    counts.add(slots)
             if counts.full():
                 yield _rows(counts, {})
         yield _rows(counts, {})
@@ -159,8 +167,8 @@ def candidates(texts: DataFrame, bits: int, pairs, longer, longest: int) -> Data
         for batch in batches:
             own = _Batch(batch, codes)
             of = np.repeat(np.arange(len(own.sizes)), own.sizes)
-            for k, slots, likely in _likely(own, longest, bits, table):
-                at = np.flatnonzero(likely if k == 2 else likely & bit_of(more, slots))
+            for k, hashes, at in _likely(own, longest, bits, table):
+                at = at if k == 2 else _reaching(at, hashes, bits, more)
                 found.update((own.langs[d], b" ".join(own.words[i : i + k])) for i, d in zip(at.tolist(), of[at].tolist()))
             if len(found) > 200_000:
                 yield rows()

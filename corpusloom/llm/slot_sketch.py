@@ -35,6 +35,13 @@ def slot_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return hashes >> np.uint64(64 - bits)
 
 
+def two_slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent slots of each hash, one in either half of the slots: the smaller count is the bound, so only
+    what meets frequent items in both is taken for frequent."""
+    again = mixed(hashes * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    return slot_of(hashes, bits - 1), slot_of(again, bits - 1) + np.uint64(1 << (bits - 1))
+
+
 class SlotCounts:
     """The slots a task has seen and not yet given out."""
 
