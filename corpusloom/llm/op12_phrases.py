@@ -24,6 +24,7 @@ phrase. A piece of one word only adds to n. Empty tables give empty tables.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,11 +32,11 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .slot_sketch import SlotCounts, at_least, bit_of, mixed, slot_bits, summed, two_slots
+from .slot_sketch import SlotCounts, at_least, bit_of, mixed, packed_ranges, slot_bits, slot_sums, summed, two_slots
 from .word_cache import TwoGenerationCache, hold
 
 SEED = 42
@@ -151,8 +152,9 @@ def longer_counts(texts: DataFrame, bits: int, pairs, longest: int) -> DataFrame
     return texts.mapInArrow(run, "range int, counts binary, lang string, n long").select("range", "counts")
 
 
-def candidates(texts: DataFrame, bits: int, pairs, longer, longest: int) -> DataFrame:
-    """(lang, phrase) of the grams that reach the threshold in the sketches; a phrase may come more than once."""
+def candidates(texts: DataFrame, bits: int, pairs, longer, longest: int, parts: int = 256) -> DataFrame:
+    """Distinct (lang, phrase) of the grams that reach the threshold in the sketches. A task hands over what it has met
+    as one packed list for each of ``parts`` parts of a language's phrases; the lists of a part meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, found = TwoGenerationCache(_code), set()
@@ -160,9 +162,13 @@ def candidates(texts: DataFrame, bits: int, pairs, longer, longest: int) -> Data
         table, more = (np.frombuffer(x.value, np.uint8) for x in (pairs, longer))
 
         def rows() -> pa.RecordBatch:
-            columns = [pa.array([x[i] for x in found], kind) for i, kind in ((0, pa.string()), (1, pa.binary()))]
+            lists: dict[tuple[str, int], list[bytes]] = {}
+            for lang, phrase in found:
+                lists.setdefault((lang, zlib.crc32(phrase) % parts), []).append(phrase)
             found.clear()
-            return pa.RecordBatch.from_arrays(columns, ["lang", "phrase"])
+            keys, packed = list(lists), [zlib.compress(b"\n".join(x), 1) for x in lists.values()]
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(packed, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "part", "packed"])
 
         for batch in batches:
             own = _Batch(batch, codes)
@@ -175,7 +181,25 @@ def candidates(texts: DataFrame, bits: int, pairs, longer, longest: int) -> Data
         yield rows()
         codes.forget()
 
-    return texts.mapInArrow(run, "lang string, phrase binary").select("lang", F.col("phrase").cast("string").alias("phrase"))
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("phrases", lambda: None)
+        of, found = None, set()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([of[0]] * len(found), pa.string()), pa.array(found, pa.binary())], ["lang", "phrase"])
+
+        for batch in batches:
+            for lang, part, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if (lang, part) != of:
+                    if found:
+                        yield rows()
+                    of, found = (lang, part), set()
+                found.update(zlib.decompress(packed).split(b"\n"))
+        if found:
+            yield rows()
+
+    lists = texts.mapInArrow(run, "lang string, part int, packed binary").repartition("lang", "part").sortWithinPartitions("lang", "part")
+    return lists.mapInArrow(once, "lang string, phrase binary").select("lang", F.col("phrase").cast("string").alias("phrase"))
 
 
 _automata: dict = {}
@@ -196,6 +220,7 @@ def _automata_of(chunk_id: str, chunk) -> dict:
 
 def occurrences(texts: DataFrame, chunk_id: str, chunk, size: int) -> DataFrame:
     """(place, n): how often each pattern of the chunk, by its place there, occurs in texts of its language."""
+    bits = slot_bits(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("phrases", _automata.clear)
@@ -212,9 +237,10 @@ def occurrences(texts: DataFrame, chunk_id: str, chunk, size: int) -> DataFrame:
             if places:
                 total += np.bincount(places, minlength=size)
         met = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(total[met], pa.int64())], ["place", "n"])
+        ranges, packed = packed_ranges(met.astype(np.uint32), total[met], bits)
+        yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(packed, pa.binary())], ["range", "counts"])
 
-    return texts.mapInArrow(run, "place long, n long")
+    return slot_sums(texts.mapInArrow(run, "range int, counts binary"), bits)
 
 
 def pattern_counts(texts: DataFrame, patterns: DataFrame, most: int = 200_000, most_bytes: int = 8 << 20) -> list[DataFrame]:
@@ -229,10 +255,9 @@ def pattern_counts(texts: DataFrame, patterns: DataFrame, most: int = 200_000, m
         # phrases are kept as the automata know them
         listed = [(x, y.decode("utf-8", "surrogateescape")) for x, y in zip(own["lang"].to_pylist(), own["phrase"].cast(pa.binary()).to_pylist())]
         held = spark.sparkContext.broadcast(listed)
-        met = occurrences(texts, common.fresh("chunk"), held, len(listed)).groupBy("place").agg(F.sum("n").alias("f"))
-        counts = met.toArrow()
+        counts = occurrences(texts, common.fresh("chunk"), held, len(listed)).toArrow()
         held.unpersist()
-        found = pa.table({"lang": own["lang"].take(counts["place"]), "phrase": own["phrase"].take(counts["place"]), "f": counts["f"]})
+        found = pa.table({"lang": own["lang"].take(counts["place"]), "phrase": own["phrase"].take(counts["place"]), "f": counts["n"]})
         parts.append(common.materialize(spark.createDataFrame(found), "phrase-counts"))
     return parts
 
@@ -241,6 +266,13 @@ def _part(first, size):
     return F.array_join(F.slice("words", first, size), " ")
 
 
+def score_of(scale: int) -> Column:
+    """floor(scale * a * n / (l * r)) in whole numbers of up to 38 digits."""
+    whole = lambda name, digits: F.col(name).cast(f"decimal({digits}, 0)")
+    over = (F.lit(scale).cast("decimal(5, 0)") * whole("a", 16)).cast("decimal(20, 0)") * whole("n", 17)
+    return F.call_function("div", over, whole("l", 18) * whole("r", 19))
+
+
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, inside: int = 100, scale: int = 1000) -> DataFrame:
     """docs(lang, text) -> lang, rank, phrase, a, l, r, n, score: of each language the first ``top`` phrases that occur
     ``least`` times or more, by floor(scale * a * n / (l * r)) of their weakest cut into l and r. Phrases that
@@ -255,7 +287,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     pairs = share(summed(first, bits, at_least(least)))
     longer = share(summed(longer_counts(texts, bits, pairs, longest), bits, at_least(least)))
     words = common.materialize(first.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), "words")
-    likely = common.materialize(candidates(texts, bits, pairs, longer, longest).distinct(), "phrases")
+    likely = common.materialize(candidates(texts, bits, pairs, longer, longest), "phrases")
     pairs.unpersist()
     longer.unpersist()
     split = likely.withColumn("words", F.split("phrase", " "))
@@ -271,9 +303,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
         "lang", "phrase", "a", "k", _part(F.lit(1), F.col("k")).alias("left"), _part(F.col("k") + 1, F.size("words") - F.col("k")).alias("right")
     )
     cuts = cuts.join(counts.toDF("lang", "left", "l"), ["lang", "left"]).join(counts.toDF("lang", "right", "r"), ["lang", "right"])
-    scored = cuts.join(words, "lang").select("lang", "phrase", "a", "k", "l", "r", "n", F.expr(
-        f"cast({scale} * cast(a as decimal(19, 0)) as decimal(24, 0)) * cast(n as decimal(14, 0)) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))"
-    ).alias("score"))
+    scored = cuts.join(words, "lang").select("lang", "phrase", "a", "k", "l", "r", "n", score_of(scale).alias("score"))
     weakest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("c")).select("lang", "phrase", "c.*")
     # every shorter phrase within each frequent one
     within = F.flatten(

@@ -61,10 +61,15 @@ class SlotCounts:
             return [], []
         slots, counts = np.unique(np.concatenate(self.parts), return_counts=True)
         self.parts, self.n = [], 0
-        width = self.bits - RANGES
-        cuts = np.searchsorted(slots, np.arange((1 << RANGES) + 1, dtype=np.uint64) << np.uint64(width)).tolist()
-        ranges = [r for r in range(1 << RANGES) if cuts[r] < cuts[r + 1]]
-        return ranges, [pack(slots[cuts[r] : cuts[r + 1]] - np.uint32(r << width), counts[cuts[r] : cuts[r + 1]]) for r in ranges]
+        return packed_ranges(slots, counts, self.bits)
+
+
+def packed_ranges(slots: np.ndarray, counts: np.ndarray, bits: int) -> tuple[list[int], list[bytes]]:
+    """(range, packed counts) of slots (uint32) in ascending order."""
+    width = bits - RANGES
+    cuts = np.searchsorted(slots, np.arange((1 << RANGES) + 1, dtype=np.uint64) << np.uint64(width)).tolist()
+    ranges = [r for r in range(1 << RANGES) if cuts[r] < cuts[r + 1]]
+    return ranges, [pack(slots[cuts[r] : cuts[r + 1]] - np.uint32(r << width), counts[cuts[r] : cuts[r + 1]]) for r in ranges]
 
 
 def pack(places: np.ndarray, counts: np.ndarray) -> bytes:
@@ -77,34 +82,49 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
 
 
-def summed(counts: DataFrame, bits: int, told: Callable[[np.ndarray], np.ndarray]) -> bytes:
-    """What ``told`` makes of each range's sums, for all slots in order; counts(range int, counts binary)."""
+def _by_range(counts: DataFrame, bits: int, row: Callable[[int, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``row`` makes of each range and the sums of its slots; counts(range int, counts binary)."""
     width = 1 << (bits - RANGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, np.zeros(width, np.int64)
-
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([told(total).tobytes()], pa.binary())], ["range", "told"])
-
         for batch in batches:
             for r, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if r != at:
                     if at is not None:
-                        yield row()
+                        yield row(at, total)
                     at, total = r, np.zeros(width, np.int64)
                 places, n = unpack(blob.as_py())
                 total[places] += n
         if at is not None:
-            yield row()
+            yield row(at, total)
 
     found = counts.where(F.col("range").isNotNull()).select("range", "counts").repartition("range").sortWithinPartitions("range")
-    rows = found.mapInArrow(run, "range int, told binary").toArrow()
+    return found.mapInArrow(run, schema)
+
+
+def summed(counts: DataFrame, bits: int, told: Callable[[np.ndarray], np.ndarray]) -> bytes:
+    """What ``told`` makes of each range's sums, for all slots in order; counts(range int, counts binary)."""
+
+    def row(r: int, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([told(sums).tobytes()], pa.binary())], ["range", "told"])
+
+    rows = _by_range(counts, bits, row, "range int, told binary").toArrow()
     by_range = dict(zip(rows["range"].to_pylist(), rows["told"].to_pylist()))
-    nothing = told(np.zeros(width, np.int64)).tobytes()
+    nothing = told(np.zeros(1 << (bits - RANGES), np.int64)).tobytes()
     return b"".join(by_range.get(r, nothing) for r in range(1 << RANGES))
 
 
+def slot_sums(counts: DataFrame, bits: int) -> DataFrame:
+    """(place, n) of the slots that have been counted; counts(range int, counts binary)."""
+
+    def row(r: int, sums: np.ndarray) -> pa.RecordBatch:
+        met = np.flatnonzero(sums)
+        return pa.RecordBatch.from_arrays([pa.array(met + (r << (bits - RANGES))), pa.array(sums[met])], ["place", "n"])
+
+    return _by_range(counts, bits, row, "place long, n long")
+
+
 def at_least(threshold: int) -> Callable[[np.ndarray], np.ndarray]:
     """A bit for each slot (lowest first), set where its sum reaches the threshold."""
     return lambda sums: np.packbits(sums >= threshold, bitorder="little")
