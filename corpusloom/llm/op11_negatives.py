@@ -214,7 +214,7 @@ class _Search:
                     np.flatnonzero(self.space.open(least, most, self.space.asked(q), *b)).astype(np.int32) if b[0] <= b[1] else []
                     for q, b in zip(self.space.matrix(batch.column(2)), bounds)
                 ]
-                low, high = (pa.array([b[i] for b in bounds], pa.float64()) for i in (0, 1))
+                low, high = (pa.array([float(b[i]) for b in bounds], pa.float64()) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, low, high, pa.array(open_, pa.list_(pa.int32()))], ["vec_id", "label", "v", "found", "low", "high", "cells"]
                 )
