@@ -1,22 +1,27 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document's set is that of its distinct word shingles (64-bit hashes). All sets are ordered alike: shingles that many
-documents have come last (by classes of a count sketch over all documents, then by hash), so a set's first shingles are its
-rare ones. Two sets of similarity t or more share at least l shingles of their l-prefixes, the first
-|x| - ceil(t |x|) + l. Each document chooses its own l, from 1 to ``longest``: the sketch tells how many documents share
-each shingle of a prefix (s in all), which costs s lookups and at most s / l verifications of |x| steps, and the l of the
-smallest estimate is taken. A pair is held to the smaller of its two l: shingles in both prefixes of that length must
-number that many before the sets are compared.
-
-Documents of equal sets are one class from the start. The shingles of the prefixes are buckets of classes; those that only
-one class has are sorted out by a bit table (16 to 2 ** 30 bits, by count; false positives are harmless). Classes that
-buckets connect are a group. A group goes with its sets to one task, or in slices of bounded bytes, each pair of
-them to one task, which looks candidates up in the prefixes and tries them until they are connected. So a group of
-copies costs about as many comparisons as it has members, and tasks give out links only, never pairs to be tried.
-Groups of more than ``WIDE`` slices, chained by shingles that unlike documents share, are taken apart first: each
-class is tried in one bucket, the largest that one task holds, then only buckets whose members are not in one
-component yet make groups, and of those that are still wide every bucket is a task of its own (or slices) in which
-pairs are tried that share no earlier one. No link between two components is lost in either way.
+A document's set is that of its distinct word shingles (64-bit hashes). Two sets of similarity t or more have all but
+1 - t of either in common, so a document more of whose shingles are met nowhere else is linked with nothing. A table of
+bits (four for each shingle, 2 ** 30 at most) tells shingles that two documents have, and by chance few others; the
+documents that remain are read into sets, equal sets being one class from the start.
+
+The shingles of the classes are counted exactly and put in one order, rare ones first. Two sets of similarity t or more
+share at least l shingles of their l-prefixes, the first |x| - ceil(t |x|) + l. Each class chooses its own l, from 1 to
+``longest``: shingles that s other classes share in all cost s lookups and at most s / l verifications of |x| steps,
+and the l of the smallest estimate is taken. A pair is held to the smaller of its two l: shingles in both prefixes of that
+length must number that many before the sets are compared.
+
+The shingles of the prefixes are buckets of classes, and classes that buckets connect are a group. A group goes with
+its sets to one task, or in slices of bounded bytes, each pair of them to one task, which looks candidates up in the
+prefixes and tries them until they are connected. So a group of copies costs about as many comparisons as it has
+members, and tasks give out links only, never pairs to be tried. Groups of more than ``WIDE`` slices, chained by
+shingles that unlike documents share, are taken apart first: each class is tried in one bucket, the largest that one
+task holds, then only buckets whose members are not in one component yet make groups, and of those that are still wide
+every bucket is a task of its own (or slices) in which pairs are tried that share no earlier one. No link between two
+components is lost in either way.
+
+Beyond some 2 ** 30 shingles (about 6 GB of text) the bits fill up; what they no longer sort out is read into sets and
+counted as well, at the price of shuffling it. Results do not change.
 
 A text of fewer words than a shingle is one shingle; without words (null, empty, white space) it has an empty set and is
 linked with nothing. Rows that repeat a doc_id are one document, linked with whatever one of them is linked with, with
@@ -27,8 +32,8 @@ different ones are taken for one with a chance of about 1 in 10 ** 19.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import partial, reduce
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .op2_simhash import alike, shingle_digests
-from .slot_sketch import SlotCounts, bit_of, mixed, slot_bits, slot_of, summed
+from .slot_sketch import SlotCounts, at_least, bit_of, slot_bits, slot_of, summed
 from .word_cache import hold
 
 SEED = 42
@@ -75,121 +80,100 @@ def document_counts(texts: DataFrame, size: int, bits: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "range int, counts binary")
 
 
-def steps(sums: np.ndarray) -> np.ndarray:
-    """Counts as bytes: 16 steps for each doubling from 1 on (0 for none)."""
-    return np.minimum(255, np.where(sums > 0, 1 + 8 * np.log2(np.maximum(sums, 1)), 0)).astype(np.uint8)
+def needed(n, percent: int):
+    """Shingles of n that a set of the similarity must share."""
+    return -(-percent * n // 100)
 
 
-class Order:
-    """How sets are ordered, and what a shingle's bucket is likely to hold."""
-
-    def __init__(self, told: Broadcast, bits: int, items: int, similarity: float, longest: int):
-        self.table, self.bits = np.frombuffer(told.value, np.uint8), bits
-        self.usual, self.similarity, self.longest = items / (1 << bits), similarity, longest
-
-    def counts(self, found: np.ndarray) -> np.ndarray:
-        """Documents that share each shingle, one at least: the slot's count less what any slot holds."""
-        return np.maximum(1.0, 2.0 ** ((self.table[slot_of(found, self.bits)].astype(float) - 1) / 8) - self.usual)
-
-    def arranged(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The set in order, and the counts. Rare shingles are one class, so that noise does not order them."""
-        counts = self.counts(found)
-        classes = np.floor(np.log2(np.maximum(1.0, counts / (2 + 2 * self.usual))))
-        order = np.lexsort((mixed(found), classes))
-        return found[order], counts[order]
-
-    def base(self, n: int) -> int:
-        """Shingles of the 1-prefix, less one."""
-        return n - int(np.ceil(self.similarity * n - 1e-9))
-
-    def chosen(self, n: int, counts: np.ndarray) -> int:
-        """The l of the least estimated cost; counts in order."""
-        base = self.base(n)
-        choices = np.arange(1, min(self.longest, n - base) + 1)
-        if not len(choices):
-            return 1
-        shared = np.cumsum(counts - 1)[base + choices - 1]
-        return int(choices[np.argmin(shared + shared / choices * n)])
-
-
-def profiles(texts: DataFrame, size: int, order: Callable[[], Order]) -> DataFrame:
-    """texts(row, text) -> row, set_id (128-bit hash), n, prefix (the l-prefix in order). Narrow."""
+def marked(texts: DataFrame, size: int, bits: int, repeated: Broadcast, percent: int) -> DataFrame:
+    """texts(row, text) -> row, set_id (128-bit hash), n, open: whether enough shingles may be met elsewhere. Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("ngrams", lambda: None)
-        ordered = order()
+        table = np.frombuffer(repeated.value, np.uint8)
         for batch in batches:
-            ids, sizes, prefixes = [], [], []
+            ids, sizes, open_ = [], [], []
             for text in batch.column(1).cast(pa.binary()):
-                found, counts = ordered.arranged(shingles(text.as_py(), size))
-                n = len(found)
-                match = ordered.chosen(n, counts)
-                ids.append(xxhash.xxh128_digest(np.sort(found).tobytes(), SEED))
-                sizes.append(n)
-                prefixes.append(found[: ordered.base(n) + match if n else 0].view(np.int64))
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32()),
-                pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]), pa.int64()),
-            )
-            columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "set_id", "n", "prefix"])
+                found = shingles(text.as_py(), size)
+                ids.append(xxhash.xxh128_digest(found.tobytes(), SEED))
+                sizes.append(len(found))
+                open_.append(len(found) > 0 and int(bit_of(table, slot_of(found, bits)).sum()) >= needed(len(found), percent))
+            columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(open_, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "set_id", "n", "open"])
 
-    return texts.select("row", "text").mapInArrow(run, "row long, set_id binary, n long, prefix array<long>")
+    return texts.select("row", "text").mapInArrow(run, "row long, set_id binary, n long, open boolean")
 
 
-def prefix_counts(classes: DataFrame, bits: int) -> DataFrame:
-    """(range, counts) of the slots of the classes' prefixes."""
+def sets_of(texts: DataFrame, rows: DataFrame, n: int, size: int) -> DataFrame:
+    """(row, set_id, shingles) of those texts(row, text) that ``rows(row)``, n in number, names, and of few others: texts
+    are sorted out in place by a bit table of sixteen bits a row (2 ** 30 bits at most). Narrow."""
+    bits = slot_bits(16 * n, 16, 30)
+    wanted = common.bit_table(rows, "row", bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("ngrams", lambda: None)
-        counts = SlotCounts(bits)
+        table = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            found = np.asarray(batch.column(0).flatten()).view(np.uint64)
-            counts.add(slot_of(mixed(found), bits))
-            if counts.full():
-                yield _count_rows(counts)
-        yield _count_rows(counts)
+            places = np.asarray(batch.column(2))
+            chosen = batch.take(pa.array(np.flatnonzero(table[places >> 3] >> (places & 7) & 1)))
+            sets = [shingles(t.as_py(), size).tobytes() for t in chosen.column(1).cast(pa.binary())]
+            ids = [xxhash.xxh128_digest(x, SEED) for x in sets]
+            yield pa.RecordBatch.from_arrays([chosen.column(0), pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], ["row", "set_id", "shingles"])
 
-    return classes.select("prefix").mapInArrow(run, "range int, counts binary")
+    return texts.select("row", "text", common.bit_place("row", bits).alias("place")).mapInArrow(run, "row long, set_id binary, shingles binary")
 
 
-def shared_entries(classes: DataFrame, told: Broadcast, bits: int) -> DataFrame:
-    """(row, token) of the prefixes' shingles that more than one class has, and of few others."""
+def tokens_of(sets: DataFrame) -> DataFrame:
+    """(row, line, n, token) of sets(row, line, n, shingles): one row for each shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("ngrams", lambda: None)
-        table = np.frombuffer(told.value, np.uint8)
         for batch in batches:
-            lists = batch.column(1)
-            found = np.asarray(lists.flatten())
-            rows = np.repeat(np.asarray(batch.column(0)), np.diff(np.asarray(lists.offsets)))
-            kept = bit_of(table, slot_of(mixed(found.view(np.uint64)), bits))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[kept]), pa.array(found[kept])], ["row", "token"])
+            sizes = np.asarray(batch.column(2))
+            found = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_py(), np.int64) for x in batch.column(3))])
+            numbers = [pa.array(np.repeat(np.asarray(batch.column(i)), sizes)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*numbers, pa.array(found)], ["row", "line", "n", "token"])
 
-    return classes.select("row", "prefix").mapInArrow(run, "row long, token long")
+    return sets.select("row", "line", "n", "shingles").mapInArrow(run, "row long, line long, n long, token long")
 
 
-def sets_of(texts: DataFrame, rows: DataFrame, n: int, size: int, order: Callable[[], Order]) -> DataFrame:
-    """(row, l, shingles in order) of those texts(row, text) that ``rows(row)``, n in number, names, and of few others:
-    texts are sorted out in place by a bit table of sixteen bits a row (2 ** 30 bits at most). Narrow."""
-    bits = slot_bits(16 * n, 16, 30)
-    wanted = common.bit_table(rows, "row", bits)
+def chosen_match(n: int, counts: np.ndarray, percent: int, longest: int) -> int:
+    """The l of the least estimated cost. counts: in how many classes each of the shingles is that others have, too, in
+    order; the n - len(counts) shingles before them cost nothing."""
+    choices = np.arange(1, min(longest, needed(n, percent)) + 1)
+    sums = np.concatenate([[0], np.cumsum(counts - 1)])
+    shared = sums[np.clip(n - needed(n, percent) - (n - len(counts)) + choices, 0, len(counts))]
+    return int(choices[np.argmin(shared + shared / choices * n)])
+
+
+def prefixes_of(shared: DataFrame, percent: int, longest: int) -> DataFrame:
+    """shared(row, line, n, listed array<struct<often, token>>) -> row, line, l, skip, prefix: the shingles of the l-prefix
+    that others have, too. Of the prefix for l' they are the first skip + l'. Classes without any are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("ngrams", lambda: None)
-        table, ordered = np.frombuffer(wanted.value, np.uint8), order()
         for batch in batches:
-            places = np.asarray(batch.column(2))
-            chosen = batch.take(pa.array(np.flatnonzero(table[places >> 3] >> (places & 7) & 1)))
-            matches, sets = [], []
-            for text in chosen.column(1).cast(pa.binary()):
-                found, counts = ordered.arranged(shingles(text.as_py(), size))
-                matches.append(ordered.chosen(len(found), counts))
-                sets.append(found.tobytes())
-            columns = [chosen.column(0), pa.array(matches, pa.int32()), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "l", "shingles"])
-
-    return texts.select("row", "text", common.bit_place("row", bits).alias("place")).mapInArrow(run, "row long, l int, shingles binary")
+            kept, matches, skips, prefixes = [], [], [], []
+            lists = batch.column(3)
+            often, token = (np.asarray(x) for x in lists.flatten().flatten())
+            ends = np.concatenate([[0], np.cumsum(np.diff(np.asarray(lists.offsets)))]).tolist()
+            for i, n in enumerate(batch.column(2).to_pylist()):
+                own = slice(ends[i], ends[i + 1])
+                order = np.lexsort((token[own], often[own]))
+                match = chosen_match(n, often[own][order], percent, longest)
+                skip = len(order) - needed(n, percent)
+                if skip + match > 0:
+                    kept.append(i)
+                    matches.append(match)
+                    skips.append(skip)
+                    prefixes.append(token[own][order][: skip + match])
+            out = batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32())
+            found = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]), pa.int64()))
+            columns = [*out.columns, pa.array(matches, pa.int64()), pa.array(skips, pa.int64()), found]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "line", "l", "skip", "prefix"])
+
+    return shared.mapInArrow(run, "row long, line long, l long, skip long, prefix array<long>")
 
 
 class Tile:
@@ -198,8 +182,8 @@ class Tile:
     def __init__(self, similarity: float):
         self.percent, self.similarity, self.members = round(100 * similarity), similarity, []
 
-    def add(self, own: int, row: int, root: int, match: int, found: np.ndarray) -> None:
-        self.members.append((own, row, root, match, found))
+    def add(self, own: int, row: int, root: int, match: int, skip: int, prefix: np.ndarray, found: np.ndarray) -> None:
+        self.members.append((own, row, root, match, skip, prefix, found))
 
     def links(self, bucket: int | None) -> list[tuple[int, int]]:
         """Links (pairs of rows) of members of different roots, enough to connect what is connected here. Members of one
@@ -207,17 +191,15 @@ class Tile:
         if len(self.members) < 2:
             return []
         slices, rows, label, match = (np.array(x, np.int64) for x in list(zip(*self.members))[:4])
-        sets = [m[4] for m in self.members]
-        size = np.array([len(x) for x in sets])
-        base = size - -(-self.percent * size // 100)
-        prefixes = [x[:n] for x, n in zip(sets, (base + match).tolist())]
+        prefixes, sets = ([m[k] for m in self.members] for k in (5, 6))
+        size, length = (np.array([len(x) for x in y]) for y in (sets, prefixes))
         _, token = np.unique(np.concatenate(prefixes), return_inverse=True)
-        of = np.repeat(np.arange(len(sets)), base + match)
+        of = np.repeat(np.arange(len(sets)), length)
         by_token = np.argsort(token, kind="stable")
         starts = np.searchsorted(token[by_token], np.arange(token.max() + 2)) if len(token) else np.zeros(1, np.int64)
-        postings, ends = of[by_token], np.cumsum(base + match)
+        postings, ends = of[by_token], np.cumsum(length)
         often = np.diff(starts) > 1
-        crossing, out, whole = len(np.unique(slices)) > 1, [], {}
+        crossing, out = len(np.unique(slices)) > 1, []
         for i in range(len(sets) - 1):
             if (label == label[0]).all():
                 break
@@ -234,21 +216,19 @@ class Tile:
             near = np.flatnonzero(near)
             # the likeliest first, as a link spares the comparisons with all it connects
             for j in near[np.argsort(-shared[near], kind="stable")].tolist():
-                if label[i] != label[j] and self._alike(i, j, sets, base, match, bucket, whole):
+                if label[i] != label[j] and self._alike(i, j, bucket):
                     label[label == label[j]] = label[i]
                     out.append((int(rows[i]), int(rows[j])))
         return out
 
-    def _alike(self, i: int, j: int, sets: list, base: np.ndarray, match: np.ndarray, bucket: int | None, whole: dict) -> bool:
-        least = min(match[i], match[j])
-        mine = sets[i][: base[i] + least]
-        shared = mine[np.isin(mine, sets[j][: base[j] + least], assume_unique=True)]
-        if len(shared) < least or bucket is not None and shared.view(np.int64)[0] != bucket:
+    def _alike(self, i: int, j: int, bucket: int | None) -> bool:
+        one, other = self.members[i], self.members[j]
+        least = min(one[3], other[3])
+        mine, its = (m[5][: max(0, m[4] + least)] for m in (one, other))
+        shared = mine[np.isin(mine, its, assume_unique=True)]
+        if len(shared) < least or bucket is not None and shared[0] != bucket:
             return False
-        for k in (i, j):
-            if k not in whole:
-                whole[k] = np.sort(sets[k])
-        return alike(whole[i], whole[j], self.similarity)
+        return alike(one[6], other[6], self.similarity)
 
 
 def tile_links(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -264,7 +244,7 @@ def tile_links(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFr
         members.join(cuts, ["key", "by_token"])
         .withColumn("own", own)
         .withColumn("part", F.explode(parts))
-        .select("key", "by_token", "part", "own", "row", "root", "l", "shingles")
+        .select("key", "by_token", "part", "own", "row", "root", "l", "skip", "prefix", "shingles")
         .repartition("key", "by_token", "part")
         .sortWithinPartitions("key", "by_token", "part", "row")
     )
@@ -278,11 +258,12 @@ def tile_links(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFr
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for *key, own, row, root, match, shingled in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            columns = [batch.column(i).to_pylist() for i in range(8)]
+            for *key, own, row, root, match, skip, prefix, shingled in zip(*columns, batch.column(8), batch.column(9)):
                 if key != of:
                     yield found()
                     of, tile = key, Tile(similarity)
-                tile.add(own, row, root, match, np.frombuffer(shingled, np.uint64))
+                tile.add(own, row, root, match, skip, np.asarray(prefix.values), np.frombuffer(shingled.as_py(), np.uint64))
         yield found()
 
     links = common.materialize(tiles.mapInArrow(run, "a long, b long").distinct(), "links")
@@ -337,41 +318,41 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, similarity: float = 0.
     similarity ``similarity`` (whole hundredths) or more. A written table of the shared folder."""
     spark = docs.sparkSession
     common.tune(spark)
-    share = spark.sparkContext.broadcast
+    percent = round(100 * similarity)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("row"), F.col("text").cast("string").alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = slot_bits(size / 64, 16, 24)
+    # a shingle for about six bytes
+    bits = slot_bits(4 * (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6, 16, 30)
     counted = common.materialize(document_counts(texts, shingle, bits), "shingle-counts")
-    told = share(summed(counted, bits, steps))
+    repeated = spark.sparkContext.broadcast(summed(counted, bits, at_least(2)))
     common.drop_tables(counted)
-    # a slot holds by chance about what there are shingles, one for each six bytes
-    order = partial(Order, told, bits, size // 6, similarity, longest)
-    seen = common.materialize(profiles(texts, shingle, order), "profiles")
-    # one row for each distinct set stands for all documents that have it
-    names = common.materialize(seen.where("n > 0").groupBy("set_id").agg(F.min("row").alias("class")), "names")
-    own = seen.select("set_id", F.col("row").alias("class"), "n", "prefix").join(names, ["set_id", "class"])
-    classes = common.materialize(own.dropDuplicates(["set_id", "class"]).withColumnRenamed("class", "row"), "classes")
-    width = slot_bits(8 * (classes.agg(F.sum(F.size("prefix"))).first()[0] or 0), 16, 30)
-    repeated = share(summed(prefix_counts(classes, width), width, lambda sums: np.packbits(sums > 1, bitorder="little")))
-    entries = common.materialize(shared_entries(classes, repeated, width), "entries")
+    seen = common.materialize(marked(texts, shingle, bits, repeated, percent), "marked")
     repeated.unpersist()
+    # one row for each distinct set stands for all documents that have it
+    names = common.materialize(seen.where("open").groupBy("set_id").agg(F.min("row").alias("class")), "names")
+    classes = names.select("set_id", F.col("class").alias("row"))
+    chosen = sets_of(texts, classes.select("row"), names.count(), shingle).join(classes, ["set_id", "row"], "left_semi")
+    size = (F.length("shingles") / 8).cast("long").alias("n")
+    sets = common.materialize(chosen.dropDuplicates(["set_id", "row"]).select("row", F.xxhash64("set_id").alias("line"), size, "shingles"), "sets")
+    tokens = tokens_of(sets)
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    listed = F.collect_list(F.struct("often", "token")).alias("listed")
+    shared = tokens.join(often, "token").groupBy("row", "line", "n").agg(listed).select("row", "line", "n", "listed")
+    prefixes = common.materialize(prefixes_of(shared, percent, longest), "prefixes")
+    entries = prefixes.select("row", F.explode("prefix").alias("token"))
     members = entries.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = common.materialize(entries.join(members, "token"), "buckets")
-    wanted = common.materialize(buckets.select("row").distinct(), "wanted")
-    sizes = classes.groupBy("row").agg(F.sum("n").alias("n"))
-    sets = common.materialize(sets_of(texts, wanted, wanted.count(), shingle, order).distinct(), "sets")
-    links = links_of(buckets, sizes, sets, similarity, wide)
+    buckets = common.materialize(entries.join(members, "token").select("token", "row", "members"), "buckets")
+    sizes = sets.groupBy("row").agg(F.sum("n").alias("n"))
+    held = prefixes.join(sets.select("row", "line", "shingles"), ["row", "line"]).drop("line")
+    links = links_of(buckets, sizes, held, similarity, wide)
     # documents of several sets connect the classes of these
     of_class = common.materialize(seen.join(names, "set_id", "left").select("row", "class", "n"), "of-class")
     least = of_class.groupBy("row").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("row", "a")
     own = of_class.join(least, "row").select("a", F.col("class").alias("b"))
     stars = common.components(reduce(DataFrame.unionByName, [own, *links]))
     rooted = of_class.join(stars.withColumnRenamed("node", "class"), "class", "left").select("row", "n", F.coalesce("root", "class").alias("root"))
-    component = F.coalesce(F.min("root"), F.col("row"))
-    result = rooted.groupBy("row").agg(F.max("n").alias("n_shingles"), component.alias("component_id"))
+    result = rooted.groupBy("row").agg(F.max("n").alias("n_shingles"), F.coalesce(F.min("root"), F.col("row")).alias("component_id"))
     out = common.materialize(result.withColumnRenamed("row", "doc_id"), "ngram-components")
-    common.drop_tables(seen, names, classes, entries, buckets, wanted, sets, *links, of_class, stars)
-    told.unpersist()
+    common.drop_tables(seen, names, sets, prefixes, buckets, *links, of_class, stars)
     return out
 
 

@@ -288,21 +288,11 @@ def test_ngrams_of_nothing(spark):
 
 
 def test_longer_prefixes_where_buckets_are_full():
-    """The chosen l grows with the number of documents that share a prefix's shingles, and pruning stays exact."""
-
-    class Held:
-        value = slot_sketch_bytes = None
-
-    found = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bits, chosen = 16, []
-    for share in (1, 2, 500):
-        sums = np.zeros(1 << bits, np.int64)
-        sums[slot_sketch.slot_of(found, bits)] = share
-        Held.value = op13_ngram_join.steps(sums).tobytes()
-        order = op13_ngram_join.Order(Held, bits, 0, 0.85, 8)
-        arranged, counts = order.arranged(found)
-        chosen.append(order.chosen(len(found), counts))
-    assert chosen[0] == 1 and chosen[1] == chosen[2] == 8
+    """The chosen l grows with the number of classes that share a prefix's shingles."""
+    chosen = lambda counts: op13_ngram_join.chosen_match(400, np.array(counts), 85, 8)
+    assert chosen([]) == chosen([2] * 300) == 1  # enough shingles of its own
+    assert chosen([2] * 400) == chosen([500] * 400) == 8
+    assert chosen([2] * 61 + [10**6] * 339) == 1  # a longer prefix would meet what very many share
 
 
 def test_clashing_names_and_types(spark):
