@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import linear, nearest
+
 
 def stats_linear(df: DataFrame, value: str, by: list[str] | tuple = ()) -> DataFrame:
-    """Count, total, mean, deviations, linear percentiles and coefficient of variation per group."""
-    p = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9), F.lit(0.95)))
+    """Count, total, mean, deviations, linear percentiles and coefficient of variation per group. Percentiles are exact,
+    by counting passes (``quantiles``)."""
     out = df.groupBy(*by).agg(
         F.count(value).alias("n"),
         F.sum(F.col(value).cast("double")).alias("total"),
@@ -19,10 +21,13 @@ def stats_linear(df: DataFrame, value: str, by: list[str] | tuple = ()) -> DataF
         F.stddev_samp(value).alias("std_samp"),
         F.min(F.col(value).cast("double")).alias("min"),
         F.max(F.col(value).cast("double")).alias("max"),
-        p.alias("p"),
     )
-    names = ("p10", "median", "p90", "p95")
-    out = out.select("*", *[F.col("p")[i].alias(k) for i, k in enumerate(names)]).drop("p")
+    p = linear(df, value, {"p10": 0.1, "median": 0.5, "p90": 0.9, "p95": 0.95}, list(by)).drop("n")
+    keys = [f"__of{i}" for i in range(len(by))]
+    same = F.lit(True)
+    for c, k in zip(by, keys):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    out = out.join(p.withColumnsRenamed(dict(zip(by, keys))), same, "left").drop(*keys)
     return out.withColumn("cv", F.col("std_pop") / F.nullif(F.col("mean"), F.lit(0.0)))
 
 
@@ -37,20 +42,8 @@ RANK_RULES: dict[str, Callable[[Column, float], Column]] = {
 
 
 def stats_nearest(df: DataFrame, value: str, quantile: float, by: list[str]) -> DataFrame:
-    """Value at the quantile per group by each rule: equal values are counted first, and places are found
-    among the running counts, so a group is as large as it has different values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    group = Window.partitionBy(*by)
-    ordered = counts.select(
-        *by,
-        "__v",
-        "__c",
-        F.sum("__c").over(group.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)).alias("__end"),
-        F.sum("__c").over(group).alias("__n"),
-    )
-    here = lambda place: (place >= F.col("__end") - F.col("__c")) & (place < F.col("__end"))
-    picks = [F.max(F.when(here(rule(F.col("__n"), quantile)), F.col("__v"))).alias(name) for name, rule in RANK_RULES.items()]
-    return ordered.groupBy(*by).agg(*picks)
+    """Value at the quantile per group by each rule, exactly, by counting passes (``quantiles``)."""
+    return nearest(df, value, {name: lambda n, r=rule: r(n, quantile) for name, rule in RANK_RULES.items()}, by)
 
 
 def diversity(df: DataFrame, category: str, by: list[str]) -> DataFrame:

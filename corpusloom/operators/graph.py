@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import heapq
 import re
 import shutil
 import tempfile
 import uuid
-from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,50 +125,3 @@ def conflicts(tasks: DataFrame) -> DataFrame:
     before = closure(dependencies(tasks))
     ordered = before.toDF("left", "right").union(before.select("ancestor", "id"))
     return pairs.join(ordered, ["left", "right"], "left_anti")
-
-
-ADDED = "task {id}, depends_on {id}, file string"
-
-
-def serialized(tasks: DataFrame, most: int = 200_000) -> DataFrame:
-    """(task, depends_on, file): the dependencies to be added to tasks(place, id, depends_on,
-    implementation_files) so that no two of them edit a file unordered. Tasks are taken in the stable
-    topological order (of those that are ready the one of smallest place); a task waits for the last writer of
-    each of its files unless it does so already. Unknown dependencies and cycles are errors. One sequence by
-    nature: made on the driver over a plan, whose edges and files are checked to be ``most`` at the most."""
-    dependencies(tasks)
-    size = tasks.agg(F.sum(F.size("depends_on") + F.size("implementation_files")).alias("n")).first()["n"] or 0
-    if size > most:
-        raise ValueError(f"a plan has at most {most} dependencies and files")
-    files = F.array_sort(F.array_distinct(F.transform("implementation_files", normal_path)))
-    listed = tasks.select("id", "depends_on", files.alias("files"), "place")
-    rows = listed.orderBy("place").collect()
-    where = {r["id"]: i for i, r in enumerate(rows)}
-    parents = [{where[p] for p in r["depends_on"]} for r in rows]
-    children, left = defaultdict(list), [len(p) for p in parents]
-    for i, of in enumerate(parents):
-        for p in of:
-            children[p].append(i)
-    ready, order = [i for i, n in enumerate(left) if not n], []
-    heapq.heapify(ready)
-    while ready:
-        i = heapq.heappop(ready)
-        order.append(i)
-        for c in children[i]:
-            left[c] -= 1
-            if not left[c]:
-                heapq.heappush(ready, c)
-    if len(order) < len(rows):
-        raise ValueError("the graph has a cycle")
-    above, writer, added = [0] * len(rows), {}, []
-    for i in order:
-        for p in parents[i]:
-            above[i] |= above[p] | 1 << p
-        for file in rows[i]["files"]:
-            last = writer.get(file)
-            if last is not None and not above[i] >> last & 1:
-                above[i] |= above[last] | 1 << last
-                added.append((rows[i]["id"], rows[last]["id"], file))
-            writer[file] = i
-    kind = tasks.schema["id"].dataType.simpleString()
-    return tasks.sparkSession.createDataFrame(added, ADDED.format(id=kind))

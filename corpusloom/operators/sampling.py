@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import checkpointed, drop
 from .windows import first_by, hash_row_number
 
 
@@ -90,52 +89,3 @@ def doubly_capped(df: DataFrame, most_a: int, most_b: int) -> DataFrame:
             yield pd.DataFrame(keep, columns=["category", "doc_id"])
 
     return few.repartition("category").sortWithinPartitions("category", *order).mapInPandas(choose, "category string, doc_id long")
-
-
-def budgeted(df: DataFrame, group: str, id_column: str, size: str, order: str, budget: int, step: int = 64) -> DataFrame:
-    """(id, group) of the rows that the greedy rule keeps: in the order of a group's rows each is kept whose
-    size the rest of the group's budget still holds.
-
-    Rounds: of the rows behind the last one looked at that would still fit, the first ``step`` of each group
-    meet in a task; the first of them always fits, so each round keeps a row in every open group. Rows that
-    no longer fit drop out. Exact; no task sees more than ``step`` rows of a group, however large.
-    """
-    last, used = "__last", "__used"
-    rows = df.where(F.col(size) <= budget).select(id_column, group, size, F.struct(order, id_column).alias("__at"))
-    kept = None
-    open_ = rows.withColumn(used, F.lit(0).cast("long"))
-    while True:
-        few = first_by(open_, [group], ["__at"], step)
-
-        def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            of, spent, new = None, 0, True
-            for batch in batches:
-                out = []
-                for key, name, n, before in batch[["__id", "__group", "__size", used]].itertuples(index=False):
-                    if new or name != of:
-                        of, spent, new = name, before, False
-                    fits = spent + n <= budget
-                    spent += n * fits
-                    out.append((key, name, fits, spent))
-                yield pd.DataFrame(out, columns=["__id", "__group", "__fits", used])
-
-        flat = few.select(F.col(id_column).alias("__id"), F.col(group).alias("__group"), F.col(size).cast("long").alias("__size"), used, "__at")
-        kinds = flat.schema
-        schema = f"__id {kinds['__id'].dataType.simpleString()}, __group {kinds['__group'].dataType.simpleString()}, __fits boolean, {used} long"
-        seen = checkpointed(flat.repartition("__group").sortWithinPartitions("__group", "__at").mapInPandas(fit, schema))
-        if seen.isEmpty():
-            break
-        chosen = seen.where("__fits").select(F.col("__id").alias(id_column), F.col("__group").alias(group))
-        kept = chosen if kept is None else kept.union(chosen)
-        state = few.join(seen.select(F.col("__id").alias(id_column), F.col(used).alias("__now")), id_column).groupBy(group).agg(
-            F.max("__at").alias(last), F.max("__now").alias("__now")
-        )
-        following = checkpointed(
-            open_.drop(used).join(state, open_[group].eqNullSafe(state[group])).drop(state[group])
-            .where((F.col("__at") > F.col(last)) & (F.col(size) <= F.lit(budget) - F.col("__now")))
-            .withColumnRenamed("__now", used).drop(last)
-        )
-        if kept is not None and hasattr(open_, "_scratch_path"):
-            drop(open_)
-        open_ = following
-    return kept if kept is not None else df.select(id_column, group).limit(0)

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from ..registry import REGISTRY
 
-MODULES = ("quality", "aggregates", "windows", "sampling", "scalars", "joins", "dedup", "code", "scoring", "review", "ingest")
+MODULES = ("quality", "aggregates", "windows", "sampling", "scalars", "joins", "dedup", "scoring", "review", "ingest")
 
 
 def _load() -> None:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import ast
 import difflib
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Window
@@ -16,6 +14,7 @@ from ..operators import dedup as dd
 from ..operators import graph as gr
 from ..operators import grams as g
 from ..operators import quality as q
+from ..operators import similarity, substrings
 from ..registry import operator, table
 from . import sql as s
 from .joins import gram_sql
@@ -84,10 +83,11 @@ def d04(spark, d):
 
 
 def near_pairs(spark, d, n: int = 8):
-    """Pairs of documents (low, high) by id whose containment of word 8-grams is 0.8 or more, among one
-    document of each set of grams."""
-    docs = table(spark, d, "documents").select("doc_id", t.words("text").alias("w"))
-    docs = docs.where(F.size("w") >= n).select("doc_id", t.ngrams(F.col("w"), n).alias("w"))
+    """Pairs of documents (low, high) by id whose containment of word 8-grams is 0.8 or more, among one document of each
+    set of grams; and the ids to be judged: of these, and of all texts without such a gram, as nothing contains them."""
+    worded = table(spark, d, "documents").select("doc_id", t.words("text").alias("w"))
+    short = worded.where(F.coalesce(F.size("w"), F.lit(0)) < n).select(F.col("doc_id").alias("rank"))
+    docs = worded.where(F.size("w") >= n).select("doc_id", t.ngrams(F.col("w"), n).alias("w"))
     hashed = docs.select("doc_id", F.array_sort(F.transform("w", lambda x: F.xxhash64(x))).alias("w"))
     key = F.sha2(F.to_json("w"), 256)
     classes = gr.checkpointed(hashed.groupBy(key.alias("h")).agg(F.min(F.struct("doc_id", "w")).alias("x")).select("x.*"))
@@ -102,12 +102,13 @@ def near_pairs(spark, d, n: int = 8):
     candidates = prefix.join(other, "g").where((F.col("a") != F.col("b")) & (F.col("least") <= F.col("size"))).select("a", "b").distinct()
     j = candidates.join(classes.toDF("a", "x"), "a").join(classes.toDF("b", "y"), "b")
     near = j.where(F.size(F.array_intersect("x", "y")) >= F.size("x") * 0.8)
-    return near.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), classes.select(F.col("doc_id").alias("rank"))
+    return near.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), classes.select(F.col("doc_id").alias("rank")).union(short)
 
 
 @operator("d05_greedy_near_dedup")
 def d05(spark, d):
-    """Ids kept by the sequential greedy rule in order of id, exact copies of a gram set counting once."""
+    """Ids kept by the sequential greedy rule in order of id, exact copies of a gram set counting once. Texts of fewer
+    than eight words and null texts are kept: they contain no gram and are contained in none."""
     pairs, nodes = near_pairs(spark, d)
     return dd.greedy_keep(nodes, dd.pair_members(pairs)).select(F.col("rank").alias("doc_id"))
 
@@ -189,6 +190,49 @@ def d08(spark, d):
     return pairs.where("cosine >= 0.05").withColumn("cosine", F.round("cosine", 6))
 
 
+#: fixed values: words that don't tell texts apart
+STOP_WORDS = (
+    "a", "an", "the", "and", "or", "of", "to", "in", "on", "for", "from", "with", "is", "are", "be", "as", "by", "this", "that", "these",
+    "those", "it", "its", "at", "into", "only", "should", "must", "before", "after", "then", "use", "using", "test", "tests", "task",
+    "tasks", "file", "files", "write", "pytest", "python", "contract", "agreed", "expected", "actual",
+)
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+LEAST_COSINE = 0.5
+
+
+@operator(
+    "d08_document_cosine_pairs",
+    f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(replace(lower(text), '_', ' '), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP})) AS w FROM documents),
+    t AS (SELECT doc_id, list_sort(list_concat(w, {s.ngram_list('w', 2)})) AS t FROM w), n AS (SELECT count(*) AS n FROM t),
+    c AS (SELECT min(doc_id) AS doc_id, t FROM t WHERE len(t) > 0 GROUP BY t),
+    df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(t) AS term FROM t) GROUP BY term),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM c) GROUP BY ALL),
+    r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS raw FROM tf JOIN df USING (term), n),
+    v AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS w FROM r)
+    SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.w * b.w), 6) AS cosine FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.w * b.w) >= {LEAST_COSINE}""",
+)
+def d08_documents(spark, d):
+    """Pairs of documents of a tf-idf cosine of 0.5 or more over words and bigrams; documents of the same terms are one,
+    named by the smallest id."""
+    words = F.regexp_extract_all(F.replace(F.lower("text"), F.lit("_"), F.lit(" ")), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))
+    docs = table(spark, d, "documents").select("doc_id", F.filter(words, lambda x: (F.length(x) > 1) & ~x.isin(*STOP_WORDS)).alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
+    terms = F.array_sort(F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w")))
+    listed = gr.checkpointed(docs.select("doc_id", terms.alias("t")))
+    # df is of all documents, vectors of one for each bag of terms
+    often = listed.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # a bag's hash stands for it in the shuffle
+    classes = listed.where(F.size("t") > 0).groupBy(F.sha2(F.to_json("t"), 256).alias("h")).agg(F.min(F.struct("doc_id", "t")).alias("x"))
+    tf = classes.select(F.col("x.doc_id").alias("key"), F.explode("x.t").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
+    n = listed.count()
+    raw = tf.join(often, "term").withColumn("raw", (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
+    norm = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    weights = gr.checkpointed(raw.join(norm, "key").select("key", "term", (F.col("raw") / F.col("norm")).alias("w")))
+    found = similarity.cosine_pairs(weights, LEAST_COSINE)
+    gr.drop(listed, weights)
+    return found.withColumn("cosine", F.round("cosine", 6))
+
+
 @operator(
     "d09_phrase_12gram_screen",
     f"SELECT item_id, count(DISTINCT doc_id) AS docs, count(*) AS hits FROM ({gram_sql('documents', 'doc_id', 12)}) JOIN ({gram_sql('benchmark', 'item_id', 12)}) USING (g) GROUP BY item_id",
@@ -200,19 +244,15 @@ def d09(spark, d):
     return pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.sum("shared").alias("hits"))
 
 
-_LINES = f"SELECT DISTINCT l FROM (SELECT unnest({s.lines('lower(text)')}) AS l FROM documents) WHERE length(l) >= 3 AND length(l) <= 60"
+_LINES = f"SELECT DISTINCT l FROM (SELECT unnest({s.lines('lower(text)')}) AS l FROM documents) WHERE length(l) >= 3"
 
 
 @operator("d10_substring_containment", f"SELECT DISTINCT l AS line FROM ({_LINES}) a, benchmark b WHERE contains(lower(b.text), l)")
 def d10(spark, d):
-    """Short lines of documents that stand inside a benchmark item. Candidates share a three-character gram
-    with an item at their start, so the join is on that key, not on all pairs."""
-    short = table(spark, d, "documents").select(F.explode(t.lines(F.lower("text"))).alias("line")).where(F.length("line").between(3, 60)).distinct()
-    b = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("x"))
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("x") - 2, F.lit(1))), lambda i: F.substring("x", i, F.lit(3)))
-    keyed = b.select("x", F.explode(F.array_distinct(starts)).alias("k"))
-    j = short.withColumn("k", F.substring("line", 1, 3)).join(keyed, "k").where(F.contains("x", F.col("line")))
-    return j.select("line").distinct()
+    """Lines of documents that stand inside a benchmark item, placed in a suffix array of the items."""
+    lines = table(spark, d, "documents").select(F.explode(t.lines(F.lower("text"))).alias("line")).where(F.length("line") >= 3)
+    items = table(spark, d, "benchmark").select(F.lower("text").alias("x"))
+    return lines.where(substrings.contained(spark, F.col("line"), items, "x")).distinct()
 
 
 @operator("d11_source_identity_overlap", "SELECT DISTINCT a.source || '#' || a.lang AS identity FROM documents a JOIN documents b ON a.source = b.source AND a.lang = b.lang WHERE a.doc_id % 7 = 0 AND b.doc_id % 7 <> 0")
@@ -240,27 +280,6 @@ def d12(spark, d):
     return x.join(y, "page_id").select(F.col("page_id").alias("a"), "b", F.round(j, 6).alias("jaccard"))
 
 
-def normal_ast(source: str | None) -> str | None:
-    """Python source in a form that ignores layout and comments; null if it doesn't parse."""
-    try:
-        return ast.dump(ast.parse(source or ""))
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return None
-
-
-@operator("d12_ast_equality")
-def d12_ast(spark, d):
-    """Groups of generated test functions that are one syntax tree, by its hash."""
-    from .code import sources
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "tree": batch["code"].map(normal_ast)})
-
-    trees = sources(spark, d).mapInPandas(run, "doc_id long, tree string").where("tree is not null")
-    return trees.groupBy(F.sha2("tree", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-
-
 _VERDICT = "CASE WHEN c >= 0.8 THEN 'copy' WHEN c >= 0.35 THEN 'partial' WHEN c >= 0.15 THEN 'quote' ELSE 'chance' END"
 
 

@@ -6,10 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators import graph as gr
 from ..operators import quality as q
 from ..registry import operator, table
 from ..sources import readers as r
 from ..streaming import incremental as inc
+from ..streaming import online_dedup, progress, shuffle
 from . import sql as s
 
 
@@ -219,6 +221,37 @@ def t01(spark, d):
     return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"), F.min("shuffle_key").alias("first"))
 
 
+def _numbered_files(spark, docs, key, parts: int, by: str = "place"):
+    """docs dealt into ``parts`` ranges of ``key``, one file each, written in order of age."""
+    src = r.scratch(spark, "stream-in")
+    ranged = docs.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id())
+    held = gr.checkpointed(ranged)
+    for i in range(parts):
+        held.where(F.col("__part") == i).drop("__part").coalesce(1).write.mode("append").parquet(src)
+    gr.drop(held)
+    return src
+
+
+@operator("t01_buffered_shuffle")
+def t01_buffered(spark, d):
+    """Documents of each language as a stream that passes a buffer of 256 rows: language, place, place in the source, id."""
+    docs = table(spark, d, "documents").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("doc_id").alias("seq"), F.lit(False).alias("end"), "doc_id")
+    ends = docs.select("lang").distinct().select("lang", F.lit((1 << 63) - 1).alias("seq"), F.lit(True).alias("end"), F.lit(None).cast("long").alias("doc_id"))
+    src, out = _numbered_files(spark, docs.unionByName(ends), "seq", 6), r.scratch(spark, "stream-out")
+    stream = shuffle.bounded_shuffle(inc.read_stream(spark, src, docs.schema, 2), "lang", "seq", "end", "stream", 256)
+    inc.run_to_table(stream, out, r.scratch(spark, "checkpoint"))
+    return spark.read.parquet(out).select("lang", "place", "source_place", "doc_id")
+
+
+@operator("t02_online_near_dedup")
+def t02_near(spark, d):
+    """Ids that are kept when documents come as a stream in order of id, two files a batch: neither texts nor long
+    paragraphs nor near copies (anchors of 8-grams) of what has been kept come again."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("rank"), "text")
+    found = online_dedup.run(spark, _numbered_files(spark, docs, "rank", 4), r.scratch(spark, "kept"), 2)
+    return found.select(F.col("rank").alias("doc_id"))
+
+
 @operator("t02_stateful_online_dedup", "SELECT DISTINCT sha256(text) AS h FROM documents")
 def t02(spark, d):
     src, out = r.scratch(spark, "dedup-in"), r.scratch(spark, "dedup-out")
@@ -228,13 +261,27 @@ def t02(spark, d):
     return spark.read.parquet(out).select("h")
 
 
-@operator("t03_progressive_append", "SELECT 4 AS batches, count(*) AS rows FROM labels")
+@operator("t03_progressive_append", "SELECT 4 AS batches, count(*) AS rows, 'completed' AS status FROM labels")
 def t03(spark, d):
     src, out = r.scratch(spark, "append-in"), r.scratch(spark, "append-out")
     labels = table(spark, d, "labels")
     labels.repartition(4).write.parquet(src)
-    done = inc.run_to_table(inc.read_stream(spark, src, labels.schema, 1), out, r.scratch(spark, "checkpoint"))
-    return spark.createDataFrame([(done["batches"], done["rows"])], "batches int, rows long")
+    done = progress.append(inc.read_stream(spark, src, labels.schema, 1), out, {"table": "labels"})
+    return spark.createDataFrame([(done["batches"], done["count"], done["status"])], "batches int, rows long, status string")
+
+
+@operator(
+    "t06_batch_progress",
+    "SELECT b AS batch, CAST(sum(n) OVER (ORDER BY b) AS BIGINT) AS accepted, CAST(sum(n) OVER (ORDER BY b) // 100 - (sum(n) OVER (ORDER BY b) - n) // 100 AS BIGINT) AS reports FROM (SELECT doc_id % 5 AS b, count(*) AS n FROM documents GROUP BY b)",
+)
+def t06_batches(spark, d):
+    """Documents appended in five batches: rows so far, and how often another hundred was full."""
+    src, out = r.scratch(spark, "append-in"), r.scratch(spark, "append-out")
+    docs = _docs(spark, d).select("doc_id", "lang")
+    for i in range(5):
+        docs.where(F.col("doc_id") % 5 == i).coalesce(1).write.mode("append").parquet(src)
+    progress.append(inc.read_stream(spark, src, docs.schema, 1), out)
+    return progress.rollup(spark, out, 100)
 
 
 @operator("t06_cumulative_progress_rollup", f"SELECT b AS block, CAST(sum(n) OVER (ORDER BY b) AS BIGINT) AS accepted FROM (SELECT doc_id // 100 AS b, count(*) AS n FROM documents WHERE length({s.blank('text')}) BETWEEN 500 AND 20000 GROUP BY b)")

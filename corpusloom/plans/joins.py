@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 from ..functions import text as t
 from ..operators import graph as gr
 from ..operators import grams as g
+from ..operators.similarity import nearest_by_jaccard
 from ..operators.windows import first_by
 from ..registry import operator, table
 from . import sql as s
@@ -185,6 +186,21 @@ def j08(spark, d):
     return best.select("a", "b", F.round("j", 6).alias("jaccard"))
 
 
+@operator(
+    "j08_nearest_training_rows",
+    f"""WITH e AS (SELECT item_id, list_distinct({s.words('text')}) AS w FROM benchmark), t AS (SELECT doc_id, list_distinct({s.words('text')}) AS w FROM documents),
+    x AS (SELECT item_id, len(w) AS n, unnest(w) AS g FROM e), y AS (SELECT doc_id, len(w) AS n, unnest(w) AS g FROM t)
+    SELECT item_id, doc_id, round(j, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY j DESC, doc_id) AS i FROM (
+    SELECT item_id, doc_id, count(*) / (max(x.n) + max(y.n) - count(*)) AS j FROM x JOIN y USING (g) GROUP BY ALL)) WHERE i <= 3""",
+)
+def j08_training(spark, d):
+    """The three documents (training rows) nearest to each benchmark item (evaluation row) by distinct words."""
+    asking = table(spark, d, "benchmark").select(F.col("item_id").alias("a"), F.array_distinct(t.words("text")).alias("g"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("b"), F.array_distinct(t.words("text")).alias("g"))
+    found = nearest_by_jaccard(asking, rows, 3)
+    return found.select(F.col("a").alias("item_id"), F.col("b").alias("doc_id"), F.round("jaccard", 6).alias("jaccard"))
+
+
 @operator(
     "j09_self_fanout_join",
     """SELECT conv_id, turn, k AS direction, CASE WHEN starts_with(k, 'a') THEN text ELSE lower(text) END AS source, CASE WHEN ends_with(k, 'a') THEN role ELSE upper(role) END AS target
@@ -247,12 +263,6 @@ def j13(spark, d):
     return gr.conflicts(tasks(spark, d)).select(F.col("left").alias("a"), F.col("right").alias("b"), F.array_join("files", ",").alias("file"))
 
 
-@operator("j13_serialize_order")
-def j13_serialize(spark, d):
-    """The dependencies that must be added so that no two tasks edit a file unordered."""
-    return gr.serialized(tasks(spark, d))
-
-
 @operator(
     "j14_three_way_merge",
     """SELECT l.doc_id, CASE WHEN l.quality = c.old THEN 'applied' WHEN l.quality = c.new THEN 'already' ELSE 'preserved' END AS outcome, CASE WHEN l.quality = c.old THEN c.new ELSE l.quality END AS value

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import sampling as k
+from ..operators.budget import budgeted
 from ..operators.windows import first_by, hash_row_number, hash_running_sum, ordered_prefix, value_row_number
 from ..registry import operator, table
 from . import sql as s
@@ -129,7 +130,7 @@ def k09_exact(spark, d):
     """Exact greedy cap: a page that would exceed its host's budget is skipped and later, shorter ones may
     still fit."""
     p = table(spark, d, "pages").select("page_id", t.host("url").alias("host"), F.length("html").cast("long").alias("n"), k.hash_rank("host", "page_id").alias("h"))
-    return k.budgeted(p, "host", "page_id", "n", "h", 20000)
+    return budgeted(p, "host", "page_id", "n", "h", 20000)
 
 
 @operator(
