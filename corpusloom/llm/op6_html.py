@@ -8,8 +8,9 @@ each other in the element tree, are joined by smoothness edges, heavier the near
 content from boilerplate: short paragraphs that say nothing by themselves go with what stands around them.
 
 Class names are evidence, not a verdict: a word of one that names boilerplate counts only where no other word
-of the same name speaks for content. Scripts, styles, form controls, comments of the markup and the head
-never become blocks, nor does what the ``hidden`` attribute, aria-hidden or display:none hides. Unclosed and
+of the same name speaks for content, and inside an article or main only on containers whose name says nothing
+else. Scripts, styles, form controls, comments of the markup and the head never become blocks, nor does what the
+``hidden`` attribute or display:none hides; controls and formulas inside a sentence don't part it. Unclosed and
 wrongly nested tags are closed as browsers do for paragraphs and list items; an attribute value ends at its
 closing quote, however far, or at the first > if there is none; text cut off inside a tag is markup. Reading
 is linear in the page; nothing is capped but distances in the element tree, which count as 24 beyond that.
@@ -39,12 +40,13 @@ _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _NAMING = frozenset("class id role aria-label itemprop".split())
 _UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
-_SKIP = frozenset("head script style noscript template textarea svg math iframe object select option button audio video canvas".split())
-_RAW = frozenset("script style textarea title iframe noscript template svg".split())
+_SKIP = frozenset("head script style template textarea svg iframe select option button audio video canvas".split())
+_RAW = frozenset("script style textarea title iframe template svg".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong "
-    "sub sup time tt u var wbr".split()
+    "sub sup time tt u var wbr button select option math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder mspace "
+    "semantics annotation".split()
 )
 _AWAY = frozenset("nav footer aside menu dialog".split())
 _FORM = frozenset(["form", "fieldset"])
@@ -56,7 +58,10 @@ _AWAY_WORDS = _COMMENT_WORDS | frozenset(
     "social related recommended recommendations breadcrumb breadcrumbs pagination pager widget toolbar masthead copyright legal disclaimer "
     "tags tagcloud search contentinfo complementary".split()
 )
+#: words that name nothing else than adverts
+_ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo".split())
 _HOME_WORDS = frozenset("article content post entry story main text".split())
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption".split()) | _INLINE
 _CLOSES = {
     "p": frozenset(["p"]),
     "li": frozenset(["li", "p"]),
@@ -141,15 +146,22 @@ class _Tags:
                     return len(page)
 
 
-def _named(value: str) -> tuple[bool, bool, bool]:
-    """What a class attribute or the like says: content, boilerplate, reader comments. Of each name in it,
-    boilerplate words count only without content words."""
+def _named(value: str, tag: str, inside: bool) -> tuple[bool, bool, bool]:
+    """What a class attribute or the like says: content, boilerplate, reader comments. Of each name in it, boilerplate
+    words count only without content words. ``inside`` an article or main, where a history may be a social one and a
+    board one for notices, they count only on containers, in names of such words alone, and a single one only if it
+    names adverts or reader comments."""
     home = away = comment = False
     for name in value.lower().split():
         words = _SPLIT.split(name)
         if not _HOME_WORDS.isdisjoint(words) and _COMMENT_WORDS.isdisjoint(words):
             home = True
         elif not _AWAY_WORDS.isdisjoint(words):
+            if inside and _COMMENT_WORDS.isdisjoint(words):
+                own = [w for w in words if w]
+                sole = len(own) == 1 and own[0] not in _ADVERT_WORDS
+                if sole or tag in _PROSE or not _AWAY_WORDS.issuperset(own):
+                    continue
             away = True
             comment = comment or not _COMMENT_WORDS.isdisjoint(words)
     return home and not away, away, comment
@@ -170,12 +182,12 @@ def _child(tag: str, attributes: str, top: Element) -> Element:
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), values[0] or values[1] or values[2]
             if name in _NAMING:
-                home, away, comment = _named(value)
+                home, away, comment = _named(value, tag, top.home)
                 e.home_named = e.home_named or home
                 e.comment = e.comment or comment
                 if away and tag not in ("body", "html", *_HOME):
                     e.away_named = True
-            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _UNSEEN.search(value):
+            elif name == "hidden" or name == "style" and _UNSEEN.search(value):
                 e.skip = e.skip or tag not in ("html", "body")
     return e
 
@@ -253,7 +265,7 @@ def read_blocks(page: str) -> list[Block]:
                     if tag in _INLINE and stack[depth].tag in _FENCE:
                         break
             continue
-        if tag in _RAW and not attributes.endswith("/"):
+        if tag in _RAW and not (tag == "svg" and attributes.endswith("/")):  # no other one closes itself
             if lower is None:
                 lower = page.lower() if len(page.lower()) == n else page
             end = lower.find(f"</{tag}", at)
@@ -265,7 +277,7 @@ def read_blocks(page: str) -> list[Block]:
         if tag == "br":
             block.parts.append(" ")
             continue
-        if tag in _VOID:
+        if tag in _VOID or tag == "svg":
             if tag == "hr":
                 close_block()
             continue

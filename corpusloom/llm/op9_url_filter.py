@@ -7,8 +7,9 @@ allowed member all others without a rule are allowed; else a blocked member bloc
 allowed. Nodes are addresses without fragment, with lower-case host.
 
 Edges come from `<link rel=canonical>` and `<meta http-equiv=refresh>` of each page, and from a table of
-redirects (source, target) if there is one. All steps are DataFrame operations: components by alternating
-stars (see ``common.components``), keys that many pages share cost one aggregate row a task.
+redirects (source, target) if there is one. Tags are read in Python, on pages that speak of such links only; all
+other steps are DataFrame operations: components by alternating stars (see ``common.components``), keys that many
+pages share cost one aggregate row a task. The SQL reads plain tags only, which is enough for the tables.
 
 A null address, or one without "://", has empty host and path, no rule and no node, and is allowed. Null
 html has no edges; very long html is searched whole. Repeated pages give repeated rows. Of rules of one length
@@ -18,10 +19,20 @@ gives an empty table.
 
 from __future__ import annotations
 
+import html as entities
+import re
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
+from .op6_html import _ATTRIBUTE as ATTRIBUTE
+from .op6_html import _NAME as NAME
+from .op6_html import _RAW as RAW
+from .op6_html import _Tags as Tags
 
 #: verdict, host, path
 RULES = (
@@ -59,33 +70,69 @@ def node_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), host_of(url), F.when(rest == "", "/").otherwise(rest)))
 
 
-def resolved(base: Column, link: Column) -> Column:
-    """The absolute address of a link on the page ``base``."""
-    link = F.trim(F.replace(link, F.lit("&amp;"), F.lit("&")))
-    origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.concat(origin, F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1))
-    return (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?):", 1), F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .when(link != "", F.concat(F.when(folder == origin, F.concat(origin, F.lit("/"))).otherwise(folder), link))
-    )
+def declared(url: str, html: str) -> list[str]:
+    """Addresses that a page names as its canonical one or refreshes to, resolved against its own (or its base element's).
+    Tags are read as in ``op6_html``: not in markup comments, scripts and the like, and with quoted values."""
+    tags, at, base, found = Tags(html), 0, None, []
+    lower = None
+    while (opens := html.find("<", at)) >= 0:
+        if html.startswith("<!--", opens):
+            end = html.find("-->", opens + 4)
+            if end < 0:
+                break
+            at = end + 3
+            continue
+        match = NAME.match(html, opens + 1)
+        if not match:
+            at = opens + 1
+            continue
+        tag, at = match[1].lower(), tags.end(match.end())
+        if html[at - 1] != ">":  # cut off inside a tag
+            break
+        if html[opens + 1] == "/":
+            continue
+        attributes = html[match.end() : at - 1]
+        if tag in RAW and not (tag == "svg" and attributes.endswith("/")):
+            if lower is None:
+                lower = html.lower() if len(html.lower()) == len(html) else html
+            end = lower.find(f"</{tag}", at)
+            if end < 0:
+                break
+            at = end
+        elif tag in ("link", "meta", "base"):
+            values: dict[str, str] = {}
+            for name, *value in ATTRIBUTE.findall(attributes):
+                values.setdefault(name.lower(), entities.unescape(value[0] or value[1] or value[2]).strip())
+            if tag == "base" and base is None and values.get("href"):
+                base = values["href"]
+            elif tag == "link" and "canonical" in values.get("rel", "").lower().split():
+                found.append(values.get("href", ""))
+            elif tag == "meta" and values.get("http-equiv", "").lower() == "refresh" and (target := _REFRESH.search(values.get("content", ""))):
+                found.append(target[1] or target[2] or target[3] or "")
+    out = []
+    for link in found:
+        try:
+            out += [urljoin(urljoin(url, base or ""), link.strip())] if link.strip() else []
+        except ValueError:  # no address
+            continue
+    return out
+
+
+_REFRESH = re.compile(r"""url\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s][^\s]*))""", re.I)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _declared(urls: pd.Series, htmls: pd.Series) -> pd.Series:
+    return pd.Series([declared(u, h) for u, h in zip(urls, htmls)], dtype=object)
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): each page's node and the node of its canonical address or refresh target."""
-    canonical = F.transform(
-        F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?\s*canonical\b")),
-        lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]*)", 1),
-    )
-    refresh = F.transform(
-        F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?\s*refresh\b")),
-        lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]*)", 1),
-    )
+    """(a, b): each page's node and the node of its canonical address or refresh target. Only pages whose html speaks of
+    either are read."""
+    telling = pages.where(F.col("html").rlike("(?i)canonical|refresh") & F.col("url").contains("://"))
     return (
-        pages.where(F.col("html").rlike("(?i)canonical|refresh"))
-        .select("url", F.explode(F.concat(canonical, refresh)).alias("link"))
-        .select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("url"), F.col("link"))).alias("b"))
+        telling.select("url", F.explode(_declared("url", "html")).alias("link"))
+        .select(node_of(F.col("url")).alias("a"), node_of(F.col("link")).alias("b"))
         .where("a is not null and b is not null and a <> b")
     )
 

@@ -60,7 +60,7 @@ def statistics(blocks: list) -> np.ndarray:
                 links,
                 links > 0.5,
                 text[-1:] in ".!?:;\"'”»…",
-                min(1.0, (text.count(",") + text.count(".")) / words),
+                min(0.25, (text.count(",") + text.count(".")) / words),
                 e.tag in HEADINGS,
                 e.tag in ITEMS,
                 e.home,
@@ -135,9 +135,10 @@ class _Maker:
         tag, name = self.rng.choice(tags.split()), self.rng.choice(names.split())
         return f'<{tag} {self.rng.choice(("class", "class", "id"))}="{name}">{inside}</{tag}>'
 
-    def advert(self) -> str:
+    def advert(self, inside: bool = False) -> str:
         text = self.prose(3, 14 if self.chance(0.7) else 60) if self.chance(0.7) else " ".join(self.words(2, 5))
-        return self.named("ad ads advert advertisement ad-slot sponsored promo banner", self.drop(text, linked=self.chance(0.3)))
+        names = "ad ads advert advertisement sponsored promo ad-banner" if inside else "ad ads advert advertisement ad-slot sponsored promo banner"
+        return self.named(names, self.drop(text, linked=self.chance(0.3)))
 
     def comments(self) -> str:
         tag = self.rng.choice(("div", "article", "li"))
@@ -150,15 +151,17 @@ class _Maker:
     def form(self) -> str:
         return f"<form>{self.drop(self.sentence(3, 9))}<label>{self.drop(' '.join(self.words(1, 3)), 'span')}</label><input><button>Go</button></form>"
 
-    def sidebar(self) -> str:
+    def sidebar(self, within: bool = False) -> str:
         inside = self.drop(" ".join(self.words(1, 3)), "h3")
         inside += self.menu() if self.chance(0.5) else self.drop(self.prose(5, 35 if self.chance(0.6) else 150))
         if self.chance(0.3):
             return f"<aside>{inside}</aside>"
-        return self.named("sidebar widget related related-posts recommended newsletter share social tags", inside)
+        # inside an article a single word names nothing for sure
+        alone, sure = "sidebar widget related related-posts recommended newsletter share social tags", "sidebar-widget related-widget newsletter-signup social-share"
+        return self.named(sure if within else alone, inside)
 
     def article(self) -> str:
-        odd = ("", "", "", "", "", "", ' class="lead"', ' class="overflow-hidden"', ' class="text-left"', ' class="notes"', ' title="a hidden menu"')
+        odd = ("", "", "", "", "", "", ' class="lead"', ' class="overflow-hidden"', ' class="text-left"', ' class="notes"', ' class="share"', ' title="a hidden menu"')
         out = [self.keep(" ".join(self.words(2, 10)), "h1")] if self.chance(0.85) else []
         for _ in range(self.rng.randint(1, 9)):
             kind = self.rng.random()
@@ -173,9 +176,9 @@ class _Maker:
             elif kind < 0.93:
                 out.append(self.keep(self.prose(8, 40), "blockquote"))
             elif kind < 0.96:
-                out.append(self.advert())
+                out.append(self.advert(True))
             else:
-                out.append(self.rng.choice((self.sidebar, self.form, self.menu))())
+                out.append(self.rng.choice((lambda: self.sidebar(True), self.form, self.menu))())
         return "".join(out)
 
     def page(self) -> str:

@@ -100,9 +100,13 @@ def test_pack_round_trip_and_random_access(bits):
 
 
 def test_word_encoder_equals_the_library():
-    encoder = op1_token_ids.word_encoder(path_of("word_bpe_49k.json"))
-    for text in (*random_texts(3000), *(r[1] or "" for r in ROWS)):
-        assert np.frombuffer(encoder.encode_bytes(text.encode()), encoder.dtype).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    from tokenizers import Tokenizer
+
+    encoder, plain = op1_token_ids.word_encoder(path_of("word_bpe_49k.json")), Tokenizer.from_file(path_of("word_bpe_49k.json"))
+    special = ["<|endoftext|>", "a<|endoftext|>b", "<|startoftext|><|endoftext|> é", "<|ENDOFTEXT|> <|endoftext|", "it<|endoftext|>'s\u0301 漢<|startoftext|>"]
+    for text in (*random_texts(3000), *(r[1] or "" for r in ROWS), *special):
+        assert np.frombuffer(encoder.encode_bytes(text.encode()), encoder.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert 49407 in plain.encode(special[1], add_special_tokens=False).ids
 
 
 def test_pieces_of_long_texts():
@@ -396,7 +400,15 @@ LONG_PROSE = "<p>" + "Many words stand in this long text of a side column, so th
         (f'<article><div class="text-form">{PROSE}</div></article>', "first paragraph", None),
         ('<article><p>One two.</p><img alt="' + "5,000 x> " * 1000 + 'LEAK one two "><p>Three four.</p></article>', "Three four.", "LEAK"),
         (f'<article>{PROSE}<p title="never closed>Text after it.</p><p>Next.</p></article>', "Text after it.\n\nNext.", "closed"),
-        (f'<article>{PROSE}<p hidden>Secret.</p><p style="display: none">Gone.</p><p aria-hidden="true">Icon.</p></article>', "first", "Secret"),
+        (f'<article>{PROSE}<p hidden>Secret.</p><p style="display: none">Gone.</p></article>', "first", "Secret"),
+        *[(f'<article>{PROSE}<{t} {a}="{n}">{LONG_PROSE}</{t}></article>', "side column", None) for t, a, n in (
+            ("div", "class", "social-history"), ("section", "id", "legal-background"), ("div", "class", "notice-board"), ("p", "class", "share"),
+            ("h2", "id", "search-results"), ("div", "class", "share"), ("p", "class", "ad"), ("div", "aria-hidden", "true"), ("noscript", "id", "x"), ("object", "id", "x"))],
+        (f'<article>{PROSE}<div class="ad">Buy now, it is cheap.</div>{PROSE}</article>', "first", "Buy now"),
+        (f'<article>{PROSE}<p>Let <math><mi>x</mi><mo>+</mo></math> be one <button>Go</button>thing.</p></article>', "Let x+ be one thing.", "Go"),
+        (f'<article>{PROSE}<script src=https://a.com/>w("</div>LEAK")</script><p>After it.</p></article>', "After it.", "LEAK"),
+        (f'<article>{PROSE}<style media=x/>p{{LEAK}}</style><iframe src="a"/>LEAK</iframe><p>After it.</p></article>', "After it.", "LEAK"),
+        (f"<article>{PROSE}<p>A sentence <svg/>goes on.</p></article>", "A sentence goes on.", None),
         (f"<article><h1>T</h1>{PROSE}<aside>{LONG_PROSE}</aside>{PROSE}</article><aside>{LONG_PROSE}</aside>", "first paragraph", "side column"),
         (f'<article>{PROSE}</article><section class="comments"><article class="comment">{LONG_PROSE}</article></section>', "first", "side column"),
         (f'<div class="cookie-notice">{LONG_PROSE}</div><main>{PROSE}</main><footer>{LONG_PROSE}</footer>', "first", "side column"),
@@ -411,6 +423,23 @@ def test_op6_evidence_and_attributes(page, has, lacks):
     assert has in text and (lacks is None or lacks not in text)
 
 
+def test_op10_rows_grow_with_values_not_with_their_products(spark, monkeypatch):
+    """Two texts share all their values: rows that are joined grow in proportion to the values."""
+    made = []
+    keep = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, tag, *a: made.append((tag, keep(df, tag, *a))) or made[-1][1])
+    monkeypatch.setattr(common, "drop_tables", lambda *f: None)
+    sizes = []
+    for n in (100, 200):
+        made.clear()
+        values = [f"user{i}@example.org said word{i} of matter{i}" for i in range(n)]
+        rows = [(k, " and ".join(values) + f" text{k}") for k in range(2)] + [(10 + k, f"nothing here {k}") for k in range(400)]
+        found = op10_pii.told_terms(spark.createDataFrame(rows, "doc_id long, text string"))
+        found.count()
+        sizes.append(sum(df.count() for tag, df in made if tag == "pii-feared"))
+    assert 0 < sizes[1] <= 2.5 * sizes[0]
+
+
 def test_op6_cut_decides_on_made_pages():
     """Pages of known main text, other than those the classifier is fitted to."""
     fitted = page_model.weights(op6_html.read_blocks)
@@ -625,6 +654,51 @@ def test_op9(spark):
     assert op9_url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_op9_reads_links_as_a_parser_does():
+    """Against the parser of the standard library, on tags with quotes, comments, scripts and references."""
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    class Parser(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.base, self.links = None, []
+
+        def handle_starttag(self, tag, attrs):
+            of = {}
+            for k, v in attrs:
+                of.setdefault(k, (v or "").strip())
+            if tag == "base" and self.base is None and of.get("href"):
+                self.base = of["href"]
+            if tag == "link" and "canonical" in of.get("rel", "").lower().split():
+                self.links.append(of.get("href", ""))
+
+        handle_startendtag = handle_starttag
+
+    url = "https://a.example.net/x/y/z?q=1"
+    for page, want in (
+        ('<!-- <link rel="canonical" href="/no"> --><link rel=canonical href=/yes>', ["/yes"]),
+        ('<link title="a > b" rel="Canonical" href="/a?x=1&#38;y=2&amp;z=3">', ["/a?x=1&y=2&z=3"]),
+        ("<link data-x='\"' href='../up' rel='alternate canonical'/>", ["../up"]),
+        ('<script>var s = "<link rel=canonical href=/no>";</script><style>/*<link rel=canonical href=/no>*/</style>', []),
+        ('<base href="https://b.example.org/k/"><base href="/z"><link rel="canonical" href="./m/../n">', ["./m/../n"]),
+        ('<link rel="canonical"><link rel="canonical" href=""><link rel=stylesheet href=/no>', []),
+        ('<textarea><link rel=canonical href=/no></textarea><LINK REL=CANONICAL HREF="//c.example.com/q">', ["//c.example.com/q"]),
+        ("<link rel=canonical href=/cut", []),
+    ):
+        parser = Parser()
+        parser.feed(page)
+        base = urljoin(url, parser.base or "")
+        assert op9_url_filter.declared(url, page) == [urljoin(base, x) for x in want]
+        if "textarea" not in page:  # which that parser reads as markup
+            assert [x for x in parser.links if x] == want
+    for content, want in (("0; url=/w", "/w"), ("5;URL='/v w'", "/v w"), ('1; url = /u?a=1&amp;b=2', "/u?a=1&b=2"), ("3", None)):
+        found = op9_url_filter.declared(url, f'<meta http-equiv="Refresh" content="{content}">')
+        assert found == ([] if want is None else [urljoin(url, want)])
+    assert op9_url_filter.declared("https://h/", '<link rel=canonical href="http://[bad">') == []
+    assert op9_url_filter.declared(url, "<link rel='canonical' " * 3000 + "<!--") is not None
+
+
 def test_op9_long_chains_and_other_columns(spark):
     """A decision goes along a chain of sixty links; columns with the operator's own names stay out of it."""
     link = '<link rel="canonical" href="https://h.example.net/{}">'
