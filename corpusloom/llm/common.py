@@ -86,6 +86,12 @@ def bit_place(column: str, size: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(1 << size))
 
 
+def bits_for(n: int) -> int:
+    """Size of a bit table of n values: sixteen bits for each, 2 ** 30 (128 MB) at most. Beyond some 300 million values
+    the table fills up and lets more through; what it lets through is joined exactly."""
+    return min(30, max(16, (16 * n).bit_length()))
+
+
 def bit_table(df: DataFrame, column: str, size: int) -> Broadcast:
     """A table of 2 ** size bits (bytes, lowest bit first), set where the values of a column have their places: of
     fixed size whatever the column holds, and true of all its values and by chance of few others."""
@@ -109,7 +115,7 @@ def without_ids(df: DataFrame, key: str, ids: DataFrame, broadcast_most: int = 1
     same = F.col(key) == F.col(gone)
     if n <= broadcast_most:
         return df.join(F.broadcast(other), same, "left_anti")
-    size = min(30, max(16, (16 * n).bit_length()))
+    size = bits_for(n)
     bits = bit_table(other, gone, size)
 
     @F.pandas_udf(T.BooleanType())

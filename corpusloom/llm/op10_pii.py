@@ -218,7 +218,7 @@ def disclosing_terms(
     # as many hold it at least
     seen = held.select("n", F.explode("words").alias("term")).groupBy("term").agg(F.sum("n").alias("seen"))
     candidates = common.materialize(bounds.join(seen, "term").where("seen <= most").select("term"), "pii-candidates")
-    counted = docs.select("text").mapInArrow(_count_terms(common.bit_table(candidates, "term", 24)), "term string, n long")
+    counted = docs.select("text").mapInArrow(_count_terms(common.bit_table(candidates, "term", common.bits_for(candidates.count()))), "term string, n long")
     frequency = counted.groupBy("term").agg(F.sum("n").alias("n_t")).join(candidates, "term", "left_semi")
     told = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_e"))
     disclosing = (
@@ -265,17 +265,21 @@ def told_terms(docs: DataFrame, near: int = 8, **thresholds) -> DataFrame:
     ``docs(text)`` that hold values. A written table of the shared folder."""
     held = common.materialize(held_values(docs, near), "pii-held")
     told = disclosing_terms(docs, near, held=held, **thresholds)
-    by_entity = held.select("content", "words", F.explode(F.arrays_zip("entities", "near")).alias("e")).select(
-        "content", "words", F.col("e.entities").alias("entity"), F.col("e.near").alias("near")
+    by_entity = held.select("content", F.explode(F.arrays_zip("entities", "near")).alias("e")).select(
+        "content", F.col("e.entities").alias("entity"), F.col("e.near").alias("near")
     )
     beside = by_entity.select("content", "entity", F.explode("near").alias("term"))
-    # a value of several texts tells of a term also where the term isn't near it
-    several = told.where("texts > 1").select("entity").distinct()
-    anywhere = by_entity.join(several, "entity", "left_semi").select("content", "entity", F.explode("words").alias("term"))
-    hits = beside.unionByName(anywhere).join(told.select("entity", "term", "removed"), ["entity", "term"])
-    by_term = hits.groupBy("content", "term").agg(F.max("removed").alias("removed"))
+    hits = beside.join(told.select("entity", "term", "removed"), ["entity", "term"]).groupBy("content", "term").agg(F.max("removed").alias("removed"))
+    # a value of several texts tells of a term also where the term isn't near it: what a text's values tell of is one
+    # list, met with the text's words; neither grows with values times words
+    several = told.where("texts > 1").select("entity", "term", "removed")
+    feared = by_entity.select("content", "entity").join(several, "entity").groupBy("content", "term").agg(F.max("removed").alias("removed"))
+    feared = common.materialize(feared, "pii-feared")
+    words = held.select("content", "words").join(feared.select("content").distinct(), "content", "left_semi")
+    anywhere = feared.join(words.select("content", F.explode("words").alias("term")), ["content", "term"])
+    by_term = hits.unionByName(anywhere).groupBy("content", "term").agg(F.max("removed").alias("removed"))
     terms = common.materialize(by_term.groupBy("content").agg(F.collect_list(F.struct("term", "removed")).alias("terms")), "pii-terms")
-    common.drop_tables(held, told)
+    common.drop_tables(held, told, feared)
     return terms
 
 

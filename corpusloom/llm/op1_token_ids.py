@@ -123,7 +123,9 @@ class WordEncoder:
     space; each part is encoded by itself. So the library encodes each distinct part once per worker
     (bounded memo), and a text's ids are its parts' ids in turn. Texts of ASCII and Latin-1 letters,
     which no normaliser but lower-casing changes, are cut into parts here, the whole text at once; of
-    others, each white-space-delimited word goes through the whole library. ``encode_bytes`` returns little-endian 16- or 32-bit integers.
+    others, each white-space-delimited word goes through the whole library. Added tokens that a text spells out (such as
+    <|endoftext|>, an id of the vocabulary, not the end id of a document) get their ids, as from the library.
+    ``encode_bytes`` returns little-endian 16- or 32-bit integers.
     """
 
     LETTERS = rb"a-z\xdf-\xf6\xf8-\xff"
@@ -136,9 +138,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # added tokens that stand in a text are taken for themselves, as the library does
+        own = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content.encode(): np.array([i], self.dtype_of(self.tokenizer)).tobytes() for i, t in own.items()}
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if own else None
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.dtype = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
+        self.dtype = self.dtype_of(self.tokenizer)
         self.parts = TwoGenerationCache(self._encode_part, 350_000)
         self.words = TwoGenerationCache(self._encode_word, 50_000)
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
@@ -156,7 +161,13 @@ class WordEncoder:
         ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
 
+    @staticmethod
+    def dtype_of(tokenizer) -> str:
+        return "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
     def encode_bytes(self, text: bytes) -> bytes:
+        if self.cut and any(token in text for token in self.added):
+            return b"".join([self.added.get(part) or self.encode_bytes(part) for part in self.cut.split(text)])
         if not text.isascii():
             try:
                 narrow = text.decode().encode("latin-1")

@@ -209,13 +209,11 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(both) - shared) - 1e-9
 
 
-BITS = 26
-
-
 def sets_of(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     """(row, set_id, shingles) of those documents(row, text) that ``rows(row)`` names, and of few others: texts
-    stay where they are and are sorted out by a bit table of fixed size. Narrow."""
-    wanted = common.bit_table(rows, "row", BITS)
+    stay where they are and are sorted out by a bit table of their number. Narrow."""
+    size = common.bits_for(rows.count())
+    wanted = common.bit_table(rows, "row", size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("simhash", lambda: None)
@@ -228,7 +226,7 @@ def sets_of(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
             columns = [chosen.column(0), pa.array(ids, pa.binary()), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["row", "set_id", "shingles"])
 
-    return docs.select("row", "text", common.bit_place("row", BITS).alias("place")).mapInArrow(run, "row long, set_id binary, shingles binary")
+    return docs.select("row", "text", common.bit_place("row", size).alias("place")).mapInArrow(run, "row long, set_id binary, shingles binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -246,7 +244,9 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
             yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    ids = common.materialize(ids, "ids")
     sets = common.materialize(sets_of(docs, ids, shingle), "sets")
+    common.drop_tables(ids)
     a = sets.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
     b = sets.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
     found = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
@@ -293,7 +293,9 @@ def closing_links(buckets: DataFrame, members: DataFrame, docs: DataFrame, shing
     ends = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     unsettled = common.materialize(ends.where("low < high").select("band", "key"), "unsettled")
     open_ = common.materialize(rooted.join(unsettled, ["band", "key"], "left_semi"), "open")
-    sets = common.materialize(sets_of(docs, open_.select("row").distinct(), shingle).distinct(), "sets")
+    ids = common.materialize(open_.select("row").distinct(), "ids")
+    sets = common.materialize(sets_of(docs, ids, shingle).distinct(), "sets")
+    common.drop_tables(ids)
     sized = open_.join(sets.groupBy("row").agg(F.sum(F.length("shingles") / 8).alias("n")), "row")
     slices = F.ceil(F.greatest(F.sum("n") / tile, F.count(F.lit(1)) / 2048)).cast("long")
     cuts = common.materialize(sized.groupBy("band", "key").agg(slices.alias("slices")), "cuts")
