@@ -245,7 +245,7 @@ def m13(spark, d):
     return j.select("event_type", "n", F.round("median", 6).alias("median"), F.round("p90", 6).alias("p90"), "most")
 
 
-_ARM_RATE = "SELECT source, avg(CAST(n_chars > 1500 AS INTEGER)) AS r FROM documents WHERE doc_id % 2 = {} GROUP BY source"
+_ARM_RATE = "SELECT source, avg(CAST(n_chars > 1500 AS INTEGER)) AS r FROM documents WHERE " + s.bucket("doc_id::VARCHAR", 2) + " = {} GROUP BY source"
 
 
 @operator(
@@ -253,7 +253,7 @@ _ARM_RATE = "SELECT source, avg(CAST(n_chars > 1500 AS INTEGER)) AS r FROM docum
     f"""SELECT source, round(b.r - a.r, 6) AS delta, a.r - b.r > 0.05 + 1e-10 AS group_drop, avg(a.r) OVER () - avg(b.r) OVER () > 0.02 + 1e-10 AS macro_drop FROM ({_ARM_RATE.format(0)}) a JOIN ({_ARM_RATE.format(1)}) b USING (source)""",
 )
 def m14(spark, d):
-    docs = table(spark, d, "documents").groupBy("source", (F.col("doc_id") % 2).alias("arm")).agg(F.avg((F.col("n_chars") > 1500).cast("int")).alias("r"))
+    docs = table(spark, d, "documents").groupBy("source", t.bucket("doc_id", modulus=2).alias("arm")).agg(F.avg((F.col("n_chars") > 1500).cast("int")).alias("r"))
     a, b = docs.where("arm = 0").select("source", F.col("r").alias("x")), docs.where("arm = 1").select("source", F.col("r").alias("y"))
     whole = Window.partitionBy()
     return a.join(b, "source").select(
