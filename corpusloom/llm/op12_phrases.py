@@ -31,6 +31,7 @@ from functools import reduce
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,6 +81,18 @@ class _Batch:
             yield k, hashes, whole
 
 
+def _cut(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text (a longer text is a batch of its own): a batch's words and
+    hashes are in memory together."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column(1).cast(pa.binary())).fill_null(0), np.int64))
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def _rows(counts: SlotCounts, n: dict[str, int]) -> pa.RecordBatch:
     ranges, blobs = counts.rows()
     langs, none = list(n), [None] * len(ranges)
@@ -96,9 +109,9 @@ def bigram_counts(texts: DataFrame, bits: int) -> DataFrame:
     """(range, counts) of the slots of all bigrams, and rows (lang, n) of the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts, n = TwoGenerationCache(_code), SlotCounts(bits), {}
+        codes, counts, n = TwoGenerationCache(_code, 150_000), SlotCounts(bits), {}
         hold("phrases", codes.forget)
-        for batch in batches:
+        for batch in _cut(batches):
             own = _Batch(batch, codes)
             starts = np.concatenate([[0], np.cumsum(own.sizes)])
             words = np.concatenate([[0], np.cumsum(own.codes != 0)])
@@ -138,9 +151,9 @@ def longer_counts(texts: DataFrame, bits: int, pairs, longest: int) -> DataFrame
     """(range, counts) of the slots of longer grams, all of whose bigrams are flagged in ``pairs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts, table = TwoGenerationCache(_code), SlotCounts(bits), np.frombuffer(pairs.value, np.uint8)
+        codes, counts, table = TwoGenerationCache(_code, 150_000), SlotCounts(bits), np.frombuffer(pairs.value, np.uint8)
         hold("phrases", codes.forget)
-        for batch in batches:
+        for batch in _cut(batches):
             for k, hashes, at in _likely(_Batch(batch, codes), longest, bits, table):
                 for slots in two_slots(hashes[at], bits) if k > 2 else ():
                     counts.add(slots)
@@ -157,7 +170,7 @@ def candidates(texts: DataFrame, bits: int, pairs, longer, longest: int, parts:
     as one packed list for each of ``parts`` parts of a language's phrases; the lists of a part meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, found = TwoGenerationCache(_code), set()
+        codes, found = TwoGenerationCache(_code, 150_000), set()
         hold("phrases", codes.forget)
         table, more = (np.frombuffer(x.value, np.uint8) for x in (pairs, longer))
 
@@ -170,7 +183,7 @@ def candidates(texts: DataFrame, bits: int, pairs, longer, longest: int, parts:
             columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(packed, pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["lang", "part", "packed"])
 
-        for batch in batches:
+        for batch in _cut(batches):
             own = _Batch(batch, codes)
             of = np.repeat(np.arange(len(own.sizes)), own.sizes)
             for k, hashes, at in _likely(own, longest, bits, table):
