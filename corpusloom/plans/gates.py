@@ -19,14 +19,18 @@ _W = s.words("text")
 _SHARE = {lang: f"len(list_filter(w, lambda x: list_contains({listed}, x)))" for lang, listed in STOPWORDS.items()}
 
 
+#: every fourth document claims the other language
+_CLAIMED = "CASE WHEN doc_id % 4 = 0 AND lang = 'en' THEN 'de' WHEN doc_id % 4 = 0 AND lang = 'de' THEN 'en' ELSE lang END"
+
+
 @operator(
     "p17_language_misfit",
-    f"""SELECT doc_id, lang, len(w) AS words, {_SHARE['en']} AS en, {_SHARE['de']} AS de FROM (SELECT doc_id, lang, {_W} AS w FROM documents)
+    f"""SELECT doc_id, lang, len(w) AS words, {_SHARE['en']} AS en, {_SHARE['de']} AS de FROM (SELECT doc_id, {_CLAIMED} AS lang, {_W} AS w FROM documents)
     WHERE len(w) >= 12 AND (lang = 'en' AND {_SHARE['de']} > {_SHARE['en']} OR lang = 'de' AND {_SHARE['en']} > {_SHARE['de']})""",
 )
 def p17_misfit(spark, d):
-    """Documents of twelve words or more that have more stop words of the other language than of their own."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", t.words("text").alias("w"))
+    """Documents of twelve words or more that have more stop words of the other language than of the one they claim."""
+    docs = table(spark, d, "documents").select("doc_id", F.expr(_CLAIMED).alias("lang"), t.words("text").alias("w"))
 
     def count(listed):
         return F.size(F.filter("w", lambda x: x.isin(listed)))
