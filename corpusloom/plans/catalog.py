@@ -7,7 +7,7 @@ from importlib import import_module
 
 from ..registry import REGISTRY
 
-MODULES = ("quality", "aggregates", "windows", "sampling", "scalars", "joins", "dedup", "scoring", "evaluation", "review", "gates", "ingest")
+MODULES = ("quality", "aggregates", "windows", "sampling", "scalars", "joins", "dedup", "scoring", "evaluation", "review", "gates", "reports", "ingest")
 
 
 def _load() -> None:
