@@ -12,7 +12,7 @@ from .windows import hash_running_sum
 def budgeted(df: DataFrame, group: str, id_column: str, size: str, order: str, budget: int) -> DataFrame:
     """(id, group) of the rows that the greedy rule keeps: in the order of a group's rows (hex string ``order``, evenly
     spread, then the id) each is kept whose size the rest of the group's budget still holds. Sizes are whole numbers
-    from 0 on; rows of other or null sizes, and of null groups or ids, take no part.
+    from 0 on; rows of other or null sizes, and of null ids, take no part; null groups are one group.
 
     A round looks at all open rows of a group that has r left. Rows of at most r / 2 are small; their prefix sums, in
     two levels, tell the first place where more than r / 2 would be taken, and the first larger row that fits behind
@@ -21,7 +21,7 @@ def budgeted(df: DataFrame, group: str, id_column: str, size: str, order: str, b
     number of rows is done after log2(budget) + 1 rounds, each of which reads what is still open and fits.
     """
     rows = df.select(F.col(id_column).alias("id"), F.col(group).alias("grp"), F.col(size).cast("long").alias("n"), F.col(order).alias("at"))
-    rows = rows.where(F.col("n").between(0, budget) & F.col("grp").isNotNull() & F.col("id").isNotNull())
+    rows = rows.where(F.col("n").between(0, budget) & F.col("id").isNotNull())
     open_ = checkpointed(rows.withColumn("left", F.lit(budget).cast("long")))
     parts = []
     while not open_.isEmpty():
@@ -32,8 +32,8 @@ def budgeted(df: DataFrame, group: str, id_column: str, size: str, order: str, b
         fits = ~small & (F.col("taken") + F.col("n") <= F.col("left"))
         place = F.struct("at", "id")
         first = summed.where(halved | fits).groupBy("grp").agg(F.min(F.struct(place.alias("place"), (F.col("taken") + F.when(fits, F.col("n")).otherwise(0)).alias("taken"))).alias("x"))
-        stops = checkpointed(first.select("grp", F.col("x.place").alias("stop"), F.col("x.taken").alias("used")))
-        marked = summed.join(stops, "grp", "left")
+        stops = checkpointed(first.select(F.col("grp").alias("of"), F.col("x.place").alias("stop"), F.col("x.taken").alias("used")))
+        marked = summed.join(stops, F.col("grp").eqNullSafe(F.col("of")), "left").drop("of")
         kept = F.when(F.col("stop").isNull(), small).otherwise((small & (place < F.col("stop"))) | (place == F.col("stop")))
         parts.append(checkpointed(marked.where(kept).select("id", "grp")))
         later = marked.where(F.col("stop").isNotNull() & (place > F.col("stop"))).withColumn("left", F.col("left") - F.col("used"))

@@ -34,7 +34,7 @@ def test_budget_of_hot_and_adverse_groups(spark):
     rows += [(10_000 + i, "falling", 1 if i % 2 == 0 else 1000 - i // 2, h) for i, h in enumerate(order)]
     rows += [(20_000, "a", None, digest("n")), (20_001, "a", -5, digest("m"))]
     used, want = Counter(), set()
-    for i, group, n, _ in sorted((r for r in rows if r[1] is not None and r[2] is not None and r[2] >= 0), key=lambda r: (r[3], r[0])):
+    for i, group, n, _ in sorted((r for r in rows if r[2] is not None and r[2] >= 0), key=lambda r: (r[3], r[0])):
         if used[group] + n <= 1000:
             used[group] += n
             want.add((i, group))
