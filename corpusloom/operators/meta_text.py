@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: fixed values: words to be looked at, and phrases that tell of the making of a data set
 TERMS = r"revisions?|references?|papers?|reviews?|reviewer"
 META = r"assistant-authored|assistant-proposed|dataset-construction|annotation (?:feedback|status)|absent from model input"
 #: fixed values: fields of an application's contract
