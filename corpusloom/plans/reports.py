@@ -199,3 +199,45 @@ def s11_files(spark, d):
     back = spark.read.parquet(path)
     digest = F.sum(F.conv(F.substring(F.sha2("text", 256), 1, 8), 16, 10).cast("long"))
     return back.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("n_chars").alias("characters"), digest.alias("digest"))
+
+
+_KEYS = ("lang", "band", "kind")
+_ARMS = "SELECT lang, n_chars // 4000 AS band, CASE WHEN doc_id % 50 = 1 THEN 'other' ELSE 'same' END AS kind FROM documents"
+
+
+@operator(
+    "v13_protocol_keys",
+    " UNION ALL ".join(
+        f"SELECT '{key}' AS field, config, count(DISTINCT CAST({key} AS VARCHAR)) = 1 AS same, count(DISTINCT CAST({key} AS VARCHAR)) AS n FROM (SELECT lang AS config, lang, CAST(band > 1 AS INTEGER) AS band, kind FROM ({_ARMS})) GROUP BY config"
+        for key in _KEYS
+    ),
+)
+def v13_keys(spark, d):
+    """Per configuration (here a language) and listed field: whether all rows of all arms agree on it."""
+    docs = table(spark, d, "documents")
+    kind = F.when(F.col("doc_id") % 50 == 1, "other").otherwise("same")
+    rows = docs.select(F.col("lang").alias("config"), "lang", (F.floor(F.col("n_chars") / 4000) > 1).cast("int").alias("band"), kind.alias("kind"))
+    long = rows.select("config", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in _KEYS])).alias("x")).select("config", "x.*")
+    return long.groupBy("field", "config").agg((F.count_distinct("value") == 1).alias("same"), F.count_distinct("value").alias("n")).select("field", "config", "same", "n")
+
+
+_PAGES = "SELECT CASE WHEN page_id % 40 = 3 THEN page_id - 1 ELSE page_id END AS id, md5(url) || CASE WHEN page_id % 9 = 0 THEN 'zz' ELSE substr(md5(html), 1, 8) END AS revision, contains(html, 'License') OR page_id % 3 = 0 AS licensed FROM pages"
+
+
+@operator(
+    "v19_metadata_faults",
+    f"""WITH p AS ({_PAGES}), i AS (SELECT id FROM p GROUP BY id HAVING count(*) > 1)
+    SELECT id, 'duplicate_id' AS fault, count(*) AS n FROM p SEMI JOIN i USING (id) GROUP BY id
+    UNION ALL SELECT id, 'revision', count(*) FROM p WHERE NOT regexp_matches(revision, '^[0-9a-f]{{40}}$') GROUP BY id
+    UNION ALL SELECT id, 'license', count(*) FROM p WHERE NOT licensed GROUP BY id""",
+)
+def v19_faults(spark, d):
+    """Rows by id: ids that come more than once, revisions that aren't 40 hex digits, licenses that are open."""
+    n = F.col("page_id")
+    revision = F.concat(F.md5("url"), F.when(n % 9 == 0, "zz").otherwise(F.substring(F.md5("html"), 1, 8)))
+    p = table(spark, d, "pages").select(
+        F.when(n % 40 == 3, n - 1).otherwise(n).alias("id"), (~revision.rlike("^[0-9a-f]{40}$")).alias("revision"), (~(F.contains("html", F.lit("License")) | (n % 3 == 0))).alias("license")
+    )
+    g = p.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("revision"), 1)).alias("revision"), F.count(F.when(F.col("license"), 1)).alias("license"))
+    faults = F.array(*[F.struct(F.lit(k).alias("fault"), c.alias("n")) for k, c in (("duplicate_id", F.when(F.col("rows") > 1, F.col("rows")).otherwise(0)), ("revision", F.col("revision")), ("license", F.col("license")))])
+    return g.select("id", F.explode(faults).alias("x")).select("id", "x.*").where("n > 0")
