@@ -6,16 +6,16 @@ A phrase is 2 to ``longest`` words in a row within a piece; everything is counte
 1. A sketch counts the bigrams of all texts in two hashed slots each: upper bounds. A second one counts the longer grams all of
    whose bigrams reach ``least``. What reaches it in the sketches is a candidate; every phrase that occurs ``least``
    times is one, as a slot's count is never too low.
-2. The candidates, and the beginnings and ends they can be cut into, are compiled into Aho-Corasick automata, one for
+2. Texts are read in blocks of bounded size. The candidates of a block are compiled into Aho-Corasick automata, one for
    each language. Words are guarded by a space on either side and pieces by a full stop, which no pattern holds, so
-   a match is of whole words and never crosses pieces. All texts are scanned once for each chunk of patterns
-   (bounded in number and bytes; a chunk is what a worker holds), with all overlapping matches counted; counts are
-   summed, and only then thresholds and scores are applied, on exact numbers.
+   a match is of whole words and never crosses pieces. The block is scanned once, with all overlapping matches counted;
+   its counts, and those of single words, are summed over all blocks, and only then thresholds and scores are applied, on
+   exact numbers. What a frequent phrase can be cut into is as frequent, so it is counted alike.
 
-Four passes over the texts, each a narrow scan; shuffled are packed counts of slots, and counts of patterns. Slots
-grow with the bytes of text up to 2 ** 28 (32 MB of bits broadcast, 32 MB gathered). Beyond about 80 GB of text the
-average slot nears 100, and more and more candidates are false: they cost further chunks, thus scans, but no results;
-on such a corpus ``least`` wants to be larger.
+Three passes over the texts, each a narrow scan, whatever the number of candidates; shuffled are packed counts of slots, and
+counts of phrases. Slots grow with the bytes of text up to 2 ** 28 (32 MB of bits broadcast, 32 MB gathered). Beyond about
+80 GB of text the average slot nears 100, and more and more candidates are false: they cost longer lists of counts,
+but no results; on such a corpus ``least`` wants to be larger.
 
 Null texts are empty, a null language is ``und``. Repeated rows and doc_ids count as often as they come; ids and other
 columns are not read. Very long texts and words are read whole. Ties in score and count go by the bytes of the
@@ -25,8 +25,9 @@ phrase. A piece of one word only adds to n. Empty tables give empty tables.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .slot_sketch import SlotCounts, at_least, bit_of, mixed, packed_ranges, slot_bits, slot_sums, summed, two_slots
+from .slot_sketch import SlotCounts, at_least, bit_of, mixed, slot_bits, summed, two_slots
 from .word_cache import TwoGenerationCache, hold
 
 SEED = 42
@@ -165,114 +166,113 @@ def longer_counts(texts: DataFrame, bits: int, pairs, longest: int) -> DataFrame
     return texts.mapInArrow(run, "range int, counts binary, lang string, n long").select("range", "counts")
 
 
-def candidates(texts: DataFrame, bits: int, pairs, longer, longest: int, parts: int = 256) -> DataFrame:
-    """Distinct (lang, phrase) of the grams that reach the threshold in the sketches. A task hands over what it has met
-    as one packed list for each of ``parts`` parts of a language's phrases; the lists of a part meet in one task."""
+def _met(own: _Batch, longest: int, bits: int, pairs: np.ndarray, longer: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, places) of the grams that reach the threshold in the sketches: one place at least of each gram of a language, as
+    what has the hash of a place before is left out where it is the same words indeed."""
+    first: dict[bytes, int] = {}
+    ids = np.fromiter((first.setdefault(w, i) for i, w in enumerate(own.words)), np.int64, len(own.words))
+    for k, hashes, at in _likely(own, longest, bits, pairs):
+        at = at if k == 2 else _reaching(at, hashes, bits, longer)
+        _, places, of = np.unique(hashes[at], return_index=True, return_inverse=True)
+        like = at[places][of]
+        other = own.salts[at] != own.salts[like]
+        for j in range(k):
+            other |= ids[at + j] != ids[like + j]
+        yield k, np.concatenate([at[places], at[other]])
+
+
+def _counted(lang: str, texts: list[bytes], phrases: set[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Those of the phrases that occur in the guarded texts of a language, and how often."""
+    automaton, listed = ahocorasick.Automaton(), list(phrases)
+    for i, phrase in enumerate(listed):
+        automaton.add_word(f" {phrase.decode('utf-8', 'surrogateescape')} ", i)
+    automaton.make_automaton()
+    total, places = np.zeros(len(listed), np.int64), []
+    for text in texts:
+        places += [place for _, place in automaton.iter(text.decode("utf-8", "surrogateescape"))]
+        if len(places) > 1 << 20:
+            total += np.bincount(places, minlength=len(listed))
+            places = []
+    if places:
+        total += np.bincount(places, minlength=len(listed))
+    return listed, total
+
+
+def pattern_counts(texts: DataFrame, bits: int, pairs, longer, longest: int, least: int, parts: int, most: int = 200_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """(lang, phrase, f) of the phrases and single words that occur ``least`` times or more, counted exactly, in one scan.
+
+    A task takes texts in blocks, of about ``most`` distinct candidates and ``most_bytes`` bytes. The automata of a block hold the
+    candidates that its own texts have, so they don't grow with the corpus, and the block is scanned once. Its counts go out as one
+    packed list for each of ``parts`` parts of a language's phrases; the lists of a part are summed in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, found = TwoGenerationCache(_code, 150_000), set()
+        codes = TwoGenerationCache(_code, 150_000)
         hold("phrases", codes.forget)
         table, more = (np.frombuffer(x.value, np.uint8) for x in (pairs, longer))
-
-        def rows() -> pa.RecordBatch:
-            lists: dict[tuple[str, int], list[bytes]] = {}
-            for lang, phrase in found:
-                lists.setdefault((lang, zlib.crc32(phrase) % parts), []).append(phrase)
-            found.clear()
-            keys, packed = list(lists), [zlib.compress(b"\n".join(x), 1) for x in lists.values()]
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(packed, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["lang", "part", "packed"])
-
-        for batch in _cut(batches):
+        held: dict[str, list[bytes]] = {}
+        found: dict[str, set[bytes]] = {}
+        singles: dict[str, Counter] = {}
+        taken = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, words in singles.items():
+                words.pop(BREAK, None)
+                phrases, total = _counted(lang, held[lang], found[lang]) if found.get(lang) else ([], np.zeros(0, np.int64))
+                lists: dict[int, tuple[list[bytes], list[int]]] = {}
+                for phrase, n in chain(zip(phrases, total.tolist()), words.items()):
+                    names, counts = lists.setdefault(zlib.crc32(phrase) % parts, ([], []))
+                    names.append(phrase)
+                    counts.append(n)
+                columns = [
+                    pa.array([lang] * len(lists), pa.string()),
+                    pa.array(list(lists), pa.int32()),
+                    pa.array([zlib.compress(b"\n".join(x), 1) for x, _ in lists.values()], pa.binary()),
+                    pa.array([zlib.compress(np.array(n, "<i8").tobytes(), 1) for _, n in lists.values()], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "part", "phrases", "counts"])
+            for x in (held, found, singles):
+                x.clear()
+
+        for batch in _cut(batches, min(most_bytes, 1 << 21)):
             own = _Batch(batch, codes)
-            of = np.repeat(np.arange(len(own.sizes)), own.sizes)
-            for k, hashes, at in _likely(own, longest, bits, table):
-                at = at if k == 2 else _reaching(at, hashes, bits, more)
-                found.update((own.langs[d], b" ".join(own.words[i : i + k])) for i, d in zip(at.tolist(), of[at].tolist()))
-            if len(found) > 200_000:
-                yield rows()
-        yield rows()
+            of, end = np.repeat(np.arange(len(own.sizes)), own.sizes), 0
+            for lang, size in zip(own.langs, own.sizes):
+                words = own.words[end : end + size]
+                end += size
+                singles.setdefault(lang, Counter()).update(words)
+                held.setdefault(lang, []).append(b" " + b" ".join(words[:-1]) + b" ")
+                taken += len(held[lang][-1])
+            for k, at in _met(own, longest, bits, table, more):
+                for i, d in zip(at.tolist(), of[at].tolist()):
+                    found.setdefault(own.langs[d], set()).add(b" ".join(own.words[i : i + k]))
+            if taken > most_bytes or sum(map(len, found.values())) > most:
+                yield from rows()
+                taken = 0
+        yield from rows()
         codes.forget()
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("phrases", lambda: None)
-        of, found = None, set()
+        of, sums = None, {}
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([of[0]] * len(found), pa.string()), pa.array(found, pa.binary())], ["lang", "phrase"])
+            often = [(x, n) for x, n in sums.items() if n >= least]
+            columns = [pa.array([of[0]] * len(often), pa.string()), pa.array([x for x, _ in often], pa.binary()), pa.array([n for _, n in often], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
 
         for batch in batches:
-            for lang, part, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for lang, part, phrases, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 if (lang, part) != of:
-                    if found:
+                    if sums:
                         yield rows()
-                    of, found = (lang, part), set()
-                found.update(zlib.decompress(packed).split(b"\n"))
-        if found:
+                    of, sums = (lang, part), {}
+                for phrase, n in zip(zlib.decompress(phrases).split(b"\n"), np.frombuffer(zlib.decompress(counts), "<i8").tolist()):
+                    sums[phrase] = sums.get(phrase, 0) + n
+        if sums:
             yield rows()
 
-    lists = texts.mapInArrow(run, "lang string, part int, packed binary").repartition("lang", "part").sortWithinPartitions("lang", "part")
-    return lists.mapInArrow(once, "lang string, phrase binary").select("lang", F.col("phrase").cast("string").alias("phrase"))
-
-
-_automata: dict = {}
-
-
-def _automata_of(chunk_id: str, chunk) -> dict:
-    """Automata by language of a chunk of patterns, built once in each worker."""
-    if chunk_id not in _automata:
-        _automata.clear()
-        built: dict = {}
-        for i, (lang, phrase) in enumerate(chunk.value):
-            built.setdefault(lang, ahocorasick.Automaton()).add_word(f" {phrase} ", i)
-        for automaton in built.values():
-            automaton.make_automaton()
-        _automata[chunk_id] = built
-    return _automata[chunk_id]
-
-
-def occurrences(texts: DataFrame, chunk_id: str, chunk, size: int) -> DataFrame:
-    """(place, n): how often each pattern of the chunk, by its place there, occurs in texts of its language."""
-    bits = slot_bits(size)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("phrases", _automata.clear)
-        automata, total = _automata_of(chunk_id, chunk), np.zeros(size, np.int64)
-        for batch in batches:
-            places: list[int] = []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                if (automaton := automata.get(lang)) and (raw := text.as_py()):
-                    guarded = (b" " + b" ".join(tokens(raw)) + b" ").decode("utf-8", "surrogateescape")
-                    places += [place for _, place in automaton.iter(guarded)]
-                if len(places) > 1 << 20:
-                    total += np.bincount(places, minlength=size)
-                    places = []
-            if places:
-                total += np.bincount(places, minlength=size)
-        met = np.flatnonzero(total)
-        ranges, packed = packed_ranges(met.astype(np.uint32), total[met], bits)
-        yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(packed, pa.binary())], ["range", "counts"])
-
-    return slot_sums(texts.mapInArrow(run, "range int, counts binary"), bits)
-
-
-def pattern_counts(texts: DataFrame, patterns: DataFrame, most: int = 200_000, most_bytes: int = 8 << 20) -> list[DataFrame]:
-    """Written tables (lang, phrase, f) of the exact occurrences of patterns(lang, phrase). Chunks hold about ``most``
-    patterns and ``most_bytes`` bytes; one chunk is in the driver's memory at a time."""
-    spark = texts.sparkSession
-    size = patterns.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0)).alias("b")).first()
-    chunks = max(1, -(-size["n"] // most), -(-size["b"] // most_bytes))
-    parts = []
-    for i in range(chunks):
-        own = patterns.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(chunks)) == i).toArrow()
-        # phrases are kept as the automata know them
-        listed = [(x, y.decode("utf-8", "surrogateescape")) for x, y in zip(own["lang"].to_pylist(), own["phrase"].cast(pa.binary()).to_pylist())]
-        held = spark.sparkContext.broadcast(listed)
-        counts = occurrences(texts, common.fresh("chunk"), held, len(listed)).toArrow()
-        held.unpersist()
-        found = pa.table({"lang": own["lang"].take(counts["place"]), "phrase": own["phrase"].take(counts["place"]), "f": counts["n"]})
-        parts.append(common.materialize(spark.createDataFrame(found), "phrase-counts"))
-    return parts
+    lists = texts.mapInArrow(run, "lang string, part int, phrases binary, counts binary").repartition("lang", "part").sortWithinPartitions("lang", "part")
+    return lists.mapInArrow(total, "lang string, phrase binary, f long").select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
 
 
 def _part(first, size):
@@ -300,18 +300,12 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     pairs = share(summed(first, bits, at_least(least)))
     longer = share(summed(longer_counts(texts, bits, pairs, longest), bits, at_least(least)))
     words = common.materialize(first.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), "words")
-    likely = common.materialize(candidates(texts, bits, pairs, longer, longest), "phrases")
+    # a list holds some 64 MB of text's phrases, summed over all blocks, whatever the corpus
+    counts = common.materialize(pattern_counts(texts, bits, pairs, longer, longest, least, max(256, size >> 26)), "phrase-counts")
     pairs.unpersist()
     longer.unpersist()
-    split = likely.withColumn("words", F.split("phrase", " "))
     inner = F.sequence(F.lit(1), F.size("words") - 1)
-    ends = F.flatten(F.transform(inner, lambda k: F.array(_part(F.lit(1), k), _part(k + 1, F.size("words") - k))))
-    patterns = common.materialize(likely.union(split.select("lang", F.explode(ends))).distinct(), "patterns")
-    parts = pattern_counts(texts, patterns)
-    counts = reduce(DataFrame.unionByName, parts)
-
-    frequent = common.materialize(likely.join(counts, ["lang", "phrase"]).where(F.col("f") >= least), "frequent")
-    split = frequent.withColumnRenamed("f", "a").withColumn("words", F.split("phrase", " "))
+    split = counts.withColumnRenamed("f", "a").withColumn("words", F.split("phrase", " ")).where(F.size("words") > 1)
     cuts = split.select("lang", "phrase", "a", "words", F.explode(inner).alias("k")).select(
         "lang", "phrase", "a", "k", _part(F.lit(1), F.col("k")).alias("left"), _part(F.col("k") + 1, F.size("words") - F.col("k")).alias("right")
     )
@@ -334,7 +328,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     heads = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
     ranked = heads.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     out = common.materialize(ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
-    common.drop_tables(first, words, likely, patterns, *parts, frequent)
+    common.drop_tables(first, words, counts)
     return out
 
 

@@ -205,6 +205,21 @@ def test_phrases_of_nothing_and_of_large_counts(spark):
     assert row.first()[0] == 1000 * a * n // (left * right)
 
 
+def test_phrases_scan_texts_as_often_whatever_the_candidates(spark, monkeypatch):
+    monkeypatch.setattr(op12_phrases.pattern_counts, "__defaults__", (7, 100))
+    rows, read = phrase_rows(5), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3).mapInArrow(counted, "lang string, text string")
+    got = {tuple(r) for r in op12_phrases.collocations(df, least=2).collect()}
+    assert got == brute_phrases(rows, 2) and len(got) > 100
+    assert read.value <= 4 * len(rows)  # the size, two sketches, the counts
+
+
 # -- 13
 
 
