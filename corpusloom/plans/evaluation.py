@@ -3,10 +3,14 @@ fixed rules, faults and wrong answers among them."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import text as t
 from ..operators import answers as an
+from ..operators import graph as gr
 from ..operators import meta_text
 from ..operators import scoring as m
 from ..operators.masks import IGNORE, label_faults
@@ -157,6 +161,11 @@ _TURNS = """SELECT a.conv_id, a.turn, '<|im_start|>user' || chr(10) || a.text ||
 _OVER = "list_filter(spans, lambda s: s.a < s.b AND x.a < s.b AND x.b > s.a)"
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def running_sums(lengths: pd.Series) -> pd.Series:
+    return lengths.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int32))
+
+
 @operator(
     "v10_label_mask_faults",
     f"""WITH p AS (SELECT conv_id * 1000 + turn AS id, (conv_id + turn) % 8 AS kind, prompt, answer FROM ({_TURNS})),
@@ -189,24 +198,24 @@ def v10_faults(spark, d):
     spans = F.array(span("prompt", F.lit(0), i, False), span("answer", i, i + j, True), span("end_of_turn", i + j, i + j + 10, True), span("tail", i + j + 10, i + j + 11, False))
     whole = F.concat("prompt", "answer", F.lit("<|im_end|>\n"))
     cut = F.when(F.col("kind") == 1, F.regexp_extract_all(whole, F.lit("\n\\p{L}+|" + _TOKEN), F.lit(0))).otherwise(F.regexp_extract_all(whole, F.lit(_TOKEN), F.lit(0)))
-    rows = rows.select("id", "kind", spans.alias("spans"), i.alias("i"), j.alias("j"), cut.alias("t"))
+    sized = F.transform(cut, lambda w: F.struct(F.length(w).alias("n"), (w == "<|im_end|>").alias("ends")))
+    rows = rows.select("id", "kind", spans.alias("spans"), i.alias("i"), j.alias("j"), sized.alias("t"))
     rows = rows.withColumn("t", F.when(F.col("kind") == 4, F.slice("t", F.lit(1), F.greatest(F.size("t") - 3, F.lit(0)))).otherwise(F.col("t")))
     # offsets follow from the lengths, one pass
-    place = F.aggregate(
-        "t", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("x")),
-        lambda acc, w: F.struct((acc["at"] + F.length(w)).alias("at"), F.concat(acc["x"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(w)).alias("end")))).alias("x")),
-    )["x"]
+    rows = rows.select("id", "kind", "spans", "i", "j", "t", running_sums(F.col("t.n")).alias("stops"))
     end = F.when(F.col("kind") == 3, 8).otherwise(END)
-    ids = F.transform("t", lambda w: F.when(w == "<|im_end|>", end).otherwise(F.length(w) + 10))
-    rows = rows.select("id", "kind", "spans", "i", "j", place.alias("offsets"), ids.alias("ids"))
 
-    def label(o, k):
-        token, at = F.get("ids", k), o["start"]
+    def token(x, k):
+        """Made of a token's own fields: another array that is looked up here would be made anew for each token."""
+        at, own = x["stops"] - x["t"]["n"], F.when(x["t"]["ends"], end).otherwise(x["t"]["n"] + 10)
         answer, ending = (at >= F.col("i")) & (at < F.col("i") + F.col("j")), (at >= F.col("i") + F.col("j")) & (at < F.col("i") + F.col("j") + 10)
-        planted = F.when((F.col("kind") == 2) & (k == 0), token).when((F.col("kind") == 5) & answer, F.lit(IGNORE)).when((F.col("kind") == 6) & ending, token + 1)
-        return planted.when(answer | ending, token).otherwise(F.lit(IGNORE))
+        planted = F.when((F.col("kind") == 2) & (k == 0), own).when((F.col("kind") == 5) & answer, F.lit(IGNORE)).when((F.col("kind") == 6) & ending, own + 1)
+        label = planted.when(answer | ending, own).otherwise(F.lit(IGNORE))
+        return F.struct(F.struct(at.alias("start"), x["stops"].alias("end")).alias("offset"), own.alias("id"), label.alias("label"))
 
-    rows = rows.select("id", "spans", "offsets", "ids", F.transform("offsets", label).alias("labels"), F.lit(END).alias("end_id"))
+    rows = rows.select("id", "spans", F.transform(F.arrays_zip("stops", "t"), token).alias("t"))
+    rows = rows.select("id", "spans", F.col("t.offset").alias("offsets"), F.col("t.id").alias("ids"), F.col("t.label").alias("labels"), F.lit(END).alias("end_id"))
+    rows = gr.checkpointed(rows)  # which is read for spans, tokens and rows
     found = label_faults(rows, LIMIT)
     return found.select("id", "tokens", "supervised", F.array_join("faults", ",").alias("faults"))
 

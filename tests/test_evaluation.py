@@ -6,6 +6,7 @@ import math
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import pytest
@@ -144,3 +145,15 @@ def test_numbered_lines_of_files_larger_than_a_split(spark, tmp_path):
     (tmp_path / "fine.txt").write_text("# c\n\nr1\tb\tc\nr2\t\t\n")
     fine = numbered.read_positional(spark, f"file://{tmp_path}/fine.txt", ["id", "x", "y"], "r[0-9]+")
     assert sorted(tuple(r)[1:] for r in fine.collect()) == [(3, "r1", "b", "c"), (4, "r2", "", "")]
+
+
+def test_label_masks_of_long_turns_take_one_pass(spark, tmp_path):
+    """Tokens looked up in an array that is made anew for each token take minutes here."""
+    from corpusloom.plans import catalog
+
+    text = "word, " * 1_500
+    spark.createDataFrame([(i, k, "user", text) for i in range(40) for k in range(3)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    since = time.monotonic()
+    got = catalog.queries()["v10_label_mask_faults"](spark, str(tmp_path)).collect()
+    assert len(got) == 80 and {r["tokens"] for r in got} == {9_010, 9_008, 9_007} and time.monotonic() - since < 60
+    assert all("truncated" in r["faults"] for r in got)
