@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 import json
 import random
 
@@ -130,6 +131,31 @@ def test_closure_and_cycles(spark):
             graph.closure(loop)
 
 
+@pytest.mark.parametrize("levels", [40, 3])
+def test_closure_equals_walks(spark, levels):
+    edges = {(i, i // k) for i in range(200) for k in (2, 3) if i // k >= 1} | {(300, 301), (400, 1)}
+    up = {}
+    for i in sorted({i for i, _ in edges}, key=lambda i: (i == 300, i)):
+        parents = {p for j, p in edges if j == i}
+        up[i] = parents.union(*(up.get(p, set()) for p in parents))
+    df = spark.createDataFrame(sorted(edges) * 2, "id long, parent long")
+    got = [tuple(r) for r in graph.closure(df, max_levels=levels).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, a) for i, x in up.items() for a in x}
+    assert graph.closure(df.where("false")).count() == 0
+
+
+def test_closure_hands_a_list_on_once_an_edge(spark):
+    """No path is joined to paths: the rows that joins make are in proportion to edges."""
+    edges = spark.createDataFrame([(i, i // k) for i in range(1, 3_000) for k in (2, 3) if i // k >= 1], "id long, parent long")
+    seen = []
+    write, graph.checkpointed = graph.checkpointed, lambda df: (seen.append(out := write(df)), out)[1]
+    try:
+        n = graph.closure(edges).count()
+        assert max(x.count() for x in seen if os.path.exists(x._scratch_path.removeprefix("file://"))) < n / 4
+    finally:
+        graph.checkpointed = write
+
+
 def plan(spark, *rows):
     whole = [(k, *r) for k, r in enumerate(rows)]
     return spark.createDataFrame(whole, "place int, id string, implementation_files array<string>, depends_on array<string>")
