@@ -156,6 +156,11 @@ def test_closure_hands_a_list_on_once_an_edge(spark):
         graph.checkpointed = write
 
 
+def test_conflicts_of_several_files(spark):
+    tasks = plan(spark, ("a", ["x", "y", "z"], []), ("b", ["Y", "./x"], []), ("c", ["x", "w"], ["a"]), ("d", ["w", "q", "w"], []), ("e", None, []))
+    assert sorted(tuple(r) for r in graph.conflicts(tasks).collect()) == [("a", "b", ["x", "y"]), ("b", "c", ["x"]), ("c", "d", ["w"])]
+
+
 def plan(spark, *rows):
     whole = [(k, *r) for k, r in enumerate(rows)]
     return spark.createDataFrame(whole, "place int, id string, implementation_files array<string>, depends_on array<string>")
