@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.graph import shared_folder
+from ..operators.graph import shared_folder, tune  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,16 +56,6 @@ def with_columns(
     return numbered.mapInArrow(run, schema).toDF(*[f.name for f in whole])
 
 
-def tune(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, so that very long texts don't pile up in a Python worker. Spark reads
-    these settings when a plan runs, after the operator has returned it; so they are lowered in the caller's
-    session where its own are larger, and stay so."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
-        have = spark.conf.get(key)
-        if not have.isdigit() or not 0 < int(have) <= most:
-            spark.conf.set(key, str(most))
-
-
 def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/corpusloom/{tag}-{uuid.uuid4().hex}"
 
