@@ -91,6 +91,13 @@ def ngram_list(tokens: Column, n: int) -> Column:
     )
 
 
+def gram_hashes(tokens: Column, n: int) -> Column:
+    """64-bit hashes of all n-word sequences with repeats."""
+    return F.when(F.size(tokens) < n, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.xxhash64(F.slice(tokens, i, n)))
+    )
+
+
 def lines(c: Column | str) -> Column:
     """White-space-collapsed lines that aren't empty. White space is collapsed in the whole text, then cut."""
     flat = F.regexp_replace(c, r"[ \t\r\f]+", " ")

@@ -32,6 +32,17 @@ def repeated_lines(found: Column) -> Column:
     return F.coalesce(1 - F.size(F.array_distinct(found)) / F.nullif(F.size(found), F.lit(0)), F.lit(0.0))
 
 
+def most_repeated(values: Column) -> Column:
+    """How often the most frequent one of an array of numbers is in it; 0 if it is empty."""
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("most"))
+
+    def step(held: Column, x: Column) -> Column:
+        run = F.when(held["last"] == x, held["run"] + 1).otherwise(F.lit(1).cast("bigint"))
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(held["most"], run).alias("most"))
+
+    return F.aggregate(F.array_sort(values), start, step, lambda held: held["most"])
+
+
 def cascade(df: DataFrame, rules: list[tuple[str, Column]], out: str = "reason", kept: str = "kept") -> DataFrame:
     """df with the name of the first rule that holds, or ``kept``. A null condition doesn't hold."""
     reason = None

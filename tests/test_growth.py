@@ -34,3 +34,13 @@ def test_cosine_pairs_meet_only_what_can_reach_the_threshold(spark):
     before = moved(spark)
     assert similarity.cosine_pairs(weights, 0.5).count() == 0
     assert moved(spark) - before < 2e6
+
+
+def test_repeated_grams_are_counted_in_their_rows(spark, tmp_path):
+    line = "one two three four five six seven eight nine\n"
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(1500)) + " " + line * (i % 7)) for i in range(60)]
+    folder = documents(spark, tmp_path, rows + [(3, line * 3), (4, line * 2), (70, None), (71, ""), (72, line * 5), (72, "short")])
+    before = moved(spark)
+    got = catalog.queries()["p07_repeated_ngram"](spark, folder).collect()
+    assert moved(spark) - before < 2e5
+    against_sql(got, folder, "p07_repeated_ngram")
