@@ -3,9 +3,10 @@ Unicode normal forms, which have no built-in."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -133,14 +134,24 @@ def html_text(c: Column | str) -> Column:
     return blank(out)
 
 
-@F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+def _fold_spaced(t: str) -> str:
+    """NFKC, case folded, white space collapsed. Normal forms of ASCII are itself, and no list of words is made."""
+    folded = t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).casefold()
+    return _SPACES.sub(" ", folded).strip()
 
 
-@F.pandas_udf(StringType())
-def nfkc_casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
+#: white space as str.split() knows it
+_SPACES = re.compile(r"\s+")
+
+
+@F.arrow_udf(StringType())
+def nfc(s: pa.Array) -> pa.Array:
+    return pa.array((None if (t := x.as_py()) is None else unicodedata.normalize("NFC", t) for x in s), pa.string())
+
+
+@F.arrow_udf(StringType())
+def nfkc_casefold(s: pa.Array) -> pa.Array:
+    return pa.array((None if (t := x.as_py()) is None else _fold_spaced(t) for x in s), pa.string())
 
 
 def bucket(*parts: Column | str, modulus: int) -> Column:

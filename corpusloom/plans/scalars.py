@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators.graph import tune
 from ..registry import operator, table
 from . import sql as s
 
@@ -15,9 +16,15 @@ def _docs(spark, d):
     return table(spark, d, "documents")
 
 
+def _batched(spark, d):
+    """The documents, for functions that run in Python: what a worker holds at once is bounded in rows and bytes."""
+    tune(spark)
+    return _docs(spark, d)
+
+
 @operator("n01_norm_nfc_ws", f"SELECT doc_id, sha256({s.blank('text')}) AS h FROM documents")
 def n01(spark, d):
-    return _docs(spark, d).select("doc_id", F.sha2(t.blank(t.nfc("text")), 256).alias("h"))
+    return _batched(spark, d).select("doc_id", F.sha2(t.blank(t.nfc("text")), 256).alias("h"))
 
 
 @operator("n02_norm_nfc_casefold_ws", f"SELECT doc_id, sha256({s.blank(s.fold('text'))}) AS h FROM documents")
@@ -27,7 +34,7 @@ def n02(spark, d):
 
 @operator("n03_norm_nfkc_casefold_ws", f"SELECT doc_id, sha256({s.blank(s.fold('text'))}) AS h FROM documents")
 def n03(spark, d):
-    return _docs(spark, d).select("doc_id", F.sha2(t.nfkc_casefold("text"), 256).alias("h"))
+    return _batched(spark, d).select("doc_id", F.sha2(t.nfkc_casefold("text"), 256).alias("h"))
 
 
 @operator("n04_norm_words", f"SELECT doc_id, sha256({s.norm_words('text')}) AS h, CAST(len({W}) AS BIGINT) AS n FROM documents")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -44,3 +47,31 @@ def test_repeated_grams_are_counted_in_their_rows(spark, tmp_path):
     got = catalog.queries()["p07_repeated_ngram"](spark, folder).collect()
     assert moved(spark) - before < 2e5
     against_sql(got, folder, "p07_repeated_ngram")
+
+
+def normalised_in_small_batches(spark, tmp_path, name, plain):
+    import hashlib
+
+    texts = ["Straße\t ＡＢＣ ﬁ x", "  Plain  ASCII \n\x1c text ", "é É", "", None, " İ​"]
+    folder = documents(spark, tmp_path, list(enumerate(texts)))
+    bytes_key, rows_key = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    had = {k: spark.conf.get(k) for k in (bytes_key, rows_key)}
+    try:
+        spark.conf.set(bytes_key, str(1 << 28))
+        spark.conf.set(rows_key, "10000")
+        got = {r["doc_id"]: r["h"] for r in catalog.queries()[name](spark, folder).collect()}
+        assert int(spark.conf.get(bytes_key)) <= 16 << 20 and int(spark.conf.get(rows_key)) <= 2000
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v)
+    assert got == {i: None if x is None else hashlib.sha256(plain(x).encode()).hexdigest() for i, x in enumerate(texts)}
+
+
+def test_nfkc_folds_in_small_batches(spark, tmp_path):
+    fold = lambda x: " ".join(unicodedata.normalize("NFKC", x).casefold().split())
+    normalised_in_small_batches(spark, tmp_path, "n03_norm_nfkc_casefold_ws", fold)
+
+
+def test_nfc_in_small_batches(spark, tmp_path):
+    plain = lambda x: re.sub("[ \\t\\n\\r\\f]+", " ", unicodedata.normalize("NFC", x)).strip(" ")
+    normalised_in_small_batches(spark, tmp_path, "n01_norm_nfc_ws", plain)
