@@ -6,9 +6,10 @@ import re
 import unicodedata
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
-from corpusloom.operators import similarity
+from corpusloom.operators import bootstrap, similarity
 from corpusloom.plans import catalog
 
 
@@ -75,3 +76,22 @@ def test_nfkc_folds_in_small_batches(spark, tmp_path):
 def test_nfc_in_small_batches(spark, tmp_path):
     plain = lambda x: re.sub("[ \\t\\n\\r\\f]+", " ", unicodedata.normalize("NFC", x)).strip(" ")
     normalised_in_small_batches(spark, tmp_path, "n01_norm_nfc_ws", plain)
+
+
+def test_resamples_of_few_distinct_values_cost_no_draw_for_each_row(monkeypatch):
+    values, drawn = np.repeat([-1.0, 0.5, 2.0], [50_000, 30_000, 20_000]), np.full(300, 100_000)
+    asked = []
+    real = np.random.default_rng
+
+    class Counting:
+        def __init__(self, seed):
+            self.rng = real(seed)
+
+        def __getattr__(self, name):
+            return lambda *a, **k: [out := getattr(self.rng, name)(*a, **k), asked.append(np.size(out))][0]
+
+    monkeypatch.setattr(bootstrap.np.random, "default_rng", Counting)
+    sums = bootstrap.slice_sums(7, 0, values, drawn)
+    assert sum(asked) <= 3 * len(drawn)
+    n, mean, sd = len(values), values.mean(), values.std()
+    assert abs(sums.mean() - n * mean) < 4 * sd * (n / len(drawn)) ** 0.5 and abs(sums.std() / (sd * n**0.5) - 1) < 0.2
