@@ -4,9 +4,9 @@ A row (rank, text) is dropped if a kept row of smaller rank has the same normali
 characters or more in common, or two of the smallest twelve hashes of word 8-grams (anchors) and, on comparison, 0.8 or more
 of the smaller one's 8-grams. Rows must come in batches of ascending rank; how they are cut is of no account.
 
-Keys (hashes of texts, paragraphs, pairs of anchors) live in keyed state. The keys of the rows that a batch has kept are
+Keys (hashes of texts, paragraphs, pairs of anchors) live in keyed state, by buckets of a hash. The keys of the rows that a batch has kept are
 written, and come back as a second source of the same query: they reach the state before the next batch's rows are asked
-about. So a batch costs what it touches, not what has been kept. Within a batch, keys and verified pairs decide by rounds of
+about. So a batch costs what it touches, each key that of its bucket (one of ``BUCKETS`` of what has been kept). Within a batch, keys and verified pairs decide by rounds of
 ``greedy_keep``, which equals the scan in order of rank. All output of a batch lies in folders of its number, which a
 repeated batch replaces; offsets and state are in the checkpoint folder; so a run can stop anywhere and go on.
 """
@@ -26,6 +26,8 @@ from ..operators.graph import checkpointed, drop
 from .shuffle import use_rocks_db
 
 GRAMS, ANCHORS, PARAGRAPH, CONTAINED = 8, 12, 200, 0.8
+#: keys are asked about in so many groups at most: a call for each key took most of the time
+BUCKETS = 1 << 12
 EVENT = "key string, rank long, kept boolean"
 SOURCE = "rank long, text string"
 
@@ -48,19 +50,29 @@ def keys_of(docs: DataFrame) -> DataFrame:
     return whole.unionByName(paragraphs).unionByName(anchors).where("key is not null").select("key", "rank")
 
 
-def answer(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per key: whether a kept row has it; of a pair of anchors, which. State comes and goes with the batch's rows."""
-    rows = [r for frame in frames for r in zip(frame["rank"].tolist(), frame["kept"].tolist())]
-    pair = key[0].startswith("a")
-    known = list(state.get[0]) if state.exists else []
-    new = {r for r, kept in rows if kept} - set(known)
-    if new and (pair or not known):
-        # one row tells as much as all where a key alone decides
-        known += sorted(new) if pair else [min(new)]
-        state.update((known,))
-    asked = [r for r, kept in rows if not kept]
+def answer(bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Per key of a bucket: whether a kept row has it; of a pair of anchors, which. State comes and goes with the batch's rows."""
+    known: dict[str, list[int]] = {}
+    for k, r in zip(*state.get) if state.exists else ():
+        known.setdefault(k, []).append(r)
+    asked, new = [], {}
+    for frame in frames:
+        for k, r, kept in zip(frame["key"].tolist(), frame["rank"].tolist(), frame["kept"].tolist()):
+            if kept:
+                new.setdefault(k, set()).add(r)
+            else:
+                asked.append((k, r))
+    more = False
+    for k, ranks in new.items():
+        pair, old = k.startswith("a"), known.get(k, [])
+        ranks = ranks.difference(old)
+        if ranks and (pair or not old):
+            # one row tells as much as all where a key alone decides
+            known[k], more = old + (sorted(ranks) if pair else [min(ranks)]), True
+    if more:
+        state.update(([k for k, ranks in known.items() for _ in ranks], [r for ranks in known.values() for r in ranks]))
     if asked:
-        out = [(key[0], r, other) for r in asked for other in (None, *known)]
+        out = [(k, r, other) for k, r in asked for other in (None, *known.get(k, ()))]
         yield pd.DataFrame(out, columns=["key", "rank", "other"]).astype({"other": "Int64"})
 
 
@@ -99,8 +111,8 @@ def run(spark: SparkSession, source: str, out: str, files_per_batch: int = 1, st
     rows = stream.select("rank", F.coalesce("text", F.concat(F.lit("\0"), F.col("rank").cast("string"))).alias("text"))
     back = spark.readStream.schema(EVENT).parquet(f"{out}/keys").select("key", "rank", "kept")
     events = back.unionByName(keys_of(rows).withColumn("kept", F.lit(False)))
-    asked = events.groupBy("key").applyInPandasWithState(
-        answer, "key string, rank long, other long", "ranks array<long>", "append", GroupStateTimeout.NoTimeout
+    asked = events.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS))).groupBy("bucket").applyInPandasWithState(
+        answer, "key string, rank long, other long", "keys array<string>, ranks array<long>", "append", GroupStateTimeout.NoTimeout
     )
     done = 0
 

@@ -7,10 +7,12 @@ import unicodedata
 
 import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusloom.operators import bootstrap, similarity
 from corpusloom.plans import catalog
+from corpusloom.streaming import online_dedup
 
 
 def moved(spark) -> int:
@@ -95,3 +97,18 @@ def test_resamples_of_few_distinct_values_cost_no_draw_for_each_row(monkeypatch)
     assert sum(asked) <= 3 * len(drawn)
     n, mean, sd = len(values), values.mean(), values.std()
     assert abs(sums.mean() - n * mean) < 4 * sd * (n / len(drawn)) ** 0.5 and abs(sums.std() / (sd * n**0.5) - 1) < 0.2
+
+
+def test_one_call_answers_all_keys_of_a_bucket():
+    class State:
+        exists, get = True, (["a1:2", "a1:2", "tx"], [3, 4, 3])
+
+        def update(self, held):
+            self.exists, self.get = True, held
+
+    state = State()
+    frame = pd.DataFrame([("a1:2", 9, False), ("tx", 9, False), ("ty", 9, False), ("ty", 5, True), ("tx", 6, True), ("a1:2", 7, True)], columns=["key", "rank", "kept"])
+    (out,) = online_dedup.answer((0,), iter([frame]), state)
+    got = {(k, r, None if pd.isna(o) else int(o)) for k, r, o in out.itertuples(index=False)}
+    assert got == {("a1:2", 9, x) for x in (None, 3, 4, 7)} | {("tx", 9, None), ("tx", 9, 3), ("ty", 9, None), ("ty", 9, 5)}
+    assert sorted(zip(*state.get)) == [("a1:2", 3), ("a1:2", 4), ("a1:2", 7), ("tx", 3), ("ty", 5)]
