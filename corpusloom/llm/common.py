@@ -85,7 +85,11 @@ def bits_for(n: int) -> int:
 def bit_table(df: DataFrame, column: str, size: int) -> Broadcast:
     """A table of 2 ** size bits (bytes, lowest bit first), set where the values of a column have their places: of
     fixed size whatever the column holds, and true of all its values and by chance of few others."""
-    place = bit_place(column, size)
+    return bits_at(df, bit_place(column, size), size)
+
+
+def bits_at(df: DataFrame, place: Column, size: int) -> Broadcast:
+    """The same for places that a column of numbers from 0 to 2 ** size - 1 names."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
     words = df.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(1 << (size - 6), "<i8")

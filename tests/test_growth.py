@@ -52,6 +52,24 @@ def test_repeated_grams_are_counted_in_their_rows(spark, tmp_path):
     against_sql(got, folder, "p07_repeated_ngram")
 
 
+def test_greedy_near_dedup_compares_an_alike_group_with_its_first(spark, tmp_path):
+    base = " ".join(f"w{j}" for j in range(20))
+    alike = [(i, f"{base} own{i}") for i in range(1500)]
+    # a chain: each is like the next only; the second and the fourth go
+    chain = [(5000 + i, " ".join(f"c{j}" for j in range(10 * i, 10 * i + 100))) for i in range(4)]
+    odd = [(6000, None), (6001, ""), (6002, "one two"), (6003, "one two"), (6004, alike[0][1])]
+    folder = documents(spark, tmp_path, alike + chain + odd)
+    before = moved(spark)
+    got = sorted(r["doc_id"] for r in catalog.queries()["d05_greedy_near_dedup"](spark, folder).collect())
+    assert moved(spark) - before < 3e6
+    grams = {i: {tuple(w[j : j + 8]) for j in range(len(w) - 7)} for i, w in ((i, (x or "").split()) for i, x in alike + chain + odd)}
+    kept = []
+    for i in sorted(grams):
+        if all(len(grams[i] & grams[j]) < 0.8 * min(len(grams[i]), len(grams[j])) for j in kept if grams[i] and grams[j]):
+            kept.append(i)
+    assert got == kept and 6000 in kept and 5001 not in kept and 1 not in kept
+
+
 def normalised_in_small_batches(spark, tmp_path, name, plain):
     import hashlib
 
