@@ -70,6 +70,23 @@ def test_greedy_near_dedup_compares_an_alike_group_with_its_first(spark, tmp_pat
     assert got == kept and 6000 in kept and 5001 not in kept and 1 not in kept
 
 
+def test_nearest_training_rows_shuffle_only_the_best(spark, tmp_path):
+    common = [f"c{j}" for j in range(40)]
+    rows = [(i, " ".join([*common[i % 5 : 20 + i % 21], *(f"r{i * j % 701}" for j in range(i % 30))])) for i in range(3000)]
+    odd = [(7, "c1 c2 seven"), (4000, None), (4001, ""), (4002, "!")]
+    items = [(f"q{i}", " ".join([*common[i % 7 :: 1 + i % 3], f"r{i}", f"own{i}"])) for i in range(60)] + [("none", "nowhere"), ("empty", ""), ("null", None)]
+    folder = documents(spark, tmp_path, rows + odd)
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    before = moved(spark)
+    got = catalog.queries()["j08_nearest_training_rows"](spark, folder).collect()
+    assert moved(spark) - before < 5e5
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet/*.parquet')")
+    want = con.sql(catalog.oracle_sql()["j08_nearest_training_rows"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) == 180
+
+
 def normalised_in_small_batches(spark, tmp_path, name, plain):
     import hashlib
 
