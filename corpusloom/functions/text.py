@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -144,14 +145,36 @@ def _fold_spaced(t: str) -> str:
 _SPACES = re.compile(r"\s+")
 
 
+#: fixed value: texts of a batch that are Python strings at once
+_AT_ONCE = 64
+
+
+def _few_at_once(s: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    """``change`` of each text, null for null. Few are Python strings at once, and where none of these changes they are not
+    copied."""
+    parts, same = [], True
+    for start in range(0, len(s), _AT_ONCE):
+        part = s.slice(start, _AT_ONCE)
+        had = part.to_pylist()
+        new = [None if t is None else change(t) for t in had]
+        if new != had:
+            part, same = pa.array(new, s.type), False
+        parts.append(part)
+    return s if same else pa.concat_arrays(parts)
+
+
+def _composed(t: str) -> str:
+    return t if t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)
+
+
 @F.arrow_udf(StringType())
 def nfc(s: pa.Array) -> pa.Array:
-    return pa.array((None if (t := x.as_py()) is None else unicodedata.normalize("NFC", t) for x in s), pa.string())
+    return _few_at_once(s, _composed)
 
 
 @F.arrow_udf(StringType())
 def nfkc_casefold(s: pa.Array) -> pa.Array:
-    return pa.array((None if (t := x.as_py()) is None else _fold_spaced(t) for x in s), pa.string())
+    return _few_at_once(s, _fold_spaced)
 
 
 def bucket(*parts: Column | str, modulus: int) -> Column:

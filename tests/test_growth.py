@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 import unicodedata
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text
 from corpusloom.operators import bootstrap, similarity
 from corpusloom.plans import catalog
 from corpusloom.streaming import online_dedup
@@ -128,6 +131,21 @@ def test_nfc_in_small_batches(spark, tmp_path):
     normalised_in_small_batches(spark, tmp_path, "n01_norm_nfc_ws", plain)
 
 
+def test_few_texts_of_a_batch_are_python_strings_at_once():
+    same, other = "é" * 8000, "e\u0301Ａ" * 4000
+    for texts in ([same] * 2000, [other, None, "", "x"] * 500):
+        batch = pa.array(texts, pa.string())
+        for function, plain in ((text.nfc, lambda t: unicodedata.normalize("NFC", t)), (text.nfkc_casefold, lambda t: unicodedata.normalize("NFKC", t).casefold())):
+            tracemalloc.start()
+            out = function.func(batch)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert peak < 6e6, peak
+            assert out.to_pylist() == [None if t is None else plain(t) for t in texts] and out.type == batch.type
+    empty = pa.array([], pa.string())
+    assert text.nfc.func(empty).to_pylist() == []
+
+
 def test_resamples_of_few_distinct_values_cost_no_draw_for_each_row(monkeypatch):
     values, drawn = np.repeat([-1.0, 0.5, 2.0], [50_000, 30_000, 20_000]), np.full(300, 100_000)
     asked = []
