@@ -45,6 +45,23 @@ def test_cosine_pairs_meet_only_what_can_reach_the_threshold(spark):
     assert moved(spark) - before < 2e6
 
 
+def test_vectors_of_alike_texts_are_not_moved_for_each_pair(spark, tmp_path, monkeypatch):
+    rows = [(i, " ".join(f"c{j}" for j in range(2000) if (i * j) % 97 != 5)) for i in range(40)]
+    rows += [(1000 + i, " ".join(f"d{j}" for j in range(5 * i, 5 * i + 12))) for i in range(30)]
+    folder = documents(spark, tmp_path, rows + [(2000, None), (2001, ""), (2002, rows[0][1])])
+    key, before = "spark.sql.autoBroadcastJoinThreshold", moved(spark)
+    had = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        got = catalog.queries()["d08_document_cosine_pairs"](spark, folder).collect()
+    finally:
+        spark.conf.set(key, had)
+    assert moved(spark) - before < 2e7 and len(got) > 700
+    against_sql(got, folder, "d08_document_cosine_pairs")
+    monkeypatch.setattr(similarity, "TILE", 5000)
+    assert sorted(map(tuple, catalog.queries()["d08_document_cosine_pairs"](spark, folder).collect())) == sorted(map(tuple, got))
+
+
 def test_repeated_grams_are_counted_in_their_rows(spark, tmp_path):
     line = "one two three four five six seven eight nine\n"
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(1500)) + " " + line * (i % 7)) for i in range(60)]
