@@ -1,9 +1,10 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document's set is that of its distinct word shingles (64-bit hashes). Two sets of similarity t or more have all but
-1 - t of either in common, so a document more of whose shingles are met nowhere else is linked with nothing. A table of
-bits (four for each shingle, 2 ** 30 at most) tells shingles that two documents have, and by chance few others; the
-documents that remain are read into sets, equal sets being one class from the start.
+1 - t of either in common, so a document more of whose shingles are met nowhere else is linked with nothing; nor is one
+with more than that number of such shingles among half of them. A table of bits (four for each shingle, 2 ** 30 at most)
+tells those shingles of one half that two documents have, and by chance few others; half the shingles fill it half as
+much. The documents that remain are read into sets, equal sets being one class from the start.
 
 The shingles of the classes are counted exactly and put in one order, rare ones first. Two sets of similarity t or more
 share at least l shingles of their l-prefixes, the first |x| - ceil(t |x|) + l. Each class chooses its own l, from 1 to
@@ -26,7 +27,7 @@ counted as well, at the price of shuffling it. Results do not change.
 A text of fewer words than a shingle is one shingle; without words (null, empty, white space) it has an empty set and is
 linked with nothing. Rows that repeat a doc_id are one document, linked with whatever one of them is linked with, with
 the number of shingles of the largest; rows with a null doc_id take no part and are not returned. Very long texts are
-read whole. Other columns are ignored. Empty tables give empty tables. Shingles are told apart by XXH64: two
+read whole. Other columns are ignored. Empty tables give empty tables. Shingles are told apart by the XXH64 of their words, mixed to 64 bits: two
 different ones are taken for one with a chance of about 1 in 10 ** 19.
 """
 
@@ -43,8 +44,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .op2_simhash import alike, shingle_digests
-from .slot_sketch import SlotCounts, at_least, bit_of, slot_bits, slot_of, summed
+from .op2_simhash import alike
+from .slot_sketch import SlotCounts, at_least, bit_of, mixed, slot_bits, slot_of, summed
 from .word_cache import hold
 
 SEED = 42
@@ -55,8 +56,22 @@ WIDE = 8
 
 
 def shingles(text: bytes | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles."""
-    return np.unique(np.frombuffer(b"".join(shingle_digests(text, size)), ">u8").astype(np.uint64))
+    """Sorted distinct hashes of a text's word shingles: words are hashed once each, and these numbers mixed in order."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
+    found = np.zeros(max(1, len(h) - size + 1), np.uint64)
+    for i in range(min(size, len(h))):
+        found = (found + h[i : i + len(found)]) * np.uint64(0x9E3779B97F4A7C15)
+        found ^= found >> np.uint64(29)
+    found = np.sort(mixed(found))
+    return found[np.append(True, found[1:] != found[:-1])]
+
+
+def sampled(found: np.ndarray) -> np.ndarray:
+    """The half of some shingles that the bit table knows."""
+    return found[found & np.uint64(1) == 0]
 
 
 def _count_rows(counts: SlotCounts) -> pa.RecordBatch:
@@ -65,14 +80,14 @@ def _count_rows(counts: SlotCounts) -> pa.RecordBatch:
 
 
 def document_counts(texts: DataFrame, size: int, bits: int) -> DataFrame:
-    """(range, counts) of the slots of each document's distinct shingles."""
+    """(range, counts) of the slots of each document's distinct sampled shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("ngrams", lambda: None)
         counts = SlotCounts(bits)
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
-                counts.add(slot_of(shingles(text.as_py(), size), bits))
+                counts.add(slot_of(sampled(shingles(text.as_py(), size)), bits))
                 if counts.full():
                     yield _count_rows(counts)
         yield _count_rows(counts)
@@ -97,7 +112,8 @@ def marked(texts: DataFrame, size: int, bits: int, repeated: Broadcast, percent:
                 found = shingles(text.as_py(), size)
                 ids.append(xxhash.xxh128_digest(found.tobytes(), SEED))
                 sizes.append(len(found))
-                open_.append(len(found) > 0 and int(bit_of(table, slot_of(found, bits)).sum()) >= needed(len(found), percent))
+                half, missing = sampled(found), len(found) - needed(len(found), percent)
+                open_.append(len(found) > 0 and int(bit_of(table, slot_of(half, bits)).sum()) >= len(half) - missing)
             columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(open_, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["row", "set_id", "n", "open"])
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
+from corpusloom.llm import op13_ngram_join, slot_sketch
 from corpusloom.operators import bootstrap, similarity
 from corpusloom.plans import catalog
 from corpusloom.streaming import online_dedup
@@ -195,3 +196,17 @@ def test_one_call_answers_all_keys_of_a_bucket():
     got = {(k, r, None if pd.isna(o) else int(o)) for k, r, o in out.itertuples(index=False)}
     assert got == {("a1:2", 9, x) for x in (None, 3, 4, 7)} | {("tx", 9, None), ("tx", 9, 3), ("ty", 9, None), ("ty", 9, 5)}
     assert sorted(zip(*state.get)) == [("a1:2", 3), ("a1:2", 4), ("a1:2", 7), ("tx", 3), ("ty", 5)]
+
+
+def test_half_the_shingles_are_counted_and_no_alike_document_is_ruled_out(spark):
+    own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    # of 100 shingles each, 92 are in the other one, too: 92 / 108 = 0.852
+    alike = [(i, f"{own(i // 2, 95)} {own(1000 + i, 8)}") for i in range(200)]
+    alone = [(500 + i, own(5000 + i, 103)) for i in range(50)]
+    df = spark.createDataFrame(alike + alone + [(900, ""), (901, None)], "row long, text string")
+    counted = op13_ngram_join.document_counts(df, 4, 22).collect()
+    assert 0.4 * 25_000 < sum(int(slot_sketch.unpack(r["counts"])[1].sum()) for r in counted) < 0.6 * 25_000
+    got = op13_ngram_join.jaccard_components(df.withColumnRenamed("row", "doc_id"))
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()} == {
+        *((i, 100, i - i % 2) for i, _ in alike), *((i, 100, i) for i, _ in alone), (900, 0, 900), (901, 0, 901),
+    }
