@@ -210,3 +210,16 @@ def test_half_the_shingles_are_counted_and_no_alike_document_is_ruled_out(spark)
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()} == {
         *((i, 100, i - i % 2) for i, _ in alike), *((i, 100, i) for i, _ in alone), (900, 0, 900), (901, 0, 901),
     }
+
+
+def test_alike_rows_of_a_batch_are_compared_with_the_kept_one(spark, tmp_path, monkeypatch):
+    base = " ".join(f"w{j}" for j in range(400))
+    rows = [(i, f"{base} own{i}") for i in range(150)] + [(500, "other words " * 9), (501, None), (502, ""), (503, "")]
+    source = str(tmp_path / "in")
+    for part in (rows[:100], rows[100:]):
+        spark.createDataFrame(part, online_dedup.SOURCE).coalesce(1).write.mode("append").parquet(source)
+    tried, near = [], online_dedup.near
+    monkeypatch.setattr(online_dedup, "near", lambda pairs, docs: [tried.append(pairs.count()), near(pairs, docs)][1])
+    got = sorted(r["rank"] for r in online_dedup.run(spark, source, str(tmp_path / "out"), 1).collect())
+    assert got == [0, 500, 501, 502]
+    assert sum(tried) < 300
