@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text
 from corpusloom.llm import op13_ngram_join, slot_sketch
-from corpusloom.operators import bootstrap, similarity
+from corpusloom.operators import bootstrap, graph, similarity
 from corpusloom.plans import catalog
 from corpusloom.streaming import online_dedup
 
@@ -223,3 +223,18 @@ def test_alike_rows_of_a_batch_are_compared_with_the_kept_one(spark, tmp_path, m
     got = sorted(r["rank"] for r in online_dedup.run(spark, source, str(tmp_path / "out"), 1).collect())
     assert got == [0, 500, 501, 502]
     assert sum(tried) < 300
+
+
+def test_conflicts_of_one_file_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SQUARE", 20, raising=False)
+    rows = [(i, [i // 2] if i else [], ["a/b", "own" + str(i % 3)] if i % 4 else ["a/./B"]) for i in range(200)]
+    got = graph.conflicts(spark.createDataFrame(rows, "id long, depends_on array<long>, implementation_files array<string>"))
+    above = {0: set()}
+    for i in range(1, 200):
+        above[i] = {i // 2} | above[i // 2]
+    files = [{"a/b"} | ({f"own{i % 3}"} if i % 4 else set()) for i in range(200)]
+    want = sorted((i, j, sorted(files[i] & files[j])) for j in range(200) for i in range(j) if i not in above[j])
+    tasks = got.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["left"], r["right"], r["files"]) for r in tasks) == want
+    each = [sum(r["task"] == k for r in tasks) for k in {r["task"] for r in tasks}]
+    assert len(each) > 8 and max(each) < len(want) / 8
